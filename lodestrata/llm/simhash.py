@@ -103,7 +103,7 @@ def trie_pairs(keys: np.ndarray, fixed: int, budget: int, leaf: int = 8) -> Iter
 def _ones_start(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int) -> np.ndarray:
     """Within each range [lo, hi) of keys with one prefix of ``depth`` bits: how many have bit 0 next."""
     bit = np.uint64(1) << np.uint64(BITS - 1 - depth)
-    below = (bit << np.uint64(1)) - np.uint64(1)
+    below = bit | (bit - np.uint64(1))
     first = (keys[lo] & ~below) | bit
     return np.clip(np.searchsorted(keys, first), lo, hi) - lo
 
