@@ -10,10 +10,20 @@ from . import decontaminate as _decontaminate
 from . import language as _language
 from . import packing as _packing
 from . import simhash as _simhash
+from . import substring as _substring
+from . import suffix as _suffix
 from . import warc as _warc
 from .common import table
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _suffix.suffix_report(table(spark, sf_dir, "documents"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _substring.substring_report(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -35,6 +45,8 @@ def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_warc": op6_warc,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
