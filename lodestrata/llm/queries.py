@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate as _decontaminate
 from . import language as _language
+from . import neighbours as _neighbours
 from . import packing as _packing
 from . import simhash as _simhash
 from . import substring as _substring
@@ -24,6 +25,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _substring.substring_report(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours.neighbour_report(table(spark, sf_dir, "embeddings"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,6 +52,7 @@ def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_warc": op6_warc,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
