@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate as _decontaminate
 from . import language as _language
+from . import mixing as _mixing
 from . import neighbours as _neighbours
 from . import packing as _packing
 from . import simhash as _simhash
@@ -17,6 +18,10 @@ from . import warc as _warc
 from .common import table
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing.mixing_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _suffix.suffix_report(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_nearest_neighbours": op4_nearest_neighbours,
