@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate as _decontaminate
 from . import language as _language
+from . import lines as _lines
 from . import mixing as _mixing
 from . import neighbours as _neighbours
 from . import packing as _packing
@@ -42,6 +43,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _warc.archive_report(table(spark, sf_dir, "pages"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_warc": op6_warc,
+    "op7_line_dedup": op7_line_dedup,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_language_id": op9_language_id,
     "op10_token_packing": op10_token_packing,
