@@ -22,7 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import persist_table
+
 SKETCH_BITS, ROW_BITS = 21, 11
+#: Sketch code of a bucket that has counted one word.
+ONCE = 33 + 4
 #: Similarity as a fraction.
 NUM, DEN = 4, 5
 
@@ -85,6 +89,7 @@ def prefix(n: Column) -> Column:
 def similar_sets(sets: DataFrame) -> DataFrame:
     """(earlier, later): keys of similar sets."""
     posts = sets.select("k", "n", F.posexplode(F.slice("tokens", 1, prefix(F.col("n")))).alias("pos", "token"))
+    posts = posts.filter(F.shiftright("token", 56) > ONCE)  # a word of the corpus's only occurrence meets nobody
     a, b = posts.alias("a"), posts.select(*[F.col(c).alias(f"{c}2") for c in posts.columns]).alias("b")
     small, large = F.least("n", "n2"), F.greatest("n", "n2")
     need = (F.col("n") + F.col("n2")) * NUM  # overlap * (NUM + DEN) >= need
@@ -103,7 +108,7 @@ def similar_sets(sets: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, n_lines, removed): per document the sorted numbers (from 0) of the lines that go."""
     lines = keyed_lines(docs, id_col, text_col)
-    sets = word_sets(lines, rarity_sketch(docs, text_col).scalar())
+    sets = persist_table(word_sets(lines, rarity_sketch(docs, text_col).scalar()), "sets")
     later = similar_sets(sets).select(F.col("later").alias("k")).distinct().withColumn("late", F.lit(True))
     verdict = sets.select("k", "first").join(later, "k", "left")
     own = lines.select("id", "key", "line_no", let(F.array_distinct(words(F.col("line"))), lambda s: F.when(F.size(s) > 0, set_key(s))).alias("k"))
