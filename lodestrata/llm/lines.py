@@ -8,7 +8,14 @@ goes if an earlier line (by document, then line number) has a similarity of 0.8
 Equal sets fold into one before the join, so copies of a line meet nobody. Rarity comes from word
 counts over the whole corpus, held in a sketch of fixed size (2^21 one-byte logarithmic counts)
 which a scalar subquery hands to every task; its collisions can only change the order, which is any
-total order as far as the result goes. Words are 56-bit hashes under their rarity.
+total order as far as the result goes. Words are 64-bit hashes, 56 bits of them under their rarity
+in the prefixes.
+
+Whole sets never travel with the candidates. A 64-bit parity of each set bounds the difference of
+two sets from below and rules out most false candidates; the words of the sets that still matter are
+read from the texts again. A set needs one earlier match only, so every set first meets the earliest
+set of its least and of its greatest word hash; the prefix join then runs for the sets that found no
+match there, against all. Large groups of near copies cost a pair or two for each member.
 
 Native: DataFrame functions only.
 
@@ -22,11 +29,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import persist_table
+from .common import drop_tables, persist_table
 
 SKETCH_BITS, ROW_BITS = 21, 11
 #: Sketch code of a bucket that has counted one word.
-ONCE = 33 + 4
+ONCE = 4
 #: Similarity as a fraction.
 NUM, DEN = 4, 5
 
@@ -36,7 +43,16 @@ def let(value: Column, body) -> Column:
 
 
 def words(line: Column) -> Column:
-    return F.array_remove(F.split(line, r"[\x09-\x0D\x20]+"), "")
+    """Words of a line, with empty strings among them where white space meets."""
+    for space in "\t\n\v\f\r":
+        line = F.replace(line, F.lit(space), F.lit(" "))
+    return F.split(line, " ")
+
+
+def word_set(line: Column) -> Column:
+    """Sorted hashes of the distinct words of a line (null: none)."""
+    hashes = F.transform(words(line), lambda w: F.xxhash64(w))
+    return F.array_remove(F.sort_array(F.array_distinct(hashes)), F.xxhash64(F.lit("")))
 
 
 def keyed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -47,75 +63,133 @@ def keyed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def rarity_sketch(docs: DataFrame, text_col: str, bits: int = SKETCH_BITS) -> DataFrame:
-    """One row, one binary value of 2^bits bytes: 33 + 4 log2 of the words counted in each bucket."""
-    counted = docs.select(F.explode(words(F.col(text_col))).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << bits) - 1)).alias("b")).count()
+    """One row, one array of 2^bits bytes: 4 log2 of the words counted in each bucket."""
+    hashed = docs.select(F.explode(words(F.col(text_col).cast("string"))).alias("w")).select(F.xxhash64("w").alias("h"))
+    counted = hashed.groupBy(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).alias("b")).count()
     every = docs.sparkSession.range(1 << bits).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("count"))
     full = every.union(counted).groupBy("b").agg(F.sum("count").alias("n"))
-    code = F.char(33 + F.least(F.lit(93), F.floor(4 * F.log2(F.col("n") + 1))))
-    low = (1 << ROW_BITS) - 1
-    join = lambda key, part: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), part.alias("s")))), lambda x: x["s"]), "")
-    rows = full.groupBy(F.shiftright("b", ROW_BITS).alias("hi")).agg(join(F.col("b").bitwiseAND(F.lit(low)), code).alias("part"))
-    return rows.agg(join(F.col("hi"), F.col("part")).cast("binary").alias("sketch"))
+    code = F.least(F.lit(93), F.floor(4 * F.log2(F.col("n") + 1))).cast("tinyint")
+    part = F.sort_array(F.collect_list(F.struct(F.col("b").alias("k"), code.alias("s"))))["s"]
+    rows = full.groupBy(F.shiftright("b", ROW_BITS).alias("hi")).agg(part.alias("part"))
+    return rows.agg(F.flatten(F.sort_array(F.collect_list(F.struct("hi", "part")))["part"]).alias("sketch"))
 
 
-def set_key(distinct: Column) -> Column:
-    """Order-free 64-bit key of a set of words."""
-    return F.xxhash64(F.array_sort(F.transform(distinct, lambda w: F.xxhash64(w))))
+def prefix(n: Column) -> Column:
+    """n - ceil(n * NUM / DEN) + 1."""
+    return n - F.floor((n * NUM + DEN - 1) / DEN).cast("int") + 1
 
 
-def word_sets(lines: DataFrame, sketch: Column) -> DataFrame:
-    """(k, n, first, tokens): distinct word sets with their first line."""
+def marked_lines(lines: DataFrame, sketch: Column) -> DataFrame:
+    """(id, key, line_no, k, n, parity, low, high, prefix): every line with its set's key, size,
+    parity, least and greatest word hash and rarest words; k is null for a line without words."""
 
     def ranked(pair: Column) -> Column:
         table = pair["sketch"]
-        hashed = F.transform(pair["set"], lambda w: F.xxhash64(w))
-        code = lambda h: F.ascii(F.substr(table, h.bitwiseAND(F.lit((1 << SKETCH_BITS) - 1)) + 1, F.lit(1)).cast("string"))
-        return F.array_sort(F.transform(hashed, lambda h: F.shiftleft(code(h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+        code = lambda h: F.get(table, h.bitwiseAND(F.lit((1 << SKETCH_BITS) - 1)).cast("int")).cast("long")
+        return F.transform(pair["set"], lambda h: F.shiftleft(code(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
 
-    distinct = F.array_distinct(words(F.col("line")))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    parity = F.aggregate("set", F.lit(0).cast("long"), lambda held, h: held.bitwiseXOR(bit(h)))
     # the subquery stands in a projection of its own, as none may stand in a lambda's arguments;
-    # the optimiser moves it to its one use, so no row carries the sketch
-    lines = lines.withColumn("sketch", sketch)
-    both = let(F.struct(distinct.alias("set"), "sketch"), lambda p: F.struct(set_key(p["set"]).alias("k"), ranked(p).alias("tokens")))
-    rows = lines.select(F.struct("id", "key", "line_no").alias("at"), both.alias("s")).select("at", "s.k", "s.tokens").filter(F.size("tokens") > 0)
-    return rows.groupBy("k").agg(F.min("at").alias("first"), F.first("tokens").alias("tokens")).select("k", F.size("tokens").alias("n"), "first", "tokens")
+    # the optimiser moves it up to its one use, and the explode keeps it from joining the projection
+    # below, so no row carries the sketch
+    sets = lines.select("id", "key", "line_no", F.explode(F.array(word_set(F.col("line")))).alias("set")).withColumn("sketch", sketch)
+    tokens = F.sort_array(let(F.struct("set", "sketch"), ranked))
+    n = F.size("set")
+    key = F.when(n > 0, F.xxhash64("set"))
+    return sets.select("id", "key", "line_no", key.alias("k"), n.alias("n"), parity.alias("parity"), F.get("set", F.lit(0)).alias("low"), F.get("set", n - 1).alias("high"), F.slice(tokens, 1, prefix(n)).alias("prefix"))
 
 
-def prefix(n: Column) -> Column:
-    """n - ceil(n * NUM / DEN) + 1."""
-    return n - F.floor((n * NUM + DEN - 1) / DEN).cast("int") + 1
+def most_apart(both: Column) -> Column:
+    """Largest symmetric difference of similar sets that hold ``both`` words together."""
+    return both - 2 * F.ceil(both * NUM / (NUM + DEN)).cast("int")
+
 
+def pilots(sets: DataFrame) -> DataFrame:
+    """(k, k2): every set with the earliest set of the same least, and of the same greatest, word
+    hash. Near copies mostly meet the first of their group here, one pair or two for each member."""
+    ends = sets.select("k", "first", F.explode(F.array_distinct(F.array("low", "high"))).alias("end"))
+    heads = ends.groupBy("end").agg(F.min(F.struct("first", "k")).alias("head")).select("end", F.col("head.k").alias("k2"))
+    return ends.select("k", "end").join(heads, "end").filter("k <> k2").select("k", "k2").distinct()
 
-def similar_sets(sets: DataFrame) -> DataFrame:
-    """(earlier, later): keys of similar sets."""
-    posts = sets.select("k", "n", F.posexplode(F.slice("tokens", 1, prefix(F.col("n")))).alias("pos", "token"))
+
+def candidates(sets: DataFrame, settled: DataFrame) -> DataFrame:
+    """(k, k2): sets that share a prefix word and pass the length and positional filters; pairs of
+    two sets that are settled are left out, and no settled set enters on the left."""
+    known = sets.join(settled.select(F.col("later").alias("k"), F.lit(True).alias("done")), "k", "left")
+    posts = known.select("k", "n", F.col("done").isNotNull().alias("done"), F.posexplode("prefix").alias("pos", "token"))
     posts = posts.filter(F.shiftright("token", 56) > ONCE)  # a word of the corpus's only occurrence meets nobody
-    a, b = posts.alias("a"), posts.select(*[F.col(c).alias(f"{c}2") for c in posts.columns]).alias("b")
-    small, large = F.least("n", "n2"), F.greatest("n", "n2")
-    need = (F.col("n") + F.col("n2")) * NUM  # overlap * (NUM + DEN) >= need
-    reach = 1 + F.least(F.col("n") - 1 - F.col("pos"), F.col("n2") - 1 - F.col("pos2"))
-    met = (F.col("token") == F.col("token2")) & (F.col("k") < F.col("k2")) & (small * DEN >= large * NUM) & (reach * (NUM + DEN) >= need)
-    pairs = a.join(b, met).select("k", "k2").distinct()
-    left = sets.select("k", "n", "first", "tokens")
-    right = sets.select(*[F.col(c).alias(f"{c}2") for c in ("k", "n", "first", "tokens")])
-    whole = pairs.join(left, "k").join(right, "k2")
-    overlap = F.size(F.array_intersect("tokens", "tokens2"))
-    fine = whole.filter(overlap * (NUM + DEN) >= (F.col("n") + F.col("n2")) * NUM)
+    a, b = posts.filter("not done").alias("a"), posts.alias("b")
+    n, n2 = F.col("a.n"), F.col("b.n")
+    reach = 1 + F.least(n - 1 - F.col("a.pos"), n2 - 1 - F.col("b.pos"))
+    near = (F.least(n, n2) * DEN >= F.greatest(n, n2) * NUM) & (reach * (NUM + DEN) >= (n + n2) * NUM)
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & ((F.col("a.k") < F.col("b.k")) | F.col("b.done")) & near)
+    return met.select(F.col("a.k").alias("k"), F.col("b.k").alias("k2")).distinct()
+
+
+def ordered_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(earlier, later, apart): candidates that the parities do not rule out."""
+    left = sets.select("k", "n", "parity", "first")
+    right = left.select(*[F.col(c).alias(f"{c}2") for c in left.columns])
+    apart = F.bit_count(F.col("parity").bitwiseXOR(F.col("parity2")))
+    whole = pairs.join(left, "k").join(right, "k2").filter(apart <= most_apart(F.col("n") + F.col("n2")))
     early = F.col("first") < F.col("first2")
-    return fine.select(F.when(early, F.col("k")).otherwise(F.col("k2")).alias("earlier"), F.when(early, F.col("k2")).otherwise(F.col("k")).alias("later"))
+    return whole.select(F.when(early, F.col("k")).otherwise(F.col("k2")).alias("earlier"), F.when(early, F.col("k2")).otherwise(F.col("k")).alias("later"), apart.alias("apart"))
+
+
+def words_of(keys: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(k, set): the words of the sets named, from the line that had each first."""
+    wanted = keys.join(sets.select("k", "first"), "k").groupBy("first.id", "first.key").agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "k")).alias("wanted"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("own"), F.xxhash64(text).alias("key"), text.alias("text"))
+    held = texts.join(wanted, texts["own"].eqNullSafe(wanted["id"]) & (texts["key"] == wanted["key"]))
+    cut = held.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
+    # rows that repeat in the table name a set more than once
+    return cut.select("w.k", F.get("lines", F.col("w.line_no")).alias("line")).dropDuplicates(["k"]).select("k", word_set(F.col("line")).alias("set"))
+
+
+def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """(later): sets with a similar set among the pairs."""
+    early = held.select(F.col("k").alias("earlier"), F.col("set").alias("a"))
+    late = held.select(F.col("k").alias("later"), F.col("set").alias("b"))
+    whole = pairs.select("earlier", "later").join(early, "earlier").join(late, "later")
+    fine = whole.filter(F.size(F.array_intersect("a", "b")) * (NUM + DEN) >= (F.size("a") + F.size("b")) * NUM)
+    return fine.select("later").distinct()
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, n_lines, removed): per document the sorted numbers (from 0) of the lines that go."""
-    lines = keyed_lines(docs, id_col, text_col)
-    sets = persist_table(word_sets(lines, rarity_sketch(docs, text_col).scalar()), "sets")
-    later = similar_sets(sets).select(F.col("later").alias("k")).distinct().withColumn("late", F.lit(True))
-    verdict = sets.select("k", "first").join(later, "k", "left")
-    own = lines.select("id", "key", "line_no", let(F.array_distinct(words(F.col("line"))), lambda s: F.when(F.size(s) > 0, set_key(s))).alias("k"))
-    judged = own.join(verdict, "k", "left")
-    goes = F.col("late").isNotNull() | (F.col("first").isNotNull() & (F.col("first") < F.struct("id", "key", "line_no")))
+    spark = docs.sparkSession
+    at = F.struct("id", "key", "line_no")
+    marked = persist_table(marked_lines(keyed_lines(docs, id_col, text_col), rarity_sketch(docs, text_col).scalar()), "marked")
+    of_set = [F.first(c).alias(c) for c in ("n", "parity", "low", "high", "prefix")]
+    sets = persist_table(marked.filter("k is not null").groupBy("k").agg(F.min(at).alias("first"), *of_set), "sets")
+    lines = persist_table(marked.select("id", "key", "line_no", "k"), "lines")
+    drop_tables(spark, marked)
+
+    def settle(pairs: DataFrame) -> DataFrame:
+        keys = pairs.select(F.col("earlier").alias("k")).union(pairs.select(F.col("later").alias("k"))).distinct()
+        held = persist_table(words_of(keys, sets, docs, id_col, text_col), "words")
+        found = persist_table(verified(pairs, held), "found")
+        drop_tables(spark, held)
+        return found
+
+    def likeliest(pairs: DataFrame) -> DataFrame:
+        best = pairs.groupBy("later").agg(F.min(F.struct("apart", "earlier")).alias("best"))
+        return best.select("later", F.col("best.earlier").alias("earlier"))
+
+    early = persist_table(ordered_pairs(pilots(sets), sets), "pilots")
+    found = settle(likeliest(early))
+    met = persist_table(candidates(sets, found), "met")
+    open_ = persist_table(ordered_pairs(met, sets).join(found, "later", "left_anti"), "open")
+    drop_tables(spark, early, met)
+    late = found.union(settle(open_)).select(F.col("later").alias("k"), F.lit(True).alias("late"))
+    drop_tables(spark, open_)
+    verdict = sets.select("k", "first").join(late, "k", "left")
+    judged = lines.join(verdict, "k", "left")
+    goes = F.col("late").isNotNull() | (F.col("first").isNotNull() & (F.col("first") < at))
     per_line = judged.select("id", "key", "line_no", F.when(goes, F.col("line_no")).alias("gone"))
-    return per_line.groupBy("id", "key").agg((F.max("line_no") + 1).cast("long").alias("n_lines"), F.array_sort(F.collect_set("gone")).alias("removed"))
+    return per_line.groupBy("id", "key").agg((F.max("line_no") + 1).cast("long").alias("n_lines"), F.sort_array(F.collect_set("gone")).alias("removed"))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
