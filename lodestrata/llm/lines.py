@@ -14,8 +14,8 @@ in the prefixes.
 Whole sets never travel with the candidates. A 64-bit parity of each set bounds the difference of
 two sets from below and rules out most false candidates; the words of the sets that still matter are
 read from the texts again. A set needs one earlier match only, so every set first meets the earliest
-set of its least and of its greatest word hash; the prefix join then runs for the sets that found no
-match there, against all. Large groups of near copies cost a pair or two for each member.
+sets under some words of its prefix; the prefix join then runs for the sets that found no
+match there, against all. Large groups of near copies cost a few pairs for each member.
 
 Native: DataFrame functions only.
 
@@ -34,6 +34,8 @@ from .common import drop_tables, persist_table
 SKETCH_BITS, ROW_BITS = 21, 11
 #: Sketch code of a bucket that has counted one word.
 ONCE = 4
+#: Words at either end of a prefix by which a set looks for earlier sets before the full join.
+PILOTS = 3
 #: Similarity as a fraction.
 NUM, DEN = 4, 5
 
@@ -80,8 +82,8 @@ def prefix(n: Column) -> Column:
 
 
 def marked_lines(lines: DataFrame, sketch: Column) -> DataFrame:
-    """(id, key, line_no, k, n, parity, low, high, prefix): every line with its set's key, size,
-    parity, least and greatest word hash and rarest words; k is null for a line without words."""
+    """(id, key, line_no, k, n, parity, prefix): every line with its set's key, size, parity and
+    rarest words; k is null for a line without words."""
 
     def ranked(pair: Column) -> Column:
         table = pair["sketch"]
@@ -97,7 +99,7 @@ def marked_lines(lines: DataFrame, sketch: Column) -> DataFrame:
     tokens = F.sort_array(let(F.struct("set", "sketch"), ranked))
     n = F.size("set")
     key = F.when(n > 0, F.xxhash64("set"))
-    return sets.select("id", "key", "line_no", key.alias("k"), n.alias("n"), parity.alias("parity"), F.get("set", F.lit(0)).alias("low"), F.get("set", n - 1).alias("high"), F.slice(tokens, 1, prefix(n)).alias("prefix"))
+    return sets.select("id", "key", "line_no", key.alias("k"), n.alias("n"), parity.alias("parity"), F.slice(tokens, 1, prefix(n)).alias("prefix"))
 
 
 def most_apart(both: Column) -> Column:
@@ -106,9 +108,10 @@ def most_apart(both: Column) -> Column:
 
 
 def pilots(sets: DataFrame) -> DataFrame:
-    """(k, k2): every set with the earliest set of the same least, and of the same greatest, word
-    hash. Near copies mostly meet the first of their group here, one pair or two for each member."""
-    ends = sets.select("k", "first", F.explode(F.array_distinct(F.array("low", "high"))).alias("end"))
+    """(k, k2): every set with the earliest sets that share one of the PILOTS rarest, or of the
+    PILOTS most frequent, repeated words of its prefix. Near copies mostly meet the first of their group here, a few pairs for each member."""
+    repeated = F.filter("prefix", lambda t: F.shiftright(t, 56) > ONCE)
+    ends = sets.select("k", "first", repeated.alias("all")).select("k", "first", F.explode(F.array_union(F.slice("all", 1, PILOTS), F.slice("all", -PILOTS, PILOTS))).alias("end"))
     heads = ends.groupBy("end").agg(F.min(F.struct("first", "k")).alias("head")).select("end", F.col("head.k").alias("k2"))
     return ends.select("k", "end").join(heads, "end").filter("k <> k2").select("k", "k2").distinct()
 
@@ -162,7 +165,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     at = F.struct("id", "key", "line_no")
     marked = persist_table(marked_lines(keyed_lines(docs, id_col, text_col), rarity_sketch(docs, text_col).scalar()), "marked")
-    of_set = [F.first(c).alias(c) for c in ("n", "parity", "low", "high", "prefix")]
+    of_set = [F.first(c).alias(c) for c in ("n", "parity", "prefix")]
     sets = persist_table(marked.filter("k is not null").groupBy("k").agg(F.min(at).alias("first"), *of_set), "sets")
     lines = persist_table(marked.select("id", "key", "line_no", "k"), "lines")
     drop_tables(spark, marked)
