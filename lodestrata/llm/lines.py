@@ -15,7 +15,8 @@ Whole sets never travel with the candidates. A 64-bit parity of each set bounds
 two sets from below and rules out most false candidates; the words of the sets that still matter are
 read from the texts again. A set needs one earlier match only, so every set first meets the earliest
 sets under some words of its prefix; the prefix join then runs for the sets that found no
-match there, against all. Large groups of near copies cost a few pairs for each member.
+match there, against all, and verifies the likeliest candidate of each before its others. Large
+groups of near copies cost a few pairs for each member.
 
 Native: DataFrame functions only.
 
@@ -170,24 +171,28 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = persist_table(marked.select("id", "key", "line_no", "k"), "lines")
     drop_tables(spark, marked)
 
-    def settle(pairs: DataFrame) -> DataFrame:
+    def words_for(pairs: DataFrame) -> DataFrame:
         keys = pairs.select(F.col("earlier").alias("k")).union(pairs.select(F.col("later").alias("k"))).distinct()
-        held = persist_table(words_of(keys, sets, docs, id_col, text_col), "words")
-        found = persist_table(verified(pairs, held), "found")
-        drop_tables(spark, held)
-        return found
+        return persist_table(words_of(keys, sets, docs, id_col, text_col), "words")
 
     def likeliest(pairs: DataFrame) -> DataFrame:
         best = pairs.groupBy("later").agg(F.min(F.struct("apart", "earlier")).alias("best"))
         return best.select("later", F.col("best.earlier").alias("earlier"))
 
-    early = persist_table(ordered_pairs(pilots(sets), sets), "pilots")
-    found = settle(likeliest(early))
+    early = persist_table(likeliest(ordered_pairs(pilots(sets), sets)), "pilots")
+    held = words_for(early)
+    found = persist_table(verified(early, held), "found")
+    drop_tables(spark, early, held)
     met = persist_table(candidates(sets, found), "met")
     open_ = persist_table(ordered_pairs(met, sets).join(found, "later", "left_anti"), "open")
-    drop_tables(spark, early, met)
-    late = found.union(settle(open_)).select(F.col("later").alias("k"), F.lit(True).alias("late"))
-    drop_tables(spark, open_)
+    drop_tables(spark, met)
+    held = words_for(open_)
+    best = likeliest(open_)
+    more = persist_table(verified(best, held), "more")
+    others = open_.join(more, "later", "left_anti").join(best, ["later", "earlier"], "left_anti")
+    rest = persist_table(verified(others, held), "rest")
+    drop_tables(spark, open_, held)
+    late = found.union(more).union(rest).select(F.col("later").alias("k"), F.lit(True).alias("late"))
     verdict = sets.select("k", "first").join(late, "k", "left")
     judged = lines.join(verdict, "k", "left")
     goes = F.col("late").isNotNull() | (F.col("first").isNotNull() & (F.col("first") < at))
