@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as C
 import pytest
 
@@ -33,6 +35,31 @@ def test_near_duplicates_keep_the_smallest_id(spark):
     assert {r.doc_id for r in C.drop_near_duplicates(spark, docs, SF).collect()} == set(range(0, 20, 2))
 
 
+def test_near_duplicates_at_similarity_of_0_8_and_more(spark):
+    rng = random.Random(7)
+
+    def similarity(a, b):
+        x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a, b))
+        return len(x & y) / len(x | y)
+
+    texts, near, far = [], set(), set()
+    for group in range(40):  # a base, a copy at 0.8 to 0.95 and a relative at 0.5 to 0.75
+        base = [f"g{group}w{rng.randrange(5000)}" for _ in range(300)]
+        texts.append(base)
+        for low, high, ids in ((0.80, 0.95, near), (0.5, 0.75, far)):
+            copy = list(base)
+            while not low <= similarity(base, copy) < high:
+                copy = list(base)
+                for at in rng.sample(range(300), rng.randrange(1, 30)):
+                    copy[at] = f"new{rng.random()}"
+            ids.add(len(texts))
+            texts.append(copy)
+    assert all(similarity(texts[k], texts[j]) < 0.8 for k in far for j in (k - 2, k - 1))
+    rows = [(k, " ".join(t), "en", "s", 1) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in C.drop_near_duplicates(spark, docs, SF).collect()} == set(range(len(texts))) - near
+
+
 def test_run(spark):
     assert C.run(spark, SF).count() > 0
 
