@@ -1,14 +1,21 @@
 """Approximate nearest neighbours over shifted space-filling curves.
 
-Each of ``curves`` orderings projects the vectors on ``dims`` random orthogonal directions, shifts
+Nearness is the largest inner product, so vectors are dealt into strata by their norm (a factor of 2
+each, the median norm in the middle of one), and within a stratum the orderings are those of the
+directions: there the nearest directions have the largest products. A query looks into every stratum.
+
+Each of ``curves`` orderings projects the directions on ``dims`` random orthogonal directions, shifts
 and quantises the projections, and takes the Hilbert index as key. The keys of an ordering are
 range-partitioned into blocks by quantiles. A query looks at the blocks within ``reach`` of its own
 in every ordering; the windows of all orderings merge, and what they hold is ranked by the exact
 inner product in double precision.
 
 Only the projections' scale and the blocks' borders are fitted, on a sample of at most
-``SAMPLE_ROWS`` vectors (those with the smallest id hashes); every vector is indexed. A block is a
-share of the ordering, at least ``min_block`` rows, so recall does not fall as the table grows. Large
+``SAMPLE_ROWS`` vectors a stratum (those with the smallest id hashes; less for small strata of a large
+table); every vector is indexed. A block is a share of the ordering, at least ``min_block`` rows, so
+recall does not fall as the table grows. A stratum under ``2 * min_block`` rows is one block and is
+searched whole, and so is every stratum of up to ``reach + 1`` blocks; from ``blocks * min_block``
+rows on, a window is the same share of a stratum whatever its size. Large
 blocks are dealt over salts: a task holds at most about ``BASE_ROWS`` vectors and ``QUERY_ROWS``
 queries, whatever the size of a block or the number of equal vectors.
 
@@ -23,7 +30,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CURVES, DIMS, BITS, REACH, BLOCKS, MIN_BLOCK, K = 8, 4, 8, 2, 20, 1_024, 20
@@ -95,6 +102,19 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.filter(F.col(id_col).isNotNull() & (F.size(v) > 0) & fine).select(F.col(id_col).alias("id"), v.alias("v"))
 
 
+def log_norm(v: Column) -> Column:
+    """Binary logarithm of the norm; no square over- or underflows."""
+    most = F.array_max(F.transform(v, F.abs))
+    return F.log2(most) + F.log2(F.aggregate(F.transform(v, lambda x: (x / most) * (x / most)), F.lit(0.0), lambda s, x: s + x)) / 2
+
+
+def directions(vectors: np.ndarray) -> np.ndarray:
+    if not len(vectors):
+        return vectors
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
 def best_pairs(base_ids: np.ndarray, base: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, id, score) of each query's k best: a matrix product screens, exact products rank."""
     rough = queries @ base.T
@@ -126,20 +146,49 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
         return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, id {kind}, score double")
     width, total = sizes["width"], sizes["count"]
     rows = rows.filter(F.size("v") == width)
-    sample = np.array([r.v for r in rows.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE_ROWS).collect()])
-    orderings = Orderings(sample, max(1, min(blocks, total // min_block)), curves, dims)
-
-    def place(batches):
-        for batch in batches:
-            found = orderings.blocks(_matrix(batch.column(1), width)) if batch.num_rows else np.empty((0, curves), np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * curves), pa.array(found.ravel().astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["id", "v", "blocks"])
-
-    placed = rows.mapInArrow(place, f"id {kind}, v array<double>, blocks array<int>")
-    base = placed.select("id", "v", F.posexplode("blocks").alias("curve", "block"))
-    asked = base.filter(is_query(F.col("id")))
+    middle = rows.agg(F.percentile_approx(log_norm(F.col("v")), 0.5, 10_000)).first()[0]
+    rows = rows.withColumn("stratum", F.floor(log_norm(F.col("v")) - middle + 0.5).cast("int"))
+    strata = {r.stratum: r["count"] for r in rows.groupBy("stratum").count().orderBy("stratum").collect()}
+    orderings: list[Orderings | None] = []
+    for stratum, n in strata.items():
+        parts = max(1, min(blocks, n // min_block))
+        if parts == 1:
+            orderings.append(None)
+            continue
+        most = max(SAMPLE_ROWS // 10, SAMPLE_ROWS * n // total)
+        sample = np.array([r.v for r in rows.filter(F.col("stratum") == stratum).select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(most).collect()])
+        orderings.append(Orderings(directions(sample), parts, curves, dims))
+    index = {stratum: k for k, stratum in enumerate(strata)}
+
+    def placed(rows: DataFrame, everywhere: bool) -> DataFrame:
+        """(id, v, curve, block), in the own stratum or in all; curves are counted through the strata."""
+
+        def place(batches):
+            for batch in batches:
+                ways = directions(_matrix(batch.column(1), width))
+                own = np.array([index[x] for x in batch.column(2).to_pylist()], np.int64)
+                row, curve, block = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                for k, ordering in enumerate(orderings):
+                    at = np.arange(batch.num_rows) if everywhere else np.nonzero(own == k)[0]
+                    if not len(at):
+                        continue
+                    found = ordering.blocks(ways[at]) if ordering is not None else np.zeros((len(at), 1), np.int64)
+                    row.append(np.repeat(at, found.shape[1]))
+                    curve.append(np.tile(k * curves + np.arange(found.shape[1]), len(at)))
+                    block.append(found.ravel())
+                row, curve, block = (np.concatenate(x) for x in (row, curve, block))
+                order = np.argsort(row, kind="stable")
+                ends = np.searchsorted(row[order], np.arange(batch.num_rows + 1)).astype(np.int32)
+                pairs = pa.StructArray.from_arrays([pa.array(x[order].astype(np.int32)) for x in (curve, block)], ["curve", "block"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(pa.array(ends), pairs)], ["id", "v", "at"])
+
+        dealt = rows.mapInArrow(place, f"id {kind}, v array<double>, at array<struct<curve: int, block: int>>")
+        return dealt.select("id", "v", F.explode("at").alias("at")).select("id", "v", "at.curve", "at.block")
+
+    base = placed(rows, False)
+    asked = placed(rows.filter(is_query(F.col("id"))), True)
     asked = asked.select("id", "v", "curve", F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block"))
-    # curves * blocks numbers: how many vectors and how many queries meet in each block
+    # curves * blocks numbers a stratum: how many vectors and how many queries meet in each block
     count = lambda df: {(r.curve, r.block): r["count"] for r in df.groupBy("curve", "block").count().collect()}
     n_base, n_asked = count(base.select("curve", "block")), count(asked.select("curve", "block"))
     salts = [(c, b, math.ceil(n / BASE_ROWS), math.ceil(n_asked.get((c, b), 0) / QUERY_ROWS)) for (c, b), n in n_base.items()]

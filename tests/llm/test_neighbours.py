@@ -67,3 +67,18 @@ def test_recall_over_blocks_and_salts(spark, monkeypatch):
         got.setdefault(r.query_id, set()).add(r.id)
     want = brute(rows)
     assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_recall_of_unequal_norms(spark):
+    rng = np.random.default_rng(11)
+    n = 21_000  # the full number of blocks
+    x = rng.normal(size=(n, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True) * np.exp(rng.normal(size=(n, 1)))).astype(np.float32)
+    got = {}
+    for r in N.nearest(frame(spark, [(k, x[k].tolist()) for k in range(n)]), lambda key: key % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    exact = x.astype(np.float64)
+    score = exact[::100] @ exact.T
+    score[np.arange(len(score)), np.arange(0, n, 100)] = -np.inf
+    best = np.argsort(-score, axis=1)[:, :20]
+    assert np.mean([len(got[100 * q] & set(best[q].tolist())) / 20 for q in range(len(best))]) >= 0.95
