@@ -41,30 +41,49 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     return in_blocks(a, b, "b").filter((F.col("a") < F.col("b")) & (dot(F.col("va"), F.col("vb")) >= threshold)).select("a", "b")
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, component): smallest reachable node, by label propagation; checkpointed each round."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """(node, component): smallest reachable node, by large-star and small-star steps in turn until no
+    edge moves; checkpointed each round. Rounds grow with the logarithm of a path's length; it raises,
+    and returns nothing unfinished, if ``rounds`` are not enough."""
+    # a node whose only edge leads to itself is its own component
+    alone = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    stars = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct().checkpoint()
+    state = _state(stars)
     for _ in range(rounds):
-        low = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
-        new = labels.join(low, F.col("node") == F.col("a")).select("node", F.least("component", "m").alias("component"), (F.col("m") < F.col("component")).alias("moved"))
-        new = new.checkpoint()
-        labels = new.select("node", "component")
-        if not new.filter("moved").limit(1).count():
+        both = stars.union(stars.select("b", "a"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "u")
+        large = both.join(low, F.col("a") == F.col("u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        stars = small.filter("a <> b").distinct().checkpoint()
+        before, state = state, _state(stars)
+        if before == state:
             break
-    return labels
+    else:
+        raise RuntimeError(f"components: edges still move after {rounds} rounds")
+    found = stars.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
+    return alone.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def propagate(detections: DataFrame, references: DataFrame, confirmed: float, lead: float, rounds: int = 10) -> DataFrame:
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
+def propagate(detections: DataFrame, references: DataFrame, confirmed: float, lead: float, rounds: int | None = None) -> DataFrame:
     """(det_id, person_id): confirmed detections become references until none is new. All of a round
-    are judged against the same references, so the result has no order to depend on."""
-    found = None
-    for _ in range(rounds):
+    are judged against the same references, so the result has no order to depend on. Every round but
+    the last takes detections away, so it ends; with ``rounds`` it raises where these are not enough."""
+    found, done = None, 0
+    while True:
         m = best_matches(detections, references)
         new = m.filter((F.col("best") >= confirmed) & (F.col("margin") >= lead)).select("det_id", "person_id").checkpoint()
         if not new.limit(1).count():
             break
-        found = new if found is None else found.unionByName(new)
+        if rounds is not None and done >= rounds:
+            raise RuntimeError(f"propagate: detections are still confirmed after {rounds} rounds")
+        done += 1
+        # checkpointed, so that a long chain of rounds does not grow the plan
+        found = (new if found is None else found.unionByName(new)).checkpoint()
         references = references.unionByName(detections.join(new, "det_id").select("person_id", F.col("det_vector").alias("ref_vector"))).checkpoint()
         detections = detections.join(new, "det_id", "left_anti").checkpoint()
     return found if found is not None else m.filter(F.lit(False)).select("det_id", "person_id")

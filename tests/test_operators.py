@@ -104,6 +104,31 @@ def test_suppression_and_components(spark):
     assert {r.det_id for r in E.suppress_overlaps(boxes).collect()} == {1, 3, 4}
 
 
+def _checkpoints(spark, folder):
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(str(folder))
+
+
+def test_components_of_a_long_chain(spark, tmp_path):
+    _checkpoints(spark, tmp_path)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(39)] + [(100, 101), (200, 200)], "a long, b long")
+    assert {r.node: r.component for r in E.components(edges).collect()} == {k: 0 for k in range(40)} | {100: 100, 101: 100, 200: 200}
+    with pytest.raises(RuntimeError):
+        E.components(edges, rounds=1)
+
+
+def test_propagation_over_a_long_chain(spark, tmp_path):
+    import math
+
+    _checkpoints(spark, tmp_path)
+    at = lambda k: [math.cos(k * 0.3), math.sin(k * 0.3)]
+    detections = spark.createDataFrame([(k, at(k)) for k in range(1, 13)], "det_id long, det_vector array<double>")
+    references = spark.createDataFrame([(7, at(0))], "person_id long, ref_vector array<double>")
+    assert {tuple(r) for r in E.propagate(detections, references, 0.95, 0.03).collect()} == {(k, 7) for k in range(1, 13)}
+    with pytest.raises(RuntimeError):
+        E.propagate(detections, references, 0.95, 0.03, rounds=3)
+
+
 def test_json_recovery_and_html(spark):
     ticks = "`" * 3
     rows = spark.createDataFrame([('{"k": 1}',), (f'so {ticks}json\n{{"k": 2}}\n{ticks}',), ('x {"k": 3} y',), ("none",)], "t string")
