@@ -112,12 +112,29 @@ def merge_names(persons: DataFrame) -> DataFrame:
     return persons.select("person_id", F.min("person_id").over(order).alias("kept_id"))
 
 
-def text_mentions(persons: DataFrame, files: DataFrame) -> DataFrame:
-    """(person_id, file_id): one-word names among a text's words, by an equality join on words."""
+def text_mentions(persons: DataFrame, files: DataFrame, shortest: int = 3) -> DataFrame:
+    """(person_id, file_id): a person's whole name, or one of ``aliases`` (if there is that column), as
+    successive words of a file's name and text. Names under ``shortest`` characters are not searched.
+    Joined on the word of a name that the fewest files have; names of more words are then held
+    against the files that have it."""
     from ..functions.text import tokens
 
-    words = files.select("file_id", F.explode(F.array_distinct(tokens(F.col("extracted_text")))).alias("word"))
-    return words.join(persons.select("person_id", F.lower("name").alias("word")), "word").select("person_id", "file_id").distinct()
+    text = F.concat_ws(" ", *[c for c in ("filename", "extracted_text") if c in files.columns])
+    words = files.select("file_id", F.explode(F.array_distinct(tokens(text))).alias("word"))
+    every = F.array(F.col("name"))
+    if "aliases" in persons.columns:
+        every = F.concat(every, F.coalesce(F.col("aliases"), F.array().cast("array<string>")))
+    names = persons.select("person_id", F.explode(every).alias("name")).filter(F.length(F.trim("name")) >= shortest)
+    names = names.select("person_id", tokens(F.col("name")).alias("parts")).filter(F.size("parts") > 0).distinct()
+    parts = names.select(F.explode("parts").alias("word")).distinct()
+    spread = words.join(parts, "word").groupBy("word").agg(F.count("*").alias("n"))
+    each = names.select("person_id", "parts", F.explode(F.array_distinct("parts")).alias("word")).join(spread, "word", "left")
+    rarest = each.groupBy("person_id", "parts").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("rare"))
+    met = words.join(rarest.select("person_id", "parts", F.col("rare.word").alias("word")), "word").select("person_id", "file_id", "parts")
+    whole = met.filter(F.size("parts") == 1).select("person_id", "file_id")
+    padded = lambda x: F.concat(F.lit(" "), F.array_join(x, " "), F.lit(" "))
+    longer = met.filter(F.size("parts") > 1).join(files.select("file_id", padded(tokens(text)).alias("text")), "file_id")
+    return whole.union(longer.filter(F.contains("text", padded(F.col("parts")))).select("person_id", "file_id")).distinct()
 
 
 def suppress_overlaps(boxes: DataFrame, iou: float = 0.35, ios: float = 0.50) -> DataFrame:

@@ -296,6 +296,14 @@ def j18_text_mentions(spark, sf):
     return E.text_mentions(persons, files(spark, sf))
 
 
+@query(f"{_WITH}, w AS (SELECT file_id, ' ' || array_to_string({_TOK.format("filename || ' ' || coalesce(extracted_text, '')")}, ' ') || ' ' AS text FROM files), p AS (SELECT p_partkey AS person_id, ' ' || array_to_string({_TOK.format('p_name')}, ' ') || ' ' AS name FROM part UNION ALL SELECT doc_id, ' doc ' || doc_id || ' ' FROM documents WHERE doc_id % 10 = 0) SELECT DISTINCT person_id, file_id FROM w JOIN p ON contains(text, name)")
+def j18_whole_name_mentions(spark, sf):
+    """Whole names, with file names of two words besides, as the parts' names are in no text."""
+    persons = table(spark, sf, "part").select(F.col("p_partkey").alias("person_id"), F.col("p_name").alias("name"))
+    named = table(spark, sf, "documents").filter("doc_id % 10 = 0").select(F.col("doc_id").alias("person_id"), F.concat(F.lit("Doc "), "doc_id").alias("name"))
+    return E.text_mentions(persons.union(named), files(spark, sf))
+
+
 @query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
 def a1_status_counts(spark, sf):
     return table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))

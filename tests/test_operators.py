@@ -129,6 +129,13 @@ def test_propagation_over_a_long_chain(spark, tmp_path):
         E.propagate(detections, references, 0.95, 0.03, rounds=3)
 
 
+def test_mentions_of_whole_names_and_aliases(spark):
+    persons = spark.createDataFrame([(1, "Mary Ann Lee", ["Annie"]), (2, "Arun", None), (3, "Li", ["Xu"]), (4, "Ann Mary", ["J. Smith"])], "person_id long, name string, aliases array<string>")
+    files = spark.createDataFrame([(1, "a.txt", "with mary ann lee."), (2, "mary ann lee.pdf", None), (3, "b.txt", "Mary Lee and Ann, Dharun, li xu"), (4, "c.txt", "annie met ARUN"), (5, "d.txt", "j smith; mary annlee")], "file_id long, filename string, extracted_text string")
+    assert {tuple(r) for r in E.text_mentions(persons, files).collect()} == {(1, 1), (1, 2), (1, 4), (2, 4), (4, 5)}
+    assert {tuple(r) for r in E.text_mentions(persons.drop("aliases"), files).collect()} == {(1, 1), (1, 2), (2, 4)}
+
+
 def test_json_recovery_and_html(spark):
     ticks = "`" * 3
     rows = spark.createDataFrame([('{"k": 1}',), (f'so {ticks}json\n{{"k": 2}}\n{ticks}',), ('x {"k": 3} y',), ("none",)], "t string")
