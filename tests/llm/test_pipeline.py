@@ -60,6 +60,16 @@ def test_near_duplicates_at_similarity_of_0_8_and_more(spark):
     assert {r.doc_id for r in C.drop_near_duplicates(spark, docs, SF).collect()} == set(range(len(texts))) - near
 
 
+def test_language_stage_rejects_what_no_profile_resembles(spark):
+    rng = random.Random(3)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(300))
+    odd = ["\u0411\u044b\u0441\u0442\u0440\u0430\u044f \u043b\u0438\u0441\u0430", "\u4eca\u65e5\u306f", noise]
+    extra = spark.createDataFrame([(10**6 + k, t, None, "s", len(t)) for k, t in enumerate(odd)], docs.schema)
+    kept = {r.doc_id for r in C.identify_language(spark, docs.union(extra), SF).collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
 def test_run(spark):
     assert C.run(spark, SF).count() > 0
 
