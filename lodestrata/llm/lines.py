@@ -12,11 +12,13 @@ total order as far as the result goes. Words are 64-bit hashes, 56 bits of them
 in the prefixes.
 
 Whole sets never travel with the candidates. A 64-bit parity of each set bounds the difference of
-two sets from below and rules out most false candidates; the words of the sets that still matter are
-read from the texts again. A set needs one earlier match only, so every set first meets the earliest
-sets under some words of its prefix; the prefix join then runs for the sets that found no
-match there, against all, and verifies the likeliest candidate of each before its others. Large
-groups of near copies cost a few pairs for each member.
+two sets from below and rules out most false candidates inside the join itself; the words of the
+sets that still matter are read from the texts again. A set needs one earlier match only, so every
+set first meets the earliest sets under some words of its prefix, its pilots. Sets without a likely
+pilot take part in the prefix join against all sets; sets whose pilot proves not to be similar do so
+afterwards. Large groups of near copies cost a few rows for each member.
+
+A set is named by two 64-bit hashes of its words.
 
 Native: DataFrame functions only.
 
@@ -52,10 +54,10 @@ def words(line: Column) -> Column:
     return F.split(line, " ")
 
 
-def word_set(line: Column) -> Column:
-    """Sorted hashes of the distinct words of a line (null: none)."""
+def distinct_words(line: Column) -> Column:
+    """Hashes of the distinct words of a line (null: none)."""
     hashes = F.transform(words(line), lambda w: F.xxhash64(w))
-    return F.array_remove(F.sort_array(F.array_distinct(hashes)), F.xxhash64(F.lit("")))
+    return F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")))
 
 
 def keyed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -83,8 +85,8 @@ def prefix(n: Column) -> Column:
 
 
 def marked_lines(lines: DataFrame, sketch: Column) -> DataFrame:
-    """(id, key, line_no, k, n, parity, prefix): every line with its set's key, size, parity and
-    rarest words; k is null for a line without words."""
+    """(id, key, line_no, k, kk, n, parity, prefix): every line with the two hashes that name its
+    set, its size, parity and rarest words; k is null for a line without words."""
 
     def ranked(pair: Column) -> Column:
         table = pair["sketch"]
@@ -96,11 +98,10 @@ def marked_lines(lines: DataFrame, sketch: Column) -> DataFrame:
     # the subquery stands in a projection of its own, as none may stand in a lambda's arguments;
     # the optimiser moves it up to its one use, and the explode keeps it from joining the projection
     # below, so no row carries the sketch
-    sets = lines.select("id", "key", "line_no", F.explode(F.array(word_set(F.col("line")))).alias("set")).withColumn("sketch", sketch)
-    tokens = F.sort_array(let(F.struct("set", "sketch"), ranked))
-    n = F.size("set")
-    key = F.when(n > 0, F.xxhash64("set"))
-    return sets.select("id", "key", "line_no", key.alias("k"), n.alias("n"), parity.alias("parity"), F.slice(tokens, 1, prefix(n)).alias("prefix"))
+    sets = lines.select("id", "key", "line_no", F.explode(F.array(distinct_words(F.col("line")))).alias("set")).withColumn("sketch", sketch)
+    sets = sets.select("id", "key", "line_no", F.size("set").alias("n"), parity.alias("parity"), F.explode(F.array(F.sort_array(let(F.struct("set", "sketch"), ranked)))).alias("tokens"))
+    named = [F.when(F.col("n") > 0, F.xxhash64("tokens")).alias("k"), F.when(F.col("n") > 0, F.xxhash64(F.lit("second"), "tokens", "parity")).alias("kk")]
+    return sets.select("id", "key", "line_no", *named, "n", "parity", F.slice("tokens", 1, prefix(F.col("n"))).alias("prefix"))
 
 
 def most_apart(both: Column) -> Column:
@@ -108,93 +109,113 @@ def most_apart(both: Column) -> Column:
     return both - 2 * F.ceil(both * NUM / (NUM + DEN)).cast("int")
 
 
-def pilots(sets: DataFrame) -> DataFrame:
-    """(k, k2): every set with the earliest sets that share one of the PILOTS rarest, or of the
-    PILOTS most frequent, repeated words of its prefix. Near copies mostly meet the first of their group here, a few pairs for each member."""
-    repeated = F.filter("prefix", lambda t: F.shiftright(t, 56) > ONCE)
-    ends = sets.select("k", "first", repeated.alias("all")).select("k", "first", F.explode(F.array_union(F.slice("all", 1, PILOTS), F.slice("all", -PILOTS, PILOTS))).alias("end"))
-    heads = ends.groupBy("end").agg(F.min(F.struct("first", "k")).alias("head")).select("end", F.col("head.k").alias("k2"))
-    return ends.select("k", "end").join(heads, "end").filter("k <> k2").select("k", "k2").distinct()
+def may_match(a, b) -> Column:
+    """Length filter and parity filter of two set rows."""
+    n, n2 = a["n"], b["n"]
+    return (F.least(n, n2) * DEN >= F.greatest(n, n2) * NUM) & (apart(a, b) <= most_apart(n + n2))
 
 
-def candidates(sets: DataFrame, settled: DataFrame) -> DataFrame:
-    """(k, k2): sets that share a prefix word and pass the length and positional filters; pairs of
-    two sets that are settled are left out, and no settled set enters on the left."""
-    known = sets.join(settled.select(F.col("later").alias("k"), F.lit(True).alias("done")), "k", "left")
-    posts = known.select("k", "n", F.col("done").isNotNull().alias("done"), F.posexplode("prefix").alias("pos", "token"))
+def apart(a, b) -> Column:
+    """Lower bound of the symmetric difference."""
+    return F.bit_count(a["parity"].bitwiseXOR(b["parity"]))
+
+
+def pilots(sets: DataFrame) -> DataFrame:
+    """(later, earlier): for a set the likeliest of the earliest sets that share one of the PILOTS
+    rarest, or of the PILOTS most frequent, repeated words of its prefix. Near copies mostly meet the
+    first of their group here, a few rows for each member."""
+    repeated = F.filter("prefix", lambda t: F.shiftright(t, 56) > ONCE)
+    own = sets.select("sid", "first", "n", "parity", repeated.alias("all"))
+    ends = own.select("sid", "first", "n", "parity", F.explode(F.array_union(F.slice("all", 1, PILOTS), F.slice("all", -PILOTS, PILOTS))).alias("end"))
+    heads = ends.groupBy("end").agg(F.min(F.struct("first", "sid", "n", "parity")).alias("head"))
+    head = F.col("head")
+    met = ends.join(heads, "end").filter((F.col("sid") != head["sid"]) & may_match({c: F.col(c) for c in ("n", "parity")}, head))
+    best = met.groupBy("sid").agg(F.min(F.struct(apart({"parity": F.col("parity")}, head).alias("apart"), head["sid"].alias("earlier"))).alias("best"))
+    return best.select(F.col("sid").alias("later"), F.col("best.earlier").alias("earlier"))
+
+
+def candidates(sets: DataFrame, open_: DataFrame, keep_open: bool) -> DataFrame:
+    """(later, earlier): pairs that share a prefix word and pass the length, positional and parity
+    filters, whose later set is open: it is named in ``open_`` (keep_open), or it is not (else).
+
+    Both sides of the join are one exchange of the prefix words, so the condition on the open side
+    is worded over both."""
+    named = open_.select(F.col("later").alias("sid"), F.lit(True).alias("named"))
+    known = sets.join(named, "sid", "left").withColumn("open", F.col("named").isNotNull() if keep_open else F.col("named").isNull())
+    posts = known.select("sid", "n", "parity", "open", F.posexplode("prefix").alias("pos", "token"))
     posts = posts.filter(F.shiftright("token", 56) > ONCE)  # a word of the corpus's only occurrence meets nobody
-    a, b = posts.filter("not done").alias("a"), posts.alias("b")
-    n, n2 = F.col("a.n"), F.col("b.n")
-    reach = 1 + F.least(n - 1 - F.col("a.pos"), n2 - 1 - F.col("b.pos"))
-    near = (F.least(n, n2) * DEN >= F.greatest(n, n2) * NUM) & (reach * (NUM + DEN) >= (n + n2) * NUM)
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & ((F.col("a.k") < F.col("b.k")) | F.col("b.done")) & near)
-    return met.select(F.col("a.k").alias("k"), F.col("b.k").alias("k2")).distinct()
-
-
-def ordered_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(earlier, later, apart): candidates that the parities do not rule out."""
-    left = sets.select("k", "n", "parity", "first")
-    right = left.select(*[F.col(c).alias(f"{c}2") for c in left.columns])
-    apart = F.bit_count(F.col("parity").bitwiseXOR(F.col("parity2")))
-    whole = pairs.join(left, "k").join(right, "k2").filter(apart <= most_apart(F.col("n") + F.col("n2")))
+    a, b = posts.alias("a"), posts.alias("b")
+    one, two = ({c: F.col(f"{x}.{c}") for c in posts.columns} for x in "ab")
+    n, n2 = one["n"], two["n"]
+    reach = 1 + F.least(n - 1 - one["pos"], n2 - 1 - two["pos"])
+    once = F.when(two["open"], one["open"] & (one["sid"] < two["sid"])).otherwise(one["open"])
+    met = a.join(b, (one["token"] == two["token"]) & once & may_match(one, two) & (reach * (NUM + DEN) >= (n + n2) * NUM))
+    pairs = met.select(one["sid"].alias("sid"), two["sid"].alias("sid2"), one["open"].alias("open"), two["open"].alias("open2")).distinct()
+    first = sets.select("sid", "first")
+    both = pairs.join(first, "sid").join(first.toDF("sid2", "first2"), "sid2")
     early = F.col("first") < F.col("first2")
-    return whole.select(F.when(early, F.col("k")).otherwise(F.col("k2")).alias("earlier"), F.when(early, F.col("k2")).otherwise(F.col("k")).alias("later"), apart.alias("apart"))
+    ordered = both.select(F.when(early, F.col("sid")).otherwise(F.col("sid2")).alias("earlier"), F.when(early, F.col("sid2")).otherwise(F.col("sid")).alias("later"), F.when(early, F.col("open2")).otherwise(F.col("open")).alias("goes"))
+    return ordered.filter("goes").select("later", "earlier")
 
 
 def words_of(keys: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k, set): the words of the sets named, from the line that had each first."""
-    wanted = keys.join(sets.select("k", "first"), "k").groupBy("first.id", "first.key").agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "k")).alias("wanted"))
+    """(sid, set): the words of the sets named, from the line that had each first."""
+    wanted = keys.join(sets.select("sid", "first"), "sid").groupBy("first.id", "first.key").agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "sid")).alias("wanted"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_col).alias("own"), F.xxhash64(text).alias("key"), text.alias("text"))
     held = texts.join(wanted, texts["own"].eqNullSafe(wanted["id"]) & (texts["key"] == wanted["key"]))
     cut = held.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
     # rows that repeat in the table name a set more than once
-    return cut.select("w.k", F.get("lines", F.col("w.line_no")).alias("line")).dropDuplicates(["k"]).select("k", word_set(F.col("line")).alias("set"))
+    return cut.select("w.sid", F.get("lines", F.col("w.line_no")).alias("line")).dropDuplicates(["sid"]).select("sid", distinct_words(F.col("line")).alias("set"))
 
 
 def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """(later): sets with a similar set among the pairs."""
-    early = held.select(F.col("k").alias("earlier"), F.col("set").alias("a"))
-    late = held.select(F.col("k").alias("later"), F.col("set").alias("b"))
+    early = held.select(F.col("sid").alias("earlier"), F.col("set").alias("a"))
+    late = held.select(F.col("sid").alias("later"), F.col("set").alias("b"))
     whole = pairs.select("earlier", "later").join(early, "earlier").join(late, "later")
     fine = whole.filter(F.size(F.array_intersect("a", "b")) * (NUM + DEN) >= (F.size("a") + F.size("b")) * NUM)
     return fine.select("later").distinct()
 
 
+def late_sets(sets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(later): sets with an earlier similar set. Sets whose pilot passes the filters wait for its
+    verification, all others take part in the prefix join at once; those whose pilot turns out not
+    to be similar go through the prefix join afterwards."""
+    spark = sets.sparkSession
+
+    def settled(pairs: DataFrame) -> DataFrame:
+        keys = pairs.select(F.col("earlier").alias("sid")).union(pairs.select(F.col("later").alias("sid"))).distinct()
+        held = persist_table(words_of(keys, sets, docs, id_col, text_col), "words")
+        out = persist_table(verified(pairs, held), "late")
+        drop_tables(spark, held)
+        return out
+
+    led = persist_table(pilots(sets), "pilots")
+    met = persist_table(candidates(sets, led, keep_open=False), "met")
+    late = settled(led.union(met))
+    failed = persist_table(led.select("later").join(late, "later", "left_anti"), "failed")
+    drop_tables(spark, met, led)
+    if not failed.isEmpty():
+        more = persist_table(candidates(sets, failed, keep_open=True), "met")
+        late = late.union(settled(more))
+        drop_tables(spark, more)
+    return late
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, n_lines, removed): per document the sorted numbers (from 0) of the lines that go."""
     spark = docs.sparkSession
     at = F.struct("id", "key", "line_no")
     marked = persist_table(marked_lines(keyed_lines(docs, id_col, text_col), rarity_sketch(docs, text_col).scalar()), "marked")
     of_set = [F.first(c).alias(c) for c in ("n", "parity", "prefix")]
-    sets = persist_table(marked.filter("k is not null").groupBy("k").agg(F.min(at).alias("first"), *of_set), "sets")
-    lines = persist_table(marked.select("id", "key", "line_no", "k"), "lines")
+    folded = marked.filter("k is not null").groupBy("k", "kk").agg(F.min(at).alias("first"), *of_set)
+    sets = persist_table(folded.withColumn("sid", F.monotonically_increasing_id()), "sets")
+    lines = persist_table(marked.select("id", "key", "line_no", "k", "kk"), "lines")
     drop_tables(spark, marked)
-
-    def words_for(pairs: DataFrame) -> DataFrame:
-        keys = pairs.select(F.col("earlier").alias("k")).union(pairs.select(F.col("later").alias("k"))).distinct()
-        return persist_table(words_of(keys, sets, docs, id_col, text_col), "words")
-
-    def likeliest(pairs: DataFrame) -> DataFrame:
-        best = pairs.groupBy("later").agg(F.min(F.struct("apart", "earlier")).alias("best"))
-        return best.select("later", F.col("best.earlier").alias("earlier"))
-
-    early = persist_table(likeliest(ordered_pairs(pilots(sets), sets)), "pilots")
-    held = words_for(early)
-    found = persist_table(verified(early, held), "found")
-    drop_tables(spark, early, held)
-    met = persist_table(candidates(sets, found), "met")
-    open_ = persist_table(ordered_pairs(met, sets).join(found, "later", "left_anti"), "open")
-    drop_tables(spark, met)
-    held = words_for(open_)
-    best = likeliest(open_)
-    more = persist_table(verified(best, held), "more")
-    others = open_.join(more, "later", "left_anti").join(best, ["later", "earlier"], "left_anti")
-    rest = persist_table(verified(others, held), "rest")
-    drop_tables(spark, open_, held)
-    late = found.union(more).union(rest).select(F.col("later").alias("k"), F.lit(True).alias("late"))
-    verdict = sets.select("k", "first").join(late, "k", "left")
-    judged = lines.join(verdict, "k", "left")
+    late = late_sets(sets, docs, id_col, text_col).select(F.col("later").alias("sid"), F.lit(True).alias("late"))
+    verdict = sets.select("k", "kk", "sid", "first").join(late, "sid", "left").drop("sid")
+    judged = lines.join(verdict, ["k", "kk"], "left")
     goes = F.col("late").isNotNull() | (F.col("first").isNotNull() & (F.col("first") < at))
     per_line = judged.select("id", "key", "line_no", F.when(goes, F.col("line_no")).alias("gone"))
     return per_line.groupBy("id", "key").agg((F.max("line_no") + 1).cast("long").alias("n_lines"), F.sort_array(F.collect_set("gone")).alias("removed"))
