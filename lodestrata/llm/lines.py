@@ -99,7 +99,7 @@ def marked_lines(lines: DataFrame, sketch: Column) -> DataFrame:
     # the optimiser moves it up to its one use, and the explode keeps it from joining the projection
     # below, so no row carries the sketch
     sets = lines.select("id", "key", "line_no", F.explode(F.array(distinct_words(F.col("line")))).alias("set")).withColumn("sketch", sketch)
-    sets = sets.select("id", "key", "line_no", F.size("set").alias("n"), parity.alias("parity"), F.explode(F.array(F.sort_array(let(F.struct("set", "sketch"), ranked)))).alias("tokens"))
+    sets = sets.select("id", "key", "line_no", F.size("set").alias("n"), parity.alias("parity"), F.sort_array(let(F.struct("set", "sketch"), ranked)).alias("tokens"))
     named = [F.when(F.col("n") > 0, F.xxhash64("tokens")).alias("k"), F.when(F.col("n") > 0, F.xxhash64(F.lit("second"), "tokens", "parity")).alias("kk")]
     return sets.select("id", "key", "line_no", *named, "n", "parity", F.slice("tokens", 1, prefix(F.col("n"))).alias("prefix"))
 
