@@ -1,40 +1,51 @@
 """Approximate nearest neighbours over shifted space-filling curves.
 
-Nearness is the largest inner product, so vectors are dealt into strata by their norm (a factor of 2
-each, the median norm in the middle of one), and within a stratum the orderings are those of the
-directions: there the nearest directions have the largest products. A query looks into every stratum.
-
-Each of ``curves`` orderings projects the directions on ``dims`` random orthogonal directions, shifts
-and quantises the projections, and takes the Hilbert index as key. The keys of an ordering are
-range-partitioned into blocks by quantiles. A query looks at the blocks within ``reach`` of its own
-in every ordering; the windows of all orderings merge, and what they hold is ranked by the exact
-inner product in double precision.
-
-Only the projections' scale and the blocks' borders are fitted, on a sample of at most
-``SAMPLE_ROWS`` vectors a stratum (those with the smallest id hashes; less for small strata of a large
-table); every vector is indexed. A block is a share of the ordering, at least ``min_block`` rows, so
-recall does not fall as the table grows. A stratum under ``2 * min_block`` rows is one block and is
-searched whole, and so is every stratum of up to ``reach + 1`` blocks; from ``blocks * min_block``
-rows on, a window is the same share of a stratum whatever its size. Large
-blocks are dealt over salts: a task holds at most about ``BASE_ROWS`` vectors and ``QUERY_ROWS``
-queries, whatever the size of a block or the number of equal vectors.
-
-Defined results: vectors that are null, zero or hold null or non-finite components take no part,
-nor do vectors of another length than the most frequent one; rows with the query's id are not its
-candidates; of repeated ids the best score counts; ties go to the smaller id; null ids take no part.
+Nearness is the largest inner product. Equal vectors fold into one (with its ``k + 1`` smallest ids,
+as no query can need more), and vectors are dealt into strata by length and norm (a factor of 2
+each): within a stratum the nearest directions have the largest products. A query looks into every
+stratum of its length.
+
+Each of ``curves`` orderings projects the directions on ``dims`` random orthogonal axes, shifts and
+quantises the projections and takes the Hilbert index as key. Spark range-partitions the rows by
+(stratum, ordering, key); partition counts turn places in a partition into places in the whole
+order, and the order is cut into blocks of ``BLOCK_ROWS`` vectors. A query travels to the blocks that
+its window, the ``reach`` vectors on either side of its place, touches; so a window crosses partition
+and block borders, and a task holds one block whatever the size of the table, the number of queries
+in it or the number of equal vectors. Work and traffic grow in proportion to the table:
+``2 * curves * reach`` pairs a query and stratum.
+
+Windows are screened on directions rounded to signed bytes, which is all that travels with the keys;
+the best of all windows merge and are ranked by the exact inner product of the original vectors.
+
+Only the borders of the cells are fitted, on a sample of about ``SAMPLE_ROWS`` vectors (those with the
+smallest hashes; a stratum with hardly any in it takes the borders of the normal distribution);
+every vector is indexed. A window is a number of rows, so recall on unstructured vectors falls
+slowly as a table grows; the README has measured figures.
+
+Defined results: vectors that are null, zero or hold null or non-finite components take no part;
+vectors of another length than the query's are not its candidates, nor are rows with its id; of
+repeated ids the best score counts; ties go to the smaller id; null ids take no part; a query
+without candidates has no row.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CURVES, DIMS, BITS, REACH, BLOCKS, MIN_BLOCK, K = 8, 4, 8, 2, 20, 1_024, 20
-SAMPLE_ROWS, BASE_ROWS, QUERY_ROWS, SEED = 10_000, 8_192, 2_048, 20_240_601
+from .common import persist_table
+
+CURVES, DIMS, BITS, REACH, K = 32, 10, 2, 512, 20
+#: Candidates kept beyond the k + 1 best, as the screen's scores are rounded.
+SPARE = 8
+SAMPLE_ROWS, LEAST_SAMPLE, BLOCK_ROWS, QUERY_ROWS, SEED = 20_000, 200, 4_096, 4_096, 20_240_601
+PLACED = "g int, c int, key long, asks boolean, rid long, code binary, scale float, weight double"
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -63,36 +74,33 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Orderings:
-    """Projections, shifts and block borders of all curves."""
+    """Axes, shifts and cell borders of all curves for directions of one length."""
 
-    def __init__(self, sample: np.ndarray, blocks: int, curves: int = CURVES, dims: int = DIMS, bits: int = BITS, seed: int = SEED):
-        rng = np.random.default_rng(seed)
-        self.dims, self.bits = min(dims, sample.shape[1]), bits
-        self.axes, self.low, self.width, self.borders = [], [], [], []
+    def __init__(self, width: int, sample: np.ndarray, curves: int = CURVES, dims: int = DIMS, bits: int = BITS, seed: int = SEED):
+        rng = np.random.default_rng([seed, width])
+        self.bits, dims = bits, min(dims, width)
+        self.axes, self.borders = [], []
         for _ in range(curves):
-            axes = np.linalg.qr(rng.normal(size=(sample.shape[1], self.dims)))[0]
-            y = sample @ axes
-            low, high = np.quantile(y, [0.001, 0.999], axis=0)
-            width = np.where(high > low, 2 * (high - low), 1.0)
+            axes = np.linalg.qr(rng.normal(size=(width, dims)))[0]
+            shares = (np.arange(1, 1 << bits)[:, None] + rng.uniform(-0.5, 0.5, dims)) / (1 << bits)
+            if len(sample):
+                y = np.sort(sample @ axes, axis=0)
+                borders = np.stack([np.quantile(y[:, d], shares[:, d]) for d in range(dims)], 1)
+            else:
+                borders = _normal_quantile(shares) / math.sqrt(width)
             self.axes.append(axes)
-            self.low.append(low - rng.random(self.dims) * width / 2)
-            self.width.append(width)
-            keys = self.keys(sample, len(self.axes) - 1)
-            self.borders.append(np.unique(np.quantile(keys, np.arange(1, blocks) / blocks, method="lower")) if blocks > 1 else np.empty(0, np.int64))
+            self.borders.append(borders)
 
-    def keys(self, vectors: np.ndarray, curve: int) -> np.ndarray:
-        side = 1 << self.bits
-        cells = np.floor((vectors @ self.axes[curve] - self.low[curve]) / self.width[curve] * side)
-        return hilbert_keys(np.clip(cells, 0, side - 1), self.bits)
+    def keys(self, ways: np.ndarray, curve: int) -> np.ndarray:
+        y = ways @ self.axes[curve]
+        cells = np.stack([np.searchsorted(self.borders[curve][:, d], y[:, d]) for d in range(y.shape[1])], 1)
+        return hilbert_keys(cells, self.bits)
 
-    def blocks(self, vectors: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(self.borders[c], self.keys(vectors, c), "left") for c in range(len(self.axes))], 1)
 
+def _normal_quantile(p: np.ndarray) -> np.ndarray:
+    from statistics import NormalDist
 
-def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return np.vectorize(NormalDist().inv_cdf)(p)
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -108,6 +116,10 @@ def log_norm(v: Column) -> Column:
     return F.log2(most) + F.log2(F.aggregate(F.transform(v, lambda x: (x / most) * (x / most)), F.lit(0.0), lambda s, x: s + x)) / 2
 
 
+def inner(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
 def directions(vectors: np.ndarray) -> np.ndarray:
     if not len(vectors):
         return vectors
@@ -115,101 +127,197 @@ def directions(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def best_pairs(base_ids: np.ndarray, base: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, score) of each query's k best: a matrix product screens, exact products rank."""
-    rough = queries @ base.T
-    own = query_ids[:, None] == base_ids[None, :]
-    rough[own] = -np.inf
-    if len(base) > k:
-        least = np.partition(rough, len(base) - k, axis=1)[:, len(base) - k]
-        scale = np.abs(queries).max(axis=1) * np.abs(base).max() * base.shape[1]
-        q, b = np.nonzero((rough >= (least - 1e-12 * scale)[:, None]) & ~own)
-    else:
-        q, b = np.nonzero(~own)
-    score = np.empty(len(q))
-    for at in range(0, len(q), 1 << 16):
-        score[at : at + (1 << 16)] = (queries[q[at : at + (1 << 16)]] * base[b[at : at + (1 << 16)]]).sum(axis=1)
-    order = np.lexsort((base_ids[b], -score, q))
-    q, b, score = q[order], b[order], score[order]
-    place = np.arange(len(q)) - np.searchsorted(q, q)
-    keep = place < k
-    return query_ids[q[keep]], base_ids[b[keep]], score[keep]
-
-
-def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, curves: int = CURVES, dims: int = DIMS, reach: int = REACH, blocks: int = BLOCKS, min_block: int = MIN_BLOCK) -> DataFrame:
-    """(query_id, rank, id, score); ``is_query`` is a predicate on the id column."""
+def folded(rows: DataFrame, is_query, k: int) -> tuple[DataFrame, DataFrame]:
+    """(reps, queries). reps: each distinct vector as (rid, h1, h2, v, ids, asked, width, weight,
+    stratum), ids its k + 1 smallest; queries: (id, h1, h2)."""
+    keyed = rows.select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit("second"), "v").alias("h2"))
+    queries = keyed.filter(is_query(F.col("id"))).select("id", "h1", "h2").distinct()
+    few = keyed.withColumn("r", F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy("id"))).filter(F.col("r") <= k + 1)
+    one = few.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.sort_array(F.collect_set("id")).alias("ids"))
+    asked = queries.select("h1", "h2").distinct().withColumn("asked", F.lit(True))
+    found = one.join(asked, ["h1", "h2"], "left").withColumn("asked", F.col("asked").isNotNull())
+    found = found.select(F.monotonically_increasing_id().alias("rid"), "*", F.size("v").alias("width"), log_norm(F.col("v")).alias("weight"))
+    return found.withColumn("stratum", F.floor(F.col("weight") + 0.5).cast("int")), queries
+
+
+def placed(reps: DataFrame, groups: dict[tuple[int, int], int], orderings: dict[tuple[int, int], Orderings]) -> DataFrame:
+    """Rows of ``PLACED``: every vector once an ordering of its own stratum, and every vector that
+    asks once an ordering of each stratum of its length. ``g`` numbers the strata."""
+    names = [x.split()[0] for x in PLACED.split(", ")]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1_024):
+                batch = whole.slice(at, 1_024)
+                widths, strata = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                asked, rid, weight = batch.column(4).to_numpy(zero_copy_only=False), batch.column(0).to_numpy(), batch.column(5).to_numpy()
+                for width in np.unique(widths).tolist():
+                    mine = np.flatnonzero(widths == width)
+                    ways = directions(np.array(batch.column(1).take(pa.array(mine)).to_pylist(), np.float64))
+                    scale = np.abs(ways).max(axis=1) / 127
+                    code = np.rint(ways / scale[:, None]).astype(np.int8)
+                    for (w, stratum), g in groups.items():
+                        if w != width:
+                            continue
+                        own, asks = np.flatnonzero(strata[mine] == stratum), np.flatnonzero(asked[mine])
+                        used = np.r_[own, asks]
+                        if not len(used):
+                            continue
+                        which = mine[used]
+                        codes = pa.array([x.tobytes() for x in code[used]], pa.binary())
+                        fixed = pa.array(rid[which]), codes, pa.array(scale[used].astype(np.float32)), pa.array(weight[which])
+                        flag = pa.array(np.arange(len(used)) >= len(own))
+                        ordering = orderings[w, stratum]
+                        for c in range(len(ordering.axes)):
+                            key = ordering.keys(ways[used], c)
+                            columns = [pa.array(np.full(len(used), x, np.int32)) for x in (g, c)] + [pa.array(key), flag, *fixed]
+                            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return reps.select("rid", "v", "width", "stratum", "asked", "weight").mapInArrow(place, PLACED)
+
+
+def in_order(rows: DataFrame, parts: int) -> DataFrame:
+    """``rows`` with ``pos``, the number of vectors before a row in the order of (g, c, key, rid)."""
+    order = ["g", "c", "key", "asks", "rid"]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            vector = ~batch.column(3).to_numpy(zero_copy_only=False)
+            before = seen + np.cumsum(vector) - vector
+            seen += int(vector.sum())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(before.astype(np.int64))], [*batch.schema.names, "part", "pos"])
+
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    numbered = persist_table(ranged.mapInArrow(number, PLACED + ", part int, pos long"), "ordered")
+    # one row for each partition, summed up on the driver
+    counts = {r.part: r.n for r in numbered.groupBy("part").agg(F.count_if(~F.col("asks")).alias("n")).collect()}
+    starts, total = [], 0
+    for part in sorted(counts):
+        starts.append((part, total))
+        total += counts[part]
+    starts = rows.sparkSession.createDataFrame(starts, "part int, start long")
+    return numbered.join(F.broadcast(starts), "part").withColumn("pos", F.col("pos") + F.col("start")).drop("part", "start")
+
+
+def screened(ordered: DataFrame, salts: dict[int, int], reach: int, keep: int) -> DataFrame:
+    """(q, b, rough): the best of every query's windows, by rounded scores."""
+    dealt = F.element_at(F.create_map(*[F.lit(x) for pair in salts.items() for x in pair]), F.col("g"))
+    block = lambda pos: F.floor(pos / BLOCK_ROWS)
+    vectors = ordered.filter(~F.col("asks")).select("*", block(F.col("pos")).alias("block"), F.explode(F.sequence(F.lit(0), dealt - 1)).alias("salt"))
+    touched = F.sequence(F.greatest(F.lit(0).cast("long"), block(F.col("pos") - reach)), block(F.col("pos") + reach - 1))
+    queries = ordered.filter("asks").select("*", F.explode(touched).alias("block"), F.pmod(F.xxhash64("rid"), dealt).cast("int").alias("salt"))
+    keys = ["block", "salt", "asks"]
+    met = vectors.unionByName(queries).repartition("block", "salt").sortWithinPartitions(*keys, "pos")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = None, None
+        for batch in batches:
+            columns = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+            block_, salt, asks = columns["block"].to_numpy(), columns["salt"].to_numpy(), columns["asks"].to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.r_[True, (block_[1:] != block_[:-1]) | (salt[1:] != salt[:-1]) | (asks[1:] != asks[:-1])])
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), batch.num_rows], strict=True):
+                if (block_[a], salt[a]) != last:
+                    last, held = (block_[a], salt[a]), []
+                part = _Rows(columns, a, b)
+                if not asks[a]:
+                    held.append(part)  # at most BLOCK_ROWS vectors, which stand before the queries
+                else:
+                    for found in _best(held, part, reach, keep):
+                        yield found
+
+    return met.select("block", "salt", "asks", "pos", "g", "c", "rid", "code", "scale", "weight").mapInArrow(meet, "q long, b long, rough double")
+
+
+class _Rows:
+    """A slice of placed rows, as arrays."""
+
+    def __init__(self, columns: dict[str, pa.Array], a: int, b: int):
+        cut = lambda n: columns[n].slice(a, b - a)
+        self.codes = cut("code").to_pylist()
+        self.order = cut("g").to_numpy().astype(np.int64) << 16 | cut("c").to_numpy()
+        self.pos, self.rid, self.scale, self.weight = (cut(n).to_numpy() for n in ("pos", "rid", "scale", "weight"))
+
+
+def _best(held: list[_Rows], asked: _Rows, reach: int, keep: int) -> Iterator[pa.RecordBatch]:
+    for order in np.unique(asked.order).tolist():
+        base = [(np.flatnonzero(h.order == order), h) for h in held]
+        codes = [h.codes[k] for at, h in base for k in at.tolist()]
+        if not codes:
+            continue
+        gather = lambda n: np.concatenate([getattr(h, n)[at] for at, h in base])  # noqa: B023,E731
+        pos, rid, weight = gather("pos"), gather("rid"), gather("weight")
+        matrix = np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1).astype(np.float32) * gather("scale")[:, None]
+        # the norms of a stratum lie within a factor of 2, so they scale without overflow
+        norms = np.exp2(weight - weight.max())
+        mine = np.flatnonzero(asked.order == order)
+        for at in range(0, len(mine), 256):
+            some = mine[at : at + 256]
+            queries = np.frombuffer(b"".join(asked.codes[k] for k in some.tolist()), np.int8).reshape(len(some), -1).astype(np.float32) * asked.scale[some, None]
+            rough = (queries @ matrix.T) * norms
+            here = asked.pos[some, None]
+            rough[(pos < here - reach) | (pos >= here + reach)] = -np.inf
+            if len(codes) > keep:
+                best = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
+            else:
+                best = np.broadcast_to(np.arange(len(codes)), rough.shape)
+            score = np.take_along_axis(rough, best, 1)
+            row, column = np.nonzero(score > -np.inf)
+            # over all strata: rough scores of one query compare on its own scale
+            value = score[row, column].astype(np.float64) * np.exp2(np.clip(weight.max(), -1000, 1000))
+            yield pa.RecordBatch.from_arrays([pa.array(asked.rid[some][row]), pa.array(rid[best[row, column]]), pa.array(value)], ["q", "b", "rough"])
+
+
+def candidate_pairs(reps: DataFrame, k: int = K, curves: int = CURVES, dims: int = DIMS, reach: int = REACH) -> DataFrame:
+    """(q, b): for every vector that asks the k + 1 + SPARE likeliest of its windows, as rids."""
+    spark = reps.sparkSession
+    sizes = reps.groupBy("width", "stratum").agg(F.count("*").alias("n"), F.count_if("asked").alias("asked")).collect()
+    sizes.sort(key=lambda r: (r.width, r.stratum))
+    total, asked = sum(r.n for r in sizes), {}
+    for r in sizes:
+        asked[r.width] = asked.get(r.width, 0) + r.asked
+    groups = {(r.width, r.stratum): g for g, r in enumerate(sizes)}
+    share = min(1.0, SAMPLE_ROWS / max(1, total))
+    chosen = F.pmod(F.xxhash64("h1", "h2"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
+    samples: dict[tuple[int, int], list] = {}
+    for r in reps.filter(chosen).select("width", "stratum", "v").limit(2 * SAMPLE_ROWS).collect():
+        samples.setdefault((r.width, r.stratum), []).append(r.v)
+    few = lambda at: [] if len(samples.get(at, ())) < LEAST_SAMPLE else directions(np.array(samples[at]))
+    orderings = {at: Orderings(at[0], few(at), curves, dims) for at in groups}
+    # a small stratum that many queries enter has its vectors in several copies, each for a share of them
+    salts = {groups[r.width, r.stratum]: max(1, math.ceil(asked[r.width] / max(1, r.n / BLOCK_ROWS) / QUERY_ROWS)) for r in sizes}
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * curves / 1_000_000))
+    ordered = in_order(placed(reps, groups, orderings), parts)
+    keep = k + 1 + SPARE
+    found = screened(ordered, salts, reach, keep).repartition("q").groupBy("q", "b").agg(F.max("rough").alias("rough"))
+    return found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("rough"), "b"))).filter(F.col("r") <= keep).select("q", "b")
+
+
+def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, curves: int = CURVES, dims: int = DIMS, reach: int = REACH) -> DataFrame:
+    """(query_id, rank, id, score); ``is_query`` is a predicate on the id column, ids are of any type."""
     rows = usable(vectors, id_col, vector_col)
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"query_id {kind}, id {kind}, score double"
-    sizes = rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
-    if sizes is None:
+    found, queries = folded(rows, is_query, k)
+    reps = persist_table(found, "vectors")
+    if reps.isEmpty():
         return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, id {kind}, score double")
-    width, total = sizes["width"], sizes["count"]
-    rows = rows.filter(F.size("v") == width)
-    middle = rows.agg(F.percentile_approx(log_norm(F.col("v")), 0.5, 10_000)).first()[0]
-    rows = rows.withColumn("stratum", F.floor(log_norm(F.col("v")) - middle + 0.5).cast("int"))
-    strata = {r.stratum: r["count"] for r in rows.groupBy("stratum").count().orderBy("stratum").collect()}
-    orderings: list[Orderings | None] = []
-    for stratum, n in strata.items():
-        parts = max(1, min(blocks, n // min_block))
-        if parts == 1:
-            orderings.append(None)
-            continue
-        most = max(SAMPLE_ROWS // 10, SAMPLE_ROWS * n // total)
-        sample = np.array([r.v for r in rows.filter(F.col("stratum") == stratum).select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(most).collect()])
-        orderings.append(Orderings(directions(sample), parts, curves, dims))
-    index = {stratum: k for k, stratum in enumerate(strata)}
-
-    def placed(rows: DataFrame, everywhere: bool) -> DataFrame:
-        """(id, v, curve, block), in the own stratum or in all; curves are counted through the strata."""
-
-        def place(batches):
-            for batch in batches:
-                ways = directions(_matrix(batch.column(1), width))
-                own = np.array([index[x] for x in batch.column(2).to_pylist()], np.int64)
-                row, curve, block = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-                for k, ordering in enumerate(orderings):
-                    at = np.arange(batch.num_rows) if everywhere else np.nonzero(own == k)[0]
-                    if not len(at):
-                        continue
-                    found = ordering.blocks(ways[at]) if ordering is not None else np.zeros((len(at), 1), np.int64)
-                    row.append(np.repeat(at, found.shape[1]))
-                    curve.append(np.tile(k * curves + np.arange(found.shape[1]), len(at)))
-                    block.append(found.ravel())
-                row, curve, block = (np.concatenate(x) for x in (row, curve, block))
-                order = np.argsort(row, kind="stable")
-                ends = np.searchsorted(row[order], np.arange(batch.num_rows + 1)).astype(np.int32)
-                pairs = pa.StructArray.from_arrays([pa.array(x[order].astype(np.int32)) for x in (curve, block)], ["curve", "block"])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(pa.array(ends), pairs)], ["id", "v", "at"])
-
-        dealt = rows.mapInArrow(place, f"id {kind}, v array<double>, at array<struct<curve: int, block: int>>")
-        return dealt.select("id", "v", F.explode("at").alias("at")).select("id", "v", "at.curve", "at.block")
-
-    base = placed(rows, False)
-    asked = placed(rows.filter(is_query(F.col("id"))), True)
-    asked = asked.select("id", "v", "curve", F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block"))
-    # curves * blocks numbers a stratum: how many vectors and how many queries meet in each block
-    count = lambda df: {(r.curve, r.block): r["count"] for r in df.groupBy("curve", "block").count().collect()}
-    n_base, n_asked = count(base.select("curve", "block")), count(asked.select("curve", "block"))
-    salts = [(c, b, math.ceil(n / BASE_ROWS), math.ceil(n_asked.get((c, b), 0) / QUERY_ROWS)) for (c, b), n in n_base.items()]
-    dealt = F.broadcast(vectors.sparkSession.createDataFrame(salts, "curve int, block int, base_salts int, query_salts int").filter("query_salts > 0"))
-    spread = lambda df, own, other: df.join(dealt, ["curve", "block"]).select("id", "v", "curve", "block", F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
-    keys = ["curve", "block", "base_salts", "query_salts"]
-    left = spread(base, "base_salts", "query_salts")
-    right = spread(asked, "query_salts", "base_salts")
-    right = right.toDF(*[f"q_{c}" for c in right.columns])
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            parts = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        else:
-            parts = best_pairs(left.column("id").to_numpy(), _matrix(left.column("v"), width), right.column("q_id").to_numpy(), _matrix(right.column("q_v"), width), k)
-        return pa.table({"query_id": parts[0].astype(np.int64), "id": parts[1].astype(np.int64), "score": parts[2]})
-
-    pairs = left.groupBy(*keys).cogroup(right.groupBy(*[f"q_{c}" for c in keys])).applyInArrow(meet, schema)
-    merged = pairs.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    pairs = persist_table(candidate_pairs(reps, k, curves, dims, reach), "pairs")
+    asked = reps.filter("asked").select(F.col("rid").alias("q"), "h1", "h2", F.col("v").alias("qv"))
+    others = reps.select(F.col("rid").alias("b"), "v", "ids")
+    scored = pairs.join(others, "b").join(asked, "q").select("h1", "h2", "ids", inner(F.col("qv"), F.col("v")).alias("score"))
+    lists = scored.select("h1", "h2", "score", F.explode("ids").alias("id"))
+    met = queries.withColumnRenamed("id", "query_id").join(_first(lists, k + 1), ["h1", "h2"])
+    each = met.select("query_id", F.explode("best").alias("n")).filter(F.col("n.id") != F.col("query_id"))
+    each = each.groupBy("query_id", "n.id").agg(F.max("n.score").alias("score"))  # a repeated query id has several vectors
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def _first(lists: DataFrame, most: int) -> DataFrame:
+    """(h1, h2, best): the ``most`` best ids of each vector that asks; an id counts once, by its best score."""
+    once = lists.groupBy("h1", "h2", "id").agg(F.max("score").alias("score"))
+    ranked = once.withColumn("r", F.row_number().over(Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "id"))).filter(F.col("r") <= most)
+    return ranked.groupBy("h1", "h2").agg(F.collect_list(F.struct("score", "id")).alias("best"))
 
 
 def neighbour_report(vectors: DataFrame) -> DataFrame:

@@ -27,31 +27,17 @@ WINDOW, MER = 35, 8
 
 
 def sorted_counts(units: Words):
-    """Bucket worker: windows of a group, sorted, counted as runs of equals."""
+    """Bucket worker: windows of a group's distinct strings, sorted, counted as runs of equals."""
 
     def mark(groups: list[Group]) -> list[list[np.ndarray]]:
         out = []
         for group in groups:
-            times = Counter(packed for _, _, packed in group)
-            if len(times) == 1:
-                out.append([np.full(n, len(group) > 1) for _, n, _ in group])
-                continue
-            distinct = {packed: n for _, n, packed in group}
-            windows = sorted((w, s, o) for s, (packed, n) in enumerate(distinct.items()) for o, w in enumerate(window_bytes(units, packed, n)))
-            weight = list(times[p] for p in distinct)
-            masks = [np.zeros(n, bool) for n in distinct.values()]
-            at = 0
-            while at < len(windows):
-                to, total = at, 0
-                while to < len(windows) and windows[to][0] == windows[at][0]:
-                    total += weight[windows[to][1]]
-                    to += 1
-                if total > 1:
-                    for _, s, o in windows[at:to]:
-                        masks[s][o] = True
-                at = to
-            by = dict(zip(distinct, masks, strict=True))
-            out.append([by[packed] for _, _, packed in group])
+            windows = sorted((w, s, o) for s, (_, packed, n) in enumerate(group) for o, w in enumerate(window_bytes(units, packed, n)))
+            masks = [np.zeros(n, bool) for _, _, n in group]
+            for (w, s, o), (v, t, q) in zip(windows, windows[1:], strict=False):
+                if w == v:
+                    masks[s][o] = masks[t][q] = True
+            out.append(masks)
         return out
 
     return mark

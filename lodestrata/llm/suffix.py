@@ -1,14 +1,16 @@
 """Suffix-array dedup: bytes under a 100-byte string that starts earlier in the corpus go.
 
-In each bucket of ``superwindows`` the distinct strings form a collection whose Burrows-Wheeler
-transform is built column by column: every round inserts one symbol of each string (from the right
-end), which updates the sorted list of suffixes, their transform symbols and the common prefixes of
-neighbours in one sequential pass. Neighbours whose common prefix reaches the window's length are
-equal windows; the first in (document, start) order stays, the others are marked.
-
-A pass reads the list block by block and appends to one segment per symbol, holding for each symbol
-the running minimum of common prefixes since its last row. Segments stay in memory up to
-``memory_rows`` rows and are files beyond; they belong to the task alone and go with it.
+``superwindows`` deals the strings that may hold repeats into buckets and folds equal ones. The
+distinct strings of whole buckets, ``COLLECTION_BYTES`` or more of them at once, form a collection whose
+Burrows-Wheeler transform is built column by column: every round inserts one symbol of each string
+(from the right end). A first pass over the column of symbols counts how many stand before a
+string's current suffix, which gives the new suffix's place; a second pass merges the new rows into
+the sorted suffixes and updates the common prefixes of the rows that got a new neighbour. Rows whose
+common prefix reaches the window's length are equal windows; the first in (document, start) order
+stays, the others are marked.
+
+Both passes read the old rows and write the new ones sequentially, block by block, in files of the
+task (removed with it); only collections of under ``MEMORY_ROWS`` suffixes stay in memory.
 
 Defined results: a null text is empty; texts shorter than a window lose nothing; rows that agree in
 id and text are one document and each get its result; of rows that share only the id the order is
@@ -30,181 +32,170 @@ from .common import text_slices
 from .superwindows import LIMIT, Bytes, Group, covered, repeated_spans
 
 WINDOW, MER = 100, 32
-BLOCK_ROWS = 1 << 21
-MEMORY_ROWS = 1 << 23
+BLOCK_ROWS = 1 << 20
+MEMORY_ROWS = 1 << 18
+#: Bytes of strings in one collection; a larger bucket is one collection all the same.
+COLLECTION_BYTES = 1 << 21
+STEP = 256
 
 
-class Segment:
-    """Appended columns (start position, common prefix) of the suffixes that begin with one symbol."""
+class Rows:
+    """The sorted suffixes as three columns (position, common prefix with the row before, symbol in
+    front), appended and read block by block: in files of ``folder``, or in memory without one."""
 
-    def __init__(self, folder: str | None, name: str):
-        self.files = None if folder is None else [open(f"{folder}/{name}.{x}", "w+b") for x in ("pos", "lcp")]
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self, kinds: tuple, folder: str | None, name: str):
+        self.kinds, self.parts = kinds, []
+        self.files = None if folder is None else [open(f"{folder}/{name}.{k}", "w+b") for k in range(3)]
 
-    def append(self, pos: np.ndarray, lcp: np.ndarray) -> None:
+    def append(self, *columns: np.ndarray) -> None:
         if self.files is None:
-            self.parts.append((pos, lcp))
+            self.parts.append(columns)
         else:
-            pos.tofile(self.files[0])
-            lcp.tofile(self.files[1])
+            for f, x in zip(self.files, columns, strict=True):
+                x.tofile(f)
 
-    def read(self, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def read(self, rows: int, columns: tuple[int, ...] = (0, 1, 2)) -> Iterator[list[np.ndarray]]:
         if self.files is None:
-            yield from self.parts
+            for part in self.parts:
+                for at in range(0, len(part[0]), rows):
+                    yield [part[k][at : at + rows] for k in columns]
             return
-        for f in self.files:
-            f.flush()
-            f.seek(0)
-        while len(pos := np.fromfile(self.files[0], np.int32, rows)):
-            yield pos, np.fromfile(self.files[1], np.uint8, len(pos))
+        for k in columns:
+            self.files[k].flush()
+            self.files[k].seek(0)
+        while len((first := np.fromfile(self.files[columns[0]], self.kinds[columns[0]], rows))):
+            yield [first, *(np.fromfile(self.files[k], self.kinds[k], len(first)) for k in columns[1:])]
 
     def close(self) -> None:
         for f in self.files or ():
             f.close()
 
 
-class RangeMinimum:
-    """Minima of ranges of a byte column, by a table of power-of-two spans."""
-
-    def __init__(self, values: np.ndarray):
-        self.levels, span = [values], 1
-        while 2 * span <= len(values):
-            low = self.levels[-1]
-            self.levels.append(np.minimum(low[: len(low) - span], low[span:]))
-            span *= 2
-        self.log = _log2(len(values) + 1)
-
-    def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Of [lo, hi), never empty."""
-        out = np.empty(len(lo), np.uint8)
-        level = self.log[hi - lo]
-        for k in np.flatnonzero(np.bincount(level, minlength=1)).tolist():
-            at = np.flatnonzero(level == k)
-            out[at] = np.minimum(self.levels[k][lo[at]], self.levels[k][hi[at] - (1 << k)])
+class Collection:
+    """The text of all strings (each after an end mark, symbols coded from 1) and what a round needs."""
+
+    def __init__(self, strings: list[bytes], depth: int):
+        if depth > 255:
+            raise ValueError("common prefixes are held as bytes")
+        lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+        self.ends = np.cumsum(lengths + 1)
+        self.starts, self.rounds, self.depth = (self.ends - lengths).astype(np.int32), int(lengths.max(initial=0)), depth
+        raw = np.frombuffer(b"\0" + b"\0".join(strings), np.uint8)
+        mark = np.zeros(len(raw), bool)
+        mark[np.r_[0, self.ends[:-1]]] = True
+        used = np.unique(raw[~mark])
+        code = np.zeros(256, np.uint8 if len(used) < 255 else np.uint16)
+        code[used] = np.arange(1, len(used) + 1)
+        self.symbols = len(used) + 1
+        # end marks behind, so that a comparison may run past the last string
+        self.text = np.concatenate([np.where(mark, 0, code[raw]).astype(code.dtype), np.zeros(depth + 1, code.dtype)])
+        self.heads = np.lib.stride_tricks.sliding_window_view(self.text, depth)
+        self.kinds = np.int32, np.uint8, code.dtype
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Common prefixes of suffixes, up to the depth and never over an end mark."""
+        out = np.empty(len(a), np.uint8)
+        for at in range(0, len(a), 1 << 13):
+            x, y = self.heads[a[at : at + (1 << 13)]], self.heads[b[at : at + (1 << 13)]]
+            apart = (x != y) | (x == 0)
+            out[at : at + (1 << 13)] = np.where(apart.any(axis=1), apart.argmax(axis=1), self.depth)
         return out
 
 
-_logs = np.zeros(2, np.uint8)
-
-
-def _log2(n: int) -> np.ndarray:
-    global _logs
-    while len(_logs) <= n:
-        _logs = np.concatenate([_logs, np.full(len(_logs), _logs[-1] + 1, np.uint8)]) if len(_logs) > 2 else np.array([0, 0, 1, 1], np.uint8)
-    return _logs
+def occurrences(held: Rows, symbols: int, rank: np.ndarray, symbol: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often ``symbol`` stands in front of a suffix before ``rank`` (ascending), and the totals of
+    all symbols, in one pass over the column of symbols."""
+    found, before, at = np.empty(len(rank), np.int64), np.zeros(symbols, np.int64), 0
+    for (front,) in held.read(block_rows, (2,)):
+        steps = -(-len(front) // STEP)
+        cells = np.repeat(np.arange(steps) * symbols, STEP)[: len(front)] + front
+        counts = np.bincount(cells, minlength=steps * symbols).reshape(steps, symbols)
+        upto = np.cumsum(counts, axis=0) - counts + before
+        start = at
+        to = int(np.searchsorted(rank, start + len(front)))
+        done = int(np.searchsorted(rank, start))
+        if to > done:
+            place, own = rank[done:to] - start, symbol[done:to]
+            step = place // STEP
+            padded = np.concatenate([front, np.zeros(steps * STEP - len(front), front.dtype)]).reshape(steps, STEP)
+            for k in range(0, to - done, 1 << 13):
+                part = slice(k, k + (1 << 13))
+                inside = (padded[step[part]] == own[part, None]) & (np.arange(STEP) < (place[part] % STEP)[:, None])
+                found[done:to][part] = upto[step[part], own[part]] + np.count_nonzero(inside, axis=1)
+        before += counts.sum(axis=0)
+        at += len(front)
+    return found, before
+
+
+def insert_column(c: Collection, held: Rows, new: Rows, current: np.ndarray, rank: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """One round: every string that goes on inserts the suffix longer by one symbol than its
+    ``current`` one, which stands at ``rank``. Returns both for the new suffixes, in their order."""
+    symbol = c.text[current - 1]
+    found, totals = occurrences(held, c.symbols, rank, symbol, block_rows)
+    # in front of the suffixes that begin with a symbol stand the empty ones and those of lesser symbols
+    begin = len(c.ends) + np.concatenate([[0, 0], np.cumsum(totals[1:])])[: c.symbols]
+    place = begin[symbol] + found
+    order = np.argsort(place, kind="stable")
+    place, position = place[order], (current[order] - 1).astype(np.int32)
+    front = c.text[position - 1]
+    done, at, last, last_new = 0, 0, 0, False
+    target = place - np.arange(len(place))  # in front of which held row
+    for pos, lcp, bwt in held.read(block_rows):
+        # rows that go behind the last block's end wait for the next; the very last are appended below
+        to = int(np.searchsorted(target, at + len(pos), "left"))
+        where = target[done:to] - at
+        fresh = np.insert(np.zeros(len(pos), bool), where, True)
+        pos, lcp, bwt = np.insert(pos, where, position[done:to]), np.insert(lcp, where, 0), np.insert(bwt, where, front[done:to])
+        touched = np.flatnonzero(fresh | np.r_[last_new, fresh[:-1]])
+        before = pos[touched - 1]
+        if len(touched) and touched[0] == 0:
+            before[0] = last
+        lcp[touched] = c.common(before, pos[touched])
+        new.append(pos, lcp, bwt)
+        at += len(pos) - (to - done)
+        done, last, last_new = to, pos[-1], bool(fresh[-1])
+    if done < len(place):
+        pos = position[done:]
+        new.append(pos, c.common(np.r_[last, pos[:-1]], pos), front[done:])
+    return position.astype(np.int64), place
 
 
 def collection(strings: list[bytes], depth: int, block_rows: int = BLOCK_ROWS, memory_rows: int = MEMORY_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(pos, lcp, starts): all suffixes of the collection in order as positions in its text (where
     each string follows one end mark), common prefixes up to ``depth``, and where strings start."""
-    if depth > 255:
-        raise ValueError("common prefixes are held as bytes")
-    lengths = np.fromiter(map(len, strings), np.int64, len(strings))
-    ends = np.cumsum(lengths + 1).astype(np.int32)
-    raw = np.frombuffer(b"\0" + b"\0".join(strings), np.uint8)
-    mark = np.zeros(len(raw), bool)
-    mark[np.r_[0, ends[:-1]]] = True
-    used = np.unique(raw[~mark]) if len(raw) > len(strings) else np.empty(0, np.uint8)
-    code = np.zeros(256, np.uint8 if len(used) < 255 else np.uint16)
-    code[used] = np.arange(1, len(used) + 1)
-    text = np.where(mark, 0, code[raw]).astype(code.dtype)
-    total = len(text)
+    c = Collection(strings, depth)
     with tempfile.TemporaryDirectory(prefix="suffixes-") as folder:
-        where = folder if total > memory_rows else None
-        held = [Segment(where, "0-0")]
-        held[0].append(ends, np.zeros(len(ends), np.uint8))  # the empty suffixes: a string ends at `ends`
-        for number in range(int(lengths.max(initial=0))):
-            held = _insert_column(held, text, ends, len(used), depth, where, number + 1, block_rows)
-        parts = [x for s in held for x in s.read(block_rows)]
-        for s in held:
-            s.close()
-    return np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts]), (ends - lengths).astype(np.int32)
-
-
-def _insert_column(held: list[Segment], text: np.ndarray, ends: np.ndarray, symbols: int, depth: int, folder: str | None, number: int, block_rows: int) -> list[Segment]:
-    """One round: the suffixes one symbol longer than those held, with the empty ones in front."""
-    new = [Segment(folder, f"{number % 2}-{c}") for c in range(symbols + 1)]
-    new[0].append(ends, np.zeros(len(ends), np.uint8))
-    running = np.zeros(symbols + 1, np.uint8)
-    seen = np.zeros(symbols + 1, bool)
-    for old in held:
-        for pos, lcp in old.read(block_rows):
-            bwt = text[pos - 1]
-            order = np.argsort(bwt, kind="stable")
-            order = order[np.searchsorted(bwt[order], 1) :]
-            if not len(order):
-                running = np.minimum(running, lcp.min()) if len(lcp) else running
-                continue
-            symbol = bwt[order]
-            first = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]])
-            which = symbol[first]
-            before = np.empty_like(order)
-            before[1:] = order[:-1]
-            before[first] = -1
-            least = RangeMinimum(lcp)
-            common = least(before + 1, order + 1)
-            common[first] = np.where(seen[which], np.minimum(common[first], running[which]), 0)
-            grown = np.minimum(common, depth - 1) + np.uint8(1)
-            grown[first] *= seen[which]
-            last = order[np.r_[first[1:], len(order)] - 1]
-            running = np.minimum(running, lcp.min())
-            rest = np.full(len(last), 255, np.uint8)
-            open_ = last + 1 < len(lcp)
-            if open_.any():
-                rest[open_] = least(last[open_] + 1, np.full(int(open_.sum()), len(lcp)))
-            running[which] = rest
-            seen[which] = True
-            moved = pos[order] - 1
-            if folder is None:  # one block holds all
-                new[1].append(moved, grown)
-            else:
-                for c, a, b in zip(which.tolist(), first.tolist(), np.r_[first[1:], len(order)].tolist(), strict=True):
-                    new[c].append(moved[a:b], grown[a:b])
-    for s in held:
-        s.close()
-    if folder is None and len(new) > 1:  # one block again, as long as all fits in memory
-        one = Segment(None, "")
-        parts = [x for s in new for x in s.parts]
-        one.append(np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts]))
-        return [one]
-    return new
+        where = folder if len(c.text) > memory_rows else None
+        held = Rows(c.kinds, where, "0")
+        current, rank = c.ends, np.arange(len(strings), dtype=np.int64)  # the empty suffixes: a string ends at `ends`
+        held.append(current.astype(np.int32), np.zeros(len(current), np.uint8), c.text[current - 1])
+        for number in range(1, c.rounds + 1):
+            goes_on = c.text[current - 1] != 0
+            new = Rows(c.kinds, where, str(number % 2))
+            current, rank = insert_column(c, held, new, current[goes_on], rank[goes_on], block_rows)
+            held.close()
+            held = new
+        parts = [x[:2] for x in held.read(block_rows)]
+        held.close()
+    return np.concatenate([p for p, _ in parts]), np.concatenate([x for _, x in parts]), c.starts
 
 
 def first_windows(window: int, block_rows: int = BLOCK_ROWS, memory_rows: int = MEMORY_ROWS):
-    """Bucket worker: marks the windows that occur in an earlier row of their group."""
+    """Bucket worker: marks the windows that occur in an earlier string of their group."""
 
     def mark(groups: list[Group]) -> list[list[np.ndarray]]:
-        first_row: list[int] = []
-        home: list[int] = []
-        strings: list[bytes] = []
-        place: list[dict[bytes, int]] = []
-        for number, group in enumerate(groups):
-            own: dict[bytes, int] = {}
-            if any(packed != group[0][2] for _, _, packed in group):
-                for k, _, packed in group:  # rows stand in order, so the first is the least
-                    if packed not in own:
-                        own[packed] = len(strings)
-                        strings.append(packed)
-                        first_row.append(k)
-                        home.append(number)
-            place.append(own)
-        masks = _later(strings, np.array(first_row), np.array(home), window, block_rows, memory_rows) if strings else []
-        out = []
-        for group, own in zip(groups, place, strict=True):
-            met: set[bytes] = set()
-            rows = []
-            for _, n, packed in group:
-                rows.append(np.ones(n, bool) if packed in met else masks[own[packed]] if own else np.zeros(n, bool))
-                met.add(packed)
-            out.append(rows)
-        return out
+        strings = [packed for group in groups for _, packed, _ in group]
+        row = np.concatenate([[place for place, _, _ in group] for group in groups])
+        home = np.repeat(np.arange(len(groups)), [len(group) for group in groups])
+        masks = iter(_later(strings, row, home, window, block_rows, memory_rows))
+        return [[next(masks) for _ in group] for group in groups]
 
     return mark
 
 
 def _later(strings: list[bytes], row: np.ndarray, home: np.ndarray, window: int, block_rows: int, memory_rows: int) -> list[np.ndarray]:
-    """Per string, which of its windows occur in a string of its group with a smaller row number.
-    (Salts of one bucket are groups of their own and may share a collection.)"""
+    """Per string, which of its windows occur earlier: in a string of its group that stands before it,
+    or in itself before that place."""
     pos, lcp, starts = collection(strings, window, block_rows, memory_rows)
     owner = np.searchsorted(starts, pos, "right") - 1
     offset = pos - starts[owner]
@@ -215,11 +206,11 @@ def _later(strings: list[bytes], row: np.ndarray, home: np.ndarray, window: int,
     order = np.argsort(kin, kind="stable")
     owner, offset, kin = owner[order], offset[order], kin[order]
     begin = np.flatnonzero(np.r_[True, kin[1:] != kin[:-1]])
-    least = np.repeat(np.minimum.reduceat(row[owner], begin), np.diff(np.r_[begin, len(kin)]))
-    later = row[owner] > least
+    early = row[owner] * (int(lengths.max()) + 1) + offset
+    least = np.repeat(np.minimum.reduceat(early, begin), np.diff(np.r_[begin, len(kin)]))
     ends = np.cumsum(lengths - window + 1)
     flat = np.zeros(int(ends[-1]), bool)
-    flat[(ends - (lengths - window + 1))[owner] + offset] = later
+    flat[(ends - (lengths - window + 1))[owner] + offset] = early > least
     return np.split(flat, ends[:-1])
 
 
@@ -227,7 +218,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(rows, results): one result per distinct text: (h1, h2, first, n_bytes, n_removed, n_spans,
     kept), for the first document that has it; all others lose every byte (if a window fits)."""
     units = Bytes(window, mer)
-    rows, texts = repeated_spans(docs, id_col, text_col, units, first_windows(window, **collection_limits), keep_first=True, limit=limit)
+    rows, texts = repeated_spans(docs, id_col, text_col, units, first_windows(window, **collection_limits), keep_first=True, limit=limit, chunk_bytes=COLLECTION_BYTES)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

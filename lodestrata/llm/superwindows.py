@@ -5,13 +5,16 @@
    windows have equal minimisers, so a minimiser seen once in the corpus rules its windows out.
 3. Super-windows whose minimiser repeats travel as one packed string each to the minimiser's bucket.
    A bucket of more than ``limit`` strings is dealt out over ceil(n / limit) salts.
-4. A bucket's worker (the operator's own method) marks windows. In a salted bucket each distinct
-   window also leaves one representative; representatives of equal windows meet by digest, at most
-   one for each salt, and settle what the salts could not see of each other.
+4. There equal strings, which sorting brings together, fold into the first; the others repeat whole
+   and are marked at once. The distinct strings of a whole bucket go to the operator's own method,
+   which marks windows. Those of a salted bucket meet once more, without salts; where still more than
+   ``CUT`` distinct strings share a minimiser they are cut into windows, and equal windows meet by
+   their bytes, pre-aggregated. So no task holds more than ``CUT`` strings of a bucket, and windows count
+   as equal only if all their bytes are.
 5. Marks are gathered per document and joined to its text.
 
-All steps are one lazy plan without driver loops; the text is shuffled once and that exchange is
-reused. ``rid`` (hash of id and text) with ``h1`` (hash of the text) names a document.
+The text is shuffled once for steps 2 and 3 and once for step 5. ``rid`` (hash of id and text) with
+``h1`` (hash of the text) names a document.
 """
 
 from __future__ import annotations
@@ -20,15 +23,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import persist_table, text_slices
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SLICE = 1 << 18
 LIMIT = 4_096
+#: Distinct strings of a bucket that one task settles at most.
+CUT = 65_536
 CHUNK_BYTES = 1 << 19
 
 
@@ -150,13 +156,13 @@ def minimisers(texts: DataFrame, units: Bytes | Words) -> DataFrame:
 
 def packed_strings(texts: DataFrame, units: Bytes | Words, id_type: str, limit: int) -> DataFrame:
     """Super-windows with a repeated minimiser: (hash, salt, hot, id, rid, h1, start, n, packed)."""
-    schema = f"hash long, salt int, hot boolean, id {id_type}, rid long, h1 long, start long, n int, packed binary"
+    schema = STRINGS.format(id_type=id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known = batch.column(6)
             offsets, hashes, counts = known.offsets.to_numpy(), known.values.field(0).to_numpy(), known.values.field(1).to_numpy()
-            held: list[list] = [[] for _ in range(7)]
+            held: list[list] = [[] for _ in range(6)]
             which, size = [], 0
             for row, data in enumerate(text_slices(batch.column(3))):
                 own, index = np.unique(hashes[offsets[row] : offsets[row + 1]], return_index=True)
@@ -167,14 +173,15 @@ def packed_strings(texts: DataFrame, units: Bytes | Words, id_type: str, limit:
                 for k in np.flatnonzero(own[at] == h).tolist():
                     packed = cut(int(start[k]), int(start[k] + n[k]) + units.window - 1)
                     salts = -(-int(many[at[k]]) // limit)
-                    salt = (xxhash.xxh32_intdigest(int(start[k]).to_bytes(8, "little"), batch.column(0)[row].as_py() & 0xFFFFFFFF)) % salts if salts > 1 else 0
-                    for x, v in zip(held, (int(h[k]), salt, salts > 1, int(start[k]), int(n[k]), packed), strict=False):
+                    # -1: the bucket is whole
+                    salt = (xxhash.xxh32_intdigest(int(start[k]).to_bytes(8, "little"), batch.column(0)[row].as_py() & 0xFFFFFFFF)) % salts if salts > 1 else -1
+                    for x, v in zip(held, (int(h[k]), salt, int(start[k]), int(n[k]), packed), strict=False):
                         x.append(v)
                     which.append(row)
                     size += len(packed)
                 if size > 1 << 23:
                     yield _string_rows(batch, held, which, schema)
-                    held, which, size = [[] for _ in range(7)], [], 0
+                    held, which, size = [[] for _ in range(6)], [], 0
             if which:
                 yield _string_rows(batch, held, which, schema)
 
@@ -183,45 +190,135 @@ def packed_strings(texts: DataFrame, units: Bytes | Words, id_type: str, limit:
 
 def _string_rows(batch: pa.RecordBatch, held: list[list], which: list[int], schema: str) -> pa.RecordBatch:
     take = pa.array(which)
-    columns = [pa.array(held[0], pa.int64()), pa.array(held[1], pa.int32()), pa.array(held[2], pa.bool_()), batch.column(2).take(take), batch.column(0).take(take), batch.column(1).take(take)]
-    columns += [pa.array(held[3], pa.int64()), pa.array(held[4], pa.int32()), pa.array(held[5], pa.binary())]
+    columns = [pa.array(held[0], pa.int64()), pa.array(held[1], pa.int32()), batch.column(2).take(take), batch.column(0).take(take), batch.column(1).take(take)]
+    columns += [pa.array(held[2], pa.int64()), pa.array(held[3], pa.int32()), pa.array(held[4], pa.binary()), pa.array(np.zeros(len(which), bool))]
     return pa.RecordBatch.from_arrays(columns, _names(schema))
 
 
-Group = list[tuple[int, int, bytes]]  # (row, number of windows, packed string), first rows first
-#: A bucket worker gets groups and gives, for each, one boolean mask of windows per row.
+#: (place in the order of id, rid and start, packed string, number of windows) of a bucket's distinct strings.
+Group = list[tuple[int, bytes, int]]
+#: A bucket worker gets groups of two or more distinct strings and gives one mask of windows for each.
 Marker = Callable[[list[Group]], list[list[np.ndarray]]]
+STRINGS = "hash long, salt int, id {id_type}, rid long, h1 long, start long, n int, packed binary, many boolean"
 
 
-def marked(strings: DataFrame, units: Bytes | Words, marker: Marker, id_type: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(flag, d1, d2, id, rid, h1, a, b): unit ranges to mark (flag 0) and, from salted buckets, the
-    representatives of distinct windows (flag 1, digest d1 d2)."""
-    schema = f"flag int, d1 long, d2 long, id {id_type}, rid long, h1 long, a long, b long"
+class _Bucket:
+    """The distinct strings of the bucket that is being read, first occurrences first."""
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+        self.bytes, self.cut = 0, False
+
+
+def settled(strings: DataFrame, units: Bytes | Words, marker: Marker, id_type: str, keep_first: bool, limit: int, chunk_bytes: int) -> DataFrame:
+    """Rows of ``STRINGS`` and a, b: with null strings the unit ranges [a, b) to mark; with strings what is
+    left to settle: the distinct strings of a salted bucket (salt 0 or more), or the windows, one string
+    each, of a bucket of over ``limit`` distinct strings (salt -2)."""
+    schema = STRINGS.format(id_type=id_type) + ", a long, b long"
+    keys = ["hash", "salt"]
+    dealt = strings.repartition(*keys).sortWithinPartitions(*keys, "packed", "id", "rid", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        size, last = 0, None
+        done: list[_Bucket] = []
+        bucket, size, last = _Bucket(), 0, None
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(9)]
-            for row in zip(*columns, strict=True):
-                key = row[:2]
-                if key != last and size >= chunk_bytes:
-                    yield _marks(rows, units, marker, schema, batch.schema.field(3).type)
-                    rows, size = [], 0
-                last = key
-                if rows and rows[-1][:2] == key and rows[-1][4:7] == row[4:7]:
-                    continue  # a repeated row of the table is the same document
-                rows.append(row)
-                size += len(row[8])
-            id_kind = batch.schema.field(3).type
-        if rows:
-            yield _marks(rows, units, marker, schema, id_kind)
+            if not batch.num_rows:
+                continue
+            same, repeat = _runs_of_equals(batch, last)
+            last = batch.slice(batch.num_rows - 1, 1)
+            copies = np.flatnonzero(same & ~repeat)
+            if len(copies):
+                yield _ranges(batch, copies, units.window, schema)
+            fresh = np.flatnonzero(~same)
+            # a string that others follow as equals stands for several
+            several = np.searchsorted(copies, np.r_[fresh[1:], batch.num_rows]) > np.searchsorted(copies, fresh)
+            if bucket.rows and len(copies) and (not len(fresh) or copies[0] < fresh[0]):
+                bucket.rows[-1] = (*bucket.rows[-1][:8], True)
+            held = batch.take(pa.array(fresh))
+            for row, more in zip(zip(*[held.column(k).to_pylist() for k in range(9)], strict=True), several.tolist(), strict=True):
+                if bucket.rows and row[:2] != bucket.rows[-1][:2]:
+                    done.append(bucket)
+                    size, bucket = size + bucket.bytes, _Bucket()
+                    if size >= chunk_bytes:
+                        yield from _marks(done, units, marker, schema, keep_first, batch.schema)
+                        done, size = [], 0
+                bucket.rows.append((*row[:8], row[8] or more))
+                bucket.bytes += len(row[7])
+                if len(bucket.rows) >= limit and row[1] < 0 or bucket.cut:
+                    # the last string may yet turn out to stand for several
+                    bucket.cut = True
+                    yield from _left(bucket.rows[:-1], units, schema, batch.schema)
+                    bucket.rows = bucket.rows[-1:]
+            kinds = batch.schema
+        if last is not None:
+            yield from _marks([*done, bucket], units, marker, schema, keep_first, kinds)
 
-    keys = ["hash", "salt"]
-    dealt = strings.repartition(*keys).sortWithinPartitions(*keys, "id", "rid", "start")
     return dealt.mapInArrow(run, schema)
 
 
+def _runs_of_equals(batch: pa.RecordBatch, last: pa.RecordBatch | None) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a row has the bucket and string of the row before, and whether it is that very row again
+    (a row that repeats in the table is the same document)."""
+    whole = pa.Table.from_batches([last, batch] if last is not None else [batch]).combine_chunks()
+    alike = lambda names: np.logical_and.reduce([pc.equal(whole[n][1:], whole[n][:-1]).to_numpy(zero_copy_only=False) for n in names]) if whole.num_rows > 1 else np.empty(0, bool)
+    same = alike(["hash", "salt", "packed"])
+    repeat = same & alike(["rid", "h1", "start"])
+    if last is None:
+        same, repeat = np.r_[False, same], np.r_[False, repeat]
+    return same.astype(bool), repeat.astype(bool)
+
+
+def _ranges(batch: pa.RecordBatch, rows: np.ndarray, window: int, schema: str) -> pa.RecordBatch:
+    """Marks of whole strings."""
+    some = batch.take(pa.array(rows))
+    start, n = some.column(5).to_numpy(), some.column(6).to_numpy()
+    return pa.RecordBatch.from_arrays([*some.columns[:7], pa.nulls(len(rows), pa.binary()), some.column(8), pa.array(start), pa.array(start + n + window - 1)], _names(schema))
+
+
+def _rows(rows: list[tuple], schema: str, kinds: pa.Schema) -> pa.RecordBatch:
+    types = [*(f.type for f in kinds), pa.int64(), pa.int64()]
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in types]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], _names(schema))
+
+
+def _left(rows: list[tuple], units: Bytes | Words, schema: str, kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Strings cut into their windows, which equal windows of other strings then meet by themselves."""
+    out = []
+    for hash_, _, id_, rid, h1, start, n, packed, many in rows:
+        out += [(hash_, -2, id_, rid, h1, start + k, 1, w, many, None, None) for k, w in enumerate(window_bytes(units, packed, n))]
+        if len(out) > 10_000:
+            yield _rows(out, schema, kinds)
+            out = []
+    if out:
+        yield _rows(out, schema, kinds)
+
+
+def _marks(buckets: list[_Bucket], units: Bytes | Words, marker: Marker, schema: str, keep_first: bool, kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+    groups: list[Group] = []
+    sources: list[list[tuple]] = []
+    out: list[tuple] = []
+    for bucket in buckets:
+        rows = bucket.rows
+        if bucket.cut:
+            yield from _left(rows, units, schema, kinds)
+            continue
+        if rows and rows[0][1] >= 0:
+            out += [(*row, None, None) for row in rows]
+            continue
+        if not keep_first:
+            out += [(*row[:7], None, row[8], row[5], row[5] + row[6] + units.window - 1) for row in rows if row[8]]
+        if len(rows) > 1:
+            order = sorted(range(len(rows)), key=lambda k: ((rows[k][2] is not None, rows[k][2]) if rows[k][2] is not None else (False,), rows[k][3], rows[k][5]))  # noqa: B023
+            place = {k: p for p, k in enumerate(order)}
+            groups.append([(place[k], row[7], row[6]) for k, row in enumerate(rows)])
+            sources.append(rows)
+    for rows, masks in zip(sources, marker(groups) if groups else [], strict=True):
+        for row, mask in zip(rows, masks, strict=True):
+            edges = np.flatnonzero(np.diff(np.r_[False, mask, False]))
+            out += [(*row[:7], None, row[8], row[5] + x, row[5] + y - 1 + units.window) for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
+    yield _rows(out, schema, kinds)
+
+
 def window_bytes(units: Bytes | Words, packed: bytes, n: int) -> list[bytes]:
     """The windows of a packed string."""
     if isinstance(units, Bytes):
@@ -231,46 +328,7 @@ def window_bytes(units: Bytes | Words, packed: bytes, n: int) -> list[bytes]:
     return [packed[starts[k] : ends[k + units.window - 1]] for k in range(n)]
 
 
-def _marks(rows: list[tuple], units: Bytes | Words, marker: Marker, schema: str, id_kind: pa.DataType) -> pa.RecordBatch:
-    groups: list[Group] = []
-    hot = []
-    last = None
-    for k, row in enumerate(rows):
-        if row[:2] != last:
-            groups.append([])
-            hot.append(row[2])
-            last = row[:2]
-        groups[-1].append((k, row[7], row[8]))
-    flag, d1, d2, which, a, b = [], [], [], [], [], []
-    for group, is_hot, masks in zip(groups, hot, marker(groups), strict=True):
-        seen: set[bytes] = set()
-        for (k, n, packed), mask in zip(group, masks, strict=True):
-            edges = np.flatnonzero(np.diff(np.r_[False, mask, False]))
-            start = rows[k][6]
-            for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                flag.append(0)
-                d1.append(rows[k][4])
-                d2.append(rows[k][5])
-                which.append(k)
-                a.append(start + x)
-                b.append(start + y - 1 + units.window)
-            if is_hot:
-                for o, w in enumerate(window_bytes(units, packed, n)):
-                    digest = xxhash.xxh3_128_digest(w)
-                    if digest not in seen:
-                        seen.add(digest)
-                        flag.append(1)
-                        d1.append(int.from_bytes(digest[:8], "little", signed=True))
-                        d2.append(int.from_bytes(digest[8:], "little", signed=True))
-                        which.append(k)
-                        a.append(start + o)
-                        b.append(start + o + units.window)
-    taken = [[rows[k][c] for k in which] for c in (3, 4, 5)]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), id_kind, pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((flag, d1, d2, *taken, a, b), kinds, strict=True)], _names(schema))
-
-
-def repeated_spans(docs: DataFrame, id_col: str, text_col: str, units: Bytes | Words, marker: Marker, keep_first: bool, limit: int = LIMIT, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, id_col: str, text_col: str, units: Bytes | Words, marker: Marker, keep_first: bool, limit: int = LIMIT, chunk_bytes: int = CHUNK_BYTES, cut: int = CUT) -> tuple[DataFrame, DataFrame]:
     """(rows, texts). rows: every row of docs as (id, h1, h2). texts: each distinct text once, as
     (rid, h1, id, text, h2, many, spans) with the unit ranges to remove; id is its first document."""
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -282,11 +340,20 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, units: Bytes | W
     twice = found.groupBy("hash").agg(F.count("*").alias("c")).filter("c > 1")
     per_doc = found.join(twice, "hash").groupBy("rid", "h1").agg(F.collect_list(F.struct("hash", "c")).alias("known"))
     candidates = texts.join(per_doc.hint("shuffle_hash"), ["rid", "h1"])
-    marks = marked(packed_strings(candidates, units, id_type, limit), units, marker, id_type, chunk_bytes)
-    met = marks.groupBy("flag", "d1", "d2").agg(F.array_sort(F.collect_list(F.struct("id", "rid", "h1", "a", "b"))).alias("all"))
-    settled = F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))) if keep_first else F.when(F.size("all") > 1, F.col("all")).otherwise(F.slice("all", 1, 0))
-    spans = met.select(F.explode(F.when(F.col("flag") == 0, F.col("all")).otherwise(settled)).alias("s"))
-    spans = spans.select("s.rid", "s.h1", "s.a", "s.b").groupBy("rid", "h1").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    strings = packed_strings(candidates, units, id_type, limit)
+    marks = persist_table(settled(strings, units, marker, id_type, keep_first, cut, chunk_bytes), "marks")
+    names = _names(STRINGS)
+    # the distinct strings of salted buckets, bucket by bucket
+    salted = marks.filter("salt >= 0 and packed is not null").select(*names).withColumn("salt", F.lit(-1))
+    more = persist_table(settled(salted, units, marker, id_type, keep_first, cut, chunk_bytes), "marks")
+    windows = marks.union(more).filter("salt = -2").select("id", "rid", "h1", "start", "packed", "many")
+    at = F.struct("id", "rid", "h1", "start")
+    met = windows.groupBy("packed").agg(F.min(at).alias("top"), (F.min(at) != F.max(at)).alias("several"), F.max("many").alias("any"))
+    goes = (at != F.col("top")) if keep_first else F.lit(True)
+    hit = windows.join(met.filter("several" if keep_first else "several or any"), "packed").filter(goes)
+    single = hit.select("rid", "h1", F.col("start").alias("a"), (F.col("start") + units.window).alias("b"))
+    spans = marks.union(more).filter("packed is null").select("rid", "h1", "a", "b").union(single)
+    spans = spans.groupBy("rid", "h1").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return base.select("id", "h1", "h2"), texts.join(spans.hint("shuffle_hash"), ["rid", "h1"], "left")
 
 

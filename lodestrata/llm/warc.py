@@ -1,9 +1,10 @@
 """WARC archives of web pages through a chunked record table.
 
-Payloads travel as rows (record, chunk number, at most ``chunk_bytes`` bytes), cut on the JVM side;
-the writer streams them into gzip members, one per record, and the reader streams them back out as
-chunk rows that carry the running SHA-1 and length of the payload so far. Neither side ever holds
-more of a record than a chunk, nor more than one record's header.
+Payloads travel as rows (record, chunk number, at most ``chunk_bytes`` bytes), cut on the JVM side
+as each row leaves; the writer streams them into gzip members, one per record, with a running SHA-1
+that must end at the digest of the header, and the reader streams them back out as chunk rows that
+carry the running SHA-1 and length of the payload so far. Of a record the Python workers hold a chunk
+and the header at most; the JVM holds the payload of the one row that it cuts, as the table has it.
 
 Equal payloads of at least ``dedup_bytes`` bytes are stored once: the row with the largest page id
 is the response, the others are revisit records that refer to it by record id and repeat its
@@ -36,6 +37,9 @@ from .common import persist_table, scratch_path
 CHUNK_BYTES = 64 * 1024
 DEDUP_BYTES = 1_000
 SEGMENT_BYTES = 1 << 28
+#: Repeated digests (60 bytes each) that are sent to every task at most; salts beyond.
+BROADCAST_ROWS, SALTS = 100_000, 64
+READ_TASKS = 100_000
 VERSION, STOP = b"WARC/1.0\r\n", b"\r\n\r\n"
 CHUNKS = "page_id long, record_type string, refers_to long, declared_digest string, declared_length long, chunk_no int, n_bytes long, running_sha1 string, last boolean, data binary"
 
@@ -45,21 +49,33 @@ def record_id(page_id: int | None) -> str:
 
 
 def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", dedup_bytes: int = DEDUP_BYTES) -> DataFrame:
-    """(page_id, url, html, n_bytes, digest, refers_to): refers_to is set for revisits only."""
+    """(page_id, url, html, n_bytes, digest, refers_to): refers_to is set for revisits only.
+
+    Only digests that repeat are looked up. Up to ``BROADCAST_ROWS`` of them (counted first) go to every
+    task and no payload moves; beyond, the join is dealt by digest and ``SALTS`` salts, so the copies
+    of one page spread over as many tasks."""
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("html"))
     rows = rows.select("*", F.octet_length("html").cast("long").alias("n_bytes"), F.sha1(F.col("html").cast("binary")).alias("digest"))
-    last = rows.filter(F.col("n_bytes") >= dedup_bytes).groupBy("digest", "n_bytes").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).filter("n > 1 and top is not null")
-    joined = rows.join(last, ["digest", "n_bytes"], "left")
+    last = rows.filter(F.col("n_bytes") >= dedup_bytes).groupBy("digest", "n_bytes").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).filter("n > 1 and top is not null").drop("n")
+    last = persist_table(last, "repeated")
+    if last.count() <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(last), ["digest", "n_bytes"], "left")
+    else:
+        dealt = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+        copies = last.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        joined = dealt.join(copies, ["digest", "n_bytes", "salt"], "left")
     other = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
     return joined.select("page_id", "url", "html", "n_bytes", "digest", F.when(other, F.col("top")).alias("refers_to"))
 
 
 def chunked(rows: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One row per chunk, in order; a revisit or an empty payload is one chunk without bytes."""
+    """One row per chunk, in order; a revisit or an empty payload is one chunk without bytes. Chunk
+    numbers are laid out first and a chunk is cut as its row leaves, so no task holds a record's chunks."""
     n = F.when(F.col("refers_to").isNotNull(), F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / chunk_bytes)).cast("int"))
-    spread = rows.select("page_id", "url", "n_bytes", "digest", "refers_to", F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(k.alias("chunk_no"), F.when(F.col("refers_to").isNull(), F.substring(F.col("html").cast("binary"), k * chunk_bytes + 1, F.lit(chunk_bytes))).alias("data")))).alias("c"))
-    return spread.select("page_id", "url", "n_bytes", "digest", "refers_to", "c.chunk_no", "c.data")
+    numbered = rows.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
+    data = F.when(F.col("refers_to").isNull(), F.substring(F.col("html").cast("binary"), F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes)))
+    return numbered.select("page_id", "url", "n_bytes", "digest", "refers_to", "chunk_no", data.alias("data"))
 
 
 def _header(page_id, url, n_bytes, digest, refers_to) -> bytes:
@@ -77,13 +93,13 @@ def write(rows: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES, segment_
     """Write ``decide``'s rows as .warc.gz files; the manifest (path, n_records, n_bytes) is returned, materialised."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, path, records, size, member = None, "", 0, 0, None
+        out, path, records, size, member, running = None, "", 0, 0, None, None
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in range(6)]
             for page_id, url, n_bytes, digest, refers_to, chunk_no, data in zip(*columns, batch.column(6), strict=True):
                 if chunk_no == 0:
                     if member is not None:
-                        size += out.write(member.compress(STOP) + member.flush())
+                        size += out.write(_ended(member, running))
                     if out is not None and size >= segment_bytes:
                         out.close()
                         yield _manifest(path, records, size)
@@ -93,13 +109,15 @@ def write(rows: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES, segment_
                         files.create_dir(root, recursive=True)
                         name = f"pages-{uuid.uuid4().hex}.warc.gz"
                         out, path, records, size = files.open_output_stream(f"{root}/{name}", compression=None), f"{folder}/{name}", 0, 0
-                    member = zlib.compressobj(1, zlib.DEFLATED, 31)
+                    member, running = zlib.compressobj(1, zlib.DEFLATED, 31), [hashlib.sha1(), digest if refers_to is None else None]
                     size += out.write(member.compress(_header(page_id, url, n_bytes, digest, refers_to)))
                     records += 1
                 if data.is_valid:
-                    size += out.write(member.compress(data.as_buffer()))
+                    buffer = data.as_buffer()
+                    running[0].update(buffer)
+                    size += out.write(member.compress(buffer))
         if out is not None:
-            out.write(member.compress(STOP) + member.flush())
+            size += out.write(_ended(member, running))
             out.close()
             yield _manifest(path, records, size)
 
@@ -107,6 +125,13 @@ def write(rows: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES, segment_
     return persist_table(manifest, "manifest")
 
 
+def _ended(member, running: list) -> bytes:
+    """The last bytes of a record, whose running digest must have come to the one in its header."""
+    if running[1] is not None and running[0].hexdigest() != running[1]:
+        raise ValueError("the chunks of a record are not its payload")
+    return member.compress(STOP) + member.flush()
+
+
 def _manifest(path: str, records: int, size: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"path": [path], "n_records": pa.array([records], pa.int64()), "n_bytes": pa.array([size], pa.int64())})
 
@@ -172,7 +197,8 @@ def records(raw: io.RawIOBase | pa.NativeFile, chunk_bytes: int = CHUNK_BYTES) -
 
 
 def read(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_data: bool = True) -> DataFrame:
-    """The chunked record table of the archives that a manifest lists, a task for a few files each."""
+    """The chunked record table of the archives that a manifest lists, a task for each file (up to
+    ``READ_TASKS``, beyond which tasks read several)."""
     names = [x.split()[0] for x in CHUNKS.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
 
@@ -191,7 +217,8 @@ def read(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_data: bool =
                     if held:
                         yield _batch(held, kinds, names)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, CHUNKS)
+    # an explicit number, as adaptive execution would gather a column of paths in one task
+    return manifest.select("path").repartition(max(1, min(READ_TASKS, manifest.count()))).mapInArrow(run, CHUNKS)
 
 
 def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
