@@ -13,10 +13,10 @@ in the prefixes.
 
 Whole sets never travel with the candidates. A 64-bit parity of each set bounds the difference of
 two sets from below and rules out most false candidates inside the join itself; the words of the
-sets that still matter are read from the texts again. A set needs one earlier match only, so every
-set first meets the earliest sets under some words of its prefix, its pilots. Sets without a likely
-pilot take part in the prefix join against all sets; sets whose pilot proves not to be similar do so
-afterwards. Large groups of near copies cost a few rows for each member.
+sets that still matter are read from the texts again. Sets are numbered in the order of their first
+lines, so the join pairs a set with earlier ones only. A set needs one earlier match, so every set
+first meets the earliest sets under some words of its prefix, its pilots; the prefix join then runs
+for the sets that found no match there. Large groups of near copies cost a few rows for each member.
 
 A set is named by two 64-bit hashes of its words.
 
@@ -125,37 +125,30 @@ def pilots(sets: DataFrame) -> DataFrame:
     rarest, or of the PILOTS most frequent, repeated words of its prefix. Near copies mostly meet the
     first of their group here, a few rows for each member."""
     repeated = F.filter("prefix", lambda t: F.shiftright(t, 56) > ONCE)
-    own = sets.select("sid", "first", "n", "parity", repeated.alias("all"))
-    ends = own.select("sid", "first", "n", "parity", F.explode(F.array_union(F.slice("all", 1, PILOTS), F.slice("all", -PILOTS, PILOTS))).alias("end"))
-    heads = ends.groupBy("end").agg(F.min(F.struct("first", "sid", "n", "parity")).alias("head"))
-    head = F.col("head")
-    met = ends.join(heads, "end").filter((F.col("sid") != head["sid"]) & may_match({c: F.col(c) for c in ("n", "parity")}, head))
-    best = met.groupBy("sid").agg(F.min(F.struct(apart({"parity": F.col("parity")}, head).alias("apart"), head["sid"].alias("earlier"))).alias("best"))
-    return best.select(F.col("sid").alias("later"), F.col("best.earlier").alias("earlier"))
+    own = sets.select("sid", "n", "parity", repeated.alias("all"))
+    ends = own.select("sid", "n", "parity", F.explode(F.array_union(F.slice("all", 1, PILOTS), F.slice("all", -PILOTS, PILOTS))).alias("end"))
+    heads = ends.groupBy("end").agg(F.min("sid").alias("earlier"), F.min_by("n", "sid").alias("n2"), F.min_by("parity", "sid").alias("parity2"))
+    one, two = {c: F.col(c) for c in ("n", "parity")}, {c: F.col(f"{c}2") for c in ("n", "parity")}
+    met = ends.join(heads, "end").filter((F.col("sid") != F.col("earlier")) & may_match(one, two))
+    return met.groupBy(F.col("sid").alias("later")).agg(F.min_by("earlier", apart(one, two)).alias("earlier"))
 
 
-def candidates(sets: DataFrame, open_: DataFrame, keep_open: bool) -> DataFrame:
-    """(later, earlier): pairs that share a prefix word and pass the length, positional and parity
-    filters, whose later set is open: it is named in ``open_`` (keep_open), or it is not (else).
+def candidates(sets: DataFrame, late: DataFrame) -> DataFrame:
+    """(later, earlier): sets not known to be late with the earlier sets that share a prefix word and
+    pass the length, positional and parity filters.
 
     Both sides of the join are one exchange of the prefix words, so the condition on the open side
     is worded over both."""
-    named = open_.select(F.col("later").alias("sid"), F.lit(True).alias("named"))
-    known = sets.join(named, "sid", "left").withColumn("open", F.col("named").isNotNull() if keep_open else F.col("named").isNull())
+    known = sets.join(late.select(F.col("later").alias("sid"), F.lit(True).alias("late")), "sid", "left").withColumn("open", F.col("late").isNull())
     posts = known.select("sid", "n", "parity", "open", F.posexplode("prefix").alias("pos", "token"))
     posts = posts.filter(F.shiftright("token", 56) > ONCE)  # a word of the corpus's only occurrence meets nobody
     a, b = posts.alias("a"), posts.alias("b")
     one, two = ({c: F.col(f"{x}.{c}") for c in posts.columns} for x in "ab")
     n, n2 = one["n"], two["n"]
     reach = 1 + F.least(n - 1 - one["pos"], n2 - 1 - two["pos"])
-    once = F.when(two["open"], one["open"] & (one["sid"] < two["sid"])).otherwise(one["open"])
-    met = a.join(b, (one["token"] == two["token"]) & once & may_match(one, two) & (reach * (NUM + DEN) >= (n + n2) * NUM))
-    pairs = met.select(one["sid"].alias("sid"), two["sid"].alias("sid2"), one["open"].alias("open"), two["open"].alias("open2")).distinct()
-    first = sets.select("sid", "first")
-    both = pairs.join(first, "sid").join(first.toDF("sid2", "first2"), "sid2")
-    early = F.col("first") < F.col("first2")
-    ordered = both.select(F.when(early, F.col("sid")).otherwise(F.col("sid2")).alias("earlier"), F.when(early, F.col("sid2")).otherwise(F.col("sid")).alias("later"), F.when(early, F.col("open2")).otherwise(F.col("open")).alias("goes"))
-    return ordered.filter("goes").select("later", "earlier")
+    open_ = F.when(two["open"].isNotNull(), one["open"])
+    met = a.join(b, (one["token"] == two["token"]) & (two["sid"] < one["sid"]) & open_ & may_match(one, two) & (reach * (NUM + DEN) >= (n + n2) * NUM))
+    return met.select(one["sid"].alias("later"), two["sid"].alias("earlier")).distinct()
 
 
 def words_of(keys: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -179,9 +172,8 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def late_sets(sets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(later): sets with an earlier similar set. Sets whose pilot passes the filters wait for its
-    verification, all others take part in the prefix join at once; those whose pilot turns out not
-    to be similar go through the prefix join afterwards."""
+    """(later): sets with an earlier similar set. Sets whose pilot proves similar are settled; the
+    others go through the prefix join against all."""
     spark = sets.sparkSession
 
     def settled(pairs: DataFrame) -> DataFrame:
@@ -192,14 +184,10 @@ def late_sets(sets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
         return out
 
     led = persist_table(pilots(sets), "pilots")
-    met = persist_table(candidates(sets, led, keep_open=False), "met")
-    late = settled(led.union(met))
-    failed = persist_table(led.select("later").join(late, "later", "left_anti"), "failed")
+    late = settled(led)
+    met = persist_table(candidates(sets, late).join(led, ["later", "earlier"], "left_anti"), "met")
+    late = late.union(settled(met))
     drop_tables(spark, met, led)
-    if not failed.isEmpty():
-        more = persist_table(candidates(sets, failed, keep_open=True), "met")
-        late = late.union(settled(more))
-        drop_tables(spark, more)
     return late
 
 
@@ -210,7 +198,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marked = persist_table(marked_lines(keyed_lines(docs, id_col, text_col), rarity_sketch(docs, text_col).scalar()), "marked")
     of_set = [F.first(c).alias(c) for c in ("n", "parity", "prefix")]
     folded = marked.filter("k is not null").groupBy("k", "kk").agg(F.min(at).alias("first"), *of_set)
-    sets = persist_table(folded.withColumn("sid", F.monotonically_increasing_id()), "sets")
+    # numbered in the order of their first lines
+    ranged = folded.repartitionByRange("first").sortWithinPartitions("first")
+    sets = persist_table(ranged.withColumn("sid", F.monotonically_increasing_id()), "sets")
     lines = persist_table(marked.select("id", "key", "line_no", "k", "kk"), "lines")
     drop_tables(spark, marked)
     late = late_sets(sets, docs, id_col, text_col).select(F.col("later").alias("sid"), F.lit(True).alias("late"))
