@@ -59,19 +59,58 @@ def test_few_and_none(spark):
 
 
 def test_recall_over_blocks_and_salts(spark, monkeypatch):
-    monkeypatch.setattr(N, "BASE_ROWS", 100)
+    """Windows of an eighth of each ordering, over many blocks, partitions and salts."""
+    monkeypatch.setattr(N, "BLOCK_ROWS", 100)
     monkeypatch.setattr(N, "QUERY_ROWS", 7)
     rows = vectors(2000, 3)
     got = {}
-    for r in N.nearest(frame(spark, rows), lambda key: key % 20 == 0, min_block=100).collect():
+    for r in N.nearest(frame(spark, rows), lambda key: key % 20 == 0, curves=24, reach=128).collect():
         got.setdefault(r.query_id, set()).add(r.id)
     want = brute(rows)
     assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
 
 
+def test_windows_are_the_neighbours_in_key_order(spark, monkeypatch):
+    """With one ordering the candidates of a query are the ``reach`` vectors on either side."""
+    monkeypatch.setattr(N, "BLOCK_ROWS", 16)
+    rows = vectors(300, 5)
+    found, _ = N.folded(N.usable(frame(spark, rows), "vec_id", "embedding"), lambda key: key % 20 == 0, 20)
+    reps = N.persist_table(found.withColumn("stratum", N.F.lit(0)), "vectors")
+    ordering = N.Orderings(16, np.empty((0, 16)), 1, 4)
+    ordered = N.persist_table(N.in_order(N.placed(reps, {(16, 0): 0}, {(16, 0): ordering}), 7), "ordered")
+    line = [r.rid for r in ordered.filter("not asks").orderBy("pos").collect()]
+    keys = [r.key for r in ordered.filter("not asks").orderBy("pos").collect()]
+    assert keys == sorted(keys) and len(set(line)) == 300
+    met = {}
+    for r in N.screened(ordered, {0: 3}, 10, 500).collect():
+        met.setdefault(r.q, set()).add(r.b)
+    asked = {r.rid: r.pos for r in ordered.filter("asks").collect()}
+    assert len(asked) == 15
+    for q, pos in asked.items():
+        assert met[q] == set(line[max(0, pos - 10) : pos + 10])
+
+
+def test_ids_of_other_types_widths_and_repeats(spark):
+    rows = [(f"id{k:04}", v) for k, v in vectors(200, 9)] + [("id0000", vectors(1, 8)[0][1])] + [(f"w{k}", [1.0, float(k)]) for k in range(30)]
+    docs = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    got = {}
+    for r in N.nearest(docs, lambda key: key.isin("id0000", "id0100", "w3")).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.score))
+    assert [i for i, _ in got["w3"]] == [f"w{k}" for k in range(29, 8, -1)][:20]
+    for q in ("id0000", "id0100"):
+        own = [np.array(v) for i, v in rows if i == q]
+        best = {}
+        for i, v in rows:
+            if i != q and len(v) == 16:
+                best[i] = max([best.get(i, -9e9), *[float((o * np.array(v)).sum()) for o in own]])
+        want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20]
+        assert [i for i, _ in got[q]] == [i for i, _ in want]
+        assert np.allclose([x for _, x in got[q]], [x for _, x in want], atol=1e-12)
+
+
 def test_recall_of_unequal_norms(spark):
     rng = np.random.default_rng(11)
-    n = 21_000  # the full number of blocks
+    n = 21_000
     x = rng.normal(size=(n, 64))
     x = (x / np.linalg.norm(x, axis=1, keepdims=True) * np.exp(rng.normal(size=(n, 1)))).astype(np.float32)
     got = {}
