@@ -32,8 +32,8 @@ def sorted_counts(units: Words):
     def mark(groups: list[Group]) -> list[list[np.ndarray]]:
         out = []
         for group in groups:
-            windows = sorted((w, s, o) for s, (_, packed, n) in enumerate(group) for o, w in enumerate(window_bytes(units, packed, n)))
-            masks = [np.zeros(n, bool) for _, _, n in group]
+            windows = sorted((w, s, o) for s, (_, packed, n, _) in enumerate(group) for o, w in enumerate(window_bytes(units, packed, n)))
+            masks = [np.zeros(n, bool) for _, _, n, _ in group]
             for (w, s, o), (v, t, q) in zip(windows, windows[1:], strict=False):
                 if w == v:
                     masks[s][o] = masks[t][q] = True

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,10 +45,17 @@ class Rows:
     front), appended and read block by block: in files of ``folder``, or in memory without one."""
 
     def __init__(self, kinds: tuple, folder: str | None, name: str):
-        self.kinds, self.parts = kinds, []
+        self.kinds, self.parts, self.length = kinds, [], 0
         self.files = None if folder is None else [open(f"{folder}/{name}.{k}", "w+b") for k in range(3)]
 
+    def start(self) -> None:
+        """Forget all rows; files are written over from their beginning."""
+        self.parts, self.length = [], 0
+        for f in self.files or ():
+            f.seek(0)
+
     def append(self, *columns: np.ndarray) -> None:
+        self.length += len(columns[0])
         if self.files is None:
             self.parts.append(columns)
         else:
@@ -55,16 +63,16 @@ class Rows:
                 x.tofile(f)
 
     def read(self, rows: int, columns: tuple[int, ...] = (0, 1, 2)) -> Iterator[list[np.ndarray]]:
-        if self.files is None:
-            for part in self.parts:
-                for at in range(0, len(part[0]), rows):
-                    yield [part[k][at : at + rows] for k in columns]
-            return
-        for k in columns:
+        if self.files is None and len(self.parts) > 1:
+            self.parts = [tuple(np.concatenate(x) for x in zip(*self.parts, strict=True))]
+        for k in columns if self.files else ():
             self.files[k].flush()
             self.files[k].seek(0)
-        while len((first := np.fromfile(self.files[columns[0]], self.kinds[columns[0]], rows))):
-            yield [first, *(np.fromfile(self.files[k], self.kinds[k], len(first)) for k in columns[1:])]
+        for at in range(0, self.length, rows):
+            if self.files is None:
+                yield [self.parts[0][k][at : at + rows] for k in columns]
+            else:
+                yield [np.fromfile(self.files[k], self.kinds[k], min(rows, self.length - at)) for k in columns]
 
     def close(self) -> None:
         for f in self.files or ():
@@ -91,6 +99,13 @@ class Collection:
         self.text = np.concatenate([np.where(mark, 0, code[raw]).astype(code.dtype), np.zeros(depth + 1, code.dtype)])
         self.heads = np.lib.stride_tricks.sliding_window_view(self.text, depth)
         self.kinds = np.int32, np.uint8, code.dtype
+        self.steps = np.empty(0, np.int64)
+
+    def cells(self, front: np.ndarray) -> np.ndarray:
+        """Symbols of a block, told apart by step."""
+        if len(self.steps) < len(front):
+            self.steps = np.repeat(np.arange(-(-2 * len(front) // STEP)) * self.symbols, STEP)
+        return self.steps[: len(front)] + front
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common prefixes of suffixes, up to the depth and never over an end mark."""
@@ -102,14 +117,13 @@ class Collection:
         return out
 
 
-def occurrences(held: Rows, symbols: int, rank: np.ndarray, symbol: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
+def occurrences(c: Collection, held: Rows, rank: np.ndarray, symbol: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """How often ``symbol`` stands in front of a suffix before ``rank`` (ascending), and the totals of
     all symbols, in one pass over the column of symbols."""
-    found, before, at = np.empty(len(rank), np.int64), np.zeros(symbols, np.int64), 0
+    found, before, at, symbols = np.empty(len(rank), np.int64), np.zeros(c.symbols, np.int64), 0, c.symbols
     for (front,) in held.read(block_rows, (2,)):
         steps = -(-len(front) // STEP)
-        cells = np.repeat(np.arange(steps) * symbols, STEP)[: len(front)] + front
-        counts = np.bincount(cells, minlength=steps * symbols).reshape(steps, symbols)
+        counts = np.bincount(c.cells(front), minlength=steps * symbols).reshape(steps, symbols)
         upto = np.cumsum(counts, axis=0) - counts + before
         start = at
         to = int(np.searchsorted(rank, start + len(front)))
@@ -127,11 +141,18 @@ def occurrences(held: Rows, symbols: int, rank: np.ndarray, symbol: np.ndarray,
     return found, before
 
 
+def _merged(held: np.ndarray, old: np.ndarray, new: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    out = np.empty(len(old) + len(slot), held.dtype)
+    out[old] = held
+    out[slot] = new
+    return out
+
+
 def insert_column(c: Collection, held: Rows, new: Rows, current: np.ndarray, rank: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """One round: every string that goes on inserts the suffix longer by one symbol than its
     ``current`` one, which stands at ``rank``. Returns both for the new suffixes, in their order."""
     symbol = c.text[current - 1]
-    found, totals = occurrences(held, c.symbols, rank, symbol, block_rows)
+    found, totals = occurrences(c, held, rank, symbol, block_rows)
     # in front of the suffixes that begin with a symbol stand the empty ones and those of lesser symbols
     begin = len(c.ends) + np.concatenate([[0, 0], np.cumsum(totals[1:])])[: c.symbols]
     place = begin[symbol] + found
@@ -144,8 +165,11 @@ def insert_column(c: Collection, held: Rows, new: Rows, current: np.ndarray, ran
         # rows that go behind the last block's end wait for the next; the very last are appended below
         to = int(np.searchsorted(target, at + len(pos), "left"))
         where = target[done:to] - at
-        fresh = np.insert(np.zeros(len(pos), bool), where, True)
-        pos, lcp, bwt = np.insert(pos, where, position[done:to]), np.insert(lcp, where, 0), np.insert(bwt, where, front[done:to])
+        fresh = np.zeros(len(pos) + len(where), bool)
+        slot = where + np.arange(len(where))
+        fresh[slot] = True
+        old = np.flatnonzero(~fresh)
+        pos, lcp, bwt = (_merged(x, old, y, slot) for x, y in ((pos, position[done:to]), (lcp, np.uint8(0)), (bwt, front[done:to])))
         touched = np.flatnonzero(fresh | np.r_[last_new, fresh[:-1]])
         before = pos[touched - 1]
         if len(touched) and touched[0] == 0:
@@ -166,36 +190,61 @@ def collection(strings: list[bytes], depth: int, block_rows: int = BLOCK_ROWS, m
     c = Collection(strings, depth)
     with tempfile.TemporaryDirectory(prefix="suffixes-") as folder:
         where = folder if len(c.text) > memory_rows else None
-        held = Rows(c.kinds, where, "0")
+        held, new = Rows(c.kinds, where, "0"), Rows(c.kinds, where, "1")
         current, rank = c.ends, np.arange(len(strings), dtype=np.int64)  # the empty suffixes: a string ends at `ends`
         held.append(current.astype(np.int32), np.zeros(len(current), np.uint8), c.text[current - 1])
-        for number in range(1, c.rounds + 1):
+        for _ in range(c.rounds):
             goes_on = c.text[current - 1] != 0
-            new = Rows(c.kinds, where, str(number % 2))
+            new.start()
             current, rank = insert_column(c, held, new, current[goes_on], rank[goes_on], block_rows)
-            held.close()
-            held = new
+            held, new = new, held
         parts = [x[:2] for x in held.read(block_rows)]
         held.close()
+        new.close()
     return np.concatenate([p for p, _ in parts]), np.concatenate([x for _, x in parts]), c.starts
 
 
-def first_windows(window: int, block_rows: int = BLOCK_ROWS, memory_rows: int = MEMORY_ROWS):
-    """Bucket worker: marks the windows that occur in an earlier string of their group."""
+def first_windows(window: int, mer: int, block_rows: int = BLOCK_ROWS, memory_rows: int = MEMORY_ROWS):
+    """Bucket worker: marks the windows that occur in an earlier string of their group.
+
+    The windows of a bucket all hold its minimiser, with as many bytes before and behind as make a
+    window, and at least half of these on one side. A string whose minimiser has no other string's
+    bytes on a side cannot share the windows that reach so far there; only what is left of a string
+    enters the collection."""
+    half = (window - mer) // 2
+
+    def sides(packed: bytes, at: int) -> tuple[bytes | None, bytes | None]:
+        return packed[at - half : at + mer] if at >= half else None, packed[at : at + mer + half] if len(packed) >= at + mer + half else None
 
     def mark(groups: list[Group]) -> list[list[np.ndarray]]:
-        strings = [packed for group in groups for _, packed, _ in group]
-        row = np.concatenate([[place for place, _, _ in group] for group in groups])
-        home = np.repeat(np.arange(len(groups)), [len(group) for group in groups])
-        masks = iter(_later(strings, row, home, window, block_rows, memory_rows))
-        return [[next(masks) for _ in group] for group in groups]
+        strings, row, home, cuts, out = [], [], [], [], []
+        for number, group in enumerate(groups):
+            both = [sides(packed, at) for _, packed, _, at in group]
+            left, right = Counter(x for x, _ in both), Counter(x for _, x in both)
+            for (place, packed, n, at), (x, y) in zip(group, both, strict=True):
+                # windows that begin up to `half` bytes before the minimiser hold all of the right side, others of the left
+                first = 0 if x is not None and left[x] > 1 else max(0, at - half)
+                last = n if y is not None and right[y] > 1 else min(n, at - half + 1)
+                out.append((number, n, first))
+                if first < last:
+                    strings.append(packed[first : last - 1 + window])
+                    row.append(place)
+                    home.append(number)
+                    cuts.append(len(out) - 1)
+        found: list[list[np.ndarray]] = [[] for _ in groups]
+        masks = dict(zip(cuts, _later(strings, np.array(row), np.array(home), window, block_rows, memory_rows), strict=True)) if strings else {}
+        for k, (number, n, first) in enumerate(out):
+            whole = np.zeros(n, bool)
+            if k in masks:
+                whole[first : first + len(masks[k])] = masks[k]
+            found[number].append(whole)
+        return found
 
     return mark
 
 
 def _later(strings: list[bytes], row: np.ndarray, home: np.ndarray, window: int, block_rows: int, memory_rows: int) -> list[np.ndarray]:
-    """Per string, which of its windows occur earlier: in a string of its group that stands before it,
-    or in itself before that place."""
+    """Per string, which of its windows occur in a string of its group that stands before it."""
     pos, lcp, starts = collection(strings, window, block_rows, memory_rows)
     owner = np.searchsorted(starts, pos, "right") - 1
     offset = pos - starts[owner]
@@ -206,7 +255,8 @@ def _later(strings: list[bytes], row: np.ndarray, home: np.ndarray, window: int,
     order = np.argsort(kin, kind="stable")
     owner, offset, kin = owner[order], offset[order], kin[order]
     begin = np.flatnonzero(np.r_[True, kin[1:] != kin[:-1]])
-    early = row[owner] * (int(lengths.max()) + 1) + offset
+    # a string holds its bucket's minimiser once, so a window stands once in a string
+    early = row[owner]
     least = np.repeat(np.minimum.reduceat(early, begin), np.diff(np.r_[begin, len(kin)]))
     ends = np.cumsum(lengths - window + 1)
     flat = np.zeros(int(ends[-1]), bool)
@@ -218,7 +268,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(rows, results): one result per distinct text: (h1, h2, first, n_bytes, n_removed, n_spans,
     kept), for the first document that has it; all others lose every byte (if a window fits)."""
     units = Bytes(window, mer)
-    rows, texts = repeated_spans(docs, id_col, text_col, units, first_windows(window, **collection_limits), keep_first=True, limit=limit, chunk_bytes=COLLECTION_BYTES)
+    rows, texts = repeated_spans(docs, id_col, text_col, units, first_windows(window, mer, **collection_limits), keep_first=True, limit=limit, chunk_bytes=COLLECTION_BYTES)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

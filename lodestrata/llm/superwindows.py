@@ -71,8 +71,9 @@ def sliding_minimum(values: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def runs(units: np.ndarray, window: int, k: int, slice_: int = SLICE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimiser hash, first window, number of windows) of the super-windows of one text."""
+def runs(units: np.ndarray, window: int, k: int, slice_: int = SLICE) -> tuple[np.ndarray, ...]:
+    """(minimiser hash, first window, number of windows, minimiser's place from the first window's start)
+    of the super-windows of one text."""
     found = []
     for at in range(0, len(units) - window + 1, slice_):
         h = mer_hashes(units[at : at + slice_ + window - 1], k)
@@ -80,9 +81,9 @@ def runs(units: np.ndarray, window: int, k: int, slice_: int = SLICE) -> tuple[n
         low = np.uint64(0xFFFFFF)
         best = (sliding_minimum((h & ~low) | place, window - k + 1) & low).astype(np.int64)  # leftmost of equals
         first = np.flatnonzero(np.r_[True, best[1:] != best[:-1]])
-        found.append((h[best[first]].view(np.int64), first + at, np.diff(np.r_[first, len(best)])))
+        found.append((h[best[first]].view(np.int64), first + at, np.diff(np.r_[first, len(best)]), best[first] - first))
     if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return tuple(np.empty(0, np.int64) for _ in range(4))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -168,14 +169,14 @@ def packed_strings(texts: DataFrame, units: Bytes | Words, id_type: str, limit:
                 own, index = np.unique(hashes[offsets[row] : offsets[row + 1]], return_index=True)
                 many = counts[offsets[row] : offsets[row + 1]][index]
                 _, codes, cut = units.read(data)
-                h, start, n = runs(codes, units.window, units.mer)
+                h, start, n, place = runs(codes, units.window, units.mer)
                 at = np.minimum(np.searchsorted(own, h), len(own) - 1)
                 for k in np.flatnonzero(own[at] == h).tolist():
                     packed = cut(int(start[k]), int(start[k] + n[k]) + units.window - 1)
                     salts = -(-int(many[at[k]]) // limit)
                     # -1: the bucket is whole
                     salt = (xxhash.xxh32_intdigest(int(start[k]).to_bytes(8, "little"), batch.column(0)[row].as_py() & 0xFFFFFFFF)) % salts if salts > 1 else -1
-                    for x, v in zip(held, (int(h[k]), salt, int(start[k]), int(n[k]), packed), strict=False):
+                    for x, v in zip(held, (int(h[k]), salt, int(start[k]), int(n[k]), packed, int(place[k])), strict=True):
                         x.append(v)
                     which.append(row)
                     size += len(packed)
@@ -191,15 +192,16 @@ def packed_strings(texts: DataFrame, units: Bytes | Words, id_type: str, limit:
 def _string_rows(batch: pa.RecordBatch, held: list[list], which: list[int], schema: str) -> pa.RecordBatch:
     take = pa.array(which)
     columns = [pa.array(held[0], pa.int64()), pa.array(held[1], pa.int32()), batch.column(2).take(take), batch.column(0).take(take), batch.column(1).take(take)]
-    columns += [pa.array(held[2], pa.int64()), pa.array(held[3], pa.int32()), pa.array(held[4], pa.binary()), pa.array(np.zeros(len(which), bool))]
+    columns += [pa.array(held[2], pa.int64()), pa.array(held[3], pa.int32()), pa.array(held[4], pa.binary()), pa.array(np.zeros(len(which), bool)), pa.array(held[5], pa.int32())]
     return pa.RecordBatch.from_arrays(columns, _names(schema))
 
 
-#: (place in the order of id, rid and start, packed string, number of windows) of a bucket's distinct strings.
-Group = list[tuple[int, bytes, int]]
+#: (place in the order of id, rid and start, packed string, number of windows, the minimiser's place in
+#: the string) of a bucket's distinct strings.
+Group = list[tuple[int, bytes, int, int]]
 #: A bucket worker gets groups of two or more distinct strings and gives one mask of windows for each.
 Marker = Callable[[list[Group]], list[list[np.ndarray]]]
-STRINGS = "hash long, salt int, id {id_type}, rid long, h1 long, start long, n int, packed binary, many boolean"
+STRINGS = "hash long, salt int, id {id_type}, rid long, h1 long, start long, n int, packed binary, many boolean, at int"
 
 
 class _Bucket:
@@ -233,16 +235,16 @@ def settled(strings: DataFrame, units: Bytes | Words, marker: Marker, id_type: s
             # a string that others follow as equals stands for several
             several = np.searchsorted(copies, np.r_[fresh[1:], batch.num_rows]) > np.searchsorted(copies, fresh)
             if bucket.rows and len(copies) and (not len(fresh) or copies[0] < fresh[0]):
-                bucket.rows[-1] = (*bucket.rows[-1][:8], True)
+                bucket.rows[-1] = (*bucket.rows[-1][:8], True, bucket.rows[-1][9])
             held = batch.take(pa.array(fresh))
-            for row, more in zip(zip(*[held.column(k).to_pylist() for k in range(9)], strict=True), several.tolist(), strict=True):
+            for row, more in zip(zip(*[held.column(k).to_pylist() for k in range(10)], strict=True), several.tolist(), strict=True):
                 if bucket.rows and row[:2] != bucket.rows[-1][:2]:
                     done.append(bucket)
                     size, bucket = size + bucket.bytes, _Bucket()
                     if size >= chunk_bytes:
                         yield from _marks(done, units, marker, schema, keep_first, batch.schema)
                         done, size = [], 0
-                bucket.rows.append((*row[:8], row[8] or more))
+                bucket.rows.append((*row[:8], row[8] or more, row[9]))
                 bucket.bytes += len(row[7])
                 if len(bucket.rows) >= limit and row[1] < 0 or bucket.cut:
                     # the last string may yet turn out to stand for several
@@ -272,7 +274,7 @@ def _ranges(batch: pa.RecordBatch, rows: np.ndarray, window: int, schema: str) -
     """Marks of whole strings."""
     some = batch.take(pa.array(rows))
     start, n = some.column(5).to_numpy(), some.column(6).to_numpy()
-    return pa.RecordBatch.from_arrays([*some.columns[:7], pa.nulls(len(rows), pa.binary()), some.column(8), pa.array(start), pa.array(start + n + window - 1)], _names(schema))
+    return pa.RecordBatch.from_arrays([*some.columns[:7], pa.nulls(len(rows), pa.binary()), *some.columns[8:10], pa.array(start), pa.array(start + n + window - 1)], _names(schema))
 
 
 def _rows(rows: list[tuple], schema: str, kinds: pa.Schema) -> pa.RecordBatch:
@@ -284,8 +286,8 @@ def _rows(rows: list[tuple], schema: str, kinds: pa.Schema) -> pa.RecordBatch:
 def _left(rows: list[tuple], units: Bytes | Words, schema: str, kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Strings cut into their windows, which equal windows of other strings then meet by themselves."""
     out = []
-    for hash_, _, id_, rid, h1, start, n, packed, many in rows:
-        out += [(hash_, -2, id_, rid, h1, start + k, 1, w, many, None, None) for k, w in enumerate(window_bytes(units, packed, n))]
+    for hash_, _, id_, rid, h1, start, n, packed, many, at in rows:
+        out += [(hash_, -2, id_, rid, h1, start + k, 1, w, many, at - k, None, None) for k, w in enumerate(window_bytes(units, packed, n))]
         if len(out) > 10_000:
             yield _rows(out, schema, kinds)
             out = []
@@ -306,16 +308,16 @@ def _marks(buckets: list[_Bucket], units: Bytes | Words, marker: Marker, schema:
             out += [(*row, None, None) for row in rows]
             continue
         if not keep_first:
-            out += [(*row[:7], None, row[8], row[5], row[5] + row[6] + units.window - 1) for row in rows if row[8]]
+            out += [(*row[:7], None, *row[8:], row[5], row[5] + row[6] + units.window - 1) for row in rows if row[8]]
         if len(rows) > 1:
             order = sorted(range(len(rows)), key=lambda k: ((rows[k][2] is not None, rows[k][2]) if rows[k][2] is not None else (False,), rows[k][3], rows[k][5]))  # noqa: B023
             place = {k: p for p, k in enumerate(order)}
-            groups.append([(place[k], row[7], row[6]) for k, row in enumerate(rows)])
+            groups.append([(place[k], row[7], row[6], row[9]) for k, row in enumerate(rows)])
             sources.append(rows)
     for rows, masks in zip(sources, marker(groups) if groups else [], strict=True):
         for row, mask in zip(rows, masks, strict=True):
             edges = np.flatnonzero(np.diff(np.r_[False, mask, False]))
-            out += [(*row[:7], None, row[8], row[5] + x, row[5] + y - 1 + units.window) for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
+            out += [(*row[:7], None, *row[8:], row[5] + x, row[5] + y - 1 + units.window) for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
     yield _rows(out, schema, kinds)
 
 

@@ -46,7 +46,9 @@ def test_mers_depend_on_their_units_only():
 def test_runs_tile_all_windows_and_equal_windows_share_their_hash():
     a = np.array(([1, 2, 3, 4, 5, 6, 7, 8] * 20 + [rng.randrange(4) for _ in range(300)]) * 2, np.uint8)
     for slice_ in (50, 1 << 18):
-        h, start, n = superwindows.runs(a, 20, 6, slice_)
+        h, start, n, place = superwindows.runs(a, 20, 6, slice_)
+        mers = superwindows.mer_hashes(a, 6)
+        assert (mers[start + place].view(np.int64) == h).all()
         assert start[0] == 0 and (start[1:] == start[:-1] + n[:-1]).all() and n.sum() == len(a) - 19
         by = {}
         for x, s, k in zip(h, start, n, strict=True):
