@@ -102,7 +102,8 @@ FILE_TYPE_WORDS = {
 IGNORED_FOLDERS = [".git", ".svn", ".hg", ".venv", "venv", "env", "__pycache__", "node_modules", ".idea", ".vscode", "AppData", "$RECYCLE.BIN", "System Volume Information"]
 IGNORED_EXTENSIONS = [".tmp", ".temp", ".crdownload", ".part", ".swp", ".lock", ".log", ".bak", "~"]
 ROMANISED_WORDS = ["oda", "kaatu", "kaattu", "kooda", "potta", "irukku", "paaru", "vechu", "padam", "padangal", "eduthu", "enaku", "enakku", "nethu", "venum", "kudunga", "irukka", "illai", "enga", "enna", "iruntha", "pannu", "kodu", "thanga", "eppadi", "yaar", "yaaru", "neram", "vanthu", "panna", "edutha", "paatha", "ke", "ki", "ka", "ko", "dikhao", "karo", "hai", "kahan", "mera", "meri", "chahiye", "wali", "wale", "tasveerein", "tasveer", "mujhe", "dhundo", "bhejo", "lao", "kal", "aaj", "wala", "bhi", "tha", "thi", "raha", "rahe", "dedo", "karna", "aur", "sab", "sabhi", "chupinchu", "yokka", "ekkada", "unnayi", "naaku", "kaanikku", "ude", "evide", "enikku"]
-INDIC = r"[\x{0900}-\x{0DFF}]"
+#: Scripts from Devanagari to Malayalam.
+INDIC = r"[\x{0900}-\x{0D7F}]"
 #: Fusion weights of (image, lexical, dense, filename) by intent.
 INTENT_WEIGHTS = {"academic": (0.0, 0.35, 0.20, 0.45), "visual": (0.60, 0.15, 0.10, 0.15), "general": (0.15, 0.35, 0.25, 0.25)}
 

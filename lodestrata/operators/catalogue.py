@@ -130,8 +130,9 @@ def history_without_repeats(history: DataFrame, by: str = "owner") -> DataFrame:
 
 
 def ignored(path: Column) -> Column:
-    """Paths a watcher leaves out: by a folder, an extension, or a temporary or hidden name."""
+    """Paths a watcher leaves out: by a folder, the extension (what follows the last dot of a name, that
+    of ``x.txt~`` being ``.txt~``), or a temporary or hidden name."""
     parts = F.split(path, r"[/\\]")
     name = F.element_at(parts, -1)
-    ends = reduce(lambda a, b: a | b, [F.lower(name).endswith(e) for e in V.IGNORED_EXTENSIONS])
-    return F.arrays_overlap(parts, F.array(*[F.lit(x) for x in V.IGNORED_FOLDERS])) | ends | name.startswith("~$") | name.startswith(".")
+    suffix = F.lower(F.regexp_extract(name, r"^.+(\.[^.]+)$", 1))
+    return F.arrays_overlap(parts, F.array(*[F.lit(x) for x in V.IGNORED_FOLDERS])) | suffix.isin(V.IGNORED_EXTENSIONS) | name.startswith("~$") | name.startswith(".")

@@ -23,13 +23,20 @@ def in_blocks(left: DataFrame, right: DataFrame, right_key: str, blocks: int = B
 def best_matches(detections: DataFrame, references: DataFrame) -> DataFrame:
     """(det_id, person_id, best, margin): each person's best reference counts, and the margin is the
     best person's lead over the second."""
-    pairs = in_blocks(detections, references, "ref_vector").select("det_id", "person_id", dot(F.col("det_vector"), F.col("ref_vector")).alias("sim"))
+    pairs = in_blocks(unit_vectors(detections, "det_vector"), unit_vectors(references, "ref_vector"), "ref_vector").select("det_id", "person_id", dot(F.col("det_vector"), F.col("ref_vector")).alias("sim"))
     per_person = pairs.groupBy("det_id", "person_id").agg(F.max("sim").alias("sim"))
     order = Window.partitionBy("det_id").orderBy(F.desc("sim"), "person_id")
     ranked = per_person.select("det_id", "person_id", "sim", F.lead("sim").over(order).alias("second"), F.row_number().over(order).alias("r"))
     return ranked.filter("r = 1").select("det_id", "person_id", F.col("sim").alias("best"), F.when(F.coalesce("second", F.lit(-1.0)) < 0, 1.0).otherwise(F.col("sim") - F.col("second")).alias("margin"))
 
 
+def unit_vectors(rows: DataFrame, name: str) -> DataFrame:
+    """``name`` scaled to length 1; vectors shorter than 1e-6 (and null ones) have no direction and go."""
+    norm = F.sqrt(dot(F.col(name), F.col(name)))
+    scaled = F.transform(F.col(name).cast("array<double>"), lambda x: x / F.col("_norm"))
+    return rows.withColumn("_norm", norm).filter(F.col("_norm") >= 1e-6).withColumn(name, scaled).drop("_norm")
+
+
 def graded(best: Column, margin: Column, confirmed: float = CONFIRMED, possible: float = POSSIBLE, lead: float = MARGIN) -> Column:
     return F.when((best >= confirmed) & (margin >= lead), "CONFIRMED").when(best >= possible, "POSSIBLE").otherwise("UNKNOWN")
 
@@ -149,6 +156,8 @@ def suppress_overlaps(boxes: DataFrame, iou: float = 0.35, ios: float = 0.50) ->
                 w = min(r.x + r.w, k.x + k.w) - max(r.x, k.x)
                 h = min(r.y + r.h, k.y + k.h) - max(r.y, k.y)
                 inner = max(0.0, w) * max(0.0, h)
+                if min(r.w * r.h, k.w * k.h) <= 0:  # a box without area overlaps nothing
+                    continue
                 if inner >= iou * (r.w * r.h + k.w * k.h - inner) or inner >= ios * min(r.w * r.h, k.w * k.h):
                     break
             else:

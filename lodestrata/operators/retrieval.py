@@ -101,6 +101,7 @@ def mean_vector(vectors: list[list[float]]) -> list[float]:
 
 
 def image_norm(score: Column) -> Column:
+    """Similarities of image and text, which hardly leave [0.18, 0.34], as [0, 1]."""
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (score - 0.18) / 0.16))
 
 
@@ -120,10 +121,12 @@ def fused(intent: str, image: Column, lexical: Column, dense: Column, filename:
     return w[0] * image + w[1] * lexical + w[2] * dense + w[3] * filename
 
 
-def role_blend(base: Column, roles: Column, coordination: Column) -> Column:
-    """Roles lead as far as the candidate has them together; a negative confirmation damps."""
+def role_blend(base: Column, roles: Column, coordination: Column, denied: Column | None = None) -> Column:
+    """Roles lead as far as the candidate has them together. Where they do not, ``denied`` (analysed,
+    seen by the image branch, but without the roles; all such rows if not given) damps."""
     w = 0.35 * coordination
-    return F.when((roles > 0.05) & (coordination >= 0.25), w * roles + (1 - w) * base).otherwise(base * 0.85)
+    damped = base * 0.85 if denied is None else F.when(denied, base * 0.85).otherwise(base)
+    return F.when((roles > 0.05) & (coordination >= 0.25), w * roles + (1 - w) * base).otherwise(damped)
 
 
 def contradiction_damping(score: Column, contradiction: Column) -> Column:
@@ -141,13 +144,16 @@ def boosted(score: Column, date: Column, category: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), s))
 
 
-def rerank(ranked: DataFrame, second: Column, pool: int = 5) -> DataFrame:
-    """(id, rank, score): the first ``pool`` rows blend .70 own with .30 second score, the tail stays."""
+def rerank(ranked: DataFrame, second: Column, pool: int = 5, query: str | None = None) -> DataFrame:
+    """The first ``pool`` rows of each query's list blend .70 own with .30 second score and change places
+    by it; the tail stays as it is and enters no window. ``query`` is the lists' key; without one all
+    rows are one list."""
     inside = F.col("rank") <= pool
-    blended = ranked.withColumn("score", F.when(inside, F.round(0.70 * F.col("score") + 0.30 * second, 3)).otherwise(F.col("score")))
-    order = Window.partitionBy((~inside).alias("tail")).orderBy(F.desc("score"), "rank")
-    place = F.row_number().over(order)
-    return blended.withColumn("rank", F.when(inside, place).otherwise(F.col("rank")))
+    blended = ranked.filter(inside).withColumn("score", F.round(0.70 * F.col("score") + 0.30 * second, 3))
+    order = Window.partitionBy(F.col(query) if query else F.lit(0)).orderBy(F.desc("score"), "rank")
+    kind = ranked.schema["rank"].dataType
+    head = blended.withColumn("rank", F.row_number().over(order).cast(kind))
+    return head.unionByName(ranked.filter(~inside))
 
 
 def explanation(reasons: Column) -> Column:

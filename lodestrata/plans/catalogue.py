@@ -6,9 +6,7 @@ a limit stands only where it is the operator (top-k).
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -21,20 +19,7 @@ from ..operators import metrics as M
 from ..operators import retrieval as R
 from ..sources.views import FILES_SQL, files, table
 from ..streaming import events as S
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import QUERIES, SQL, query  # noqa: F401
 
 def _in(exts: list[str]) -> str:
     return "(" + ", ".join(f"'{e}'" for e in exts) + ")"
@@ -186,7 +171,12 @@ def p6_content_hash(spark, sf):
 _CONCEPTS = ["Puppy", "QR-code", "automobile!", "dog", "Flyer", "vibrant", "laptop computer"]
 
 
-@query(f"""SELECT p_partkey, list_distinct_ordered AS concepts FROM (SELECT p_partkey, list_extract([{", ".join("['dog', 'qr code', 'car']" if k == 0 else "['qr code', 'car', 'dog']" if k == 1 else "['car', 'dog', 'poster']" if k == 2 else "['dog', 'poster', 'vibrant']" if k == 3 else "['poster', 'vibrant', 'laptop']" for k in range(5))}], CAST(p_partkey % 5 + 1 AS BIGINT)) AS list_distinct_ordered FROM part)""")
+_SQL_SYNONYM = "CASE w " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.SYNONYMS.items()) + " ELSE w END"
+
+
+@query(f"""WITH r AS (SELECT p_partkey, unnest(list_slice({_CONCEPTS}, CAST(p_partkey % 5 + 1 AS BIGINT), CAST(p_partkey % 5 + 3 AS BIGINT))) AS raw, unnest([1, 2, 3]) AS place FROM part),
+    w AS (SELECT p_partkey, place, trim(regexp_replace(lower(raw), '[.,;:!?"''()]', '', 'g')) AS w FROM r), c AS (SELECT p_partkey, {_SQL_SYNONYM} AS c, min(place) AS place FROM w GROUP BY 1, 2)
+    SELECT p_partkey, list(c ORDER BY place) AS concepts FROM c WHERE c <> '' GROUP BY 1""")
 def p8_canonical_concepts(spark, sf):
     raw = F.slice(F.array(*[F.lit(c) for c in _CONCEPTS]), (F.col("p_partkey") % 5 + 1).cast("int"), 3)
     return table(spark, sf, "part").select("p_partkey", T.canonical(raw).alias("concepts"))
@@ -244,13 +234,16 @@ def f17_fast_path_changed(spark, sf):
     return C.fast_path(f.drop("content_hash"), seen).select("file_id")
 
 
-_PATHS = ["/home/a/.git/config", "/home/a/notes.txt", "/home/a/~$draft.docx", "/srv/node_modules/x.js", "/srv/data/part.tmp", "/srv/.hidden"]
+_WATCHED = "'/' || list_extract(['.git', 'a', 'node_modules', 'b', 'AppData', 'env.d', 'c'], CAST(event_id % 7 + 1 AS BIGINT)) || '/' || list_extract(['~$', '.', '', 'x'], CAST(event_id % 4 + 1 AS BIGINT)) || event_type || list_extract(['.txt', '.TMP', '.log', '.txt~', '', '.part'], CAST(event_id % 6 + 1 AS BIGINT))"
 
 
-@query(f"SELECT event_id, CAST(event_id % 6 <> 1 AS BOOLEAN) AS is_ignored FROM events")
+@query(f"""WITH p AS (SELECT event_id, {_WATCHED} AS path FROM events), n AS (SELECT *, list_extract(string_split(path, '/'), -1) AS name FROM p)
+    SELECT event_id, path, len(list_intersect(string_split(path, '/'), {V.IGNORED_FOLDERS})) > 0 OR starts_with(name, '~$') OR starts_with(name, '.') OR list_contains({V.IGNORED_EXTENSIONS}, lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1))) AS is_ignored FROM n""")
 def f14_watch_ignore(spark, sf):
-    path = F.element_at(F.array(*[F.lit(p) for p in _PATHS]), (F.col("event_id") % 6 + 1).cast("int"))
-    return table(spark, sf, "events").select("event_id", C.ignored(path).alias("is_ignored"))
+    pick = lambda words: F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("event_id") % len(words) + 1).cast("int"))
+    path = F.concat(F.lit("/"), pick([".git", "a", "node_modules", "b", "AppData", "env.d", "c"]), F.lit("/"), pick(["~$", ".", "", "x"]), "event_type", pick([".txt", ".TMP", ".log", ".txt~", "", ".part"]))
+    e = table(spark, sf, "events").select("event_id", path.alias("path"))
+    return e.select("event_id", "path", C.ignored(F.col("path")).alias("is_ignored"))
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'tion') OR contains(lower(source), 'src1')")
@@ -280,9 +273,9 @@ def j10_n2_best_per_person(spark, sf):
     return E.best_per_person(o)
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000)")
 def j11_anti(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return table(spark, sf, "customer").select("c_custkey").join(table(spark, sf, "orders").filter("o_orderstatus = 'F' and o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -373,10 +366,15 @@ def n9_merge_names(spark, sf):
 _BITS = " | ".join(f"(CASE WHEN list_extract(embedding, {i + 1}) > 0 THEN 1::UBIGINT << {i} ELSE 0::UBIGINT END)" for i in range(64))
 
 
-@query(f"WITH h AS (SELECT vec_id AS id, ({_BITS}) AS h FROM embeddings) SELECT a.id AS id_a, b.id AS id_b, bit_count(xor(a.h, b.h))::INTEGER AS distance FROM h a JOIN h b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 14")
+_FLIPPED = f"h AS (SELECT vec_id AS id, ({_BITS}) AS h FROM embeddings UNION ALL SELECT vec_id + 1000000, xor(xor(({_BITS}), 1::UBIGINT << (vec_id % 64)), 1::UBIGINT << (vec_id * 7 % 64)) FROM embeddings)"
+
+
+@query(f"WITH {_FLIPPED} SELECT a.id AS id_a, b.id AS id_b, bit_count(xor(a.h, b.h))::INTEGER AS distance FROM h a JOIN h b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 5")
 def j14_o11_hamming_pairs(spark, sf):
-    v = table(spark, sf, "embeddings")
-    return D.hamming_pairs(v.select(F.col("vec_id").alias("id"), D.sign_hash(F.col("embedding")).alias("hash")), 14)
+    """Every hash and a copy of it with up to two bits changed."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), D.sign_hash(F.col("embedding")).alias("hash"))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("id") * k % 64).cast("int"))
+    return D.hamming_pairs(v.union(v.select(F.col("id") + 1_000_000, F.col("hash").bitwiseXOR(bit(1)).bitwiseXOR(bit(7)))), 5)
 
 
 _DOT = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i]::DOUBLE * {1}[i]::DOUBLE))"
@@ -404,11 +402,11 @@ def r8_prompt_ensemble(spark, sf):
 
 def faces(spark, sf):
     v = table(spark, sf, "embeddings")
-    refs = v.filter("vec_id < 60").select(F.col("label").alias("person_id"), F.col("embedding").alias("ref_vector"))
-    return v.filter("vec_id >= 60").select(F.col("vec_id").alias("det_id"), F.col("embedding").alias("det_vector")), refs
+    refs = v.filter("vec_id % 9 = 0").select(F.col("label").alias("person_id"), F.col("embedding").alias("ref_vector"))
+    return v.filter("vec_id % 9 <> 0").select(F.col("vec_id").alias("det_id"), F.col("embedding").alias("det_vector")), refs
 
 
-_MATCH = f"""p AS (SELECT d.vec_id AS det_id, r.label AS person_id, max({_DOT.format('d.embedding', 'r.embedding')}) AS sim FROM embeddings d, embeddings r WHERE d.vec_id >= 60 AND r.vec_id < 60 GROUP BY 1, 2),
+_MATCH = f"""p AS (SELECT d.vec_id AS det_id, r.label AS person_id, max({_DOT.format('d.embedding', 'r.embedding')}) AS sim FROM embeddings d, embeddings r WHERE d.vec_id % 9 <> 0 AND r.vec_id % 9 = 0 GROUP BY 1, 2),
     k AS (SELECT *, lead(sim) OVER (PARTITION BY det_id ORDER BY sim DESC, person_id) AS second, row_number() OVER (PARTITION BY det_id ORDER BY sim DESC, person_id) AS rn FROM p),
     m AS (SELECT det_id, person_id, sim AS best, CASE WHEN coalesce(second, -1) < 0 THEN 1.0 ELSE sim - second END AS margin FROM k WHERE rn = 1)"""
 
@@ -520,23 +518,23 @@ _BASE = "b AS (SELECT l_orderkey AS k, l_linenumber AS n, l_discount * 10 AS bas
 
 
 @query(f"""WITH {_BASE}, r AS (SELECT *, CASE WHEN roles > 0.05 AND coord >= 0.25 THEN 0.35 * coord * roles + (1 - 0.35 * coord) * base ELSE base * 0.85 END AS s1 FROM b), d AS (SELECT *, s1 * greatest(0.15, 1 - 0.6 * coord) AS s2 FROM r),
-    p AS (SELECT *, CASE WHEN n > 3 THEN 0.55 * roles + 0.45 * s2 ELSE s2 * 0.4 END AS s3 FROM d), q AS (SELECT *, CASE WHEN n = 1 THEN least(1.0, s3 * 1.35) WHEN n = 2 THEN s3 * 0.4 ELSE s3 END AS s4 FROM p)
+    p AS (SELECT *, CASE WHEN n > 3 AND roles > 0 THEN 0.55 * roles + 0.45 * s2 ELSE s2 * 0.4 END AS s3 FROM d), q AS (SELECT *, CASE WHEN n = 1 THEN least(1.0, s3 * 1.35) WHEN n = 2 THEN s3 * 0.4 ELSE s3 END AS s4 FROM p)
     SELECT k, n, round(greatest(0.0, least(1.0, CASE WHEN k % 2 = 0 THEN least(1.0, s4 * 1.25) ELSE s4 END)) + 1e-9, 6)::DOUBLE AS score FROM q""")
 def r16_r19_score_chain(spark, sf):
     b = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), (F.col("l_discount") * 10).alias("base"), (F.col("l_tax") * 10).alias("roles"), (F.col("l_quantity") / 50).alias("coord"))
     s = R.contradiction_damping(R.role_blend(F.col("base"), F.col("roles"), F.col("coord")), F.col("coord"))
     s = R.person_fusion(s, F.when(F.col("n") > 3, F.col("roles")).otherwise(0.0), True)
-    b = b.withColumn("s3", F.when((F.col("n") > 3) & (F.col("roles") <= 0), 0.45 * R.contradiction_damping(R.role_blend(F.col("base"), F.col("roles"), F.col("coord")), F.col("coord"))).otherwise(s))
+    b = b.withColumn("s3", s)
     date = F.when(F.col("n") == 1, 1).when(F.col("n") == 2, -1).otherwise(0)
     return b.select("k", "n", F.round(R.boosted(F.col("s3"), date, F.col("k") % 2 == 0) + 1e-9, 6).alias("score"))
 
 
 @query("""WITH r AS (SELECT c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank, c_nationkey AS q, c_acctbal / 10000 AS score, (c_custkey % 10) / 10.0::DOUBLE AS second FROM customer), b AS (SELECT *, CASE WHEN rank <= 5 THEN round(0.7::DOUBLE * score + 0.3::DOUBLE * second, 3) ELSE score END AS s FROM r)
-    SELECT q, id, CASE WHEN rank <= 5 THEN row_number() OVER (PARTITION BY q, rank > 5 ORDER BY s DESC, rank) ELSE rank END AS rank, round(s, 5) AS score FROM b WHERE q = 3""")
+    SELECT q, id, CASE WHEN rank <= 5 THEN row_number() OVER (PARTITION BY q, rank > 5 ORDER BY s DESC, rank) ELSE rank END AS rank, round(s, 6) AS score FROM b""")
 def r20_o13_rerank(spark, sf):
     order = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
-    r = table(spark, sf, "customer").withColumn("rank", F.row_number().over(order)).filter("c_nationkey = 3").select(F.col("c_nationkey").alias("q"), F.col("c_custkey").alias("id"), "rank", (F.col("c_acctbal") / 10000).alias("score"), ((F.col("c_custkey") % 10) / 10.0).alias("second"))
-    return R.rerank(r, F.col("second")).select("q", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
+    r = table(spark, sf, "customer").withColumn("rank", F.row_number().over(order)).select(F.col("c_nationkey").alias("q"), F.col("c_custkey").alias("id"), "rank", (F.col("c_acctbal") / 10000).alias("score"), ((F.col("c_custkey") % 10) / 10.0).alias("second"))
+    return R.rerank(r, F.col("second"), query="q").select("q", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query("""WITH t AS (SELECT p_partkey AS id, list_distinct(list_filter(string_split_regex(lower(p_name || ' ' || p_type), '[^a-z0-9]+'), lambda x: length(x) > 1)) AS w FROM part) SELECT id, len(list_intersect(w, ['brushed', 'steel', 'large', 'red', 'promo']))::INTEGER AS hits FROM t WHERE len(list_intersect(w, ['brushed', 'steel', 'large', 'red', 'promo'])) > 0 ORDER BY 2 DESC, 1 DESC LIMIT 50""")
@@ -547,7 +545,7 @@ def r10_o12_concept_search(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), hits.alias("hits")).filter("hits > 0").orderBy(F.desc("hits"), F.desc("id")).limit(50)
 
 
-@query(f"SELECT doc_id, len(list_intersect({_TOK.format('text')}, {V.ROMANISED_WORDS})) > 0 OR regexp_matches(text, '[\\x{{0900}}-\\x{{0DFF}}]') AS code_mixed FROM documents")
+@query(f"SELECT doc_id, len(list_intersect({_TOK.format('text')}, {V.ROMANISED_WORDS})) > 0 OR regexp_matches(text, '[\\x{{0900}}-\\x{{0D7F}}]') AS code_mixed FROM documents")
 def qj_code_mixed(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.code_mixed(F.col("text")).alias("code_mixed"))
 
@@ -598,13 +596,14 @@ def o4_largest_videos(spark, sf):
 
 # ---------------------------------------------------------------- quality
 
-_RUNS = """runs AS (SELECT o_custkey AS query_id, o_orderkey AS item, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders), qrels AS (SELECT o_custkey AS query_id, o_orderkey AS item, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS gain FROM orders WHERE o_orderkey % 3 = 0)"""
+_RUNS = """listed AS (SELECT o_custkey AS query_id, o_orderkey AS item, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders), runs AS (SELECT query_id, item, min(rank) AS rank FROM (SELECT * FROM listed UNION ALL SELECT query_id, item, rank + 2 FROM listed) GROUP BY 1, 2), qrels AS (SELECT o_custkey AS query_id, o_orderkey AS item, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS gain FROM orders WHERE o_orderkey % 3 = 0)"""
 
 
 def judged(spark, sf):
     o = table(spark, sf, "orders")
     order = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     runs = o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("item"), F.row_number().over(order).alias("rank"))
+    runs = runs.union(runs.withColumn("rank", F.col("rank") + 2))  # every item is returned twice
     qrels = o.filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("item"), F.when(F.col("o_orderstatus") == "F", 2).otherwise(1).alias("gain"))
     return runs, qrels
 
@@ -630,9 +629,9 @@ def a12_mean_metrics(spark, sf):
 
 
 @query("""WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS b FROM events), g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM o)
-    SELECT user_id, max_by(event_type, ts) AS event_type, max(ts) AS at, count(*) AS n_events FROM g GROUP BY user_id, s""")
+    SELECT user_id, max_by(event_type, (ts, event_id)) AS event_type, max(ts) AS at, count(*) AS n_events FROM g GROUP BY user_id, s""")
 def t2_debounce(spark, sf):
-    return S.debounce(table(spark, sf, "events"), ["user_id"], "6 hours")
+    return S.debounce(table(spark, sf, "events"), ["user_id"], "6 hours", tie="event_id")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -643,4 +642,4 @@ def t8_tumbling_counts(spark, sf):
 @query("""WITH w AS (SELECT user_id, time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL 12 HOUR * unnest([0, 1]) AS start FROM events WHERE event_type = 'error') SELECT start, user_id, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(*) >= 2""")
 def t7_lockouts(spark, sf):
     e = table(spark, sf, "events").filter("event_type = 'error'")
-    return S.lockouts(e, ["user_id"], failures=2, within="24 hours", slide="12 hours")
+    return S.failure_windows(e, ["user_id"], failures=2, within="24 hours", slide="12 hours")

@@ -91,37 +91,42 @@ def _cut(text: str, m: re.Match) -> str:
     return re.sub(r"\s+", " ", text[: m.start()] + " " + text[m.end() :]).strip()
 
 
+DAY, YEAR = r"(\d{1,2})(?:st|nd|rd|th)?", r"(?:,?\s+(\d{4}))?"
+WEEKDAYS = {d.lower(): k for k, d in enumerate(calendar.day_name)}
+#: Days that a relative word reaches back from now.
+REACHES = {"week": 7, "month": 30, "year": 365}
+
+
+def _day(year: int, month: int, day: int) -> date | None:
+    """None for days that the calendar does not have."""
+    return date(year, month, day) if 1 <= day <= calendar.monthrange(year, month)[1] else None
+
+
 def find_date(text: str, now: date) -> tuple[DateRange | None, str]:
-    """The first of: a day range, day month, month day, month with year, relative words."""
+    """The first of: a day range, day month, month day, month with year, relative words. A day that the
+    calendar does not have is no match, and the next form is tried. Relative words but 'today', 'yesterday'
+    and weekdays reach back 7, 30 or 365 days from now."""
     low = text.lower()
-    year = r"(?:,?\s+(\d{4}))?"
-    if m := re.search(rf"\b(?:between|from)\s+(\d{{1,2}})\s+(?:and|to)\s+(\d{{1,2}})\s+{MONTH}{year}\b", low):
-        y, month = int(m[4] or now.year), MONTHS[m[3]]
-        last = calendar.monthrange(y, month)[1]
-        return DateRange(date(y, month, min(int(m[1]), last)), date(y, month, min(int(m[2]), last))), _cut(text, m)
-    for pattern, d, mo in ((rf"\b(\d{{1,2}})(?:st|nd|rd|th)?\s+(?:of\s+)?{MONTH}{year}\b", 1, 2), (rf"\b{MONTH}\s+(\d{{1,2}})(?:st|nd|rd|th)?(?!\d){year}\b", 2, 1)):
-        if (m := re.search(pattern, low)) and 1 <= int(m[d]) <= 31:
-            if m[3]:
-                y, month = int(m[3]), MONTHS[m[mo]]
-                day = date(y, month, min(int(m[d]), calendar.monthrange(y, month)[1]))
-                return DateRange(day, day), _cut(text, m)
-            return DateRange(day=int(m[d]), month=MONTHS[m[mo]]), _cut(text, m)
-    if m := re.search(rf"\b(?:in\s+|from\s+|during\s+)?{MONTH}(?:\s+|-)(\d{{4}})\b", low):
-        y, month = int(m[2]), MONTHS[m[1]]
-        return DateRange(date(y, month, 1), date(y, month, calendar.monthrange(y, month)[1])), _cut(text, m)
-    if (m := re.search(rf"\b(?:in|from|during)\s+{MONTH}\b", low)) and m[1] != "may":
+    if m := re.search(rf"\b(?:between|from)\s+{DAY}\s+(?:and|to)\s+{DAY}\s+{MONTH}{YEAR}\b", low):
+        year, month = int(m[4] or now.year), MONTHS[m[3]]
+        ends = [_day(year, month, d) for d in sorted((int(m[1]), int(m[2])))]
+        if all(ends):
+            return DateRange(*ends), _cut(text, m)
+    for pattern, d, mo in ((rf"\b{DAY}\s+(?:of\s+)?{MONTH}{YEAR}\b", 1, 2), (rf"\b{MONTH}\s+{DAY}(?!\d){YEAR}\b", 2, 1)):
+        if m := re.search(pattern, low):
+            day = _day(int(m[3] or now.year), MONTHS[m[mo]], int(m[d]))
+            if day:
+                return DateRange(day, day) if m[3] else DateRange(day=day.day, month=day.month), _cut(text, m)
+    if m := re.search(rf"\b(?:in\s+|from\s+|during\s+|of\s+)?{MONTH}(?:\s+|-)(\d{{4}})\b", low):
+        year, month = int(m[2]), MONTHS[m[1]]
+        return DateRange(date(year, month, 1), date(year, month, calendar.monthrange(year, month)[1])), _cut(text, m)
+    if (m := re.search(rf"\b(?:in|from|during|of)\s+{MONTH}\b", low)) and m[1] != "may":
         return DateRange(month=MONTHS[m[1]]), _cut(text, m)
-    monday = now - timedelta(days=now.weekday())
-    first = now.replace(day=1)
-    before = first - timedelta(days=1)
-    spans = {
-        "today": (now, now), "yesterday": (now - timedelta(1), now - timedelta(1)), "last week": (monday - timedelta(7), monday - timedelta(1)),
-        "this week": (monday, now), "last month": (before.replace(day=1), before), "this month": (first, now),
-        "last year": (date(now.year - 1, 1, 1), date(now.year - 1, 12, 31)), "this year": (date(now.year, 1, 1), now),
-    }
-    for words, (a, b) in spans.items():
-        if m := re.search(rf"\b(?:from\s+)?{words}\b", low):
-            return DateRange(a, b), _cut(text, m)
+    if m := re.search(rf"\b(?:from\s+)?(?:(today)|(yesterday)|last\s+({'|'.join(WEEKDAYS)})|last\s+({'|'.join(REACHES)}))\b", low):
+        if m[4]:
+            return DateRange(now - timedelta(REACHES[m[4]]), now), _cut(text, m)
+        back = 0 if m[1] else 1 if m[2] else (now.weekday() - WEEKDAYS[m[3]]) % 7 or 7
+        return DateRange(now - timedelta(back), now - timedelta(back)), _cut(text, m)
     if m := re.search(r"\b(?:last|past)\s+(\d{1,3})\s+days\b", low):
         return DateRange(now - timedelta(int(m[1])), now), _cut(text, m)
     return None, text

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,10 +13,11 @@ def _marked(events: DataFrame, ts: str, late: str) -> DataFrame:
     return events.withWatermark(ts, late) if events.isStreaming else events
 
 
-def debounce(events: DataFrame, keys: list[str], gap: str, ts: str = "ts", kind: str = "event_type", late: str = "10 minutes") -> DataFrame:
-    """Trailing edge: of the events of a key less than ``gap`` apart, the last one's kind, at its time."""
+def debounce(events: DataFrame, keys: list[str], gap: str, ts: str = "ts", kind: str = "event_type", late: str = "10 minutes", tie: str | None = None) -> DataFrame:
+    """Trailing edge: of the events of a key less than ``gap`` apart, the last one's kind, at its time; at
+    equal times the one with the largest ``tie``, or the largest kind."""
     grouped = _marked(events, ts, late).groupBy(*keys, F.session_window(ts, gap).alias("w"))
-    return grouped.agg(F.max_by(kind, ts).alias(kind), F.max(ts).alias("at"), F.count("*").alias("n_events")).drop("w")
+    return grouped.agg(F.max_by(kind, F.struct(ts, tie or kind)).alias(kind), F.max(ts).alias("at"), F.count("*").alias("n_events")).drop("w")
 
 
 def moved(events: DataFrame) -> DataFrame:
@@ -31,12 +32,58 @@ def tumbling(events: DataFrame, width: str, keys: list[str], ts: str = "ts", lat
     return w.select(F.col("w.start").alias("start"), *keys, "n")
 
 
-def lockouts(events: DataFrame, keys: list[str], failures: int = 5, within: str = "300 seconds", slide: str = "60 seconds", ts: str = "ts", late: str = "10 minutes") -> DataFrame:
+def failure_windows(events: DataFrame, keys: list[str], failures: int = 5, within: str = "300 seconds", slide: str = "60 seconds", ts: str = "ts", late: str = "10 minutes") -> DataFrame:
     """Sliding windows in which a key has failed too often."""
     w = _marked(events, ts, late).groupBy(F.window(ts, within, slide).alias("w"), *keys).agg(F.count("*").alias("n"))
     return w.filter(F.col("n") >= failures).select(F.col("w.start").alias("start"), *keys, "n")
 
 
+FAILURES, WITHIN, LOCKED, SESSION = 5, 300.0, 60.0, 1800.0
+OUTCOME = "outcome string, locked_until double"
+
+
+def attempt_outcomes(attempts: DataFrame, key: str, ts: str, ok: str, failures: int = FAILURES, within: float = WITHIN, locked: float = LOCKED) -> DataFrame:
+    """``attempts`` (ts in seconds) with (outcome, locked_until): an attempt during a lockout is 'locked'
+    whatever it was and counts for nothing; the ``failures``-th failure of a key within ``within`` seconds
+    locks it for ``locked`` seconds; a success clears its failures. Each key's attempts are read in
+    order of time, failures first at equal times; of a key only its last few failures are held."""
+
+    def run(batches):
+        last, recent, until = None, [], 0.0
+        for pdf in batches:
+            outcome, ends = [], []
+            for who, t, good in zip(pdf[key], pdf[ts], pdf[ok], strict=True):
+                if who != last:
+                    last, recent, until = who, [], 0.0
+                if t < until:
+                    outcome.append("locked")
+                elif good:
+                    recent, until = [], 0.0
+                    outcome.append("ok")
+                else:
+                    recent = [x for x in recent if t - x < within] + [t]
+                    if len(recent) >= failures:
+                        until = t + locked
+                    outcome.append("failed")
+                ends.append(until if until > t else None)
+            yield pdf.assign(outcome=outcome, locked_until=ends)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in attempts.schema)
+    dealt = attempts.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).repartition(key).sortWithinPartitions(key, ts, ok)
+    return dealt.mapInPandas(run, f"{schema}, {OUTCOME}")
+
+
+def session_checks(grants: DataFrame, checks: DataFrame, seconds: float = SESSION) -> DataFrame:
+    """``checks`` (token, ts, check_id) with ``valid``: the token was granted at or before ts, was not
+    revoked since (``grants`` has token, ts, revoked), and is not older than ``seconds``."""
+    both = grants.select("token", "ts", F.lit(0).alias("side"), F.struct("ts", "revoked").alias("grant"), F.lit(None).cast(checks.schema["check_id"].dataType).alias("check_id"))
+    both = both.unionByName(checks.select("token", "ts", F.lit(1).alias("side"), F.lit(None).cast(both.schema["grant"].dataType).alias("grant"), "check_id"))
+    latest = F.last("grant", ignorenulls=True).over(Window.partitionBy("token").orderBy("ts", "side").rowsBetween(Window.unboundedPreceding, 0))
+    seen = both.withColumn("latest", latest).filter("side = 1")
+    valid = F.col("latest").isNotNull() & ~F.col("latest.revoked") & (F.col("ts") <= F.col("latest.ts") + seconds)
+    return seen.select("check_id", "token", "ts", F.coalesce(valid, F.lit(False)).alias("valid"))
+
+
 def ingest(stream: DataFrame, checkpoint: str, merge: Callable[[DataFrame, int], None]):
     """Run what is there through ``merge(batch, batch_id)`` and stop; a restart goes on after the last
     committed batch. ``merge`` must write by batch id to be exactly-once."""

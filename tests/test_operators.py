@@ -10,6 +10,7 @@ from lodestrata.operators import catalogue as C
 from lodestrata.operators import duplicates as D
 from lodestrata.operators import entities as E
 from lodestrata.operators import governance as G
+from lodestrata.operators import metrics as M
 from lodestrata.operators import retrieval as R
 from lodestrata.plans.planner import DateRange, decompose_roles, parse, strip_fillers
 from lodestrata.sources import views
@@ -26,8 +27,16 @@ NOW = date(2026, 10, 7)
         ("Dec 9 2023 notes", DateRange(date(2023, 12, 9), date(2023, 12, 9))),
         ("statements March 2024", DateRange(date(2024, 3, 1), date(2024, 3, 31))),
         ("in may", None),
-        ("files last week", DateRange(date(2026, 9, 28), date(2026, 10, 4))),
-        ("last month", DateRange(date(2026, 9, 1), date(2026, 9, 30))),
+        ("files last week", DateRange(date(2026, 9, 30), NOW)),
+        ("last month", DateRange(date(2026, 9, 7), NOW)),
+        ("last year", DateRange(date(2025, 10, 7), NOW)),
+        ("photos from today", DateRange(NOW, NOW)),
+        ("yesterday", DateRange(date(2026, 10, 6), date(2026, 10, 6))),
+        ("last monday", DateRange(date(2026, 10, 5), date(2026, 10, 5))),
+        ("last wednesday", DateRange(date(2026, 9, 30), date(2026, 9, 30))),
+        ("notes of 31 Feb 2024", DateRange(date(2024, 2, 1), date(2024, 2, 29))),
+        ("between 30 and 31 February 2024", DateRange(date(2024, 2, 1), date(2024, 2, 29))),
+        ("from 10th to 5th Dec 2024", DateRange(date(2024, 12, 5), date(2024, 12, 10))),
         ("past 10 days", DateRange(date(2026, 9, 27), NOW)),
         ("no date", None),
     ],
@@ -179,3 +188,81 @@ def test_streams_equal_batches(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         S.ingest(stream, str(tmp_path / "check"), S.merge_to_versions(str(tmp_path / "out")))
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
+
+
+def test_components_of_a_chain_of_200(spark, tmp_path):
+    _checkpoints(spark, tmp_path)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(199)], "a long, b long")
+    assert {r.component for r in E.components(edges).collect()} == {0}
+
+
+def test_rerank_keeps_queries_apart(spark):
+    rows = [(q, q * 100 + k, k, 1.0 - k / 10, 0.0 if k == 1 else 1.0) for q in (1, 2) for k in range(1, 7)]
+    ranked = spark.createDataFrame(rows, "q long, id long, rank int, score double, second double")
+    got = {(r.q, r.rank): r.id for r in R.rerank(ranked, F.col("second"), query="q").collect()}
+    for q in (1, 2):
+        assert [got[q, k] for k in range(1, 7)] == [q * 100 + k for k in (2, 3, 4, 5, 1, 6)]
+    one = R.rerank(ranked.filter("q = 1"), F.col("second"))
+    assert [r.id for r in one.orderBy("rank").collect()] == [102, 103, 104, 105, 101, 106]
+
+
+def test_metrics_count_an_item_once(spark):
+    runs = spark.createDataFrame([(1, "/a/X.pdf", 1), (1, "/b/x.PDF", 2), (1, "/a/y.pdf", 3), (2, "z", 1)], "query_id long, item string, rank int")
+    qrels = spark.createDataFrame([(1, "x.pdf", 1), (2, "q", 1)], "query_id long, item string, gain int")
+    got = {r.query_id: r for r in M.per_query(runs, qrels, 5).collect()}
+    assert tuple(got[1])[1:] == (1, 0.2, 1.0, 1.0, 1.0) and tuple(got[2])[1:] == (0, 0.0, 0.0, 0.0, 0.0)
+
+
+def test_percentiles(spark):
+    values = [float(x) for x in (5, 1, 1, 9, 3, 3, 3, 20, 7)]
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(3)
+    import numpy as np
+
+    assert np.allclose(M.latency(rows, "v").first(), np.percentile(values, [50, 95, 99]))
+    ordered = sorted(values)
+    assert tuple(M.index_percentiles(rows, "v").first()) == tuple(ordered[int(len(ordered) * p)] for p in (0.5, 0.95, 0.99))
+    assert M.latency(rows.limit(0), "v").first().p50 is None
+
+
+def test_boxes_without_area_stay(spark):
+    boxes = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0, 0.9), (1, 2, 500.0, 500.0, 0.0, 0.0, 0.8), (1, 3, 1.0, 1.0, 0.0, 5.0, 0.7)], "image_id long, det_id long, x double, y double, w double, h double, confidence double")
+    assert {r.det_id for r in E.suppress_overlaps(boxes).collect()} == {1, 2, 3}
+
+
+def test_matches_are_cosines(spark):
+    found = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "det_id long, det_vector array<double>")
+    known = spark.createDataFrame([(7, [3.0, 0.0]), (8, [0.0, 5.0]), (9, [1e-9, 0.0])], "person_id long, ref_vector array<double>")
+    assert [tuple(r) for r in E.best_matches(found, known).collect()] == [(1, 7, 1.0, 1.0)]
+
+
+def test_code_mixed_scripts(spark):
+    rows = spark.createDataFrame([("\u0d05\u0d06",), ("\u0d85\u0d86",), ("photo kaatu",), ("plain",)], "t string")
+    assert [r.k for r in rows.select(T.code_mixed(F.col("t")).alias("k")).collect()] == [True, False, True, False]
+
+
+def test_watcher_suffixes(spark):
+    rows = spark.createDataFrame([("/a/x.txt~",), ("/a/x.TMP",), ("/a/.log",), ("/a/log",), ("/venv/a",), ("/a/~$b.docx",), ("C:\\\\AppData\\\\b.txt",)], "p string")
+    assert [r.k for r in rows.select(C.ignored(F.col("p")).alias("k")).collect()] == [False, True, True, False, True, True, True]
+
+
+def test_attempts_lock_and_recover(spark):
+    rows = [("a", float(t), False) for t in (0, 10, 20, 30, 40)] + [("a", 50.0, True), ("a", 99.9, False), ("a", 101.0, False), ("a", 102.0, True), ("a", 103.0, False)]
+    rows += [("b", float(t), False) for t in (0, 100, 200, 250, 301)] + [("c", 1.0, True), (None, 1.0, True)]
+    attempts = spark.createDataFrame(rows, "who string, ts double, ok boolean").repartition(3)
+    got = {(r.who, r.ts): (r.outcome, r.locked_until) for r in S.attempt_outcomes(attempts, "who", "ts", "ok").collect()}
+    assert got["a", 40.0] == ("failed", 100.0) and got["a", 50.0] == ("locked", 100.0) and got["a", 99.9][0] == "locked"
+    # what was refused counts for nothing, the failures before the lockout still do
+    assert got["a", 101.0] == ("failed", 161.0) and got["a", 102.0][0] == "locked"
+    assert got["b", 301.0] == ("failed", None) and got["c", 1.0] == ("ok", None) and (None, 1.0) not in got
+
+
+def test_sessions(spark):
+    grants = spark.createDataFrame([("t", 0.0, False), ("t", 500.0, True), ("t", 600.0, False), ("u", 10.0, False)], "token string, ts double, revoked boolean")
+    checks = spark.createDataFrame([("t", 0.0, 1), ("t", 499.0, 2), ("t", 550.0, 3), ("t", 2400.0, 4), ("t", 2400.1, 5), ("u", 5.0, 6), ("x", 1.0, 7)], "token string, ts double, check_id long")
+    assert {r.check_id for r in S.session_checks(grants, checks).filter("valid").collect()} == {1, 2, 4}
+
+
+def test_debounce_ties(spark):
+    rows = [(datetime(2024, 1, 1), 1, "created", 2), (datetime(2024, 1, 1), 1, "deleted", 1)]
+    events = spark.createDataFrame(rows, "ts timestamp, path long, event_type string, event_id long")
+    assert S.debounce(events, ["path"], "5 seconds", tie="event_id").first().event_type == "created"
