@@ -113,3 +113,40 @@ CLOTHING = ["dress", "shirt", "t-shirt", "tshirt", "jacket", "pants", "suit", "s
 SCENES = ["grass", "park", "kitchen", "beach", "street", "city", "room", "skyline", "ground", "field", "outdoor", "indoor", "forest", "office", "snow", "water", "sea", "mountain", "table", "floor", "wall", "background"]
 ACTIONS = ["wearing", "holding", "sitting", "standing", "walking", "running", "carrying", "riding", "driving", "posing", "eating", "cooking", "reading", "looking", "taking"]
 ATTRIBUTES = ["red", "blue", "green", "yellow", "orange", "purple", "pink", "brown", "black", "white", "gray", "grey", "cyan", "maroon", "gold", "golden", "silver", "dark", "light", "bright", "striped", "plain", "knitted", "leather", "wooden", "metal", "cooked", "fresh", "big", "small", "tall", "short", "young", "old", "vintage", "modern", "casual", "formal"]
+
+#: Words of a query's subject and the forms that stand for it in evidence.
+SUBJECT_SYNONYMS = {
+    "guy": ["guy", "man", "boy", "person", "adult", "male"], "man": ["man", "guy", "adult", "person", "male"], "woman": ["woman", "lady", "girl", "person", "female"],
+    "person": ["person", "man", "woman", "guy", "boy", "girl", "individual", "adult"], "child": ["child", "kid", "baby", "boy", "girl", "toddler"],
+    "baby": ["baby", "infant", "newborn"], "dog": ["dog", "puppy", "canine", "hound"], "cat": ["cat", "kitten", "feline"],
+}
+CLOTHING_SYNONYMS = {
+    "shirt": ["shirt", "t-shirt", "tshirt", "top", "tee"], "dress": ["dress", "gown", "frock"], "jacket": ["jacket", "coat", "blazer", "hoodie", "windbreaker"],
+    "pants": ["pants", "trousers", "jeans", "slacks"], "suit": ["suit", "tuxedo"], "sweater": ["sweater", "cardigan", "pullover"],
+    "backpack": ["backpack", "bag", "rucksack", "knapsack"], "jersey": ["jersey", "uniform", "kit"], "shorts": ["shorts"], "skirt": ["skirt"],
+    "shoes": ["shoes", "sneakers", "boots", "footwear"], "hat": ["hat", "cap", "beanie"],
+}
+#: Words that a subject of a query stands for.
+SUBJECT_FORMS = {
+    "guy": ["guy", "man", "person"], "man": ["man", "guy", "person"], "woman": ["woman", "lady", "girl", "person"], "girl": ["girl", "woman", "person"],
+    "boy": ["boy", "guy", "person", "child"], "person": ["person", "man", "woman", "individual"], "child": ["child", "kid", "baby", "boy", "girl"],
+    "baby": ["baby", "infant", "newborn", "child"], "dog": ["dog", "canine", "puppy", "hound"], "cat": ["cat", "feline", "kitten"],
+}
+#: Objects that are worn, by the words in their names.
+GARMENTS = ["dress", "shirt", "t-shirt", "tshirt", "jacket", "pants", "suit", "sweater", "cardigan", "hoodie", "coat", "jeans", "shorts", "skirt", "saree", "kurta", "jersey", "uniform", "sock", "socks", "shoes", "hat", "cap", "glove", "gloves", "vest", "tie", "scarf", "outfit", "costume", "garment", "cloth", "stripes"]
+COSTUMES = ["spider-man suit", "superhero suit", "costume", "vulture suit"]
+#: Attributes beside colours that bind to the noun after them.
+MATERIALS = ["striped", "knitted", "leather", "wooden", "metal", "cooked", "fresh"]
+SCENE_TAGS = ["outdoor", "indoor", "urban", "nature", "snow", "kitchen", "street"]
+STOP_WORDS = ["a", "an", "the", "in", "on", "at", "to", "for", "of", "by", "with", "and", "or", "is", "it", "as", "from", "into", "onto", "my", "me", "this", "that", "these", "those"]
+SHORT_NAMES = ["ai", "ml", "ui", "ux", "os", "id", "qa", "db", "vr", "ar", "cv", "ip"]
+#: Words after an attribute that name no object.
+PLAIN_NOUNS = ["file", "filename", "content", "document", "text", "folder", "code", "script"]
+ARTICLES = ["a", "an", "the"]
+ASSIGNMENT = r"(?i)\b(da|la|lab|assignment|assessment)\s*[-_]?\s*(\d+)\b"
+#: Words in a file's type that put it into a category.
+TYPE_WORDS = {
+    "document": ["pdf", "word", "document", "text", "sheet", "presentation", "markdown"], "image": ["image", "photo", "picture", "jpeg", "png", "webp", "gif"],
+    "video": ["video", "movie", "clip", "mp4", "mkv", "avi"], "audio": ["audio", "sound", "music", "song", "voice", "recording"],
+    "code": ["source", "code", "script", "program", "python", "javascript", "typescript", "c++", "java"], "archive": ["archive", "zip", "compressed", "tar", "rar"],
+}

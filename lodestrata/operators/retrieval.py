@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -64,13 +65,23 @@ def filename_score(name: Column, content: Column, query: str, expansions: list[s
 
 
 def expansion_terms(query: str, most: int = 6) -> list[str]:
-    """Acronym and compound forms of the query's words, at most ``most``."""
-    words, out = query.lower().split(), []
-    for w in words:
+    """Assignment, acronym and compound forms of the query's words, at most ``most``."""
+    low, out = query.lower(), []
+    if m := re.search(V.ASSIGNMENT, query):
+        kind, n = m[1].lower(), m[2]
+        out += [f"{kind} {n}", f"{kind}{n}", f"{kind}-{n}", f"la {n}", f"la{n}", f"da {n}", f"assignment {n}", f"assessment {n}"]
+    for w in low.split():
         out += V.ACRONYMS.get(w, [])
-    joined = " ".join(words)
+    joined = " ".join(low.split())
     out += [other for form, other in V.COMPOUNDS.items() if form in joined]
-    return list(dict.fromkeys(x.lower() for x in out))[:most]
+    return [x for x in dict.fromkeys(x.lower() for x in out) if x != joined][:most]
+
+
+def query_terms(text: str) -> tuple[list[str], list[str]]:
+    """(whole terms, prefix terms) of a full-text query: words of three letters and more match as
+    prefixes, shorter ones whole; all of them must match."""
+    words = list(dict.fromkeys(re.sub(r"[^\w\s]|_", " ", text.lower()).split()))
+    return [w for w in words if len(w) < 3], [w for w in words if len(w) >= 3]
 
 
 def dot(a: Column, b: Column) -> Column:

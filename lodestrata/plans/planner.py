@@ -44,10 +44,19 @@ class Roles:
     objects: tuple[str, ...] = ()
     actions: tuple[str, ...] = ()
     scene: tuple[str, ...] = ()
+    relationships: tuple[str, ...] = ()
+    #: (attribute, noun) pairs.
     bound: tuple[tuple[str, str], ...] = ()
 
-    def __bool__(self) -> bool:
-        return any((self.subjects, self.clothing, self.actions, self.scene, self.bound))
+    @property
+    def composed(self) -> bool:
+        """Two roles or more, or an attribute of something."""
+        return bool(self.bound) or sum(map(bool, (self.subjects, self.attributes, self.clothing, self.objects, self.actions, self.scene))) >= 2
+
+    @property
+    def visual(self) -> bool:
+        seen = self.clothing or self.scene or (self.attributes and (self.subjects or self.objects))
+        return bool(self.composed or seen or {"dog", "cat", "animal", "bird"} & set(self.subjects))
 
 
 @dataclass(frozen=True)
@@ -66,6 +75,8 @@ class Plan:
     roles: Roles = field(default_factory=Roles)
     visual: bool = False
     academic: bool = False
+    #: Category that full-text search is narrowed to.
+    target: str | None = None
 
     @property
     def intent(self) -> str:
@@ -150,25 +161,74 @@ def find_persons(text: str, known: dict[str, str]) -> tuple[tuple[str, ...], str
     return tuple(dict.fromkeys(found)), text
 
 
+class _Reader:
+    """A cursor over words."""
+
+    def __init__(self, words: list[str]):
+        self.words, self.at = words, 0
+
+    def peek(self, ahead: int = 0) -> str | None:
+        at = self.at + ahead
+        return self.words[at] if at < len(self.words) else None
+
+    def take(self) -> str | None:
+        word = self.peek()
+        self.at += word is not None
+        return word
+
+
 def decompose_roles(text: str) -> Roles:
-    """Words by role; an attribute binds to the next garment, subject or object."""
-    words = re.findall(r"[a-z0-9-]+", text.lower())
-    out: dict[str, list[str]] = {k: [] for k in ("subjects", "attributes", "clothing", "objects", "actions", "scene")}
-    bound, waiting = [], []
-    for k, w in enumerate(words):
-        role = next((r for r, known in (("subjects", V.SUBJECTS), ("clothing", V.CLOTHING), ("scene", V.SCENES), ("actions", V.ACTIONS)) if w in known), None)
-        if w in V.ATTRIBUTES:
-            out["attributes"].append(w)
-            waiting.append(w)
+    """Words of a phrase by role. Subjects count wherever they stand, in all their forms. An action or a
+    preposition heads a noun phrase; in it, and before garments and scenes, a word in front of another is
+    an attribute of that."""
+    words = re.sub(r"[^\w\s-]|_", " ", text.lower()).split()
+    out: dict[str, list] = {k: [] for k in ("subjects", "attributes", "clothing", "objects", "actions", "scene", "relationships", "bound")}
+    for w in words:
+        if w in V.SUBJECTS:
+            out["subjects"] += V.SUBJECT_FORMS.get(w, [w])
+    reader = _Reader([w for w in words if w not in V.SUBJECTS])
+    plain = lambda w: w is not None and w not in V.PREPOSITIONS
+
+    def place(noun: str, mark: str | None, head: str | None) -> None:
+        role = "clothing" if noun in V.CLOTHING else "scene" if noun in V.SCENES else "objects"
+        if not (mark and head is None and role == "objects" and noun in V.PLAIN_NOUNS):
+            out[role].append(noun)
+        if mark:
+            out["bound"].append((mark, noun))
+        if mark or head:
+            out["relationships"].append(" ".join(x for x in (head, mark, noun) if x))
+
+    def phrase(head: str) -> None:
+        if reader.peek() in V.ARTICLES:
+            reader.take()
+        mark = None
+        if reader.peek() in V.ATTRIBUTES or plain(reader.peek(1)):
+            mark = reader.take()
+            out["attributes"].append(mark)
+        noun = reader.take()
+        if noun is not None:
+            place(noun, mark, head)
+        elif mark and head not in V.ACTIONS:  # "in red"
+            out["clothing"].append(mark)
+            out["relationships"].append(f"{head} {mark}")
+
+    while (w := reader.take()) is not None:
+        if w in V.ARTICLES:
             continue
-        if role is None and k and words[k - 1] in ("holding", "carrying", "riding", "eating", "reading") or role is None and waiting and w not in V.PREPOSITIONS:
-            role = "objects"
-        if role:
-            out[role].append(w)
-            if role != "actions":
-                bound += [(a, w) for a in waiting]
-                waiting = []
-    return Roles(**{k: tuple(dict.fromkeys(v)) for k, v in out.items()}, bound=tuple(bound))
+        if w in V.ACTIONS:
+            out["actions"].append(w)
+            if reader.peek() in V.PREPOSITIONS:
+                out["relationships"].append(f"{w} {reader.take()}")
+            phrase(w)
+        elif w in V.PREPOSITIONS:
+            phrase(w)
+        elif w in V.ATTRIBUTES or reader.peek() in V.CLOTHING or reader.peek() in V.SCENES:
+            out["attributes"].append(w)
+            if plain(reader.peek()) and reader.peek() not in V.ACTIONS:
+                place(reader.take(), w, None)
+        else:
+            place(w, None, None)
+    return Roles(**{k: tuple(dict.fromkeys(v)) for k, v in out.items()})
 
 
 def parse(query: str, now: date, persons: dict[str, str] | None = None) -> Plan:
@@ -196,10 +256,12 @@ def parse(query: str, now: date, persons: dict[str, str] | None = None) -> Plan:
         types.append("image")
     low = text.lower().split()
     roles = decompose_roles(text)
-    academic = bool(re.search(r"\b(?:da|la|lab|assignment|assessment)\s*[-_]?\s*\d+\b", text, re.I)) or any(w in V.ACRONYMS for w in low)
+    academic = bool(re.search(V.ASSIGNMENT, text)) or any(w in V.ACRONYMS and w != "id" for w in low)
     from ..operators.retrieval import expansion_terms
 
-    visual = bool(roles) or any(w in V.VISUAL_TERMS for w in low) or "image" in types
+    shown = any(w in V.VISUAL_TERMS for w in low) or "image" in types
+    structured = any(_has(text, w) for w in V.STRUCTURAL_TYPES)
+    visual = roles.visual or shown or structured
     keywords = [w for w in re.findall(r"[^\W_]+", rest.lower()) if len(w) > 1 and w not in V.PREPOSITIONS and w not in ("the", "my", "and", "from", "for")]
     unique = lambda x: tuple(dict.fromkeys(x))
-    return Plan(query, text, when, unique(types), unique(categories), unique(documents), named, unique(keywords), extension, size, unique(expansion_terms(text)), roles, visual and not academic, academic)
+    return Plan(query, text, when, unique(types), unique(categories), unique(documents), named, unique(keywords), extension, size, unique(expansion_terms(text)), roles, visual and not academic, academic, "Document" if academic else "Image" if shown else None)

@@ -57,7 +57,10 @@ def test_plan():
 
 def test_roles():
     r = decompose_roles("a man wearing red shirt holding umbrella in the park")
-    assert r.subjects == ("man",) and r.clothing == ("shirt",) and r.scene == ("park",) and r.objects == ("umbrella",) and ("red", "shirt") in r.bound
+    assert r.subjects == ("man", "guy", "person") and r.clothing == ("shirt",) and r.scene == ("park",) and r.objects == ("umbrella",) and ("red", "shirt") in r.bound
+    assert r.relationships == ("wearing red shirt", "holding umbrella", "in park") and r.actions == ("wearing", "holding") and r.composed and r.visual
+    assert decompose_roles("guy in blue shirt").bound == (("blue", "shirt"),) and decompose_roles("woman in red").clothing == ("red",)
+    assert decompose_roles("dog").visual and not decompose_roles("notes").visual and decompose_roles("") == decompose_roles("the")
 
 
 def test_date_predicate_without_year(spark):
