@@ -37,7 +37,9 @@ BLOCK_ROWS = 1 << 20
 MEMORY_ROWS = 1 << 18
 #: Bytes of strings in one collection; a larger bucket is one collection all the same.
 COLLECTION_BYTES = 1 << 21
-STEP = 256
+STEP = 128
+#: Classes of windows by what stands in front of the minimiser.
+SIDES = 8
 
 
 class Rows:
@@ -99,14 +101,6 @@ class Collection:
         self.text = np.concatenate([np.where(mark, 0, code[raw]).astype(code.dtype), np.zeros(depth + 1, code.dtype)])
         self.heads = np.lib.stride_tricks.sliding_window_view(self.text, depth)
         self.kinds = np.int32, np.uint8, code.dtype
-        self.steps = np.empty(0, np.int64)
-
-    def cells(self, front: np.ndarray) -> np.ndarray:
-        """Symbols of a block, told apart by step."""
-        if len(self.steps) < len(front):
-            self.steps = np.repeat(np.arange(-(-2 * len(front) // STEP)) * self.symbols, STEP)
-        return self.steps[: len(front)] + front
-
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common prefixes of suffixes, up to the depth and never over an end mark."""
         out = np.empty(len(a), np.uint8)
@@ -117,42 +111,58 @@ class Collection:
         return out
 
 
-def occurrences(c: Collection, held: Rows, rank: np.ndarray, symbol: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """How often ``symbol`` stands in front of a suffix before ``rank`` (ascending), and the totals of
-    all symbols, in one pass over the column of symbols."""
-    found, before, at, symbols = np.empty(len(rank), np.int64), np.zeros(c.symbols, np.int64), 0, c.symbols
-    for (front,) in held.read(block_rows, (2,)):
-        steps = -(-len(front) // STEP)
-        counts = np.bincount(c.cells(front), minlength=steps * symbols).reshape(steps, symbols)
-        upto = np.cumsum(counts, axis=0) - counts + before
-        start = at
-        to = int(np.searchsorted(rank, start + len(front)))
-        done = int(np.searchsorted(rank, start))
-        if to > done:
-            place, own = rank[done:to] - start, symbol[done:to]
-            step = place // STEP
-            padded = np.concatenate([front, np.zeros(steps * STEP - len(front), front.dtype)]).reshape(steps, STEP)
-            for k in range(0, to - done, 1 << 13):
-                part = slice(k, k + (1 << 13))
-                inside = (padded[step[part]] == own[part, None]) & (np.arange(STEP) < (place[part] % STEP)[:, None])
-                found[done:to][part] = upto[step[part], own[part]] + np.count_nonzero(inside, axis=1)
-        before += counts.sum(axis=0)
-        at += len(front)
-    return found, before
-
-
-def _merged(held: np.ndarray, old: np.ndarray, new: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    out = np.empty(len(old) + len(slot), held.dtype)
-    out[old] = held
+class Counts:
+    """How often each symbol stands in front of the suffixes of every step of the sorted rows. Rounds add
+    to the steps; when one has grown to twice its size, all are counted anew."""
+
+    def __init__(self, symbols: int):
+        self.symbols, self.starts, self.steps = symbols, np.zeros(1, np.int64), np.zeros((1, symbols), np.int64)
+
+    def recount(self, front: np.ndarray) -> None:
+        self.starts = np.arange(0, max(1, len(front)), STEP)
+        self.steps = np.zeros((len(self.starts), self.symbols), np.int64)
+        for at in range(0, len(self.starts), 256):
+            part = front[at * STEP : (at + 256) * STEP]
+            cells = np.arange(len(part)) // STEP * self.symbols + part
+            n = -(-len(part) // STEP)
+            self.steps[at : at + n] = np.bincount(cells, minlength=n * self.symbols).reshape(n, self.symbols)
+
+    def before(self, front: np.ndarray, rank: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """How often ``symbol`` stands in front of a suffix before ``rank``."""
+        ends = np.r_[self.starts[1:], len(front)]
+        if (ends - self.starts).max() > 2 * STEP:
+            self.recount(front)
+        step = np.searchsorted(self.starts, rank, "right") - 1
+        upto = np.cumsum(self.steps, axis=0) - self.steps
+        found, inside = upto[step, symbol], rank - self.starts[step]
+        near = np.lib.stride_tricks.sliding_window_view(np.concatenate([front, np.zeros(2 * STEP, front.dtype)]), 2 * STEP)
+        for at in range(0, len(rank), 1 << 12):
+            part = slice(at, at + (1 << 12))
+            same = (near[self.starts[step[part]]] == symbol[part, None]) & (np.arange(2 * STEP) < inside[part, None])
+            found[part] += np.count_nonzero(same, axis=1)
+        return found
+
+    def add(self, target: np.ndarray, front: np.ndarray) -> None:
+        """New rows, in front of which held rows and with which symbols in front."""
+        step = np.searchsorted(self.starts, target, "right") - 1
+        np.add.at(self.steps, (step, front), 1)
+        grown = np.bincount(step, minlength=len(self.starts))
+        self.starts = self.starts + np.cumsum(grown) - grown
+
+
+def _merged(held: np.ndarray, new: np.ndarray, slot: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    out = np.empty(len(keep), held.dtype)
+    out[keep] = held
     out[slot] = new
     return out
 
 
-def insert_column(c: Collection, held: Rows, new: Rows, current: np.ndarray, rank: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
+def insert_column(c: Collection, counts: Counts, held: Rows, new: Rows, current: np.ndarray, rank: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """One round: every string that goes on inserts the suffix longer by one symbol than its
     ``current`` one, which stands at ``rank``. Returns both for the new suffixes, in their order."""
     symbol = c.text[current - 1]
-    found, totals = occurrences(c, held, rank, symbol, block_rows)
+    column = np.concatenate([x for (x,) in held.read(block_rows, (2,))])  # a byte or two for each suffix
+    found, totals = counts.before(column, rank, symbol), counts.steps.sum(axis=0)
     # in front of the suffixes that begin with a symbol stand the empty ones and those of lesser symbols
     begin = len(c.ends) + np.concatenate([[0, 0], np.cumsum(totals[1:])])[: c.symbols]
     place = begin[symbol] + found
@@ -161,6 +171,7 @@ def insert_column(c: Collection, held: Rows, new: Rows, current: np.ndarray, ran
     front = c.text[position - 1]
     done, at, last, last_new = 0, 0, 0, False
     target = place - np.arange(len(place))  # in front of which held row
+    counts.add(target, front)
     for pos, lcp, bwt in held.read(block_rows):
         # rows that go behind the last block's end wait for the next; the very last are appended below
         to = int(np.searchsorted(target, at + len(pos), "left"))
@@ -168,8 +179,8 @@ def insert_column(c: Collection, held: Rows, new: Rows, current: np.ndarray, ran
         fresh = np.zeros(len(pos) + len(where), bool)
         slot = where + np.arange(len(where))
         fresh[slot] = True
-        old = np.flatnonzero(~fresh)
-        pos, lcp, bwt = (_merged(x, old, y, slot) for x, y in ((pos, position[done:to]), (lcp, np.uint8(0)), (bwt, front[done:to])))
+        keep = ~fresh
+        pos, lcp, bwt = (_merged(x, y, slot, keep) for x, y in ((pos, position[done:to]), (lcp, np.uint8(0)), (bwt, front[done:to])))
         touched = np.flatnonzero(fresh | np.r_[last_new, fresh[:-1]])
         before = pos[touched - 1]
         if len(touched) and touched[0] == 0:
@@ -193,10 +204,12 @@ def collection(strings: list[bytes], depth: int, block_rows: int = BLOCK_ROWS, m
         held, new = Rows(c.kinds, where, "0"), Rows(c.kinds, where, "1")
         current, rank = c.ends, np.arange(len(strings), dtype=np.int64)  # the empty suffixes: a string ends at `ends`
         held.append(current.astype(np.int32), np.zeros(len(current), np.uint8), c.text[current - 1])
+        counts = Counts(c.symbols)
+        counts.recount(c.text[current - 1])
         for _ in range(c.rounds):
             goes_on = c.text[current - 1] != 0
             new.start()
-            current, rank = insert_column(c, held, new, current[goes_on], rank[goes_on], block_rows)
+            current, rank = insert_column(c, counts, held, new, current[goes_on], rank[goes_on], block_rows)
             held, new = new, held
         parts = [x[:2] for x in held.read(block_rows)]
         held.close()
@@ -207,24 +220,29 @@ def collection(strings: list[bytes], depth: int, block_rows: int = BLOCK_ROWS, m
 def first_windows(window: int, mer: int, block_rows: int = BLOCK_ROWS, memory_rows: int = MEMORY_ROWS):
     """Bucket worker: marks the windows that occur in an earlier string of their group.
 
-    The windows of a bucket all hold its minimiser, with as many bytes before and behind as make a
-    window, and at least half of these on one side. A string whose minimiser has no other string's
-    bytes on a side cannot share the windows that reach so far there; only what is left of a string
-    enters the collection."""
-    half = (window - mer) // 2
-
-    def sides(packed: bytes, at: int) -> tuple[bytes | None, bytes | None]:
-        return packed[at - half : at + mer] if at >= half else None, packed[at : at + mer + half] if len(packed) >= at + mer + half else None
+    A window holds its bucket's minimiser and ``window - mer`` bytes around it. Windows are told apart into
+    ``SIDES`` classes by how many of these stand in front; those of a class have a stretch of bytes in
+    common, and a window whose stretch no other string of the bucket has cannot repeat. Only the part of
+    a string that is left, from its first to its last window that may repeat, enters the collection."""
+    step = -(-(window - mer) // SIDES)
+
+    def stretches(packed: bytes, at: int) -> list[bytes | None]:
+        found = []
+        for k in range(SIDES):
+            front, behind = min(k * step, window - mer), max(0, window - mer - (k + 1) * step)
+            found.append(packed[at - front : at + mer + behind] if at >= front and at + mer + behind <= len(packed) else None)
+        return found
 
     def mark(groups: list[Group]) -> list[list[np.ndarray]]:
         strings, row, home, cuts, out = [], [], [], [], []
         for number, group in enumerate(groups):
-            both = [sides(packed, at) for _, packed, _, at in group]
-            left, right = Counter(x for x, _ in both), Counter(x for _, x in both)
-            for (place, packed, n, at), (x, y) in zip(group, both, strict=True):
-                # windows that begin up to `half` bytes before the minimiser hold all of the right side, others of the left
-                first = 0 if x is not None and left[x] > 1 else max(0, at - half)
-                last = n if y is not None and right[y] > 1 else min(n, at - half + 1)
+            every = [stretches(packed, at) for _, packed, _, at in group]
+            times = Counter((k, x) for found in every for k, x in enumerate(found) if x is not None)
+            for (place, packed, n, at), found in zip(group, every, strict=True):
+                # class k has k * step bytes in front, up to those of the next class: windows at - (k + 1) * step + 1 ... at - k * step
+                open_ = [k for k, x in enumerate(found) if x is not None and times[k, x] > 1]
+                first = max(0, at - (open_[-1] + 1) * step + 1) if open_ else 0
+                last = min(n, at - open_[0] * step + 1) if open_ else 0
                 out.append((number, n, first))
                 if first < last:
                     strings.append(packed[first : last - 1 + window])

@@ -316,7 +316,9 @@ def _marks(buckets: list[_Bucket], units: Bytes | Words, marker: Marker, schema:
             sources.append(rows)
     for rows, masks in zip(sources, marker(groups) if groups else [], strict=True):
         for row, mask in zip(rows, masks, strict=True):
-            edges = np.flatnonzero(np.diff(np.r_[False, mask, False]))
+            if not mask.any():
+                continue
+            edges = np.array([0, len(mask)]) if mask.all() else np.flatnonzero(np.diff(np.r_[False, mask, False]))
             out += [(*row[:7], None, *row[8:], row[5] + x, row[5] + y - 1 + units.window) for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
     yield _rows(out, schema, kinds)
 
