@@ -29,6 +29,8 @@ that share only the id are documents of their own, in the order of a hash of the
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,7 +136,7 @@ def pilots(sets: DataFrame) -> DataFrame:
 
 
 def candidates(sets: DataFrame, late: DataFrame) -> DataFrame:
-    """(later, earlier): sets not known to be late with the earlier sets that share a prefix word and
+    """(later, earlier, apart): sets not known to be late with the earlier sets that share a prefix word and
     pass the length, positional and parity filters.
 
     Both sides of the join are one exchange of the prefix words, so the condition on the open side
@@ -148,7 +150,7 @@ def candidates(sets: DataFrame, late: DataFrame) -> DataFrame:
     reach = 1 + F.least(n - 1 - one["pos"], n2 - 1 - two["pos"])
     open_ = F.when(two["open"].isNotNull(), one["open"])
     met = a.join(b, (one["token"] == two["token"]) & (two["sid"] < one["sid"]) & open_ & may_match(one, two) & (reach * (NUM + DEN) >= (n + n2) * NUM))
-    return met.select(one["sid"].alias("later"), two["sid"].alias("earlier")).distinct()
+    return met.select(one["sid"].alias("later"), two["sid"].alias("earlier"), apart(one, two).alias("apart")).distinct()
 
 
 def words_of(keys: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -176,18 +178,24 @@ def late_sets(sets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
     others go through the prefix join against all."""
     spark = sets.sparkSession
 
-    def settled(pairs: DataFrame) -> DataFrame:
+    def settled(*rounds: DataFrame) -> DataFrame:
+        """Late sets of pairs that are verified in rounds, later ones only where no earlier one succeeds."""
+        pairs = reduce(DataFrame.union, [r.select("later", "earlier") for r in rounds])
         keys = pairs.select(F.col("earlier").alias("sid")).union(pairs.select(F.col("later").alias("sid"))).distinct()
         held = persist_table(words_of(keys, sets, docs, id_col, text_col), "words")
-        out = persist_table(verified(pairs, held), "late")
+        out = persist_table(verified(rounds[0], held), "late")
+        for r in rounds[1:]:
+            out = out.union(persist_table(verified(r.join(out, "later", "left_anti"), held), "late"))
         drop_tables(spark, held)
         return out
 
     led = persist_table(pilots(sets), "pilots")
     late = settled(led)
     met = persist_table(candidates(sets, late).join(led, ["later", "earlier"], "left_anti"), "met")
-    late = late.union(settled(met))
-    drop_tables(spark, met, led)
+    likeliest = met.groupBy("later").agg(F.min_by("earlier", "apart").alias("earlier"))
+    likeliest = persist_table(likeliest, "likeliest")
+    late = late.union(settled(likeliest, met.join(likeliest, ["later", "earlier"], "left_anti")))
+    drop_tables(spark, met, led, likeliest)
     return late
 
 
@@ -198,11 +206,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marked = persist_table(marked_lines(keyed_lines(docs, id_col, text_col), rarity_sketch(docs, text_col).scalar()), "marked")
     of_set = [F.first(c).alias(c) for c in ("n", "parity", "prefix")]
     folded = marked.filter("k is not null").groupBy("k", "kk").agg(F.min(at).alias("first"), *of_set)
+    folded = persist_table(folded, "folded")
+    lines = persist_table(marked.select("id", "key", "line_no", "k", "kk"), "lines")
+    drop_tables(spark, marked)
     # numbered in the order of their first lines
     ranged = folded.repartitionByRange("first").sortWithinPartitions("first")
     sets = persist_table(ranged.withColumn("sid", F.monotonically_increasing_id()), "sets")
-    lines = persist_table(marked.select("id", "key", "line_no", "k", "kk"), "lines")
-    drop_tables(spark, marked)
+    drop_tables(spark, folded)
     late = late_sets(sets, docs, id_col, text_col).select(F.col("later").alias("sid"), F.lit(True).alias("late"))
     verdict = sets.select("k", "kk", "sid", "first").join(late, "sid", "left").drop("sid")
     judged = lines.join(verdict, ["k", "kk"], "left")
