@@ -118,8 +118,51 @@ def partial_update(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return joined.select(*[F.coalesce(f"u.{c}", f"r.{c}").alias(c) if c in names else F.col(f"r.{c}") for c in rows.columns])
 
 
+HISTORY = ["query_plan_summary", "result_count", "execution_time_ms", "searched_at"]
+
+
 def history_distinct(history: DataFrame) -> DataFrame:
-    return history.groupBy("query_text").agg(F.max("id").alias("last_id"), F.max("result_count").alias("result_count")).select("query_text", "last_id", "result_count")
+    """One row a sentence that is not blank: the last id, and the largest of what HISTORY names and there is."""
+    rest = [F.max(c).alias(c) for c in HISTORY if c in history.columns]
+    return history.filter(F.trim("query_text") != "").groupBy("query_text").agg(F.max("id").alias("last_id"), *rest)
+
+
+#: Orders of file lists: recent ones, videos by size, and the lists of the user interface.
+ORDERS = {
+    "recent": [("modified_at", False)], "oldest": [("modified_at", True)], "size": [("size_bytes", False)], "smallest": [("size_bytes", True)],
+    "az": [("filename", True)], "za": [("filename", False)], "relevance": [("score", False)],
+}
+
+
+def ordered(files: DataFrame, how: str, limit: int | None = None, tie: str = "file_id") -> DataFrame:
+    """Files in one of ORDERS (names without regard to case), ties by ``tie``."""
+    kinds = dict(files.dtypes)
+    key = lambda c: F.lower(c) if kinds[c] == "string" else F.col(c)
+    rows = files.orderBy(*[key(c).asc() if up else key(c).desc() for c, up in ORDERS[how]], tie)
+    return rows if limit is None else rows.limit(limit)
+
+
+def videos(files: DataFrame, how: str = "size", limit: int = 20) -> DataFrame:
+    return ordered(files.filter(F.lower("extension").isin(V.VIDEO)), how, limit)
+
+
+def shown(files: DataFrame, gallery: bool = False, category_: str | None = None, formats: list[str] = ()) -> DataFrame:
+    """The filters of a list: images only, one category, some formats."""
+    keep = F.lit(True)
+    if gallery:
+        keep = keep & in_category(F.col("extension"), "image")
+    if category_ and category_.upper() != "ALL":
+        keep = keep & in_category(F.col("extension"), category_)
+    if formats:
+        keep = keep & F.regexp_replace(F.lower("extension"), r"^\.+", "").isin([f.lower().lstrip(".") for f in formats])
+    return files.filter(keep)
+
+
+def api_rows(files: DataFrame) -> DataFrame:
+    """Rows without nulls: empty text, zero numbers, NORMAL for the state."""
+    fill = {"string": F.lit(""), "bigint": F.lit(0), "int": F.lit(0), "double": F.lit(0.0)}
+    cols = {c: F.coalesce(F.col(c), F.lit("NORMAL") if c == "privacy_state" else fill[k].cast(k)) for c, k in files.dtypes if k in fill}
+    return files.withColumns(cols)
 
 
 def history_without_repeats(history: DataFrame, by: str = "owner") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,14 @@ def exact_groups(files: DataFrame, key: str = "content_hash") -> DataFrame:
     return files.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("copy_count"), F.min("file_id").alias("first_id"), F.sum("size_bytes").alias("bytes")).filter("copy_count > 1")
 
 
+def group_members(files: DataFrame, key: str = "content_hash") -> DataFrame:
+    """(key, file_id, path, place): the copies of every group of two and more, a row each, in order of id.
+    A group may be any share of the files, so its members are rows and not one list."""
+    many = exact_groups(files, key).select(key, "first_id")
+    place = F.row_number().over(Window.partitionBy(key).orderBy("file_id"))
+    return files.select(key, "file_id", "path").join(many, key).select(key, "file_id", "path", place.alias("place"), (F.col("file_id") == F.col("first_id")).alias("is_first"))
+
+
 def duplicate_of(files: DataFrame, key: str = "content_hash") -> DataFrame:
     """(file_id, duplicate_of_id): null for the first of its content."""
     first = files.groupBy(key).agg(F.min("file_id").alias("first_id"))

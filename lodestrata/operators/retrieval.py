@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,16 +21,58 @@ def _times(words: str, term: str, prefix: bool = False) -> Column:
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str, terms: list[str] | None = None, prefixes: list[str] = ()) -> DataFrame:
-    """(id, dl, term, tf); with terms given only theirs, filtered before the shuffle. A prefix term
-    counts every token that starts with it."""
+    """(id, dl, term, tf), counted inside each row, so nothing is shuffled; with terms given only theirs.
+    A prefix term counts every token that starts with it. Rows that share an id are documents of their own."""
     rows = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
     if terms is None and not prefixes:
-        return rows.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+        # runs of equals in the sorted tokens: a token's count is the distance to the next run
+        run = rows.select("id", F.size("t").alias("dl"), F.array_sort("t").alias("t"))
+        starts = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+        marked = run.filter("dl > 0").select("id", "dl", "t", starts.alias("s"))
+        counted = F.transform("s", lambda i, k: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("s", k + 1), F.col("dl")) - i).cast("long").alias("tf")))
+        return marked.select("id", "dl", F.explode(counted).alias("w")).select("id", "dl", "w.term", "w.tf")
     wanted = [F.struct(F.lit(t).alias("term"), _times("t", t).alias("tf")) for t in terms or ()]
     wanted += [F.struct(F.lit(p + "*").alias("term"), _times("t", p, True).alias("tf")) for p in prefixes]
     return rows.select("id", F.size("t").alias("dl"), F.explode(F.array(*wanted)).alias("w")).select("id", "dl", "w.term", "w.tf")
 
 
+#: Buckets of terms in a stored index; a query reads those of its terms.
+TERM_BUCKETS = 64
+
+
+def bucket_of(term: str) -> int:
+    """The bucket of a term: by its first two characters, so that a prefix of two or more has one bucket."""
+    return zlib.crc32(term[:2].encode()) % TERM_BUCKETS
+
+
+def write_index(docs: DataFrame, id_col: str, text_col: str, folder: str) -> None:
+    """Store the postings by bucket of their terms, with document frequency left to the query, and the
+    corpus statistics beside them. Tokens are made once, not for each query."""
+    rows = postings(docs, id_col, text_col)
+    bucket = F.pmod(F.crc32(F.substring("term", 1, 2).cast("binary")), F.lit(TERM_BUCKETS)).cast("int")
+    rows.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    sizes = docs.select(F.size(tokens(F.col(text_col))).alias("dl"))
+    sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{folder}/corpus")
+
+
+def bm25_indexed(spark, folder: str, terms: list[str] = (), prefixes: list[str] = (), require_all: bool = True, k1: float = K1, b: float = B) -> DataFrame:
+    """``bm25`` over a stored index: reads the buckets of the terms only (short prefixes read all)."""
+    stored = spark.read.parquet(f"{folder}/postings")
+    buckets = [bucket_of(t) for t in (*terms, *prefixes)]
+    if all(len(p) >= 2 for p in prefixes):
+        stored = stored.filter(F.col("bucket").isin(sorted(set(buckets))))
+    wanted = [F.when(F.col("term") == t, F.lit(t)) for t in terms] + [F.when(F.col("term").startswith(p), F.lit(p + "*")) for p in prefixes]
+    named = stored.select("id", "dl", "tf", F.explode(F.array_compact(F.array(*wanted))).alias("q"))
+    hits = named.groupBy("id", "dl", "q").agg(F.sum("tf").alias("tf"))
+    df = hits.groupBy("q").agg(F.count("*").alias("df"))  # a row for each term of the query
+    corpus = spark.read.parquet(f"{folder}/corpus")  # one row
+    met = hits.join(F.broadcast(df), "q").join(F.broadcast(corpus))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scored = met.groupBy("id").agg(F.sum(part).alias("score"), F.count("*").alias("_terms"))
+    return scored.filter(F.col("_terms") == len(buckets) if require_all else F.lit(True)).select("id", "score")
+
+
 def bm25(docs: DataFrame, id_col: str, text_col: str, terms: list[str] = (), prefixes: list[str] = (), require_all: bool = True, k1: float = K1, b: float = B) -> DataFrame:
     """(id, score) of documents with the terms. No shuffle of documents: the terms' frequencies are
     columns, and the corpus statistics are one aggregate."""

@@ -35,7 +35,7 @@ def _any(found: list[Column]) -> Column:
 def lists(text: Column) -> Column:
     """A list from JSON, else from text with commas; entries trimmed, empty ones dropped."""
     parsed = F.coalesce(F.from_json(text, "array<string>"), F.split(text, ","))
-    return F.filter(F.transform(_list(parsed), F.trim), lambda x: x != "")
+    return F.filter(F.transform(_list(parsed), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def evidence(du: DataFrame) -> DataFrame:

@@ -73,12 +73,6 @@ def s14_page_word_count(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.word_count(F.col("text")).alias("word_count"))
 
 
-@query("SELECT vec_id FROM embeddings WHERE label NOT IN (3, 7)")
-def s16_vector_delete(spark, sf):
-    v = table(spark, sf, "embeddings")
-    return v.select("vec_id").join(v.filter(F.col("label").isin(3, 7)).select("vec_id"), "vec_id", "left_anti")
-
-
 _HISTORY = "h AS (SELECT conv_id * 1000 + turn AS id, conv_id AS owner, text AS query_text, length(text) AS result_count FROM conversations WHERE role = 'user')"
 
 
@@ -106,7 +100,12 @@ def s10_json_recovery(spark, sf):
     return e.select("event_id", F.col("props").alias("raw"), T.recovered_json(shape, "k long")["k"].alias("k"))
 
 
-@query()
+_PLAIN = "regexp_replace(regexp_replace(html, '<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'gis'), '<[^>]*>', ' ', 'gs')"
+for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_a}', '{_b}')"
+
+
+@query(f"SELECT page_id, trim(regexp_replace({_PLAIN}, '\\s+', ' ', 'g')) AS body FROM pages")
 def s3_html_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.html_text(F.col("html")).alias("body"))
 
@@ -193,7 +192,8 @@ def p15_image_badge(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", R.image_badge(F.element_at("embedding", 1).cast("double")).cast("double").alias("badge"))
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, string_split_regex(text, '\\s+') AS w FROM documents WHERE contains(lower(text), 'the')), a AS (SELECT *, greatest(1, list_position(list_transform(w, lambda x: contains(lower(x), 'the')), true) - 6) AS at FROM w)
+    SELECT doc_id, CASE WHEN at > 1 THEN '…' ELSE '' END || regexp_replace(array_to_string(list_slice(w, at, at + 17), ' '), '(the)', '<b>\\1</b>', 'gi') || CASE WHEN len(w) >= at + 18 THEN '…' ELSE '' END AS snippet FROM a""")
 def p17_snippet(spark, sf):
     return table(spark, sf, "documents").filter(F.lower("text").contains("the")).select("doc_id", T.snippet(F.col("text"), "the").alias("snippet"))
 
@@ -327,7 +327,7 @@ def q12_duplicate_of(spark, sf):
     return D.duplicate_of(files(spark, sf))
 
 
-@query(f"WITH {_HISTORY} SELECT query_text, max(id) AS last_id, max(result_count) AS result_count FROM h GROUP BY 1")
+@query(f"WITH {_HISTORY} SELECT query_text, max(id) AS last_id, max(result_count) AS result_count FROM h WHERE trim(query_text) <> '' GROUP BY 1")
 def a7_history_distinct(spark, sf):
     return C.history_distinct(history(spark, sf))
 
