@@ -11,7 +11,7 @@ which a scalar subquery hands to every task; its collisions can only change the
 total order as far as the result goes. Words are 64-bit hashes, 56 bits of them under their rarity
 in the prefixes.
 
-Whole sets never travel with the candidates. A 64-bit parity of each set bounds the difference of
+Whole sets never travel with the candidates. A 128-bit parity of each set bounds the difference of
 two sets from below and rules out most false candidates inside the join itself; the words of the
 sets that still matter are read from the texts again. Sets are numbered in the order of their first
 lines, so the join pairs a set with earlier ones only. A set needs one earlier match, so every set
@@ -41,6 +41,8 @@ SKETCH_BITS, ROW_BITS = 21, 11
 ONCE = 4
 #: Words at either end of a prefix by which a set looks for earlier sets before the full join.
 PILOTS = 3
+#: What the filters of a pair read of a set.
+SHAPE = ["n", "even", "odd"]
 #: Similarity as a fraction.
 NUM, DEN = 4, 5
 
@@ -87,23 +89,24 @@ def prefix(n: Column) -> Column:
 
 
 def marked_lines(lines: DataFrame, sketch: Column) -> DataFrame:
-    """(id, key, line_no, k, kk, n, parity, prefix): every line with the two hashes that name its
-    set, its size, parity and rarest words; k is null for a line without words."""
+    """(id, key, line_no, k, kk, n, even, odd, prefix): every line with the two hashes that name its
+    set, its size, the two halves of its parity and its rarest words; k is null for a line without words."""
 
     def ranked(pair: Column) -> Column:
         table = pair["sketch"]
         code = lambda h: F.get(table, h.bitwiseAND(F.lit((1 << SKETCH_BITS) - 1)).cast("int")).cast("long")
         return F.transform(pair["set"], lambda h: F.shiftleft(code(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
 
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-    parity = F.aggregate("set", F.lit(0).cast("long"), lambda held, h: held.bitwiseXOR(bit(h)))
+    bit = lambda one, h: F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))
+    parity = lambda one: F.aggregate("set", F.lit(0).cast("long"), lambda held, h: held.bitwiseXOR(bit(one(h), h)))
+    whole, odd = parity(lambda h: F.lit(1).cast("long")), parity(lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(1).cast("long")))
     # the subquery stands in a projection of its own, as none may stand in a lambda's arguments;
     # the optimiser moves it up to its one use, and the explode keeps it from joining the projection
     # below, so no row carries the sketch
     sets = lines.select("id", "key", "line_no", F.explode(F.array(distinct_words(F.col("line")))).alias("set")).withColumn("sketch", sketch)
-    sets = sets.select("id", "key", "line_no", F.size("set").alias("n"), parity.alias("parity"), F.sort_array(let(F.struct("set", "sketch"), ranked)).alias("tokens"))
-    named = [F.when(F.col("n") > 0, F.xxhash64("tokens")).alias("k"), F.when(F.col("n") > 0, F.xxhash64(F.lit("second"), "tokens", "parity")).alias("kk")]
-    return sets.select("id", "key", "line_no", *named, "n", "parity", F.slice("tokens", 1, prefix(F.col("n"))).alias("prefix"))
+    sets = sets.select("id", "key", "line_no", F.size("set").alias("n"), whole.alias("even"), odd.alias("odd"), F.sort_array(let(F.struct("set", "sketch"), ranked)).alias("tokens"))
+    named = [F.when(F.col("n") > 0, F.xxhash64("tokens")).alias("k"), F.when(F.col("n") > 0, F.xxhash64(F.lit("second"), "tokens", "odd")).alias("kk")]
+    return sets.select("id", "key", "line_no", *named, "n", F.col("even").bitwiseXOR(F.col("odd")).alias("even"), "odd", F.slice("tokens", 1, prefix(F.col("n"))).alias("prefix"))
 
 
 def most_apart(both: Column) -> Column:
@@ -119,7 +122,7 @@ def may_match(a, b) -> Column:
 
 def apart(a, b) -> Column:
     """Lower bound of the symmetric difference."""
-    return F.bit_count(a["parity"].bitwiseXOR(b["parity"]))
+    return F.bit_count(a["even"].bitwiseXOR(b["even"])) + F.bit_count(a["odd"].bitwiseXOR(b["odd"]))
 
 
 def pilots(sets: DataFrame) -> DataFrame:
@@ -127,10 +130,10 @@ def pilots(sets: DataFrame) -> DataFrame:
     rarest, or of the PILOTS most frequent, repeated words of its prefix. Near copies mostly meet the
     first of their group here, a few rows for each member."""
     repeated = F.filter("prefix", lambda t: F.shiftright(t, 56) > ONCE)
-    own = sets.select("sid", "n", "parity", repeated.alias("all"))
-    ends = own.select("sid", "n", "parity", F.explode(F.array_union(F.slice("all", 1, PILOTS), F.slice("all", -PILOTS, PILOTS))).alias("end"))
-    heads = ends.groupBy("end").agg(F.min("sid").alias("earlier"), F.min_by("n", "sid").alias("n2"), F.min_by("parity", "sid").alias("parity2"))
-    one, two = {c: F.col(c) for c in ("n", "parity")}, {c: F.col(f"{c}2") for c in ("n", "parity")}
+    own = sets.select("sid", *SHAPE, repeated.alias("all"))
+    ends = own.select("sid", *SHAPE, F.explode(F.array_union(F.slice("all", 1, PILOTS), F.slice("all", -PILOTS, PILOTS))).alias("end"))
+    heads = ends.groupBy("end").agg(F.min("sid").alias("earlier"), *[F.min_by(c, "sid").alias(f"{c}2") for c in SHAPE])
+    one, two = {c: F.col(c) for c in SHAPE}, {c: F.col(f"{c}2") for c in SHAPE}
     met = ends.join(heads, "end").filter((F.col("sid") != F.col("earlier")) & may_match(one, two))
     return met.groupBy(F.col("sid").alias("later")).agg(F.min_by("earlier", apart(one, two)).alias("earlier"))
 
@@ -142,7 +145,7 @@ def candidates(sets: DataFrame, late: DataFrame) -> DataFrame:
     Both sides of the join are one exchange of the prefix words, so the condition on the open side
     is worded over both."""
     known = sets.join(late.select(F.col("later").alias("sid"), F.lit(True).alias("late")), "sid", "left").withColumn("open", F.col("late").isNull())
-    posts = known.select("sid", "n", "parity", "open", F.posexplode("prefix").alias("pos", "token"))
+    posts = known.select("sid", *SHAPE, "open", F.posexplode("prefix").alias("pos", "token"))
     posts = posts.filter(F.shiftright("token", 56) > ONCE)  # a word of the corpus's only occurrence meets nobody
     a, b = posts.alias("a"), posts.alias("b")
     one, two = ({c: F.col(f"{x}.{c}") for c in posts.columns} for x in "ab")
@@ -204,7 +207,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     at = F.struct("id", "key", "line_no")
     marked = persist_table(marked_lines(keyed_lines(docs, id_col, text_col), rarity_sketch(docs, text_col).scalar()), "marked")
-    of_set = [F.first(c).alias(c) for c in ("n", "parity", "prefix")]
+    of_set = [F.first(c).alias(c) for c in (*SHAPE, "prefix")]
     folded = marked.filter("k is not null").groupBy("k", "kk").agg(F.min(at).alias("first"), *of_set)
     folded = persist_table(folded, "folded")
     lines = persist_table(marked.select("id", "key", "line_no", "k", "kk"), "lines")
