@@ -1,8 +1,8 @@
 """Benchmark decontamination: token windows of the documents against a hash set of test n-grams.
 
-Native: DataFrame functions only. A document's n-grams are exploded from an array expression and
-probe the hash set of normalised benchmark n-grams. The set is broadcast only after its rows have
-been counted; a larger one is joined by shuffle. The n-gram text itself is the join key, so each
+Native: DataFrame functions only. A document's n-grams leave one by one and probe the hash set
+of normalised benchmark n-grams. The set is broadcast only after its rows and bytes have been counted;
+a larger one is joined by shuffle. The n-gram text itself is the join key, so each
 hit is verified by equality of the words.
 
 Defined results: null or wordless texts have no words and no hits; a benchmark item without words
@@ -13,15 +13,15 @@ handled one by one; extra columns of either table are ignored by ``decontaminate
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import persist_table
+
 NGRAM = 10
-#: n-grams up to which the set is broadcast (about 100 bytes each).
+#: n-grams, and their bytes with the items that hold them, up to which the set is broadcast.
 BROADCAST_NGRAMS = 500_000
+BROADCAST_BYTES = 1 << 25
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words, once A-Z are lower-cased: ASCII but a-z and 0-9.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -36,18 +36,6 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(ascii_lower(text), BETWEEN), ""), F.array().cast("array<string>"))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` bound to a lambda variable, so that it is evaluated once a row
-    however often the body, or a lambda in it, refers to it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _grams(words: Column, n: int) -> Column:
-    """Array of (pos, n, gram), for all windows of n words."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.array_join(F.slice(words, i + 1, n), " ").alias("gram")))
-
-
 def benchmark_grams(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", n: int = NGRAM) -> DataFrame:
     """(n, gram, item_ids): the windows of all items, each once with the sorted ids that hold it."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), words_of(F.col(text_col)).alias("words"))
@@ -65,9 +53,11 @@ def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, broadcast_ngrams: int = BROADCAST_NGRAMS
 ) -> DataFrame:
     """Per document row: id, text, words, hit word positions (sorted) and the ids of the items found."""
-    grams = benchmark_grams(benchmark, n=n)
-    counts = {r["n"]: r["c"] for r in grams.groupBy("n").agg(F.count("*").alias("c")).collect()}  # n rows at most
-    return _with_hits(_keyed(docs, id_col, text_col), grams, sorted(counts), sum(counts.values()) <= broadcast_ngrams)
+    grams = persist_table(benchmark_grams(benchmark, n=n), "grams")
+    held = F.octet_length("gram") + F.aggregate("item_ids", F.lit(0), lambda a, x: a + F.octet_length(x) + 16) + 64
+    sizes = grams.groupBy("n").agg(F.count("*").alias("rows"), F.sum(held).alias("bytes")).collect()  # n rows at most
+    small = sum(r["rows"] for r in sizes) <= broadcast_ngrams and sum(r["bytes"] for r in sizes) <= BROADCAST_BYTES
+    return _with_hits(_keyed(docs, id_col, text_col), grams, sorted(r["n"] for r in sizes), small)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -80,8 +70,11 @@ def _with_hits(keyed: DataFrame, grams: DataFrame, sizes: list[int], small: bool
     counted = keyed.select("id", "key", F.size(words_of(F.col("text"))).alias("n_words"))
     if not sizes:
         return counted.select("id", "key", "n_words", F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
-    windows = let(words_of(F.col("text")), lambda words: reduce(F.concat, [_grams(words, k) for k in sizes]))
-    exploded = keyed.select("id", "key", F.explode(windows).alias("w")).select("id", "key", "w.pos", "w.n", "w.gram")
+    # places are laid out first and a window is joined as its row leaves, so a document's windows are never held together
+    split = keyed.select("id", "key", words_of(F.col("text")).alias("words"), F.explode(F.array(*[F.lit(k) for k in sizes])).alias("n"))
+    starts = F.when(F.size("words") >= F.col("n"), F.sequence(F.lit(0), F.size("words") - F.col("n"))).otherwise(F.array().cast("array<int>"))
+    placed = split.select("id", "key", "words", "n", F.explode(starts).alias("pos"))
+    exploded = placed.select("id", "key", "pos", "n", F.array_join(F.slice("words", F.col("pos") + 1, F.col("n")), " ").alias("gram"))
     grams = F.broadcast(grams) if small else grams
     found = exploded.join(grams, ["n", "gram"]).select("id", "key", "item_ids", F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1).alias("at"))
     per_doc = found.groupBy("id", "key").agg(
