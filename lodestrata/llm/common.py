@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="lodestrata-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -64,8 +65,3 @@ def text_slices(column: pa.Array) -> list[memoryview | None]:
     elif pa.types.is_large_string(column.type):
         column = column.cast(pa.large_binary())
     return [memoryview(x.as_buffer()) if x.is_valid else None for x in column]
-
-
-def pieces(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 DEPTH = 400
 BORDER, SHIFT, SLICE = 1, np.int64(21), 1 << 20
 FOLDS = 5
+#: Profiles go to every task; there are a few hundred written languages.
+MOST_LANGUAGES = 5_000
 _letters: np.ndarray | None = None
 
 
@@ -87,8 +89,12 @@ def learn(labelled: DataFrame, depth: int = DEPTH) -> dict[str, list[int]]:
     sums = sums.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = sums.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= depth)
+    most = MOST_LANGUAGES * depth
+    rows = top.orderBy("lang", "rank").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"learn: more values of lang than a profile table for every task holds ({MOST_LANGUAGES})")
     profiles: dict[str, list[int]] = {}
-    for r in top.orderBy("lang", "rank").collect():
+    for r in rows:
         profiles.setdefault(r.lang, []).append(r.gram)
     return profiles
 

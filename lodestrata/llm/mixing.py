@@ -28,8 +28,11 @@ from .common import persist_table
 
 DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.85, "low": 0.13, "toxic": 0.02}
+#: Bounds of the classifier: labelled documents that it learns from, words that it keeps (those that part
+#: the domains most, so that they fit a broadcast), and what makes a word telling. All documents are
+#: scored by it with all their tokens.
 TRAIN_DOCS, VOCABULARY, MIN_DOCS, MIN_DEVIATION, MIN_RATIO = 20_000, 20_000, 5, 5.0, 3.0
-ROUNDS, TOLERANCE = 40, 1e-6
+ROUNDS, TOLERANCE = 200, 1e-6
 
 
 def distinct_words(text: Column) -> Column:
@@ -129,6 +132,8 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, rounds: i
         last = mix
         step = inverse @ (mix - goal)
         steps.append(step.tolist())
+    else:
+        raise RuntimeError(f"fit_rates: the rates still move after {rounds} rounds")
     return steps, mix / max(mix.sum(), 1e-300)
 
 

@@ -202,8 +202,8 @@ def position_ids(cu_seqlens: list[int], seq_len: int = SEQ_LEN) -> np.ndarray:
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
-    """The packed rows as Parquet, a folder per shard block readable on its own."""
-    packed.write.mode("errorifexists").parquet(path)
+    """The packed rows as Parquet, a folder for each shard, readable on its own."""
+    packed.write.mode("errorifexists").partitionBy("shard").parquet(path)
 
 
 def unpack(packed: DataFrame, dtype: str = "<u2") -> DataFrame:

@@ -6,7 +6,8 @@ rule two fingerprints that differ in at most ``budget`` bits agree in one of ``b
 so every fingerprint goes to one bucket per block; inside a bucket the trie of the remaining bits
 joins itself: node pairs descend together, carry the differing bits so far and are cut off when
 these exceed the budget. A bucket that holds more than ``bucket_rows`` fingerprints is dealt out
-again by blocks of its remaining bits, so no bucket grows with the input. Each task links what it
+again by blocks of its remaining bits, so buckets of N distinct fingerprints grow as N / 2^42; the trie
+prunes inside them, and equal fingerprints never meet there. Each task links what it
 found into trees, and a distributed star contraction joins the trees.
 
 Defined results: null, empty and wordless texts have fingerprint zero and link like any other; a
