@@ -6,6 +6,8 @@ a limit stands only where it is the operator (top-k).
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -424,11 +426,13 @@ def r24_propagation(spark, sf):
 
 
 def _shared(spark) -> None:
-    """Checkpoints go where the cluster says; only where that is unset, to a folder of our own."""
-    import tempfile
-
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestrata-"))
+    """Checkpoints go where the cluster says; only in local mode, where that is unset, to a folder of our own."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestrata-"))
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND {_DOT.format('a.embedding', 'b.embedding')} >= 0.4), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
