@@ -36,7 +36,7 @@ WINDOW, MER = 100, 32
 BLOCK_ROWS = 1 << 20
 MEMORY_ROWS = 1 << 18
 #: Bytes of strings in one collection; a larger bucket is one collection all the same.
-COLLECTION_BYTES = 1 << 21
+COLLECTION_BYTES = 1 << 20
 STEP = 128
 #: Classes of windows by what stands in front of the minimiser.
 SIDES = 8
