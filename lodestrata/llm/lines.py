@@ -41,6 +41,8 @@ SKETCH_BITS, ROW_BITS = 21, 11
 ONCE = 4
 #: Words at either end of a prefix by which a set looks for earlier sets before the full join.
 PILOTS = 3
+#: Shares of the prefix words that are joined one after the other.
+PASSES = 2
 #: What the filters of a pair read of a set.
 SHAPE = ["n", "even", "odd"]
 #: Similarity as a fraction.
@@ -138,15 +140,15 @@ def pilots(sets: DataFrame) -> DataFrame:
     return met.groupBy(F.col("sid").alias("later")).agg(F.min_by("earlier", apart(one, two)).alias("earlier"))
 
 
-def candidates(sets: DataFrame, late: DataFrame) -> DataFrame:
+def candidates(sets: DataFrame, late: DataFrame, share: int = 0, passes: int = 1) -> DataFrame:
     """(later, earlier, apart): sets not known to be late with the earlier sets that share a prefix word and
-    pass the length, positional and parity filters.
+    pass the length, positional and parity filters; of the words those of one of ``passes`` shares.
 
     Both sides of the join are one exchange of the prefix words, so the condition on the open side
     is worded over both."""
     known = sets.join(late.select(F.col("later").alias("sid"), F.lit(True).alias("late")), "sid", "left").withColumn("open", F.col("late").isNull())
     posts = known.select("sid", *SHAPE, "open", F.posexplode("prefix").alias("pos", "token"))
-    posts = posts.filter(F.shiftright("token", 56) > ONCE)  # a word of the corpus's only occurrence meets nobody
+    posts = posts.filter((F.shiftright("token", 56) > ONCE) & (F.pmod("token", F.lit(passes)) == share))  # a word of the corpus's only occurrence meets nobody
     a, b = posts.alias("a"), posts.alias("b")
     one, two = ({c: F.col(f"{x}.{c}") for c in posts.columns} for x in "ab")
     n, n2 = one["n"], two["n"]
@@ -194,11 +196,13 @@ def late_sets(sets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
 
     led = persist_table(pilots(sets), "pilots")
     late = settled(led)
-    met = persist_table(candidates(sets, late).join(led, ["later", "earlier"], "left_anti"), "met")
+    # share by share, so that the prefix words lie on disk in parts
+    parts = [persist_table(candidates(sets, late, k, PASSES).join(led, ["later", "earlier"], "left_anti"), "met") for k in range(PASSES)]
+    met = reduce(DataFrame.union, parts).distinct()
     likeliest = met.groupBy("later").agg(F.min_by("earlier", "apart").alias("earlier"))
     likeliest = persist_table(likeliest, "likeliest")
     late = late.union(settled(likeliest, met.join(likeliest, ["later", "earlier"], "left_anti")))
-    drop_tables(spark, met, led, likeliest)
+    drop_tables(spark, *parts, led, likeliest)
     return late
 
 
