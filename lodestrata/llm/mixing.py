@@ -53,13 +53,14 @@ def word_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """(word, w_<domain>...): what a word's presence adds to the log odds, for the most telling words;
     and per domain the log likelihood of a text with none of them."""
     chosen = training_domains(labels, id_col, train_docs)
-    texts = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
     # of equal texts one is learned from; the light rows are at most train_docs
-    one = texts.join(F.broadcast(chosen), "label_id").select("label_id", "domain", F.xxhash64("text").alias("key"))
-    one = persist_table(one.groupBy("key").agg(F.min(F.struct("label_id", "domain")).alias("m")).select("m.label_id", "m.domain"), "training")
+    one = texts.join(F.broadcast(chosen), "label_id").select("label_id", "domain", "key")
+    one = persist_table(one.groupBy("key").agg(F.min(F.struct("label_id", "domain")).alias("m")).select("key", "m.label_id", "m.domain"), "training")
     sizes = {r["domain"]: r["count"] for r in one.groupBy("domain").count().collect()}
     total = sum(sizes.values())
-    held = texts.join(F.broadcast(one), "label_id").select("domain", F.explode(distinct_words(F.col("text"))["words"]).alias("word"))
+    # rows that repeat in the table are one document
+    held = texts.join(F.broadcast(one), ["label_id", "key"]).dropDuplicates(["key"]).select("domain", F.explode(distinct_words(F.col("text"))["words"]).alias("word"))
     counts = held.groupBy("word").agg(*[F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS])
     share = {d: F.least((F.col(d) + 0.5) / (sizes.get(d, 0) + 1.0), F.lit(0.999)) for d in DOMAINS}
     seen = reduce(lambda a, b: a + b, [F.col(d) for d in DOMAINS])

@@ -332,10 +332,11 @@ def window_bytes(units: Bytes | Words, packed: bytes, n: int) -> list[bytes]:
     return [packed[starts[k] : ends[k + units.window - 1]] for k in range(n)]
 
 
-def repeated_spans(docs: DataFrame, id_col: str, text_col: str, units: Bytes | Words, marker: Marker, keep_first: bool, limit: int = LIMIT, chunk_bytes: int = CHUNK_BYTES, cut: int = CUT) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, id_col: str, text_col: str, units: Bytes | Words, marker: Marker, keep_first: bool, limit: int = LIMIT, chunk_bytes: int = CHUNK_BYTES, cut: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, texts). rows: every row of docs as (id, h1, h2). texts: each distinct text once, as
     (rid, h1, id, text, h2, many, spans) with the unit ranges to remove; id is its first document."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    cut = CUT if cut is None else cut
     base = keyed(docs, id_col, text_col)
     one = firsts(base).select("rid", "h1", "h2", "many").hint("shuffle_hash")
     # all uses read the same columns, so that the exchange of the texts is one and is reused

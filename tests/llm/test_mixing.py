@@ -66,3 +66,54 @@ def test_empty(spark):
     docs, labels = tables(spark)
     assert M.mixing_report(docs.limit(0), labels).count() == 0
     assert {r.rate for r in M.mixing_report(docs.filter("doc_id < 5"), labels.limit(0)).collect()}
+
+
+def test_posteriors_equal_brute_force(spark):
+    docs, labels = tables(spark)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    known = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.quality is not None and r.toxic is not None:
+            q, t = known.get(r.doc_id, (1, 0))
+            known[r.doc_id] = min(q, r.quality), max(t, r.toxic)
+    domain = {k: "toxic" if t else "high" if q else "low" for k, (q, t) in known.items()}
+    words = lambda t: set((t or "").lower().split())
+    first = {}
+    for d, t in rows:
+        if d in domain and (t not in first or d < first[t]):
+            first[t] = d
+    learned = [(domain[d], words(t)) for t, d in first.items()]
+    size = {d: sum(x == d for x, _ in learned) for d in M.DOMAINS}
+    total = len(learned)
+    weights, prior = {}, {d: np.log((size[d] + 1) / (total + 3)) for d in M.DOMAINS}
+    for w in set().union(*[x for _, x in learned]):
+        n = {d: sum(w in x for y, x in learned if y == d) for d in M.DOMAINS}
+        seen = sum(n.values())
+        share = {d: min((n[d] + 0.5) / (size[d] + 1), 0.999) for d in M.DOMAINS}
+        rest = {d: size[d] / total for d in M.DOMAINS}
+        off = max(abs(n[d] - seen * rest[d]) / np.sqrt(seen * rest[d] * (1 - rest[d]) + 1) for d in M.DOMAINS)
+        if seen >= M.MIN_DOCS and off >= M.MIN_DEVIATION and max(share.values()) / min(share.values()) >= M.MIN_RATIO:
+            weights[w] = {d: np.log(share[d] / (1 - share[d])) for d in M.DOMAINS}
+            for d in M.DOMAINS:
+                prior[d] += np.log(1 - share[d])
+    assert weights
+    want = []
+    for d, t in rows:
+        s = np.array([prior[k] + sum(weights[w][k] for w in words(t) if w in weights) for k in M.DOMAINS])
+        p = np.exp(s - s.max())
+        want.append((str(d), len((t or "").split()), *np.round(p / p.sum(), 6)))
+    got = [(str(r.id), r.n_tokens, *[round(r[f"p_{k}"], 6) for k in M.DOMAINS]) for r in M.posteriors(docs, labels).collect()]
+    assert [g[:2] for g in sorted(got)] == [w[:2] for w in sorted(want)]
+    assert np.allclose([g[2:] for g in sorted(got)], [w[2:] for w in sorted(want)], atol=2e-5)
+
+
+def test_long_text_and_unfinished_rates(spark):
+    docs, labels = tables(spark)
+    long = docs.union(spark.createDataFrame([(7000, "good1 junk1 bad1 " * 200_000, 0.1)], docs.schema))
+    assert M.mixing_rates(long, labels).filter("id = 7000").first().n_tokens == 600_000
+    members = M.persist_table(M.posteriors(docs, labels), "members")
+    try:
+        M.fit_rates(members, {"high": 1.0, "low": 0.0, "toxic": 0.0}, rounds=1, tolerance=1e-12)
+    except RuntimeError:
+        return
+    raise AssertionError("an unfinished fit must not pass for a result")

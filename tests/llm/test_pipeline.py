@@ -3,7 +3,9 @@ import random
 import corpus_pipeline as C
 import pytest
 
-from lodestrata.llm import packing
+from pyspark.sql import functions as F
+
+from lodestrata.llm import packing, resemblance
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +80,66 @@ def test_run(spark):
 def test_empty(spark, stage):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     assert stage(spark, docs, SF).count() == 0
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    """All pairs of distinct texts at a similarity of 0.8 or more, and the components of these links."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(10**6, None), (10**6 + 1, "  "), (10**6 + 2, "a b"), (10**6 + 3, "A  b")]
+
+    def shingles(text):
+        w = (text or "").encode().lower().split()
+        return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+    groups = {}
+    for d, t in rows:
+        groups.setdefault(shingles(t), []).append(d)
+    sets, root = list(groups), {}
+    first = {s: min(groups[s]) for s in sets}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    holders = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    met = {(i, j) for h in holders.values() for i in h for j in h if i < j}
+    for i, j in met:
+        a, b = sets[i], sets[j]
+        if len(a & b) >= 0.8 * len(a | b):
+            x, y = find(first[a]), find(first[b])
+            root[max(x, y)] = min(x, y)
+    want = {(d, find(first[s])) for s, ids in groups.items() for d in ids}
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.id, r.component_id) for r in resemblance.near_duplicates(table).collect()} == want
+
+
+def test_near_duplicates_of_hot_buckets_over_salts(spark, monkeypatch):
+    monkeypatch.setattr(resemblance, "BUCKET_ROWS", 7)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    rows = []
+    for k in range(60):
+        copy = list(base)
+        for at in rng.sample(range(120), k % 3):
+            copy[at] = f"n{k}x{at}"
+        rows.append((k, " ".join(copy)))
+    got = resemblance.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0}
+
+
+def test_stages_take_nulls_repeats_and_clashing_columns(spark):
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, "the same words in a row that go on and on", "en", "s", 1), (1, "one document of its own with some words", "en", "s", 1), (1, "another text under the id of the first one", "en", "s", 1), (2, None, None, None, None), (2, None, None, None, None), (3, "x" * 300_000, "en", "s", 1)]
+    extra = [(F.lit(9).alias(n)) for n in ("fp", "score", "lang_pred", "component", "rate", "row", "words", "id")]
+    docs = spark.createDataFrame(rows, names).select("*", *extra)
+    for name, stage in C.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns, name
+        assert kept.count() <= 20
+    near = C.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted(str(r.doc_id) for r in near).count("1") == 2 and any(r.doc_id is None for r in near)
+    assert C.pack_tokens(spark, docs, SF).count() > 0

@@ -54,3 +54,36 @@ def test_reader_over_small_pieces():
 
 def test_empty(spark):
     assert W.archive_report(frame(spark).limit(0)).count() == 0
+
+
+def test_archives_are_read_by_a_task_each(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame([(k, "u", f"{k} " * 600) for k in range(200)], "page_id long, url string, html string").repartition(6)
+    manifest = W.write(W.decide(pages), f"file://{tmp_path}")
+    assert manifest.count() >= 4
+    chunks = W.read(manifest).withColumn("task", F.spark_partition_id())
+    assert chunks.select("task").distinct().count() > 1 and chunks.count() == 200
+
+
+def test_many_repeated_digests_join_by_salts(spark, monkeypatch):
+    monkeypatch.setattr(W, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, W.archive_report(frame(spark)).collect()), key=str) == expected()
+
+
+def test_a_chunk_leaves_before_the_next_is_cut(spark):
+    """The plan lays out chunk numbers below the cut, and no array of chunks is made."""
+    plan = W.chunked(W.decide(frame(spark)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring" in plan.split("Generate")[0] and "transform" not in plan
+
+
+def test_the_writer_checks_its_digest(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    wrong = W.decide(frame(spark)).withColumn("digest", F.lit("0" * 40))
+    try:
+        W.write(wrong, f"file://{tmp_path}")
+    except Exception as e:
+        assert "not its payload" in str(e)
+        return
+    raise AssertionError("a wrong digest was written")

@@ -67,8 +67,9 @@ def corpus(join=" "):
     return out
 
 
-@pytest.mark.parametrize("limit", [4_096, 3])
-def test_substring_equals_brute_force(spark, limit, monkeypatch):
+@pytest.mark.parametrize(("limit", "cut"), [(4_096, 65_536), (3, 65_536), (3, 2), (4_096, 2)])
+def test_substring_equals_brute_force(spark, limit, cut, monkeypatch):
+    monkeypatch.setattr(superwindows, "CUT", cut)
     rows = corpus("\t") + [(7, "another text with id seven")]
     monkeypatch.setattr(substring, "LIMIT", limit)
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, hash int").repartition(3)
@@ -79,8 +80,9 @@ def test_substring_equals_brute_force(spark, limit, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(substring.brute_force(rows), key=str)
 
 
-@pytest.mark.parametrize("limit", [4_096, 3])
-def test_suffix_equals_brute_force(spark, limit):
+@pytest.mark.parametrize(("limit", "cut"), [(4_096, 65_536), (3, 65_536), (3, 2), (4_096, 2)])
+def test_suffix_equals_brute_force(spark, limit, cut, monkeypatch):
+    monkeypatch.setattr(superwindows, "CUT", cut)
     rows = corpus()
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, first int").repartition(3)
     parts, results = suffix.repeated_bytes(docs, limit=limit, block_rows=500, memory_rows=2_000)
@@ -102,3 +104,38 @@ def test_reports_and_empty_tables(spark):
         assert f(docs.limit(0)).count() == 0
     assert {r.kept for r in substring.remove_repeats(docs.filter("doc_id = 3")).collect()} == {"short one"}
     assert {bytes(r.kept) for r in suffix.remove_repeats(docs.filter("doc_id = 3")).collect()} == {b"short one"}
+
+
+def test_a_full_collection_goes_through_files(monkeypatch):
+    """At the defaults the collection of a bucket chunk of ordinary size is kept in files."""
+    opened = []
+
+    class Watched(suffix.Rows):
+        def __init__(self, kinds, folder, name):
+            opened.append(folder)
+            super().__init__(kinds, folder, name)
+
+    monkeypatch.setattr(suffix, "Rows", Watched)
+    shared = bytes(rng.randrange(97, 123) for _ in range(150))
+    strings = [bytes(rng.randrange(97, 123) for _ in range(10)) + shared[: 110 + k % 40] for k in range(2_200)]
+    assert sum(map(len, strings)) < suffix.COLLECTION_BYTES
+    pos, lcp, starts = suffix.collection(strings, 100)
+    assert all(opened) and len(opened) == 2
+    whole = b"".join(b"\0" + s for s in strings) + b"\0"
+    at = rng.sample(range(1, len(pos)), 300)
+    for k in at:
+        a, b = (whole[p : whole.index(b"\0", p)] for p in (pos[k - 1], pos[k]))
+        assert a <= b
+        n = 0
+        while n < min(len(a), len(b), 100) and a[n] == b[n]:
+            n += 1
+        assert lcp[k] == n
+
+
+def test_hot_bucket_at_the_default_limits(spark):
+    """5,000 documents share a passage: more strings under one minimiser than the limit."""
+    words = [f"q{k}" for k in range(60)]
+    rows = [(k, f"{k} a{k * 7} " + " ".join(words) + f" b{k * 3}") for k in range(5_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, suffix.suffix_report(docs).collect())) == sorted(suffix.brute_force(rows))
+    assert sorted(map(tuple, substring.substring_report(docs).collect())) == sorted(substring.brute_force(rows))
