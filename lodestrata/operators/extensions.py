@@ -9,6 +9,7 @@ from datetime import date
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,12 +153,15 @@ def perceptual_hash(grey: np.ndarray) -> int:
 
 def perceptual_hashes(images: DataFrame, pixels: str = "pixels") -> DataFrame:
     """``images`` with ``phash`` (16 hex digits) and ``hash`` (the same as signed long), null for images that
-    are not 32 x 32. Images that share bits are found by ``duplicates.hamming_pairs``."""
+    are not 32 x 32 or have unknown pixels. Images that share bits are found by ``duplicates.hamming_pairs``."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    at = images.columns.index(pixels)
+    schema = images.withColumn("phash", F.lit("")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.Series([None if x is None or len(x) != SIDE * SIDE else f"{perceptual_hash(np.asarray(x)):016x}" for x in batch])
+            values = [x.values for x in batch.column(at)]
+            found = [None if x is None or len(x) != SIDE * SIDE or x.null_count else f"{perceptual_hash(x.to_numpy()):016x}" for x in values]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], schema.names)
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    hashed = images.withColumn("phash", F.pandas_udf(run, "string")(F.col(pixels)))
-    return hashed.withColumn("hash", F.conv("phash", 16, -10).cast("long"))
+    return images.mapInArrow(run, schema).withColumn("hash", F.conv("phash", 16, -10).cast("long"))

@@ -194,8 +194,8 @@ def p15_image_badge(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", R.image_badge(F.element_at("embedding", 1).cast("double")).cast("double").alias("badge"))
 
 
-@query("""WITH w AS (SELECT doc_id, string_split_regex(text, '\\s+') AS w FROM documents WHERE contains(lower(text), 'the')), a AS (SELECT *, greatest(1, list_position(list_transform(w, lambda x: contains(lower(x), 'the')), true) - 6) AS at FROM w)
-    SELECT doc_id, CASE WHEN at > 1 THEN '…' ELSE '' END || regexp_replace(array_to_string(list_slice(w, at, at + 17), ' '), '(the)', '<b>\\1</b>', 'gi') || CASE WHEN len(w) >= at + 18 THEN '…' ELSE '' END AS snippet FROM a""")
+@query("""WITH w AS (SELECT doc_id, string_split_regex(text, '\\s+') AS w FROM documents WHERE contains(lower(text), 'the')), a AS (SELECT *, greatest(1, list_position(list_transform(w, lambda x: contains(lower(x), 'the')), true) - 6) AS spot FROM w)
+    SELECT doc_id, CASE WHEN spot > 1 THEN '…' ELSE '' END || regexp_replace(array_to_string(list_slice(w, spot, spot + 17), ' '), '(the)', '<b>\\1</b>', 'gi') || CASE WHEN len(w) >= spot + 18 THEN '…' ELSE '' END AS snippet FROM a""")
 def p17_snippet(spark, sf):
     return table(spark, sf, "documents").filter(F.lower("text").contains("the")).select("doc_id", T.snippet(F.col("text"), "the").alias("snippet"))
 
