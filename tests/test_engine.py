@@ -184,3 +184,60 @@ def test_query_terms():
     assert R.query_terms("My DA-3, my OS!") == (["my", "da", "3", "os"], [])
     assert R.query_terms("the lab of") == (["of"], ["the", "lab"])
     assert R.expansion_terms("DBMS da 3")[:3] == ["da 3", "da3", "da-3"]
+
+
+def test_moves_are_two_events(spark):
+    from lodestrata.streaming import events as E
+
+    rows = spark.createDataFrame([(1, "moved", "/a", "/b"), (2, "created", "/c", None)], "ts long, event_type string, path string, dest string")
+    assert {tuple(r) for r in E.moved(rows).collect()} == {(1, "deleted", "/a"), (1, "created", "/b"), (2, "created", "/c")}
+
+
+def test_readers_see_versions_while_batches_are_merged(spark, tmp_path):
+    """A stream of batches merges into a versioned table; a search that began before goes on with its version."""
+    from lodestrata.streaming import events as E
+
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    kind = "file_id long, text string, at int"
+    t.write(spark.createDataFrame([(1, "old", 0)], kind))
+    before = t.read()
+    (tmp_path / "in").mkdir()
+    spark.createDataFrame([(1, "new", 1), (2, "two", 1)], kind).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+    E.ingest(stream, str(tmp_path / "check"), lambda batch, _: t.update(lambda rows: K.merged(rows, batch, ["file_id"], "at")))
+    assert {r.text for r in before.collect()} == {"old"} and {r.text for r in t.read().collect()} == {"new", "two"}
+
+
+def test_stored_index_reads_the_buckets_of_its_terms(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"alpha beta {'gamma ' * (k % 4)} w{k}") for k in range(50)], "id long, text string")
+    R.write_index(docs, "id", "text", str(tmp_path / "i"))
+    for terms, prefixes in ((["alpha", "gamma"], []), (["gamma"], ["w1"]), ([], ["w"])):
+        want = {r.id: round(r.score, 9) for r in R.bm25(docs, "id", "text", terms, prefixes).collect()}
+        found = R.bm25_indexed(spark, str(tmp_path / "i"), terms, prefixes)
+        assert {r.id: round(r.score, 9) for r in found.collect()} == want
+    plan = R.bm25_indexed(spark, str(tmp_path / "i"), ["alpha"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan or "bucket#" in plan.split("PartitionFilters:")[1][:60]
+
+
+def test_file_lists(spark):
+    from lodestrata.operators import catalogue as C
+
+    f = spark.createDataFrame([(1, "b.JPG", ".JPG", 5), (2, "A.png", ".png", 7), (3, "c.mp4", ".mp4", 9)], "file_id long, filename string, extension string, size_bytes long")
+    assert [r.file_id for r in C.ordered(f, "az").collect()] == [2, 1, 3]
+    assert [r.file_id for r in C.videos(f).collect()] == [3]
+    assert [r.file_id for r in C.ordered(C.shown(f, gallery=True), "size").collect()] == [2, 1]
+    assert [r.file_id for r in C.shown(f, category_="all", formats=["jpg"]).collect()] == [1]
+
+
+def test_translations_come_from_the_cache(spark):
+    q = spark.createDataFrame([(" Photo ",), ("other",)], "query string")
+    cache = q.limit(1).select(K.translation_key(F.lit("photo"), F.lit("m"), F.lit("en")).alias("cache_key"), F.lit("picture").alias("translated_text"))
+    assert {(r.query, r.translated_text, r.was_translated) for r in K.translated(q, cache, "m", "en").collect()} == {(" Photo ", "picture", True), ("other", "other", False)}
+
+
+def test_dates_score_captures_first(spark):
+    from lodestrata.plans.planner import parse
+
+    plan = parse("notes from 9 December 2023", NOW)
+    rows = spark.createDataFrame([(1, date(2023, 12, 9), 0.0), (2, None, 1702080000.0), (3, None, 1702080000000.0), (4, date(2020, 1, 1), 1702080000.0), (5, None, None)], "file_id long, capture_date date, modified_at double")
+    assert [r.s for r in rows.select("file_id", S.date_score(plan, rows).alias("s")).orderBy("file_id").collect()] == [1, 1, 1, -1, 0]
