@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_slices
-from .superwindows import LIMIT, Group, Words, covered, repeated_spans, window_bytes
+from .superwindows import LIMIT, Group, Words, covered, repeated_spans, span_columns, window_bytes
 
 WINDOW, MER = 35, 8
 
@@ -51,11 +51,12 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            many, spans = batch.column(5).to_pylist(), batch.column(6).to_pylist()
+            many, (offsets, starts, ends) = batch.column(5).to_pylist(), span_columns(batch.column(6))
             total, gone, kept = [], [], []
             for k, data in enumerate(text_slices(batch.column(3))):
                 words = bytes(data).split()
-                mask = np.full(len(words), True) if many[k] and len(words) >= window else covered(len(words), spans[k])
+                lo, hi = offsets[k], offsets[k + 1]
+                mask = np.full(len(words), True) if many[k] and len(words) >= window else covered(len(words), starts[lo:hi], ends[lo:hi])
                 total.append(len(words))
                 gone.append(int(mask.sum()))
                 kept.append(b" ".join(w for w, m in zip(words, mask.tolist(), strict=True) if not m) if gone[-1] else b" ".join(words))

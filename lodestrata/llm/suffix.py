@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_slices
-from .superwindows import LIMIT, Bytes, Group, covered, repeated_spans
+from .superwindows import LIMIT, Bytes, Group, covered, repeated_spans, span_columns
 
 WINDOW, MER = 100, 32
 BLOCK_ROWS = 1 << 20
@@ -291,15 +291,20 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column(6).to_pylist()
+            offsets, starts, ends = span_columns(batch.column(6))
             total, gone, runs_, kept = [], [], [], []
             for k, data in enumerate(text_slices(batch.column(3))):
-                raw = np.frombuffer(data, np.uint8)
-                mask = covered(len(raw), spans[k])
-                total.append(len(raw))
-                gone.append(int(mask.sum()))
-                runs_.append(int(np.count_nonzero(np.diff(np.r_[False, mask].astype(np.int8)) == 1)))
-                kept.append(raw[~mask].tobytes() if gone[-1] else bytes(data))
+                lo, hi = offsets[k], offsets[k + 1]
+                total.append(len(data))
+                if lo == hi:
+                    gone.append(0)
+                    runs_.append(0)
+                    kept.append(bytes(data))
+                    continue
+                mask = covered(len(data), starts[lo:hi], ends[lo:hi])
+                gone.append(int(np.count_nonzero(mask)))
+                runs_.append(int(mask[0]) + int(np.count_nonzero(mask[1:] & ~mask[:-1])))
+                kept.append(np.frombuffer(data, np.uint8)[~mask].tobytes())
             columns = [batch.column(1), batch.column(4), batch.column(2), *(pa.array(x, pa.int64()) for x in (total, gone, runs_)), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["h1", "h2", "first", "n_bytes", "n_removed", "n_spans", "kept"])
 

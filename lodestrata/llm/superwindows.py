@@ -271,10 +271,12 @@ def _runs_of_equals(batch: pa.RecordBatch, last: pa.RecordBatch | None) -> tuple
 
 
 def _ranges(batch: pa.RecordBatch, rows: np.ndarray, window: int, schema: str) -> pa.RecordBatch:
-    """Marks of whole strings."""
-    some = batch.take(pa.array(rows))
-    start, n = some.column(5).to_numpy(), some.column(6).to_numpy()
-    return pa.RecordBatch.from_arrays([*some.columns[:7], pa.nulls(len(rows), pa.binary()), *some.columns[8:10], pa.array(start), pa.array(start + n + window - 1)], _names(schema))
+    """Marks of whole strings; what only unsettled strings need is null."""
+    some = batch.select(["rid", "h1", "start", "n"]).take(pa.array(rows))
+    start, n = some.column(2).to_numpy(), some.column(3).to_numpy()
+    filled = {"rid": some.column(0), "h1": some.column(1), "a": pa.array(start), "b": pa.array(start + n + window - 1)}
+    kinds = {f.name: f.type for f in batch.schema}
+    return pa.RecordBatch.from_arrays([filled[c] if c in filled else pa.nulls(len(rows), kinds[c]) for c in _names(schema)], _names(schema))
 
 
 def _rows(rows: list[tuple], schema: str, kinds: pa.Schema) -> pa.RecordBatch:
@@ -362,11 +364,11 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, units: Bytes | W
     return base.select("id", "h1", "h2"), texts.join(spans.hint("shuffle_hash"), ["rid", "h1"], "left")
 
 
-def covered(n: int, spans: list | None) -> np.ndarray:
+def span_columns(spans: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, a, b) of a column of lists of ranges."""
+    return spans.offsets.to_numpy(), spans.values.field(0).to_numpy(), spans.values.field(1).to_numpy()
+
+
+def covered(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Boolean mask of n units under half-open ranges."""
-    if spans is None or not len(spans):
-        return np.zeros(n, bool)
-    steps = np.zeros(n + 1, np.int64)
-    np.add.at(steps, [s["a"] for s in spans], 1)
-    np.add.at(steps, [s["b"] for s in spans], -1)
-    return np.cumsum(steps[:-1]) > 0
+    return np.cumsum(np.bincount(a, minlength=n + 1) - np.bincount(b, minlength=n + 1))[:n] > 0
