@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import persist_table
 
-CURVES, DIMS, BITS, REACH, K = 32, 10, 2, 512, 20
+CURVES, DIMS, BITS, REACH, K = 40, 10, 2, 448, 20
 #: Candidates kept beyond the k + 1 best, as the screen's scores are rounded.
 SPARE = 8
 SAMPLE_ROWS, LEAST_SAMPLE, BLOCK_ROWS, QUERY_ROWS, SEED = 20_000, 200, 4_096, 4_096, 20_240_601
@@ -82,7 +82,7 @@ class Orderings:
         self.axes, self.borders = [], []
         for _ in range(curves):
             axes = np.linalg.qr(rng.normal(size=(width, dims)))[0]
-            shares = (np.arange(1, 1 << bits)[:, None] + rng.uniform(-0.5, 0.5, dims)) / (1 << bits)
+            shares = (np.arange(1, 1 << bits)[:, None] + rng.uniform(-0.25, 0.25, dims)) / (1 << bits)
             if len(sample):
                 y = np.sort(sample @ axes, axis=0)
                 borders = np.stack([np.quantile(y[:, d], shares[:, d]) for d in range(dims)], 1)
