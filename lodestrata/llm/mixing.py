@@ -105,34 +105,35 @@ def rate_column(steps: list[list[float]]) -> Column:
 def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[list[list[float]], np.ndarray]:
     """Residual history of the projected gradient, and the domains' expected shares at its end.
 
-    In the token-weighted metric the gradient of a document is its posterior times the residual; the
-    residual is preconditioned by the inverse of H = sum of tokens * p p', for which the step 1 is safe.
+    In the token-weighted metric the gradient of a document is its posterior times the residual. The
+    residual is preconditioned by the inverse of H = sum of tokens * p p' over the documents whose rate is
+    not at its bound (all of them at first), which is how the mix answers to a step; a step after which
+    the residual has grown is followed by half a step. It raises where ``rounds`` are not enough.
     """
     p = [F.col(f"p_{d}") for d in DOMAINS]
     pairs = [(i, j) for i in range(len(p)) for j in range(i, len(p))]
-    first = members.agg(F.sum("n_tokens").alias("t"), *[F.sum(F.col("n_tokens") * p[i] * p[j]).alias(f"h{i}_{j}") for i, j in pairs]).first()
-    total = float(first["t"] or 0)
+    total = float(members.agg(F.sum("n_tokens")).first()[0] or 0)
     if not total:
         return [], np.zeros(len(DOMAINS))
-    h = np.zeros((len(p), len(p)))
-    for i, j in pairs:
-        h[i, j] = h[j, i] = first[f"h{i}_{j}"]
-    inverse = np.linalg.pinv(h, rcond=1e-10)
     goal = np.array([targets[d] for d in DOMAINS], float)
     goal = goal / goal.sum() * total
     steps: list[list[float]] = []
-    last = None
+    last, part = None, 1.0
     for _ in range(rounds):
         rated = members.withColumn("rate", rate_column(steps))
-        sums = rated.agg(*[F.sum(F.col("rate") * F.col("n_tokens") * x).alias(d) for x, d in zip(p, DOMAINS, strict=True)]).first()
+        free = F.when(F.col("rate") > 0, F.col("n_tokens")).otherwise(0)
+        sums = rated.agg(*[F.sum(F.col("rate") * F.col("n_tokens") * x).alias(d) for x, d in zip(p, DOMAINS, strict=True)], *[F.sum(free * p[i] * p[j]).alias(f"h{i}_{j}") for i, j in pairs]).first()
         mix = np.array([sums[d] for d in DOMAINS], float)
         if np.abs(mix - goal).max() <= tolerance * total:
             break
         if last is not None and np.abs(mix - last).max() <= tolerance * total:
             break  # the targets are out of reach: the least squares are reached
+        part = 1.0 if last is None or np.linalg.norm(mix - goal) < np.linalg.norm(last - goal) else part / 2
         last = mix
-        step = inverse @ (mix - goal)
-        steps.append(step.tolist())
+        h = np.zeros((len(p), len(p)))
+        for i, j in pairs:
+            h[i, j] = h[j, i] = sums[f"h{i}_{j}"]
+        steps.append((part * (np.linalg.pinv(h, rcond=1e-10) @ (mix - goal))).tolist())
     else:
         raise RuntimeError(f"fit_rates: the rates still move after {rounds} rounds")
     return steps, mix / max(mix.sum(), 1e-300)

@@ -26,9 +26,10 @@ def brute_rates(rows, targets):
     p = np.array([[r[f"p_{d}"] for d in M.DOMAINS] for r in rows])
     n = np.array([r.n_tokens for r in rows], float)
     goal = np.array([targets[d] for d in M.DOMAINS]) * n.sum()
-    r, h = np.ones(len(n)), (p * n[:, None]).T @ p
-    for _ in range(500):
-        r = np.maximum(0, r - p @ np.linalg.solve(h, (r * n) @ p - goal))
+    r = np.ones(len(n))
+    for _ in range(100):
+        w = n * (r > 0)
+        r = np.maximum(0, r - p @ np.linalg.solve((p * w[:, None]).T @ p, (r * n) @ p - goal))
     return r
 
 
