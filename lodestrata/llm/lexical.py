@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_tables, persist_table, text_slices
+from .common import persist_table, text_slices
 
 SHARD_DOCS, SHARD_POSTINGS = 1 << 15, 1 << 22
 #: Postings of a block at most, and the price of a block in postings of the list's mean impact.
@@ -50,7 +50,7 @@ BLOCK_TERMS = 200_000
 #: Bytes of a text that are split into words at once.
 SLICE = 1 << 20
 SALTS = 64
-FIRST_DOCS = 512
+FIRST_DOCS = 128
 NO_ID = -(1 << 63)
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -181,6 +181,7 @@ class Shard:
         bound = weight * self.high[blocks]
         blocks, weight, bound = (x[bound > 0] for x in (blocks, weight, bound))
         self.blocks += len(blocks)
+        ever = np.zeros(len(blocks), bool)
         if not len(blocks):
             return scores, ids
         low, top = self.docs[self.starts[blocks]].astype(np.int64), self.docs[self.ends[blocks] - 1].astype(np.int64)
@@ -205,7 +206,7 @@ class Shard:
             inside[_runs(borders[some], width[some])] = True
             before = np.r_[0, np.cumsum(inside)]
             opened = np.flatnonzero(before[top + 1] > before[low])
-            self.opened += len(opened)
+            ever[opened] = True
             n = self.ends[blocks[opened]] - self.starts[blocks[opened]]
             places = _runs(self.starts[blocks[opened]], n)
             own = np.repeat(opened, n)
@@ -220,6 +221,7 @@ class Shard:
             found = np.flatnonzero(exact >= threshold)
             self.scored += int(reach.sum())
             scores, ids = _top(np.r_[scores, exact[found]], np.r_[ids, self.ids[found]], k)
+        self.opened += int(ever.sum())
         return scores, ids
 
 
