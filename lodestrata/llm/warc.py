@@ -70,11 +70,13 @@ def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
 
 
 def chunked(rows: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One row per chunk, in order; a revisit or an empty payload is one chunk without bytes. Chunk
-    numbers are laid out first and a chunk is cut as its row leaves, so no task holds a record's chunks."""
+    """One row per chunk, in order; a revisit or an empty payload is one chunk without bytes. The payload is
+    made bytes once, below the chunk numbers, and a chunk is cut from these bytes as its row leaves: the
+    cost is linear in the payload, and no task holds a record's chunks."""
     n = F.when(F.col("refers_to").isNotNull(), F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / chunk_bytes)).cast("int"))
-    numbered = rows.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
-    data = F.when(F.col("refers_to").isNull(), F.substring(F.col("html").cast("binary"), F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes)))
+    whole = rows.select("page_id", "url", "n_bytes", "digest", "refers_to", F.when(F.col("refers_to").isNull(), F.col("html").cast("binary")).alias("payload"))
+    numbered = whole.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
+    data = F.substring("payload", F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes))
     return numbered.select("page_id", "url", "n_bytes", "digest", "refers_to", "chunk_no", data.alias("data"))
 
 

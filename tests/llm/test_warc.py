@@ -74,7 +74,27 @@ def test_many_repeated_digests_join_by_salts(spark, monkeypatch):
 def test_a_chunk_leaves_before_the_next_is_cut(spark):
     """The plan lays out chunk numbers below the cut, and no array of chunks is made."""
     plan = W.chunked(W.decide(frame(spark)))._jdf.queryExecution().optimizedPlan().toString()
-    assert "substring" in plan.split("Generate")[0] and "transform" not in plan
+    above, below = plan.split("Generate", 1)
+    assert "substring" in above and "as binary" not in above and "as binary" in below and "transform" not in plan
+
+
+def test_cost_is_linear_in_the_payload(spark, tmp_path):
+    """Four times the bytes in well under sixteen times the time, which copies of the whole for each chunk take."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    def seconds(megabytes: int) -> float:
+        path = str(tmp_path / f"{megabytes}-{time.time_ns()}")
+        spark.createDataFrame([(1, "u", "0123456789abcdef" * (megabytes << 16), megabytes << 20, "d", None)], "page_id long, url string, html string, n_bytes long, digest string, refers_to long").write.parquet(path)
+        chunks = W.chunked(spark.read.parquet(path), chunk_bytes=2048)
+        began = time.time()
+        assert chunks.agg(F.sum(F.length("data"))).first()[0] == megabytes << 20
+        return time.time() - began
+
+    seconds(1)
+    few, many = min(seconds(4) for _ in range(2)), min(seconds(16) for _ in range(2))
+    assert many < 8 * few + 0.5, (few, many)
 
 
 def test_the_writer_checks_its_digest(spark, tmp_path):
