@@ -89,6 +89,26 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, terms: list[str] = (), pre
     return rows.filter(hit).join(F.broadcast(stats)).select("id", score.alias("score"))  # stats is one row
 
 
+def bm25_each(docs: DataFrame, id_col: str, text_col: str, queries: list[tuple[list[str], list[str]]], require_all: bool = True, k1: float = K1, b: float = B) -> DataFrame:
+    """(id, query, score): ``bm25`` of several (terms, prefixes) at once, ``query`` their place in the list. The
+    documents are tokenised once for the statistics and once for the scores, whatever the number of queries."""
+    flat = list(dict.fromkeys([(t, False) for q in queries for t in q[0]] + [(p, True) for q in queries for p in q[1]]))
+    place = {x: k for k, x in enumerate(flat)}
+    rows = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
+    rows = rows.select("id", F.size("t").alias("dl"), *[_times("t", t, p).alias(f"tf{k}") for k, (t, p) in enumerate(flat)])
+    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(flat))])
+    idf = lambda k: F.log(1 + (F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
+    part = lambda k: idf(k) * F.col(f"tf{k}") * (k1 + 1) / (F.col(f"tf{k}") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    found = []
+    for number, (terms, prefixes) in enumerate(queries):
+        own = [place[t, False] for t in terms] + [place[p, True] for p in prefixes]
+        hit = reduce((lambda x, y: x & y) if require_all else (lambda x, y: x | y), [F.col(f"tf{k}") > 0 for k in own])
+        found.append(F.when(hit, F.struct(F.lit(number).alias("query"), reduce(lambda x, y: x + y, [part(k) for k in own]).alias("score"))))
+    some = reduce(lambda x, y: x | y, [F.col(f"tf{k}") > 0 for k in range(len(flat))])
+    each = rows.filter(some).join(F.broadcast(stats)).select("id", F.explode(F.array_compact(F.array(*found))).alias("f"))  # stats is one row
+    return each.select("id", "f.query", "f.score")
+
+
 def bm25_norm(score: Column, compat: bool = False) -> Column:
     """Into [0, 1): s / (1 + s); the compatible form 1 / (1 + s) turns the order round."""
     return 1 / (1 + score) if compat else score / (1 + score)

@@ -5,9 +5,13 @@
 
 The sentence decides on the driver which branches are built at all; everything else is DataFrame
 operators, so filters reach the scans and the branches share them. The weights of the branches follow
-the sentence's intent. Branches return at most their own limits (the reference's: 45 by text, 25 images,
-50 concepts, 20 for each expansion), which are parameters of ``Limits``; they are top-k operators over
-all rows.
+the sentence's intent. Branches return at most their own limits (45 by text, 25 images, 50 concepts, 20 for
+each expansion), which are parameters of ``Limits``; they are top-k operators over all rows that can be in
+the result: what the sentence and the options rule out (extension, size, formats, category, hidden rows,
+files that are gone) is ruled out below every limit, so a limit never leaves a narrow search without rows.
+
+Text and all expansions are scored together: with an index (``operators.postings``) from its blocks, else in
+two scans of the files (statistics, then scores), however many expansions there are.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from ..operators import governance as G
 from ..operators import people as P
 from ..operators import retrieval as R
 from ..operators import understanding as U
+from ..operators.postings import TextIndex
 from .planner import Plan, parse
 
 #: Score from which a result is shown.
@@ -59,6 +64,10 @@ class Library:
     text_vectors: DataFrame | None = None
     image_vectors: DataFrame | None = None
     people: P.People | None = None
+    #: Over ``contents(files)``; without one the texts are scanned.
+    index: TextIndex | None = None
+    #: (file_id) of the files that are still there; all, if not given.
+    existing: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -92,56 +101,84 @@ def known_names(people: P.People | None, text: str) -> dict[str, str]:
     return {r.wanted: r["name"] for r in named.collect()}
 
 
-def _text_hits(lib: Library, text: str, category: str | None, limit: int, tie: str = "file_id") -> DataFrame | None:
-    """(file_id, bm25) of the best full-text hits; null without words."""
-    whole, prefixes = R.query_terms(text)
-    if not whole and not prefixes:
-        return None
-    rows = lib.files.withColumn("_content", F.concat_ws("\n", "filename", "extracted_text", *(["ocr_text"] if "ocr_text" in lib.files.columns else [])))
-    scored = R.bm25(rows, "file_id", "_content", whole, prefixes)
-    if category:
-        kept = lib.files.filter(C.in_category(F.col("extension"), category)).select(F.col("file_id").alias("id"))
-        scored = scored.join(kept, "id", "left_semi")
-    return R.top(scored, limit, "score", "id").select(F.col("id").alias("file_id"), F.col("score").alias("bm25"))
+def contents(files: DataFrame) -> DataFrame:
+    """(file_id, content): what full-text search reads of a file, as an index of it must hold."""
+    parts = ["filename", "extracted_text", *(["ocr_text"] if "ocr_text" in files.columns else [])]
+    return files.select("file_id", F.concat_ws("\n", *parts).alias("content"))
 
 
-def branches(lib: Library, plan: Plan, o: Options, text_query: list[float] | None, image_query: list[float] | None) -> list[DataFrame]:
-    """(file_id and some of KINDS, reason) of every branch that the plan asks for."""
+def admitted(lib: Library, plan: Plan, o: Options) -> DataFrame:
+    """The files that may be in the result: every filter of the sentence and of the options, before any limit."""
+    rows = G.visible(lib.files, o.authenticated, o.protected)
+    if plan.extension:
+        rows = rows.filter(F.lower("path").endswith("." + plan.extension))
+    if plan.size:
+        rows = rows.filter(F.col("size_bytes") > plan.size[1] if plan.size[0] == "gt" else F.col("size_bytes") < plan.size[1])
+    if o.category and o.category.strip().upper() != "ALL":
+        rows = rows.filter(user_category(o.category, rows.columns))
+    if o.formats:
+        wanted = [f.lower().lstrip(".") for f in o.formats]
+        rows = rows.filter(F.regexp_replace(F.lower("extension"), r"^\.+", "").isin(wanted))
+    return rows if lib.existing is None else rows.join(lib.existing.select("file_id"), "file_id", "left_semi")
+
+
+def text_hits(lib: Library, rows: DataFrame, queries: list[tuple[str, int]], narrowed: str | None) -> DataFrame | None:
+    """(file_id, asked, bm25): the best full-text hits among ``rows`` of each (text, limit), ``asked`` its place in
+    the list; null without words. Statistics are those of all files."""
+    asked = [(k, *R.query_terms(text), limit) for k, (text, limit) in enumerate(queries)]
+    asked = [x for x in asked if x[1] or x[2]]
+    if not asked:
+        return None
+    kept = rows.filter(C.in_category(F.col("extension"), narrowed)) if narrowed else rows
+    if lib.index is not None:
+        found = [lib.index.search(whole, prefixes, limit, keep=kept.select("file_id")).select(F.col("id").alias("file_id"), F.lit(k).alias("asked"), F.col("score").alias("bm25")) for k, whole, prefixes, limit in asked]
+        return reduce(DataFrame.unionByName, found)
+    scores = R.bm25_each(contents(lib.files), "file_id", "content", [(whole, prefixes) for _, whole, prefixes, _ in asked]).withColumnRenamed("id", "file_id")
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "file_id"))
+    limits = F.element_at(F.array(*[F.lit(x[3]) for x in asked]), F.col("query") + 1)
+    places = F.element_at(F.array(*[F.lit(x[0]) for x in asked]), F.col("query") + 1)
+    ranked = scores.join(kept.select("file_id"), "file_id", "left_semi").withColumn("_r", best)
+    most = max(x[3] for x in asked)
+    return ranked.filter((F.col("_r") <= most) & (F.col("_r") <= limits)).select("file_id", places.alias("asked"), F.col("score").alias("bm25"))
+
+
+def branches(lib: Library, rows: DataFrame, plan: Plan, o: Options, text_query: list[float] | None, image_query: list[float] | None) -> list[DataFrame]:
+    """(file_id and some of KINDS, reason) of every branch that the plan asks for, among ``rows`` of the files."""
     out: list[DataFrame] = []
     say = lambda df, reason: df.withColumn("reason", reason if isinstance(reason, Column) else F.lit(reason))
-    ocr = F.col("ocr_text").isNotNull() & (F.col("ocr_text") != "") if "ocr_text" in lib.files.columns else F.lit(False)
+    ids = rows.select("file_id")
+    ocr = F.col("ocr_text").isNotNull() & (F.col("ocr_text") != "") if "ocr_text" in rows.columns else F.lit(False)
     if "persons" not in o.without and plan.persons and lib.people is not None:
-        wanted = lib.people.persons.sparkSession.createDataFrame([(plan.persons[0],)], "wanted string")
-        who = P.find_persons(lib.people, wanted).select("person_id")
-        hits = lib.people.links.join(F.broadcast(who), "person_id").groupBy("file_id").agg(F.max("confidence").alias("person"))  # one person
-        out.append(say(hits, f"Person match: {plan.persons[0]}"))
+        wanted = lib.people.persons.sparkSession.createDataFrame([(p,) for p in plan.persons], "wanted string")
+        who = P.find_persons(lib.people, wanted).select("person_id", "wanted")  # the sentence's few persons
+        hits = lib.people.links.join(F.broadcast(who), "person_id").join(ids, "file_id", "left_semi")
+        out.append(say(hits.groupBy("file_id", "wanted").agg(F.max("confidence").alias("person")), F.concat(F.lit("Person match: "), "wanted")))
     if o.category:
         look = o.category.strip().upper() == "IMAGE"
     else:
         look = "image" in plan.file_types if plan.file_types else (plan.visual or not plan.academic)
     if "images" not in o.without and look and lib.image_vectors is not None and image_query is not None:
-        images = lib.files.filter(C.in_category(F.col("extension"), "image"))
+        images = rows.filter(C.in_category(F.col("extension"), "image"))
         if o.limits.image_pool:
             images = images.orderBy(F.desc("modified_at"), "file_id").limit(o.limits.image_pool)
         pool = lib.image_vectors.join(images.select("file_id"), "file_id", "left_semi")
         found = R.knn(pool, image_query, o.limits.images, "file_id", "vector", o.limits.image_least)
         out.append(say(found.select(F.col("id").alias("file_id"), R.image_norm(F.col("score")).alias("image")), "Visual match"))
     if "concepts" not in o.without and lib.understanding is not None:
-        out.append(U.concept_hits(lib.understanding, plan.text, o.limits.concepts).select("file_id", F.lit(None).cast("string").alias("reason")))
-    narrowed = o.category or plan.target
-    if "text" not in o.without:
-        hits = _text_hits(lib, plan.text, narrowed, o.limits.text)
-        if hits is not None:
-            norm = R.bm25_norm(F.col("bm25"), o.compat_norm)
-            out.append(say(hits.join(lib.files.select("file_id", ocr.alias("_ocr")), "file_id").select("file_id", norm.alias("lexical"), F.when(F.col("_ocr"), norm).otherwise(0.0).alias("ocr")), "Lexical FTS match"))
+        known = lib.understanding.join(ids, "file_id", "left_semi")
+        out.append(U.concept_hits(known, plan.text, o.limits.concepts).select("file_id", F.lit(None).cast("string").alias("reason")))
+    asked = [(plan.text, o.limits.text)] if "text" not in o.without else [("", 0)]
     if "expansions" not in o.without:
-        for term in plan.expansions[: o.limits.expansions]:
-            hits = _text_hits(lib, term, narrowed, o.limits.expansion)
-            if hits is not None:
-                credit = F.lit(0.7)
-                out.append(say(hits.join(lib.files.select("file_id", ocr.alias("_ocr")), "file_id").select("file_id", credit.alias("lexical"), F.when(F.col("_ocr"), 0.7).otherwise(0.0).alias("ocr")), f"Matched term '{term}'"))
+        asked += [(term, o.limits.expansion) for term in plan.expansions[: o.limits.expansions]]
+    hits = text_hits(lib, rows, asked, o.category or plan.target)
+    if hits is not None:
+        reasons = F.element_at(F.array(F.lit("Lexical FTS match"), *[F.lit(f"Matched term '{t}'") for t, _ in asked[1:]]), F.col("asked") + 1)
+        credit = F.when(F.col("asked") == 0, R.bm25_norm(F.col("bm25"), o.compat_norm)).otherwise(0.7)
+        read = hits.join(rows.select("file_id", ocr.alias("_ocr")), "file_id")
+        out.append(read.select("file_id", credit.alias("lexical"), F.when(F.col("_ocr"), credit).otherwise(0.0).alias("ocr"), reasons.alias("reason")))
     if "dense" not in o.without and lib.text_vectors is not None and text_query is not None:
-        found = R.knn(lib.text_vectors, text_query, o.limits.dense, "file_id", "vector", o.limits.dense_least)
+        pool = lib.text_vectors.join(ids, "file_id", "left_semi")
+        found = R.knn(pool, text_query, o.limits.dense, "file_id", "vector", o.limits.dense_least)
         out.append(say(found.select(F.col("id").alias("file_id"), F.col("score").alias("dense")), "Semantic similarity"))
     return out
 
@@ -166,16 +203,15 @@ def date_score(plan: Plan, files: DataFrame) -> Column:
 
 
 def category_score(plan: Plan, columns: list[str]) -> Column:
-    """1 where the document type is in the file's type or name, .8 where the category is in its own, else 0."""
+    """1 where a document type of the sentence is in the file's type or name, .8 where one of its categories is
+    in the file's own, else 0."""
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit(""))) if c in columns else F.lit("")
     name, kind, category = low("filename"), low("document_type"), low("category_v4")
     score = F.lit(0.0)
-    if plan.categories:
-        target = plan.categories[0].lower()
-        score = F.when(category.contains(target) | name.contains(target), 0.8).otherwise(score)
-    if plan.document_types:
-        target = plan.document_types[0].lower()
-        score = F.when(kind.contains(target) | name.contains(target), 1.0).otherwise(score)
+    for target in plan.categories:
+        score = F.when(category.contains(target.lower()) | name.contains(target.lower()), 0.8).otherwise(score)
+    for target in plan.document_types:
+        score = F.when(kind.contains(target.lower()) | name.contains(target.lower()), 1.0).otherwise(score)
     return score
 
 
@@ -195,18 +231,9 @@ def sorted_by(rows: DataFrame, how: str) -> list[Column]:
 
 
 def scored(lib: Library, plan: Plan, o: Options, text_query: list[float] | None = None, image_query: list[float] | None = None) -> DataFrame:
-    """All candidates with their scores, before hiding and limits."""
-    files = lib.files
-    found = united(branches(lib, plan, o, text_query, image_query), files).join(files, "file_id")
-    if plan.extension:
-        found = found.filter(F.lower("path").endswith("." + plan.extension))
-    if plan.size:
-        found = found.filter(F.col("size_bytes") > plan.size[1] if plan.size[0] == "gt" else F.col("size_bytes") < plan.size[1])
-    if o.category and o.category.strip().upper() != "ALL":
-        found = found.filter(user_category(o.category, found.columns))
-    if o.formats:
-        wanted = [f.lower().lstrip(".") for f in o.formats]
-        found = found.filter(F.regexp_replace(F.lower("extension"), r"^\.+", "").isin(wanted))
+    """All candidates with their scores, before the result's own limit."""
+    files = admitted(lib, plan, o)
+    found = united(branches(lib, files, plan, o, text_query, image_query), files).join(files, "file_id")
     name = R.filename_score(F.col("filename"), F.col("extracted_text"), plan.text, list(plan.expansions)) if "filename" not in o.without else F.lit(0.0)
     found = found.withColumn("filename_score", name)
     if lib.understanding is not None and "roles" not in o.without:
@@ -232,7 +259,7 @@ def search(lib: Library, sentence: str, o: Options, text_query: list[float] | No
     rows = scored(lib, plan, o, text_query, image_query)
     if sentence.strip() != "*":
         rows = rows.filter(F.col("score") > LEAST)
-    rows = G.visible(rows, o.authenticated, o.protected).withColumn("_order_path", F.col("path"))
+    rows = rows.withColumn("_order_path", F.col("path"))
     best = rows.orderBy(*sorted_by(rows, o.sort_by)).limit(o.limit)
     first = next(iter(R.query_terms(plan.text)[1] or R.query_terms(plan.text)[0]), None)
     shown = best.withColumns({

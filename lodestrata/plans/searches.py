@@ -151,10 +151,10 @@ def p9_tiers(spark, sf):
     return t.select("file_id", *[F.array_join(c, "|").alias(c) for c in ("core", "secondary", "terms")])
 
 
-def _sql_concepts(sentence: str, limit: int) -> str:
+def _sql_concepts(sentence: str, limit: int, table_: str = "du") -> str:
     whole = "concat_ws(' ', title, document_type, array_to_string(objects, ' '), array_to_string(semantic_tags, ' '), array_to_string(visual_concepts, ' '), description)"
     words = U.concept_words(sentence)
-    return f"(SELECT file_id, len(list_intersect({_TOK.format(whole)}, {words}))::INTEGER AS hits FROM du WHERE len(list_intersect({_TOK.format(whole)}, {words})) > 0 ORDER BY 2 DESC, 1 DESC LIMIT {limit})"
+    return f"(SELECT file_id, len(list_intersect({_TOK.format(whole)}, {words}))::INTEGER AS hits FROM {table_} WHERE len(list_intersect({_TOK.format(whole)}, {words})) > 0 ORDER BY 2 DESC, 1 DESC LIMIT {limit})"
 
 
 @query(f"WITH {FILES_SQL}, {_DU_SQL} SELECT * FROM {_sql_concepts('a red shirt at the beach or an invoice', 60)}")
@@ -183,36 +183,43 @@ def _sql_bm25_of(name: str, whole: list[str], prefixes: list[str], limit: int, c
     n = range(len(tf))
     stats = ", ".join(f"count(*) FILTER (tf{k} > 0) AS df{k}" for k in n)
     score = " + ".join(f"ln(1 + (n - df{k} + 0.5::DOUBLE) / (df{k} + 0.5::DOUBLE)) * tf{k} * 2.2::DOUBLE / (tf{k} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))" for k in n)
-    kept = f" AND lower(extension) IN {_in(V.FILTER_CATEGORY[category])}" if category else ""
+    kept = " AND file_id IN (SELECT file_id FROM kept)" + (f" AND lower(extension) IN {_in(V.FILTER_CATEGORY[category])}" if category else "")
     return f"{name}_c AS (SELECT file_id, extension, len(t) AS dl, {', '.join(f'{x} AS tf{k}' for k, x in enumerate(tf))} FROM content), {name}_s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {stats} FROM {name}_c), {name} AS (SELECT file_id, {score} AS bm25 FROM {name}_c, {name}_s WHERE {' AND '.join(f'tf{k} > 0' for k in n)}{kept} ORDER BY 2 DESC, 1 LIMIT {limit})"
 
 
 def _sql_search(sentence: str, o: S.Options, persons: dict[str, str], limits: S.Limits = S.Limits()) -> str:
     plan = parse(sentence, o.now, persons)
-    ctes, found = [], []
+    extra = f" AND lower(extension) IN {_in(V.FILTER_CATEGORY[o.category.capitalize()])}" if o.category else ""
+    extra += f" AND ends_with(lower(path), '.{plan.extension}')" if plan.extension else ""
+    extra += f" AND size_bytes {'>' if plan.size[0] == 'gt' else '<'} {plan.size[1]}" if plan.size else ""
+    extra += f" AND ltrim(lower(extension), '.') IN {_in([f.lower().lstrip('.') for f in o.formats])}" if o.formats else ""
+    # all filters stand below the branches' limits
+    ctes, found = [f"kept AS (SELECT file_id FROM lib WHERE privacy_state <> 'HIDDEN'{extra})", "known AS (SELECT * FROM du WHERE file_id IN (SELECT file_id FROM kept))"], []
     narrowed = o.category.capitalize() if o.category else plan.target
-    row = lambda **k: "SELECT file_id, " + ", ".join(f"{k.get(n, '0.0')}::DOUBLE AS {n}" for n in S.KINDS)
+    row = lambda why, **k: "SELECT file_id, " + ", ".join(f"{k.get(n, '0.0')}::DOUBLE AS {n}" for n in S.KINDS) + f", {why} AS reason"
     norm = "bm25 / (1 + bm25)"
     for k, text in enumerate([plan.text, *plan.expansions[: limits.expansions]]):
         whole, prefixes = R.query_terms(text)
         if whole or prefixes:
             ctes.append(_sql_bm25_of(f"b{k}", whole, prefixes, limits.expansion if k else limits.text, narrowed))
             credit = "0.7" if k else norm
-            found.append(f"{row(lexical=credit, ocr=f'CASE WHEN ocr_text IS NOT NULL THEN {credit} ELSE 0.0 END')} FROM b{k} JOIN lib USING (file_id)")
+            why = f"'Matched term ''{text}'''" if k else "'Lexical FTS match'"
+            found.append(f"{row(why, lexical=credit, ocr=f'CASE WHEN ocr_text IS NOT NULL THEN {credit} ELSE 0.0 END')} FROM b{k} JOIN lib USING (file_id)")
     look = o.category.upper() == "IMAGE" if o.category else "image" in plan.file_types if plan.file_types else (plan.visual or not plan.academic)
     if look:
         cosine = _COS.format("embedding", str(_Q))
-        ctes.append(f"im AS (SELECT vec_id AS file_id, {cosine} AS s FROM embeddings WHERE vec_id IN (SELECT file_id FROM lib WHERE lower(extension) IN {_in(V.FILTER_CATEGORY['Image'])}) AND {cosine} >= {limits.image_least} ORDER BY 2 DESC, 1 LIMIT {limits.images})")
-        found.append(f"{row(image='least(1.0::DOUBLE, greatest(0.0::DOUBLE, (s - 0.18::DOUBLE) / 0.16::DOUBLE))')} FROM im")
+        ctes.append(f"im AS (SELECT vec_id AS file_id, {cosine} AS s FROM embeddings WHERE vec_id IN (SELECT file_id FROM lib WHERE lower(extension) IN {_in(V.FILTER_CATEGORY['Image'])}) AND vec_id IN (SELECT file_id FROM kept) AND {cosine} >= {limits.image_least} ORDER BY 2 DESC, 1 LIMIT {limits.images})")
+        found.append(f"{row("'Visual match'", image='least(1.0::DOUBLE, greatest(0.0::DOUBLE, (s - 0.18::DOUBLE) / 0.16::DOUBLE))')} FROM im")
     cosine = _COS.format("embedding", str(_Q[::-1]))
-    ctes.append(f"de AS (SELECT vec_id AS file_id, {cosine} AS s FROM embeddings WHERE {cosine} >= {limits.dense_least} ORDER BY 2 DESC, 1 LIMIT {limits.dense})")
-    found.append(f"{row(dense='s')} FROM de")
+    ctes.append(f"de AS (SELECT vec_id AS file_id, {cosine} AS s FROM embeddings WHERE vec_id IN (SELECT file_id FROM kept) AND {cosine} >= {limits.dense_least} ORDER BY 2 DESC, 1 LIMIT {limits.dense})")
+    found.append(f"{row("'Semantic similarity'", dense='s')} FROM de")
     if U.concept_words(plan.text):
-        found.append(f"{row()} FROM {_sql_concepts(plan.text, limits.concepts)}")
+        found.append(f"{row('NULL')} FROM {_sql_concepts(plan.text, limits.concepts, 'known')}")
     if plan.persons:
         ctes.append(f"who AS (SELECT min(person_id) AS person_id FROM (SELECT person_id, lower(name) AS k FROM persons UNION ALL SELECT person_id, lower(alias) FROM aliases) WHERE k = '{plan.persons[0].lower()}')")
-        found.append(f"{row(person='max(confidence)')} FROM links WHERE person_id = (SELECT person_id FROM who) GROUP BY file_id")
-    ctes.append(f"cand AS (SELECT file_id, {', '.join(f'max({n}) AS {n}' for n in S.KINDS)} FROM ({' UNION ALL '.join(found)}) GROUP BY 1)")
+        who = f"'Person match: {plan.persons[0]}'"
+        found.append(f"{row(who, person='max(confidence)')} FROM links WHERE person_id = (SELECT person_id FROM who) AND file_id IN (SELECT file_id FROM kept) GROUP BY file_id")
+    ctes.append(f"cand AS (SELECT file_id, {', '.join(f'max({n}) AS {n}' for n in S.KINDS)}, list_sort(list(DISTINCT reason) FILTER (reason IS NOT NULL)) AS reasons FROM ({' UNION ALL '.join(found)}) GROUP BY 1)")
     ctes.append(_sql_roles(plan.roles))
     words = [w for w in plan.text.lower().split() if len(w) > 1]
     own = "trim(regexp_replace(lower(filename), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
@@ -227,11 +234,8 @@ def _sql_search(sentence: str, o: S.Options, persons: dict[str, str], limits: S.
     kinds = f"WHEN contains(lower(document_type), '{plan.document_types[0].lower()}') OR contains(lower(filename), '{plan.document_types[0].lower()}') THEN 1.0" if plan.document_types else ""
     cats = f"WHEN contains(lower(category_v4), '{plan.categories[0].lower()}') OR contains(lower(filename), '{plan.categories[0].lower()}') THEN 0.8" if plan.categories else ""
     category = f"CASE {kinds} {cats} ELSE 0.0 END::DOUBLE" if kinds or cats else "0.0::DOUBLE"
-    extra = f" AND lower(extension) IN {_in(V.FILTER_CATEGORY[o.category.capitalize()])}" if o.category else ""
-    extra += f" AND ends_with(lower(path), '.{plan.extension}')" if plan.extension else ""
-    extra += f" AND size_bytes {'>' if plan.size[0] == 'gt' else '<'} {plan.size[1]}" if plan.size else ""
-    ctes.append(f"""j AS (SELECT l.*, c.lexical, c.dense, c.image, c.person, {named} AS filename_score, coalesce(coordination, 0) AS coordination, coalesce(contradiction, 0) AS contradiction, coalesce(role_score, 0) AS role_score, roles.file_id IS NOT NULL AS analysed, {dated} AS date_score, {category} AS category_score
-        FROM cand c JOIN lib l ON l.file_id = c.file_id LEFT JOIN roles ON roles.file_id = c.file_id WHERE true{extra}),
+    ctes.append(f"""j AS (SELECT l.*, c.lexical, c.dense, c.image, c.person, c.reasons, {named} AS filename_score, coalesce(coordination, 0) AS coordination, coalesce(contradiction, 0) AS contradiction, coalesce(role_score, 0) AS role_score, roles.file_id IS NOT NULL AS analysed, {dated} AS date_score, {category} AS category_score
+        FROM cand c JOIN lib l ON l.file_id = c.file_id LEFT JOIN roles ON roles.file_id = c.file_id WHERE l.file_id IN (SELECT file_id FROM kept)),
     s0 AS (SELECT *, {w[0]}::DOUBLE * image + {w[1]}::DOUBLE * lexical + {w[2]}::DOUBLE * dense + {w[3]}::DOUBLE * filename_score AS base FROM j),
     s1 AS (SELECT *, CASE WHEN role_score > 0.05 AND coordination >= 0.25 THEN 0.35::DOUBLE * coordination * role_score + (1 - 0.35::DOUBLE * coordination) * base WHEN analysed AND image > 0 AND coordination < 0.25 AND {str(plan.visual).lower()} THEN base * 0.85::DOUBLE ELSE base END * greatest(0.15::DOUBLE, 1 - 0.6::DOUBLE * contradiction) AS x1 FROM s0),
     s2 AS (SELECT *, {'CASE WHEN person > 0 THEN 0.55::DOUBLE * person + 0.45::DOUBLE * x1 ELSE x1 * 0.4::DOUBLE END' if plan.persons else 'x1'} AS x2 FROM s1),
@@ -239,7 +243,8 @@ def _sql_search(sentence: str, o: S.Options, persons: dict[str, str], limits: S.
     s4 AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN category_score > 0 THEN least(1.0::DOUBLE, x3 * 1.25::DOUBLE) ELSE x3 END)) AS score FROM s3)""")
     order = {"relevance": "score DESC", "size_desc": "size_bytes DESC", "name": "lower(filename)"}[o.sort_by]
     protected = "CASE WHEN privacy_state = 'PROTECTED' THEN '{0}' ELSE {1} END"
-    return f"""{_LIB_SQL}, {', '.join(ctes)} SELECT file_id, {protected.format('[PROTECTED PATH]', 'path')} AS path, CASE WHEN privacy_state = 'PROTECTED' THEN 'Protected File' || extension ELSE filename END AS filename, round(score, 5) AS score, round(role_score, 4) AS role_score, round(lexical, 5) AS lexical, round(image, 5) AS image
+    return f"""{_LIB_SQL}, {', '.join(ctes)} SELECT file_id, {protected.format('[PROTECTED PATH]', 'path')} AS path, CASE WHEN privacy_state = 'PROTECTED' THEN 'Protected File' || extension ELSE filename END AS filename, round(score, 5) AS score, round(role_score, 4) AS role_score, round(lexical, 5) AS lexical, round(image, 5) AS image, date_score, category_score, format('Relevance Score: {{:.2f}}', score) AS badge,
+            CASE WHEN privacy_state = 'PROTECTED' THEN 'Protected content matched search criteria' WHEN len(reasons) > 0 THEN array_to_string(reasons[1:3], ' · ') ELSE 'Matching file content' END AS explanation
         FROM s4 WHERE score > 0.05 AND privacy_state <> 'HIDDEN' ORDER BY {order}, s4.path LIMIT {o.limit}"""
 
 
@@ -248,7 +253,7 @@ def _search(name: str, sentence: str, persons: dict[str, str] | None = None, **o
 
     def run(spark, sf):
         found = S.search(library(spark, sf), sentence, o, _Q[::-1], _Q)
-        return found.select("file_id", "path", "filename", F.round("score", 5).alias("score"), F.round("role_score", 4).alias("role_score"), F.round("lexical", 5).alias("lexical"), F.round("image", 5).alias("image"))
+        return found.select("file_id", "path", "filename", F.round("score", 5).alias("score"), F.round("role_score", 4).alias("role_score"), F.round("lexical", 5).alias("lexical"), F.round("image", 5).alias("image"), "date_score", "category_score", "badge", "explanation")
 
     run.__name__ = f"q_search_{name}"
     return query(_sql_search(sentence, o, persons or {}))(run)
