@@ -5,29 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import vectors as V
 from .retrieval import dot
 
 CONFIRMED, POSSIBLE, MARGIN, CLUSTER = 0.52, 0.42, 0.03, 0.48
 
 
-BLOCKS = 16
+def best_matches(detections: DataFrame, references: DataFrame) -> DataFrame:
+    """(det_id, person_id, best, margin): each person's best reference counts, and the margin is the
+    best person's lead over the second. Balls of references that cannot hold one of the two are not
+    looked at (``vectors.best_two``)."""
+    return judged(V.best_two(*_sides(detections, references)))
 
 
-def in_blocks(left: DataFrame, right: DataFrame, right_key: str, blocks: int = BLOCKS) -> DataFrame:
-    """Every left row with every row of a stated set, dealt out: the set is hashed into blocks and each
-    block meets a copy of the left rows, so no task holds the whole set."""
-    dealt = right.withColumn("_block", F.pmod(F.xxhash64(right_key), F.lit(blocks)))
-    return left.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "_block").drop("_block")
+def _sides(detections: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
+    d = unit_vectors(detections, "det_vector").select(F.col("det_id").alias("id"), F.col("det_vector").alias("v"))
+    return d, unit_vectors(references, "ref_vector").select(F.col("person_id").alias("tag"), F.col("ref_vector").alias("v"))
 
 
-def best_matches(detections: DataFrame, references: DataFrame) -> DataFrame:
-    """(det_id, person_id, best, margin): each person's best reference counts, and the margin is the
-    best person's lead over the second."""
-    pairs = in_blocks(unit_vectors(detections, "det_vector"), unit_vectors(references, "ref_vector"), "ref_vector").select("det_id", "person_id", dot(F.col("det_vector"), F.col("ref_vector")).alias("sim"))
-    per_person = pairs.groupBy("det_id", "person_id").agg(F.max("sim").alias("sim"))
-    order = Window.partitionBy("det_id").orderBy(F.desc("sim"), "person_id")
-    ranked = per_person.select("det_id", "person_id", "sim", F.lead("sim").over(order).alias("second"), F.row_number().over(order).alias("r"))
-    return ranked.filter("r = 1").select("det_id", "person_id", F.col("sim").alias("best"), F.when(F.coalesce("second", F.lit(-1.0)) < 0, 1.0).otherwise(F.col("sim") - F.col("second")).alias("margin"))
+def judged(two: DataFrame) -> DataFrame:
+    """(det_id, person_id, best, margin) from the two best persons (id, tag, sim) of each face."""
+    order = Window.partitionBy("id").orderBy(F.desc("sim"), "tag")
+    ranked = two.select("id", "tag", "sim", F.lead("sim").over(order).alias("second"), F.row_number().over(order).alias("r"))
+    return ranked.filter("r = 1").select(F.col("id").alias("det_id"), F.col("tag").alias("person_id"), F.col("sim").alias("best"), F.when(F.coalesce("second", F.lit(-1.0)) < 0, 1.0).otherwise(F.col("sim") - F.col("second")).alias("margin"))
 
 
 def unit_vectors(rows: DataFrame, name: str) -> DataFrame:
@@ -42,10 +42,8 @@ def graded(best: Column, margin: Column, confirmed: float = CONFIRMED, possible:
 
 
 def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) with a < b and inner product of at least ``threshold``."""
-    a = vectors.select(F.col("id").alias("a"), F.col("v").alias("va"))
-    b = vectors.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    return in_blocks(a, b, "b").filter((F.col("a") < F.col("b")) & (dot(F.col("va"), F.col("vb")) >= threshold)).select("a", "b")
+    """(a, b) with a < b and inner product of at least ``threshold`` of ``vectors`` (id, v), without comparing all pairs."""
+    return V.similar_pairs(vectors, threshold)
 
 
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
@@ -78,21 +76,28 @@ def _state(edges: DataFrame) -> tuple:
 
 def propagate(detections: DataFrame, references: DataFrame, confirmed: float, lead: float, rounds: int | None = None) -> DataFrame:
     """(det_id, person_id): confirmed detections become references until none is new. All of a round
-    are judged against the same references, so the result has no order to depend on. Every round but
-    the last takes detections away, so it ends; with ``rounds`` it raises where these are not enough."""
-    found, done = None, 0
+    are judged against the same references, so the result has no order to depend on. A round compares the
+    faces that are still open with those that the round before has confirmed, and nothing else: of all
+    earlier references the two best persons of each face are kept, which is all that a later judgement can
+    need (a person below them counts again only with a new reference). Every round but the last takes
+    detections away, so it ends; with ``rounds`` it raises where these are not enough."""
+    open_, known = _sides(detections, references)
+    open_ = open_.checkpoint()
+    state, found, done = V.best_two(open_, known).checkpoint(), None, 0
     while True:
-        m = best_matches(detections, references)
+        m = judged(state)
         new = m.filter((F.col("best") >= confirmed) & (F.col("margin") >= lead)).select("det_id", "person_id").checkpoint()
-        if not new.limit(1).count():
+        if new.isEmpty():
             break
         if rounds is not None and done >= rounds:
             raise RuntimeError(f"propagate: detections are still confirmed after {rounds} rounds")
         done += 1
         # checkpointed, so that a long chain of rounds does not grow the plan
         found = (new if found is None else found.unionByName(new)).checkpoint()
-        references = references.unionByName(detections.join(new, "det_id").select("person_id", F.col("det_vector").alias("ref_vector"))).checkpoint()
-        detections = detections.join(new, "det_id", "left_anti").checkpoint()
+        ids = new.withColumnRenamed("det_id", "id")
+        fresh = open_.join(ids, "id").select(F.col("person_id").alias("tag"), "v")
+        open_ = open_.join(ids, "id", "left_anti").checkpoint()
+        state = V.two_best(state.join(ids, "id", "left_anti").unionByName(V.best_two(open_, fresh))).checkpoint()
     return found if found is not None else m.filter(F.lit(False)).select("det_id", "person_id")
 
 

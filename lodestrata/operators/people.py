@@ -15,6 +15,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.views import checkpoints
 from .entities import POSSIBLE, best_matches
 
 LINK = ["person_id", "file_id", "link_type"]
@@ -186,10 +187,31 @@ def delete_persons(p: People, gone: DataFrame) -> People:
     return People(keep(p.persons), keep(p.aliases), freed, keep(p.references), keep(p.links))
 
 
+def merge_roots(pairs: DataFrame) -> DataFrame:
+    """(source, target) with every target a person that stays. A source with several targets takes the smallest.
+    Chains are followed to their end by pointer jumping, in as many rounds as the logarithm of the number of
+    pairs at most; of a cycle the smallest id stays, and all that leads into it goes there."""
+    checkpoints(pairs.sparkSession)
+    step = pairs.filter("source <> target").groupBy("source").agg(F.min("target").alias("target")).checkpoint()
+    sources = step.select(F.col("source").alias("target"), F.lit(True).alias("_on"))
+    # low: the smallest id that the pointer has passed, both ends included
+    jump = step.select("source", "target", F.least("source", "target").alias("low"))
+    for _ in range(step.count().bit_length()):
+        ahead = jump.select(F.col("source").alias("target"), F.col("target").alias("_t"), F.col("low").alias("_l"))
+        jump = jump.join(ahead, "target", "left").select("source", F.coalesce("_t", "target").alias("target"), F.least("low", F.coalesce("_l", "low")).alias("low")).checkpoint()
+        if jump.join(sources, "target", "left_semi").isEmpty():  # all pointers stand on persons that stay
+            break
+    # a pointer that stands on a source now is in a cycle, which that source's own pointer has passed whole
+    cycle = jump.select(F.col("source").alias("target"), F.col("low").alias("_c"))
+    return jump.join(cycle, "target", "left").select("source", F.coalesce("_c", "target").alias("target")).filter("source <> target")
+
+
 def merge_persons(p: People, pairs: DataFrame) -> People:
     """``pairs``(source, target): aliases, references, faces and links go over, the source's name becomes
-    an alias, and the source goes. A target that is itself a source is followed one step only."""
-    pairs = pairs.filter("source <> target").groupBy("source").agg(F.min("target").alias("target"))
+    an alias, and the source goes. Chains and cycles are resolved first (``merge_roots``), so nothing is left
+    with a person that is gone; targets that are no persons are left alone with their sources."""
+    known = p.persons.select(F.col("person_id").alias("target"))
+    pairs = merge_roots(pairs.select("source", "target").join(known, "target", "left_semi"))
     kind = p.persons.schema["person_id"].dataType
 
     def moved(t: DataFrame) -> DataFrame:

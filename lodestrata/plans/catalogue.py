@@ -6,7 +6,6 @@ a limit stands only where it is the operator (top-k).
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -20,6 +19,7 @@ from ..operators import governance as G
 from ..operators import metrics as M
 from ..operators import retrieval as R
 from ..sources.views import FILES_SQL, files, table
+from ..sources.views import checkpoints as _shared
 from ..streaming import events as S
 from .registry import QUERIES, SQL, query  # noqa: F401
 
@@ -425,16 +425,6 @@ def r24_propagation(spark, sf):
     return E.propagate(*faces(spark, sf), confirmed=0.4, lead=0.03)
 
 
-def _shared(spark) -> None:
-    """Checkpoints go where the cluster says; only in local mode, where that is unset, to a folder of our own."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestrata-"))
-
-
 @query(f"""WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND {_DOT.format('a.embedding', 'b.embedding')} >= 0.4), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
     reach(node, other) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM reach r JOIN u ON u.a = r.other) SELECT node, min(other) AS component FROM reach GROUP BY 1""")
 def r25_j15_clusters(spark, sf):

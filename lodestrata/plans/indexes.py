@@ -6,12 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import images as I
 from ..operators import retrieval as R
 from ..operators.postings import TextIndex
+from ..operators.vector_index import VectorIndex
 from ..sources.tables import KeyedTable
 from ..sources.views import table
 from . import search as S
 from .catalogue import _PREFIX, _TERMS, _shared, _sql_bm25
+from .catalogue import _COS as COS
 from .catalogue import _Q as Q
 from .registry import query
 from .searches import NOW, _sql_search, library
@@ -85,3 +88,44 @@ def s12_keyed_upsert(spark, sf):
 def r5_bm25_of_several(spark, sf):
     """Several full-text queries in one pass over the texts."""
     return R.bm25_each(table(spark, sf, "documents"), "doc_id", "text", [(_TERMS, _PREFIX), (["of"], ["in"])]).withColumn("score", F.round("score", 6))
+
+
+_AT = "(embedding[8 * {0} + {1} + 1]::DOUBLE * 40)"
+_LAPLACIAN = "list_transform(range(64), lambda i: " + " + ".join([_AT.format("(CASE WHEN i < 8 THEN 1 ELSE i // 8 - 1 END)", "i % 8"), _AT.format("(CASE WHEN i >= 56 THEN 6 ELSE i // 8 + 1 END)", "i % 8"), _AT.format("(i // 8)", "(CASE WHEN i % 8 = 0 THEN 1 ELSE i % 8 - 1 END)"), _AT.format("(i // 8)", "(CASE WHEN i % 8 = 7 THEN 6 ELSE i % 8 + 1 END)")]) + " - 4 * " + _AT.format("(i // 8)", "i % 8") + ")"
+
+
+def _squares(spark, sf):
+    """The vectors as images of 8 x 8 pixels."""
+    v = table(spark, sf, "embeddings")
+    return v.select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 40).alias("pixels"), F.lit(8).alias("width"), F.lit(8).alias("height"), ((F.col("vec_id") % 10 + 1) / 10).alias("confidence"), (F.col("vec_id") % 150 + 1).cast("double").alias("face"))
+
+
+@query(f"SELECT vec_id, round(s, 5) AS sharpness, round(0.40::DOUBLE * ((vec_id % 10 + 1) / 10.0::DOUBLE) + 0.35::DOUBLE * least(1.0::DOUBLE, s / 120.0::DOUBLE) + 0.25::DOUBLE * least(1.0::DOUBLE, (vec_id % 150 + 1) / 112.0::DOUBLE), 3) AS quality FROM (SELECT vec_id, list_aggregate({_LAPLACIAN}, 'var_pop') AS s FROM embeddings)")
+def p16_pixel_quality(spark, sf):
+    """Sharpness from pixels, and the quality of a face with it."""
+    rows = I.with_sharpness(_squares(spark, sf))
+    quality = I.face_quality(F.col("confidence"), F.col("sharpness"), F.col("face"), F.col("face") + 1)
+    return rows.select("vec_id", F.round("sharpness", 5).alias("sharpness"), quality.alias("quality"))
+
+
+_BLUR = "list_sum(list_transform(range(49), lambda k: {w}[k // 7 + 1] * {w}[k % 7 + 1] * embedding[8 * greatest(0, least(7, i // 8 + k // 7 - 3)) + greatest(0, least(7, i % 8 + k % 7 - 3)) + 1]::DOUBLE * 40))"
+
+
+@query(f"""WITH b AS (SELECT vec_id, CASE WHEN label = 3 THEN list_transform(range(64), lambda i: {_BLUR.format(w=I.gaussian(1.0).tolist())}) ELSE list_transform(range(64), lambda i: embedding[i + 1]::DOUBLE * 40) END AS p FROM embeddings),
+    t AS (SELECT vec_id, list_transform(range(16), lambda j: (p[16 * (j // 4) + 2 * (j % 4) + 1] + p[16 * (j // 4) + 2 * (j % 4) + 2] + p[16 * (j // 4) + 2 * (j % 4) + 9] + p[16 * (j // 4) + 2 * (j % 4) + 10]) / 4) AS q FROM b)
+    SELECT vec_id, 4 AS thumb_width, round(q[1], 4) AS first, round(q[16], 4) AS last, round(list_sum(list_transform(range(16), lambda j: (j + 1) * q[j + 1])), 4) AS weighted FROM t""")
+def g2_thumbnails(spark, sf):
+    """Thumbnails, those of protected images blurred."""
+    rows = I.thumbnails(_squares(spark, sf).join(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id"), 4, 1.0, F.col("label") == 3)
+    weighted = F.aggregate(F.transform("thumbnail", lambda x, j: (j + 1) * x), F.lit(0.0), lambda s, x: s + x)
+    return rows.select("vec_id", "thumb_width", F.round(F.element_at("thumbnail", 1), 4).alias("first"), F.round(F.element_at("thumbnail", 16), 4).alias("last"), F.round(weighted, 4).alias("weighted"))
+
+
+@query(f"SELECT vec_id AS id, round({COS.format('embedding', str(Q))}, 5) AS score FROM embeddings WHERE label <> 4 AND vec_id % 11 <> 5 ORDER BY {COS.format('embedding', str(Q))} DESC, vec_id LIMIT 20")
+def x2_stored_vectors(spark, sf):
+    """Exact nearest vectors from the files of a stored index that can hold them, after deletions."""
+    v = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    index = VectorIndex(spark, scratch(spark, "vectors"), ball=128)
+    index.add(v, "vec_id", "embedding")
+    index.delete(v.filter("vec_id % 11 = 5").select("vec_id"))
+    return index.query(Q, 20, keep=F.col("label") != 4).withColumn("score", F.round("score", 5))

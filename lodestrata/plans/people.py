@@ -161,6 +161,20 @@ def _merged(spark, sf) -> P.People:
     return P.merge_persons(p, p.persons.filter("person_id % 10 = 7").select(F.col("person_id").alias("source"), (F.col("person_id") - 1).alias("target")))
 
 
+_CHAINS = """pairs AS (SELECT person_id AS source, CASE person_id % 10 WHEN 2 THEN person_id + 1 ELSE person_id - 1 END AS target FROM persons WHERE person_id % 10 IN (2, 3, 6, 7, 8)),
+    steps AS (SELECT * FROM pairs WHERE target IN (SELECT person_id FROM persons)), walk(source, reached) AS (SELECT source, target FROM steps UNION SELECT w.source, s.target FROM walk w JOIN steps s ON s.source = w.reached),
+    roots AS (SELECT * FROM (SELECT source, coalesce(min(reached) FILTER (reached NOT IN (SELECT source FROM steps)), min(reached)) AS target FROM walk GROUP BY 1) WHERE source <> target)"""
+
+
+@query(f"""{_WITH.replace('WITH', 'WITH RECURSIVE', 1)}, {_CHAINS}, moved AS (SELECT coalesce(target, person_id) AS person_id, file_id, link_type, confidence, is_confirmed FROM links LEFT JOIN roots ON source = person_id)
+    SELECT person_id, file_id, link_type, max(confidence) AS confidence, bool_or(is_confirmed) AS is_confirmed FROM moved GROUP BY 1, 2, 3""")
+def e_merge_chains(spark, sf):
+    """Chains of three merges and cycles of two: every link ends at a person that stays."""
+    p = people(spark, sf)
+    asked = p.persons.filter("person_id % 10 in (2, 3, 6, 7, 8)").select(F.col("person_id").alias("source"), F.when(F.col("person_id") % 10 == 2, F.col("person_id") + 1).otherwise(F.col("person_id") - 1).alias("target"))
+    return P.merge_persons(p, asked).links.select("person_id", "file_id", "link_type", "confidence", "is_confirmed")
+
+
 @query(f"{_WITH}, {_PAIRS} SELECT DISTINCT coalesce(target, person_id) AS person_id, alias FROM aliases LEFT JOIN pairs ON source = person_id UNION SELECT target, name FROM persons JOIN pairs ON source = person_id")
 def e_merge_aliases(spark, sf):
     return _merged(spark, sf).aliases

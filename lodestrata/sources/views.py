@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXTENSIONS = [".pdf", ".docx", ".txt", ".jpg", ".png", ".mp4", ".mp3", ".xlsx", ".pptx", ".py"]
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go where the cluster says; only in local mode, where that is unset, to a folder of our own."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestrata-"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
