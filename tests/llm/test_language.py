@@ -47,50 +47,6 @@ def test_nothing_to_learn(spark):
     assert L.language_report(docs.limit(0)).count() == 0
 
 
-def brute(rows):
-    """Profiles and distances by dictionaries."""
-    import zlib
-
-    code = lambda g: sum((1 if c == "_" else ord(c)) << 21 * k for k, c in enumerate(reversed(g)))
-    grams, counts = L.gram_counts(text)
-    assert dict(zip(grams.tolist(), counts.tolist(), strict=True)) == {code(g): n for g, n in want.items()}
-
-
-def test_slices(monkeypatch):
-    text = "the quick brown fox. jumped! over" * 50
-    whole = L.gram_counts(text)
-    monkeypatch.setattr(L, "SLICE", 7)
-    cut = L.gram_counts(text)
-    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
-
-
-def test_ranked_cut_equals_full_sort():
-    grams, counts = L.gram_counts("some words are here and there and everywhere, in every order " * 9 + "xq zv kj wp")
-    assert L.ranked(grams, counts, 5).tolist() == [g for g, _ in sorted(zip(grams.tolist(), counts.tolist(), strict=True), key=lambda x: (-x[1], x[0]))][:5]
-
-
-def test_held_out_accuracy_and_cases(spark):
-    en, fr = "the house and the garden with this that those ", "la maison et le jardin avec ces choses que nous "
-    rows = [(k, (en if k % 2 else fr) * (1 + k % 5), "en" if k % 2 else "fr", 0.5) for k in range(200)]
-    rows += [(900, None, "en", 0.5), (901, "", "en", None), (902, "123 !!", "fr", 1.0), (903, en, None, 1.0), (None, fr, "fr", 1.0), (1, en, "en", 1.0), (904, en * 20_000, "en", 1.0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
-    got = L.language_report(docs).collect()
-    assert len(got) == len(rows)
-    by = {r.doc_id: r for r in got}
-    assert {by[k].lang_pred for k in (900, 901, 902)} == {"und"} and by[903].lang_pred == "en" and by[None].lang_pred == "fr"
-    assert all(0 <= r.score <= 1 for r in got)
-    out = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 900]
-    assert len(out) > 20 and all(r.lang_pred == ("en" if r.doc_id % 2 else "fr") for r in out)
-    kept = L.keep_identified(docs)
-    assert kept.columns == docs.columns and kept.count() == len(rows) - 3
-
-
-def test_nothing_to_learn(spark):
-    docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
-    assert [(r.lang_pred, r.score) for r in L.language_report(docs).collect()] == [("und", 0.0)]
-    assert L.language_report(docs.limit(0)).count() == 0
-
-
 def brute(rows):
     """Profiles and distances by dictionaries."""
     import zlib
