@@ -1,5 +1,11 @@
 """Word lists, extension tables and patterns that results depend on."""
 
+# fixed values of role evaluation: a figure that may stand for a person, an attribute of something else, then what
+# speaks against a match: nobody and nothing worn, a garment without its attribute, a costume for a dress; and its weight
+STAND_IN_WORDS = ("character", "hero", "superhero", "illustration")
+STAND_IN, ELSEWHERE = 0.4, 0.2
+NOBODY, UNBOUND, COSTUME, AGAINST = 0.70, 0.65, 0.60, 0.75
+
 FILE_LABELS = {
     ".pdf": "PDF Document", ".docx": "Word Document", ".txt": "Text Document", ".jpg": "JPG Image", ".jpeg": "JPEG Image", ".png": "PNG Image",
     ".gif": "GIF Image", ".webp": "WebP Image", ".bmp": "Bitmap Image", ".tiff": "TIFF Image", ".xlsx": "Excel Spreadsheet", ".xls": "Excel Spreadsheet",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.patterns import MOST_BYTES, found
 from . import vectors as V
 from .retrieval import dot
 
@@ -33,7 +34,7 @@ def judged(two: DataFrame) -> DataFrame:
 def unit_vectors(rows: DataFrame, name: str) -> DataFrame:
     """``name`` scaled to length 1; vectors shorter than 1e-6 (and null ones) have no direction and go."""
     norm = F.sqrt(dot(F.col(name), F.col(name)))
-    scaled = F.transform(F.col(name).cast("array<double>"), lambda x: x / F.col("_norm"))
+    scaled = F.transform(F.col(name).cast("array<double>"), lambda x: F.try_divide(x, F.col("_norm")))  # filters may be put together and see rows that go
     return rows.withColumn("_norm", norm).filter(F.col("_norm") >= 1e-6).withColumn(name, scaled).drop("_norm")
 
 
@@ -124,27 +125,34 @@ def merge_names(persons: DataFrame) -> DataFrame:
     return persons.select("person_id", F.min("person_id").over(order).alias("kept_id"))
 
 
-def text_mentions(persons: DataFrame, files: DataFrame, shortest: int = 3) -> DataFrame:
+def text_mentions(persons: DataFrame, files: DataFrame, shortest: int = 3, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(person_id, file_id): a person's whole name, or one of ``aliases`` (if there is that column), as
-    successive words of a file's name and text. Names under ``shortest`` characters are not searched.
-    Joined on the word of a name that the fewest files have; names of more words are then held
-    against the files that have it."""
+    successive words of a file's name and text. Names under ``shortest`` characters are not searched. All
+    names are found in one pass over the texts, as long as they have ``most_bytes`` at most (counted first);
+    beyond, names and texts are joined on the word of a name that the fewest files have, and names of more
+    words are then held against the files that have it."""
     from ..functions.text import tokens
 
     text = F.concat_ws(" ", *[c for c in ("filename", "extracted_text") if c in files.columns])
-    words = files.select("file_id", F.explode(F.array_distinct(tokens(text))).alias("word"))
+    padded = lambda x: F.concat(F.lit(" "), F.array_join(x, " "), F.lit(" "))
     every = F.array(F.col("name"))
     if "aliases" in persons.columns:
         every = F.concat(every, F.coalesce(F.col("aliases"), F.array().cast("array<string>")))
     names = persons.select("person_id", F.explode(every).alias("name")).filter(F.length(F.trim("name")) >= shortest)
     names = names.select("person_id", tokens(F.col("name")).alias("parts")).filter(F.size("parts") > 0).distinct()
+    phrases = names.select(padded(F.col("parts")).alias("phrase")).distinct()
+    if (phrases.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0) <= most_bytes:
+        known = sorted(r["phrase"] for r in phrases.collect())  # within the bound
+        numbered = names.join(phrases.sparkSession.createDataFrame(list(enumerate(known)), "n int, phrase string"), padded(F.col("parts")) == F.col("phrase"))
+        met = files.select("file_id", F.explode(found(padded(tokens(text)), known)).alias("n"))
+        return met.join(numbered, "n").select("person_id", "file_id").distinct()
+    words = files.select("file_id", F.explode(F.array_distinct(tokens(text))).alias("word"))
     parts = names.select(F.explode("parts").alias("word")).distinct()
     spread = words.join(parts, "word").groupBy("word").agg(F.count("*").alias("n"))
     each = names.select("person_id", "parts", F.explode(F.array_distinct("parts")).alias("word")).join(spread, "word", "left")
     rarest = each.groupBy("person_id", "parts").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("rare"))
     met = words.join(rarest.select("person_id", "parts", F.col("rare.word").alias("word")), "word").select("person_id", "file_id", "parts")
     whole = met.filter(F.size("parts") == 1).select("person_id", "file_id")
-    padded = lambda x: F.concat(F.lit(" "), F.array_join(x, " "), F.lit(" "))
     longer = met.filter(F.size("parts") > 1).join(files.select("file_id", padded(tokens(text)).alias("text")), "file_id")
     return whole.union(longer.filter(F.contains("text", padded(F.col("parts")))).select("person_id", "file_id")).distinct()
 

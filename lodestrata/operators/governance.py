@@ -5,19 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions import vocabulary as V
-from ..functions.text import hits
 
 
-def sensitivity(text: Column, name: Column) -> Column:
-    """ID_DOCUMENT, BANKING_FINANCE, CONFIDENTIAL or NONE; the first that holds."""
+#: Fixed words that more than one rule looks for.
+CONTEXT_WORDS = ["passport", "republic of india", "card", "identity"]
+WORDS = list(dict.fromkeys([*V.ID_WORDS, *V.BANKING_WORDS, *V.CONFIDENTIAL_WORDS, *CONTEXT_WORDS]))
+
+
+def sensitivity(text: Column, name: Column, places: Column | None = None) -> Column:
+    """ID_DOCUMENT, BANKING_FINANCE, CONFIDENTIAL or NONE; the first that holds. ``places`` are those of WORDS in
+    name and text, if they are known already; else all words are looked for in one pass."""
     t = F.coalesce(text, F.lit(""))
-    both = F.concat_ws(" ", F.lower(F.coalesce(name, F.lit(""))), F.lower(t))
+    at = word_places(text, name) if places is None else places
     p = {k: t.rlike(v) for k, v in V.SENSITIVE_PATTERNS.items()}
-    passport = p["passport"] & (both.contains("passport") | both.contains("republic of india"))
-    ids = p["aadhaar"] | p["pan"] | p["voter"] | passport | ((hits(both, V.ID_WORDS) > 0) & (both.contains("card") | both.contains("identity")))
-    bank = hits(both, V.BANKING_WORDS)
-    return F.when(ids, "ID_DOCUMENT").when(p["card"] | p["ifsc"] | (p["account"] & (bank >= 1)) | (bank >= 3), "BANKING_FINANCE").when(hits(both, V.CONFIDENTIAL_WORDS) > 0, "CONFIDENTIAL").otherwise("NONE")
+    some = lambda words: P.among(at, WORDS, words)
+    passport = p["passport"] & (some(["passport", "republic of india"]) > 0)
+    ids = p["aadhaar"] | p["pan"] | p["voter"] | passport | ((some(V.ID_WORDS) > 0) & (some(["card", "identity"]) > 0))
+    bank = some(V.BANKING_WORDS)
+    return F.when(ids, "ID_DOCUMENT").when(p["card"] | p["ifsc"] | (p["account"] & (bank >= 1)) | (bank >= 3), "BANKING_FINANCE").when(some(V.CONFIDENTIAL_WORDS) > 0, "CONFIDENTIAL").otherwise("NONE")
+
+
+def word_places(text: Column, name: Column) -> Column:
+    return P.found(F.concat_ws(" ", F.lower(F.coalesce(name, F.lit(""))), F.lower(F.coalesce(text, F.lit("")))), WORDS)
 
 
 def confidence(kind: Column) -> Column:

@@ -205,6 +205,7 @@ class TextIndex:
         idf = {q: math.log(1 + (n - df[q] + 0.5) / (df[q] + 0.5)) for q in asked if df.get(q)}
         weight = reduce(lambda c, q: F.when(F.col("q") == q, idf[q]).otherwise(c), idf, F.lit(0.0))
         part = lambda tf, dl: weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+        place = reduce(lambda c, q: F.when(F.col("q") == q, asked.index(q)).otherwise(c), asked, F.lit(0))
         gone = self._dead(state["dead"])
         allowed = None if keep is None else keep.toDF("id").filter("id is not null").distinct()
 
@@ -215,8 +216,11 @@ class TextIndex:
             if allowed is not None:
                 each = each.join(allowed, "id", "left_semi")
             hits = each.groupBy("id", "dl", "q").agg(F.sum("tf").alias("tf"))
-            found = hits.groupBy("id").agg(F.sum(part(F.col("tf"), F.col("dl"))).alias("score"), F.count("*").alias("_n"))
-            return found.filter(F.col("_n") == len(asked) if require_all else F.lit(True)).select("id", "score")
+            # summed in the order of the query, as ``bm25`` does, so that equal documents have equal scores
+            parts = F.array_sort(F.collect_list(F.struct(place.alias("place"), part(F.col("tf"), F.col("dl")).alias("part"))))  # a part for each term of the query
+            found = hits.groupBy("id").agg(parts.alias("_p"))
+            found = found.filter(F.size("_p") == len(asked) if require_all else F.lit(True))
+            return found.select("id", F.aggregate("_p", F.lit(0.0), lambda s, x: s + x.part).alias("score"))
 
         if k is None:
             return scored(blocks)

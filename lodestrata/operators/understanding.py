@@ -85,8 +85,8 @@ def evaluated(rows: DataFrame, roles) -> DataFrame:
     subject = F.lit(1.0)
     if roles.subjects:
         forms = [s for q in roles.subjects for s in V.SUBJECT_SYNONYMS.get(q, [q])]
-        stand_in = _any([people.contains(w) for w in ("character", "hero", "superhero", "illustration")]) if {"guy", "man", "person"} & set(roles.subjects) else F.lit(False)
-        subject = F.when(some(people, forms), 1.0).when(stand_in, 0.4).otherwise(0.0)
+        stand_in = _any([people.contains(w) for w in V.STAND_IN_WORDS]) if {"guy", "man", "person"} & set(roles.subjects) else F.lit(False)
+        subject = F.when(some(people, forms), 1.0).when(stand_in, V.STAND_IN).otherwise(0.0)
     clothing = one(some(dress, [s for q in roles.clothing for s in V.CLOTHING_SYNONYMS.get(q, [q])])) if roles.clothing else F.lit(1.0)
     plain = {part: one(some(text(part), getattr(roles, part))) if getattr(roles, part) else F.lit(1.0) for part in ("objects", "actions", "scene")}
 
@@ -99,18 +99,18 @@ def evaluated(rows: DataFrame, roles) -> DataFrame:
             for mark, target in roles.bound:
                 forms = V.CLOTHING_SYNONYMS.get(target, [target])
                 near = _any([marks.rlike(rf"\b{re.escape(mark)}\s+{re.escape(t)}\b") | marks.rlike(rf"(in|wearing)\s+a?\s*{re.escape(mark)}\s+{re.escape(t)}") | F.coalesce(F.array_contains(F.try_element_at("bound", F.lit(t)), mark), F.lit(False)) for t in forms])
-                attribute, tied = F.when(near, 1.0).when(general, 0.2).otherwise(attribute), F.when(near, 1.0).when(general, 0.0).otherwise(tied)
+                attribute, tied = F.when(near, 1.0).when(general, V.ELSEWHERE).otherwise(attribute), F.when(near, 1.0).when(general, 0.0).otherwise(tied)
         else:
             attribute = tied = one(general)
 
     against = [F.lit(0.0)]
     if roles.clothing and roles.subjects:
-        against.append(F.when((F.size("subjects") == 0) & (F.size("clothing") == 0), 0.70).otherwise(0.0))
+        against.append(F.when((F.size("subjects") == 0) & (F.size("clothing") == 0), V.NOBODY).otherwise(0.0))
     if roles.bound:
         worn = _any([some(dress, V.CLOTHING_SYNONYMS.get(t, [t])) for _, t in roles.bound])
-        against.append(F.when((F.size("clothing") > 0) & worn & (tied == 0.0), 0.65).otherwise(0.0))
+        against.append(F.when((F.size("clothing") > 0) & worn & (tied == 0.0), V.UNBOUND).otherwise(0.0))
     if {"dress", "gown"} & set(roles.clothing):
-        against.append(F.when(_any([dress.contains(w) for w in V.COSTUMES]), 0.60).otherwise(0.0))
+        against.append(F.when(_any([dress.contains(w) for w in V.COSTUMES]), V.COSTUME).otherwise(0.0))
     contradiction = F.greatest(*against) if len(against) > 1 else against[0]
 
     active = [s for s, asked in ((subject, roles.subjects), (clothing, roles.clothing), (plain["objects"], roles.objects), (plain["actions"], roles.actions), (plain["scene"], roles.scene), (tied if roles.bound else attribute, roles.attributes)) if asked]
@@ -119,7 +119,7 @@ def evaluated(rows: DataFrame, roles) -> DataFrame:
     rows = rows.withColumns({n: zero(s) for n, s in scores.items()})
     mean = reduce(lambda a, b: a + b, active) / len(active) if active else F.lit(1.0)
     rows = rows.withColumn("_mean", zero(mean)).withColumn("coordination", F.col("_mean") * F.col("_mean"))
-    score = F.col("coordination") * F.col("_mean") * F.greatest(F.lit(0.0), 1 - 0.75 * F.col("contradiction"))
+    score = F.col("coordination") * F.col("_mean") * F.greatest(F.lit(0.0), 1 - V.AGAINST * F.col("contradiction"))
     return rows.withColumns({"relationship_match": zero(one(F.col("bound_match") > 0)), "role_score": F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 4)}).drop("_mean")
 
 
@@ -186,3 +186,43 @@ def index_content(files: DataFrame, du: DataFrame) -> DataFrame:
     empty = lambda c: F.coalesce(c, F.lit(""))
     return joined.select("file_id", "filename", F.trim(F.concat_ws("\n", empty(F.col("extracted_text")), empty(F.col("_ocr")), empty(F.col("_terms")), empty(F.col("description")))).alias("content"))
 
+
+
+#: Fields of an analyser's answer: texts, and lists of texts.
+ANSWER_TEXTS = ["document_type", "title", "event_name", "description"]
+ANSWER_LISTS = ["dates", "times", "locations", "organizations", "people", "objects", "entities", "semantic_tags", "visual_concepts", "activities", "colors", "relationships", "important_text"]
+
+
+def _answer_text(v: Column) -> Column:
+    return F.nullif(F.trim(F.try_variant_get(v, "$", "string")), F.lit(""))
+
+
+def _answer_list(answer: Column, name: str) -> Column:
+    """A list field as trimmed texts: numbers are texts, blank ones and objects go; a lone text is a list of one."""
+    value = F.try_variant_get(answer, f"$.{name}", "variant")
+    kind = F.schema_of_variant(value)
+    each = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda e: F.when(~F.schema_of_variant(e).rlike("^(ARRAY|OBJECT|VOID|BOOLEAN)"), _answer_text(e)))
+    return F.when(kind.startswith("ARRAY"), F.array_compact(each)).when(kind == "STRING", F.array_compact(F.array(_answer_text(value)))).otherwise(F.array().cast("array<string>"))
+
+
+def answered(rows: DataFrame, raw: str = "raw_response") -> DataFrame:
+    """``rows`` with the fields of an analyser's JSON in ``raw``, whatever types it gave them: ``document_type`` (lower
+    case, 'document' if missing), ``title``, ``event_name``, ``description``, the lists, ``attributes`` (the texts
+    of an object's fields) and ``confidence`` (1 if missing). JSON inside a fence or between other words is
+    recovered; what is no JSON object gives ``is_json`` false and the values of an empty answer. Columns with
+    these names are replaced."""
+    text = F.col(raw)
+    ticks = "`" * 3
+    tries = [text, F.regexp_extract(text, rf"(?s){ticks}(?:json)?\s*(\{{.*?\}})\s*{ticks}", 1), F.regexp_extract(text, r"(?s)(\{.*\})", 1)]
+    objects = [F.try_parse_json(t) for t in tries]
+    answer = F.coalesce(*[F.when(F.schema_of_variant(o).startswith("OBJECT"), o) for o in objects])
+    met = rows.withColumn("_answer", answer)
+    a = F.col("_answer")
+    field = lambda n: _answer_text(F.try_variant_get(a, f"$.{n}", "variant"))
+    made = {n: field(n) for n in ANSWER_TEXTS} | {n: _answer_list(a, n) for n in ANSWER_LISTS}
+    made["document_type"] = F.coalesce(F.lower(made["document_type"]), F.lit("document"))
+    made["description"] = F.coalesce(made["description"], F.lit(""))
+    made["attributes"] = F.coalesce(F.try_variant_get(a, "$.attributes", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    made["confidence"] = F.coalesce(F.try_variant_get(a, "$.confidence", "double"), F.lit(1.0))
+    made["is_json"] = a.isNotNull()
+    return met.withColumns(made).drop("_answer")

@@ -56,7 +56,7 @@ class VectorIndex:
         rest = [c for c in vectors.columns if c not in (id_col, vector_col)]
         rows = V.usable(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), *rest), "v").filter("id is not null").dropDuplicates(["id"])
         norm = F.sqrt(dot(F.col("v"), F.col("v")))
-        rows = rows.withColumn("_n", norm).filter("_n > 0").withColumn("v", F.transform("v", lambda x: x / F.col("_n"))).drop("_n")
+        rows = rows.withColumn("_n", norm).filter("_n > 0").withColumn("v", F.transform("v", lambda x: F.try_divide(x, F.col("_n")))).drop("_n")
         return self._change(rows, rows.select("id"), batch, tries)
 
     def delete(self, ids: DataFrame, batch: tuple[str, int] | None = None, tries: int = 5) -> int:

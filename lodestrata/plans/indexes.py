@@ -1,4 +1,4 @@
-"""Queries of the text index that can be changed and of tables that are changed by key ranges."""
+"""Queries of indexes and tables that are changed in place, of images as pixels and of analysers' answers."""
 
 from __future__ import annotations
 
@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from ..operators import images as I
 from ..operators import retrieval as R
+from ..operators import understanding as U
 from ..operators.postings import TextIndex
 from ..operators.vector_index import VectorIndex
+from ..sources.changes import moves
 from ..sources.tables import KeyedTable
-from ..sources.views import table
+from ..sources.views import FILES_SQL, files, table
 from . import search as S
 from .catalogue import _PREFIX, _TERMS, _shared, _sql_bm25
 from .catalogue import _COS as COS
@@ -129,3 +131,28 @@ def x2_stored_vectors(spark, sf):
     index.add(v, "vec_id", "embedding")
     index.delete(v.filter("vec_id % 11 = 5").select("vec_id"))
     return index.query(Q, 20, keep=F.col("label") != 4).withColumn("score", F.round("score", 5))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 2 OR lang IS NULL THEN 'document' ELSE lower(lang) END AS document_type, CASE WHEN doc_id % 3 <> 2 THEN source END AS title, CASE WHEN doc_id % 3 <> 2 THEN source || '|' || n_chars ELSE '' END AS dates,
+    CASE WHEN doc_id % 3 = 0 THEN source WHEN doc_id % 3 = 1 THEN '' ELSE '' END AS people, CASE doc_id % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.25 ELSE 1.0 END::DOUBLE AS confidence, doc_id % 3 <> 2 AS is_json FROM documents""")
+def s9_answers(spark, sf):
+    """Analysers' answers of mixed types, bare, fenced and broken ones."""
+    d = table(spark, sf, "documents")
+    kind = F.coalesce(F.concat(F.lit('" '), F.upper("lang"), F.lit(' "')), F.lit("null"))
+    body = F.concat(F.lit('{"document_type":'), kind, F.lit(',"title":"'), "source", F.lit('","dates":[" '), "source", F.lit(' ",'), "n_chars", F.lit(',null," ",{"a":1}],"people":'), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('"'), "source", F.lit('"'))).otherwise("7"), F.lit(',"confidence":'), F.when(F.col("doc_id") % 3 == 0, "0.5").otherwise('"0.25"'), F.lit("}"))
+    raw = F.when(F.col("doc_id") % 3 == 0, body).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n``` as asked"))).otherwise(F.lit("no { answer"))
+    found = U.answered(d.select("doc_id", raw.alias("raw_response")))
+    return found.select("doc_id", "document_type", "title", F.array_join("dates", "|").alias("dates"), F.array_join("people", "|").alias("people"), "confidence", "is_json")
+
+
+@query(f"""WITH {FILES_SQL}, d AS (SELECT path, content_hash, row_number() OVER (PARTITION BY content_hash ORDER BY path) AS n FROM files WHERE file_id % 7 = 0),
+    c AS (SELECT '/new' || path AS path, content_hash, row_number() OVER (PARTITION BY content_hash ORDER BY '/new' || path) AS n FROM files WHERE file_id % 14 = 0 OR file_id % 11 = 3),
+    m AS (SELECT d.path, c.path AS dest FROM d JOIN c USING (content_hash, n))
+    SELECT CASE WHEN dest IS NULL THEN 'deleted' ELSE 'moved' END AS event_type, path, dest FROM d LEFT JOIN m USING (path) UNION ALL SELECT 'created', path, NULL FROM c WHERE path NOT IN (SELECT dest FROM m)""")
+def t1_moved_files(spark, sf):
+    """Deletions and creations of one content are moves."""
+    f = files(spark, sf)
+    event = lambda rows, kind, path, digest: rows.select(F.lit(0).cast("timestamp").alias("ts"), F.lit(kind).alias("event_type"), path.alias("path"), "size_bytes", digest.alias("content_hash"))
+    gone = event(f.filter("file_id % 7 = 0"), "deleted", F.col("path"), F.lit(None).cast("string"))
+    came = event(f.filter("file_id % 14 = 0 or file_id % 11 = 3"), "created", F.concat(F.lit("/new"), "path"), F.col("content_hash"))
+    return moves(gone.unionByName(came), f.select("path", "content_hash")).select("event_type", "path", "dest")

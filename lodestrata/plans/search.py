@@ -245,6 +245,9 @@ def scored(lib: Library, plan: Plan, o: Options, text_query: list[float] | None
         found = found.withColumns({"analysed": F.lit(False), "coordination": F.lit(0.0), "contradiction": F.lit(0.0), "role_score": F.lit(0.0)})
     c = F.col
     base = R.fused(plan.intent, c("image"), c("lexical"), c("dense"), c("filename_score"))
+    if "filename" in o.without:  # the other weights share what the name's weight leaves
+        weights = V.INTENT_WEIGHTS[plan.intent]
+        base = base * (sum(weights) / sum(weights[:3]))
     denied = c("analysed") & (c("image") > 0) & (c("coordination") < 0.25) & F.lit(plan.visual)
     score = R.contradiction_damping(R.role_blend(base, c("role_score"), c("coordination"), denied), c("contradiction"))
     score = R.person_fusion(score, c("person"), bool(plan.persons))

@@ -131,3 +131,13 @@ def test_every_query_has_sql_or_a_test_by_hand():
 def test_entry(spark):
     assert entry.entry(spark).count() == 20
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_a_search_reads_the_texts_three_times_at_most(spark):
+    """Statistics and scores of text and all expansions, and the rows that are shown."""
+    import re
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    plan = catalogue.QUERIES["q_search_academic"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    scans = re.findall(r"FileScan parquet .*?ReadSchema: struct<([^>]*)", plan)
+    assert scans and sum("text:" in s for s in scans) <= 3

@@ -93,7 +93,7 @@ def test_ablations(spark):
     assert set(runs) == {"filename", "text", "text_images", "text_images_dense", "full", "no_filename"}
     assert {r.file_id for r in runs["filename"].collect()} == {1}
     full, bare = ({r.file_id: r.score for r in runs[n].collect()} for n in ("full", "no_filename"))
-    assert full[1] > bare.get(1, 0)
+    assert full[1] > bare.get(1, 0) > 0
 
 
 def test_evaluation_of_a_search_function(spark):
@@ -241,3 +241,13 @@ def test_dates_score_captures_first(spark):
     plan = parse("notes from 9 December 2023", NOW)
     rows = spark.createDataFrame([(1, date(2023, 12, 9), 0.0), (2, None, 1702080000.0), (3, None, 1702080000000.0), (4, date(2020, 1, 1), 1702080000.0), (5, None, None)], "file_id long, capture_date date, modified_at double")
     assert [r.s for r in rows.select("file_id", S.date_score(plan, rows).alias("s")).orderBy("file_id").collect()] == [1, 1, 1, -1, 0]
+
+
+def test_answers_of_any_types(spark):
+    fence = "`" * 3
+    rows = ['{"document_type":" Invoice ","title":"","dates":["2020",5,1.5,null," ",{"a":1},["x"]],"people":"Bob","colors":{"a":1},"attributes":{"a":"b","n":2},"confidence":"0.5"}', f'text {fence}json\n{{"title":"T","objects":[]}}\n{fence} more', 'noise {"description":" d ","people":7} tail', None, "", "[1,2]", "broken {", '{"attributes":[1],"confidence":0.25,"title":5}']
+    got = {r.k: r for r in U.answered(spark.createDataFrame([(k, r, "old") for k, r in enumerate(rows)], "k int, raw_response string, title string")).collect()}
+    assert (got[0].document_type, got[0].title, got[0].dates, got[0].people, got[0].colors, got[0].attributes, got[0].confidence) == ("invoice", None, ["2020", "5", "1.5"], ["Bob"], [], {"a": "b", "n": "2"}, 0.5)
+    assert got[1].title == "T" and got[2].description == "d" and got[2].people == [] and got[7].title == "5" and got[7].attributes == {} and got[7].confidence == 0.25
+    assert [got[k].is_json for k in range(8)] == [True, True, True, False, False, False, False, True]
+    assert got[3].document_type == "document" and got[3].description == "" and got[3].confidence == 1.0
