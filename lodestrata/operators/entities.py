@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,7 +86,7 @@ def propagate(detections: DataFrame, references: DataFrame, confirmed: float, le
     detections away, so it ends; with ``rounds`` it raises where these are not enough."""
     open_, known = _sides(detections, references)
     open_ = open_.checkpoint()
-    state, found, done = V.best_two(open_, known).checkpoint(), None, 0
+    state, found, done = V.best_two(open_, known).checkpoint(), [], 0
     while True:
         m = judged(state)
         new = m.filter((F.col("best") >= confirmed) & (F.col("margin") >= lead)).select("det_id", "person_id").checkpoint()
@@ -93,13 +95,13 @@ def propagate(detections: DataFrame, references: DataFrame, confirmed: float, le
         if rounds is not None and done >= rounds:
             raise RuntimeError(f"propagate: detections are still confirmed after {rounds} rounds")
         done += 1
-        # checkpointed, so that a long chain of rounds does not grow the plan
-        found = (new if found is None else found.unionByName(new)).checkpoint()
+        # all that is carried on is checkpointed, so that a long chain of rounds does not grow the plan
+        found.append(new)
         ids = new.withColumnRenamed("det_id", "id")
         fresh = open_.join(ids, "id").select(F.col("person_id").alias("tag"), "v")
         open_ = open_.join(ids, "id", "left_anti").checkpoint()
         state = V.two_best(state.join(ids, "id", "left_anti").unionByName(V.best_two(open_, fresh))).checkpoint()
-    return found if found is not None else m.filter(F.lit(False)).select("det_id", "person_id")
+    return reduce(DataFrame.unionByName, found, m.filter(F.lit(False)).select("det_id", "person_id"))
 
 
 def best_per_person(faces: DataFrame) -> DataFrame:

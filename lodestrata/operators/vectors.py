@@ -5,6 +5,7 @@ home with p and y with q, and they are within r of each other, then d(x, q) <= d
 farther from q than from p. So x visits only the balls that satisfy this, and of two homes the one with the
 smaller number visits. A ball with more than ``BALL`` vectors gets pivots of its own, level by level; one that
 is still larger (vectors that are all alike) is dealt into blocks of about ``BALL``, to each of which its visitors go.
+A ball with more than ``VISITS`` visitors is copied, and each copy takes its share of them.
 
 **Tasks.** The rows of a block come sorted, those at home first: a task holds the homes of one block and an
 Arrow batch of visitors, and compares them by one matrix product. Which pivots are drawn, and how balls
@@ -26,11 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources.views import checkpoints
 
-#: Vectors of a ball, pivots of a level and of a ball below it, levels.
-BALL, PIVOTS, SUB_PIVOTS, LEVELS = 2048, 1024, 32, 3
+#: Vectors of a ball, pivots of a level and of a ball below it, levels, and visitors that one task compares.
+BALL, PIVOTS, SUB_PIVOTS, LEVELS, VISITS = 2048, 1024, 32, 3, 200_000
 CLOSE = 1e-9
 #: Rows of a matrix product.
 ROWS = 512
@@ -132,9 +134,16 @@ def _levels(rows: DataFrame, reach: float, one_sided: bool) -> tuple[DataFrame,
     return rows, sizes
 
 
+def _copies(rows: DataFrame) -> dict[int, int]:
+    """Copies of the balls with more than ``VISITS`` visitors."""
+    many = rows.filter(~F.col("home")).groupBy("ball").agg(F.count("*").alias("n")).filter(F.col("n") > VISITS)
+    return {r["ball"]: -(-r["n"] // VISITS) for r in many.collect()}  # these balls only
+
+
 def _blocks(rows: DataFrame, large: dict[int, int], one_sided: bool) -> DataFrame:
-    """``rows`` with ``block``: homes of a large ball are dealt over blocks, and others of it go to all of them.
-    Where homes meet each other, they visit the later blocks, too."""
+    """``rows`` with ``block`` and ``copy``: homes of a large ball are dealt over blocks, and others of it go to all
+    of them. Where homes meet each other, they visit the later blocks, too. Homes are in every copy of a
+    ball, visitors in one."""
     many = F.lit(1)
     for ball, n in large.items():
         many = F.when(F.col("ball") == ball, -(-n // BALL)).otherwise(many)
@@ -143,13 +152,18 @@ def _blocks(rows: DataFrame, large: dict[int, int], one_sided: bool) -> DataFram
     later = F.sequence(F.lit(0), F.col("_many") - 1)
     spread = F.when(F.col("home"), F.array("_own") if one_sided else F.filter(later, lambda b: b >= F.col("_own"))).otherwise(later)
     each = rows.withColumn("block", F.explode(F.when(F.col("_many") == 1, F.array(F.lit(0))).otherwise(spread)))
-    return each.withColumn("home", F.col("home") & (F.col("block") == F.col("_own"))).drop("_many", "_own")
+    each = each.withColumn("home", F.col("home") & (F.col("block") == F.col("_own"))).drop("_many", "_own")
+    copies = F.lit(1)
+    for ball, n in _copies(rows).items():
+        copies = F.when(F.col("ball") == ball, n).otherwise(copies)
+    one = F.pmod(F.xxhash64("v", "id"), copies.cast("long")).cast("int")
+    return each.withColumn("copy", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), copies - 1)).otherwise(F.array(one))))
 
 
 def _met(rows: DataFrame, schema: str, compare, one_sided: bool) -> DataFrame:
     """``compare(homes, visitors, same)`` for the homes of every block and batches of its visitors; with ``same``
-    they are the homes themselves. Homes and visitors are (ids, tags, matrix)."""
-    names = ["ball", "block", "home", "id", "tag", "v"]
+    they are the homes themselves (in the first copy). Homes and visitors are (ids, tags, matrix)."""
+    names = ["ball", "block", "home", "id", "tag", "v", "copy"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, homes = None, [], None
@@ -158,7 +172,7 @@ def _met(rows: DataFrame, schema: str, compare, one_sided: bool) -> DataFrame:
             nonlocal homes
             if homes is None:
                 homes = _side(pa.Table.from_batches(held).combine_chunks().to_batches()[0]) if held else None
-                if homes is not None and not one_sided:
+                if homes is not None and not one_sided and block[2] == 0:
                     for k in range(0, len(homes[0]), ROWS):
                         yield from compare(homes, tuple(x[k : k + ROWS] for x in homes), k)
 
@@ -166,11 +180,12 @@ def _met(rows: DataFrame, schema: str, compare, one_sided: bool) -> DataFrame:
             if not batch.num_rows:
                 continue
             balls, blocks, at_home = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.r_[True, (balls[1:] != balls[:-1]) | (blocks[1:] != blocks[:-1]) | (at_home[1:] != at_home[:-1])])
+            copy = np.asarray(batch.column(6))
+            cuts = np.flatnonzero(np.r_[True, (balls[1:] != balls[:-1]) | (blocks[1:] != blocks[:-1]) | (copy[1:] != copy[:-1]) | (at_home[1:] != at_home[:-1])])
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), batch.num_rows], strict=True):
-                if (balls[a], blocks[a]) != block:
+                if (balls[a], blocks[a], copy[a]) != block:
                     yield from closed()
-                    block, held, homes = (balls[a], blocks[a]), [], None
+                    block, held, homes = (balls[a], blocks[a], copy[a]), [], None
                 if at_home[a]:
                     held.append(batch.slice(a, b - a))
                     continue
@@ -180,7 +195,7 @@ def _met(rows: DataFrame, schema: str, compare, one_sided: bool) -> DataFrame:
                         yield from compare(homes, _side(batch.slice(k, min(ROWS, b - k))), None)
         yield from closed()
 
-    dealt = rows.select(*names).repartition("ball", "block").sortWithinPartitions("ball", "block", F.desc("home"))
+    dealt = rows.select(*names).repartition("ball", "block", "copy").sortWithinPartitions("ball", "block", "copy", F.desc("home"))
     return dealt.mapInArrow(run, schema)
 
 
@@ -232,8 +247,8 @@ def similar_pairs(vectors: DataFrame, threshold: float, others: DataFrame | None
 def compared_pairs(vectors: DataFrame, threshold: float) -> int:
     """How many pairs ``similar_pairs`` compares."""
     placed, large = _levels(_rows(vectors, True), 2 * _radius(vectors, threshold), False)
-    n = _blocks(placed, large, False).groupBy("ball", "block").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("g"))
-    return n.agg(F.sum(F.expr("h * g + h * (h - 1) div 2"))).first()[0] or 0
+    n = _blocks(placed, large, False).groupBy("ball", "block", "copy").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("g"))
+    return n.agg(F.sum(F.expr("h * g + if(copy = 0, h * (h - 1) div 2, 0)"))).first()[0] or 0
 
 
 # ---------------------------------------------------------------- the two best groups of each vector
@@ -247,10 +262,21 @@ def best_two(vectors: DataFrame, references: DataFrame, near: int = 4) -> DataFr
     then."""
     kind, tag_kind = vectors.schema["id"].dataType.simpleString(), references.schema["tag"].dataType.simpleString()
     refs = usable(references, "v").select(F.lit(0).cast("long").alias("id"), "tag", "v").distinct()
+    own = usable(vectors, "v").select("id", F.lit(None).cast(tag_kind).alias("tag"), "v")
+    few = refs.limit(BALL + 1).collect()
+    if 0 < len(few) <= BALL:  # so few that they go to every task as they are
+        found = pa.array([r["tag"] for r in few], to_arrow_type(references.schema["tag"].dataType)).to_numpy(zero_copy_only=False), np.array([r["v"] for r in few], np.float64)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(k, ROWS)
+                    yield from _two(found[0], found[1], part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1)))
+
+        return two_best(own.select("id", "v").mapInArrow(run, f"id {kind}, tag {tag_kind}, sim double"))
     checkpoints(refs.sparkSession)
     refs = refs.checkpoint()
     n = refs.count()
-    own = usable(vectors, "v").select("id", F.lit(None).cast(tag_kind).alias("tag"), "v")
     pivots = _sample(refs, min(PIVOTS, max(1, 2 * -(-n // BALL) + int(n**0.5) // 4))) if n else np.empty((0, 0))
     if not len(pivots):
         return own.limit(0).select("id", "tag", F.lit(0.0).alias("sim"))
@@ -262,18 +288,7 @@ def best_two(vectors: DataFrame, references: DataFrame, near: int = 4) -> DataFr
     at_home = homes.select("ball", F.lit(True).alias("home"), F.lit(None).cast(kind).alias("id"), "tag", "v")
 
     def compare(found: tuple, visitors: tuple, same: int | None) -> Iterator[pa.RecordBatch]:
-        tags, place = np.unique(found[1], return_inverse=True)
-        order = np.argsort(place, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(place[order]) > 0])
-        dots = visitors[2] @ found[2][order].T
-        best = np.maximum.reduceat(dots, starts, axis=1)
-        least = best.min(1) if best.shape[1] < 2 else -np.partition(-best, 1, axis=1)[:, 1]
-        # what may be among the two is summed again, as a matrix product rounds in an order of its own
-        i, j = np.nonzero(dots >= least[:, None] - CLOSE)
-        exact, tag = products(visitors[2][i], found[2][order][j]), place[order][j]
-        by = np.lexsort((-exact, tag, i))
-        first = by[np.flatnonzero(np.r_[True, (np.diff(i[by]) > 0) | (np.diff(tag[by]) != 0)])] if len(by) else by
-        yield pa.RecordBatch.from_arrays([pa.array(visitors[0][i[first]]), pa.array(tags[tag[first]]), pa.array(exact[first])], ["id", "tag", "sim"])
+        yield from _two(found[1], found[2], visitors[0], visitors[2])
 
     def met(visits: DataFrame) -> DataFrame:
         rows = at_home.unionByName(visits.select("ball", F.lit(False).alias("home"), "id", "tag", "v"))
@@ -286,6 +301,24 @@ def best_two(vectors: DataFrame, references: DataFrame, near: int = 4) -> DataFr
     return two_best(first.unionByName(second))
 
 
+def _two(names: np.ndarray, known: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(id, tag, sim) of what may be among the two best tags of each row of ``x``, each tag once."""
+    if not len(x):
+        return
+    tags, place = np.unique(names, return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(place[order]) > 0])
+    dots = x @ known[order].T
+    best = np.maximum.reduceat(dots, starts, axis=1)
+    least = best.min(1) if best.shape[1] < 2 else -np.partition(-best, 1, axis=1)[:, 1]
+    # summed again from left to right, as a matrix product rounds in an order of its own
+    i, j = np.nonzero(dots >= least[:, None] - CLOSE)
+    exact, tag = products(x[i], known[order][j]), place[order][j]
+    by = np.lexsort((-exact, tag, i))
+    first = by[np.flatnonzero(np.r_[True, (np.diff(i[by]) > 0) | (np.diff(tag[by]) != 0)])]
+    yield pa.RecordBatch.from_arrays([pa.array(ids[i[first]]), pa.array(tags[tag[first]]), pa.array(exact[first])], ["id", "tag", "sim"])
+
+
 def two_best(sims: DataFrame) -> DataFrame:
     """The two rows of each id with the largest ``sim`` of different tags, ties to the smaller tag."""
     each = sims.groupBy("id", "tag").agg(F.max("sim").alias("sim"))

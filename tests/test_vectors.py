@@ -37,6 +37,7 @@ def brute(x, t, y=None):
 
 def test_pairs_of_clusters_and_what_is_compared(spark, monkeypatch):
     monkeypatch.setattr(V, "BALL", 100)
+    monkeypatch.setattr(V, "VISITS", 150)  # popular balls are copied
     x = clustered(2400, 40, spread=0.06)
     x[700:1100] = x[5]  # a hot ball that no pivot can split
     x[1100:1110] = -x[5]
@@ -81,12 +82,15 @@ def brute_two(x, refs, tags):
 
 def test_two_best_persons(spark, monkeypatch):
     monkeypatch.setattr(V, "BALL", 50)
+    monkeypatch.setattr(V, "VISITS", 30)
     x, refs = clustered(250, 12, seed=2), clustered(330, 12, seed=2, spread=0.2)
     tags = [int(k) for k in np.random.default_rng(3).integers(0, 25, len(refs))]
     refs[100:130] = refs[3]  # equal references of several persons
     references = spark.createDataFrame([(t, r.tolist()) for t, r in zip(tags, refs, strict=True)], "tag long, v array<double>")
     assert {tuple(r) for r in V.best_two(frame(spark, x), references).collect()} == brute_two(x, refs, tags)
-    one = references.withColumn("tag", F.lit(7).cast("long"))
+    monkeypatch.setattr(V, "BALL", 500)  # few references go to the tasks as they are
+    assert {tuple(r) for r in V.best_two(frame(spark, x), references).collect()} == brute_two(x, refs, tags)
+    one = references.withColumn("tag", F.lit(7))  # an int
     assert {(r.id, r.tag) for r in V.best_two(frame(spark, x), one).collect()} == {(k, 7) for k in range(len(x))}
 
 
