@@ -78,7 +78,7 @@ class VectorIndex:
             parts = [] if rows is None else [rows]
             if files:
                 held = self._rows(state, files).select("id", F.col("_metadata.file_path").alias("_file"))
-                stale = {r["_file"].split(self.folder.split(":")[-1] + "/", 1)[1] for r in held.join(ids, "id", "left_semi").select("_file").distinct().collect()}  # files
+                stale = {"data/" + r["_file"].rsplit("/data/", 1)[1] for r in held.join(ids, "id", "left_semi").select("_file").distinct().collect()}  # files
                 old = [f for f in files if f["path"] in stale]
                 files = [f for f in files if f["path"] not in stale]
                 if old:
