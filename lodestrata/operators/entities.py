@@ -49,6 +49,11 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     return V.similar_pairs(vectors, threshold)
 
 
+def similar_links(vectors: DataFrame, threshold: float) -> DataFrame:
+    """Of ``similar_pairs`` enough to link the same rows (``vectors.similar_links``): their components are the same."""
+    return V.similar_links(vectors, threshold)
+
+
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, component): smallest reachable node, by large-star and small-star steps in turn until no
     edge moves; checkpointed each round. Rounds grow with the logarithm of a path's length; it raises,

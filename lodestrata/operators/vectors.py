@@ -4,8 +4,12 @@
 home with p and y with q, and they are within r of each other, then d(x, q) <= d(x, p) + 2 r, as y is no
 farther from q than from p. So x visits only the balls that satisfy this, and of two homes the one with the
 smaller number visits. A ball with more than ``BALL`` vectors gets pivots of its own, level by level; one that
-is still larger (vectors that are all alike) is dealt into blocks of about ``BALL``, to each of which its visitors go.
-A ball with more than ``VISITS`` visitors is copied, and each copy takes its share of them.
+is still larger (vectors that are all alike) is dealt into blocks of about ``GRID * BALL``, to each of which its
+visitors go. A ball with more than ``VISITS`` visitors is copied, and each copy takes its share of them.
+
+**Vectors without structure.** Balls that rule out little would send every vector to nearly all of them. How many
+one visits is measured on a bounded sample; where blocks of all vectors take fewer visits than balls, there are
+no balls, and every vector goes to each block (``_gridded``). The number of blocks is the table's size over ``GRID * BALL``.
 
 **Tasks.** The rows of a block come sorted, those at home first: a task holds the homes of one block and an
 Arrow batch of visitors, and compares them by one matrix product. Which pivots are drawn, and how balls
@@ -34,8 +38,12 @@ from ..sources.views import checkpoints
 #: Vectors of a ball, pivots of a level and of a ball below it, levels, and visitors that one task compares.
 BALL, PIVOTS, SUB_PIVOTS, LEVELS, VISITS = 2048, 1024, 32, 3, 200_000
 CLOSE = 1e-9
+#: Balls in one block of a large ball, visits up to which balls are always used, and vectors whose visits are counted.
+GRID, FEW_VISITS, TRIED = 8, 16, 2048
 #: Rows of a matrix product.
 ROWS = 512
+#: Products that are held at once.
+MOST = 1 << 22
 
 
 def usable(rows: DataFrame, name: str) -> DataFrame:
@@ -110,6 +118,11 @@ def _dealt(rows: DataFrame, pivots: dict[int, np.ndarray], reach: float, one_sid
     return rows.mapInArrow(run, rows.schema)
 
 
+def _gridded(visits: float, n: int) -> bool:
+    """Whether blocks of all ``n`` vectors take fewer visits than the balls, of which each vector visits ``visits``."""
+    return visits > max(FEW_VISITS, -(-n // (GRID * BALL)))
+
+
 def _levels(rows: DataFrame, reach: float, one_sided: bool) -> tuple[DataFrame, dict[int, int]]:
     """Rows dealt to balls, and the number of homes of the balls that are larger than ``BALL``."""
     checkpoints(rows.sparkSession)
@@ -117,6 +130,9 @@ def _levels(rows: DataFrame, reach: float, one_sided: bool) -> tuple[DataFrame,
     if n <= BALL:
         return rows, {}
     pivots = {0: _sample(rows.filter("home"), min(PIVOTS, 2 * -(-n // BALL) + int(n**0.5) // 8))}
+    apart = _apart(_sample(rows, TRIED), pivots[0])
+    if _gridded(float((apart <= apart.min(1)[:, None] + reach).sum(1).mean()) / (1 if one_sided else 2), n):
+        return rows, {0: n}
     for level in range(LEVELS):
         rows = _dealt(rows, pivots, reach, one_sided).checkpoint()
         sizes = {r["ball"]: r["n"] for r in rows.filter("home").groupBy("ball").agg(F.count("*").alias("n")).filter(F.col("n") > BALL).collect()}  # balls over the bound only
@@ -142,15 +158,17 @@ def _copies(rows: DataFrame) -> dict[int, int]:
 
 def _blocks(rows: DataFrame, large: dict[int, int], one_sided: bool) -> DataFrame:
     """``rows`` with ``block`` and ``copy``: homes of a large ball are dealt over blocks, and others of it go to all
-    of them. Where homes meet each other, they visit the later blocks, too. Homes are in every copy of a
+    of them. Where homes meet each other, they visit half of the other blocks, too. Homes are in every copy of a
     ball, visitors in one."""
     many = F.lit(1)
     for ball, n in large.items():
-        many = F.when(F.col("ball") == ball, -(-n // BALL)).otherwise(many)
+        many = F.when(F.col("ball") == ball, -(-n // (GRID * BALL))).otherwise(many)
     own = F.pmod(F.xxhash64("id", "v"), many.cast("long")).cast("int")
     rows = rows.withColumns({"_many": many, "_own": own})
     later = F.sequence(F.lit(0), F.col("_many") - 1)
-    spread = F.when(F.col("home"), F.array("_own") if one_sided else F.filter(later, lambda b: b >= F.col("_own"))).otherwise(later)
+    # round the circle of blocks, so that each meets every other once and all have as many visitors
+    ahead = lambda b: 2 * F.pmod(b - F.col("_own"), F.col("_many"))
+    spread = F.when(F.col("home"), F.array("_own") if one_sided else F.filter(later, lambda b: (ahead(b) < F.col("_many")) | ((ahead(b) == F.col("_many")) & (F.col("_own") < b)))).otherwise(later)
     each = rows.withColumn("block", F.explode(F.when(F.col("_many") == 1, F.array(F.lit(0))).otherwise(spread)))
     each = each.withColumn("home", F.col("home") & (F.col("block") == F.col("_own"))).drop("_many", "_own")
     copies = F.lit(1)
@@ -172,9 +190,10 @@ def _met(rows: DataFrame, schema: str, compare, one_sided: bool) -> DataFrame:
             nonlocal homes
             if homes is None:
                 homes = _side(pa.Table.from_batches(held).combine_chunks().to_batches()[0]) if held else None
+                homes = homes and (*homes, _Forest(len(homes[0])))
                 if homes is not None and not one_sided and block[2] == 0:
                     for k in range(0, len(homes[0]), ROWS):
-                        yield from compare(homes, tuple(x[k : k + ROWS] for x in homes), k)
+                        yield from compare(homes, tuple(x[k : k + ROWS] for x in homes[:3]), k)
 
         for batch in batches:
             if not batch.num_rows:
@@ -214,9 +233,45 @@ def _radius(vectors: DataFrame, threshold: float, other: DataFrame | None = None
     return max(0.0, one + (one if other is None else square(other)) - 2 * threshold) ** 0.5
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, others: DataFrame | None = None) -> DataFrame:
+class _Forest:
+    """Which homes of a block are linked by the pairs that were let through."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+
+    def new(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Places of the pairs of homes that link what was not linked; they are then."""
+        parent, kept = {}, []
+
+        def root(x: int) -> int:
+            while x in parent:
+                x = parent[x]
+            return x
+
+        for k in np.flatnonzero(self.of[a] != self.of[b]).tolist():
+            x, y = root(int(self.of[a[k]])), root(int(self.of[b[k]]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                kept.append(k)
+        if parent:
+            to = np.arange(len(self.of))
+            for x in parent:
+                to[x] = root(x)
+            self.of = to[self.of]
+        return np.array(kept, np.int64)
+
+
+def similar_links(vectors: DataFrame, threshold: float) -> DataFrame:
+    """Of ``similar_pairs`` as many as link the same rows: of a block's pairs only those that join what no earlier one
+    of the block has joined (a visitor's first pair, and pairs between two groups of homes). A block gives no more
+    pairs than it has rows, however many are similar; connected components are those of all pairs."""
+    return similar_pairs(vectors, threshold, links=True)
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, others: DataFrame | None = None, links: bool = False) -> DataFrame:
     """(a, b) of ``vectors`` (id, v) with an inner product of at least ``threshold``: pairs with a < b of rows
-    whose ids differ; with ``others`` pairs of a row of ``vectors`` and one of ``others``."""
+    whose ids differ; with ``others`` pairs of a row of ``vectors`` and one of ``others``. For ``links`` see
+    ``similar_links``."""
     one_sided = others is not None
     rows = _rows(vectors, not one_sided)
     if one_sided:
@@ -233,6 +288,13 @@ def similar_pairs(vectors: DataFrame, threshold: float, others: DataFrame | None
         near = np.flatnonzero(np.abs(dots[i, j] - threshold) <= CLOSE)
         out = near[products(visitors[2][i[near]], homes[2][j[near]]) < threshold]
         i, j = np.delete(i, out), np.delete(j, out)
+        if links and len(i):
+            if same is not None:
+                keep = homes[3].new(i + same, j)
+            else:
+                first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+                keep = np.union1d(first, homes[3].new(j[first[np.searchsorted(first, np.arange(len(i)), "right") - 1]], j))
+            i, j = i[keep], j[keep]
         a, b = visitors[0][i], homes[0][j]
         if not one_sided:
             a, b = np.where(a < b, a, b), np.where(a < b, b, a)
@@ -259,9 +321,11 @@ def best_two(vectors: DataFrame, references: DataFrame, near: int = 4) -> DataFr
     largest inner product, ties to the smaller tag. References are at home in balls. First each vector visits its
     ``near`` nearest balls; the second best tag there bounds what another ball must be able to reach (the
     product is at most (|x|^2 + |y|^2 - (d - R)^2) / 2 in a ball of radius R), and only such balls are visited
-    then."""
+    then. Where that rules out little, each vector goes to all blocks of references at once. Equal references
+    count with their two smallest tags, as no vector can need more."""
     kind, tag_kind = vectors.schema["id"].dataType.simpleString(), references.schema["tag"].dataType.simpleString()
     refs = usable(references, "v").select(F.lit(0).cast("long").alias("id"), "tag", "v").distinct()
+    refs = refs.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("tag"))).filter("_r <= 2").drop("_r")
     own = usable(vectors, "v").select("id", F.lit(None).cast(tag_kind).alias("tag"), "v")
     few = refs.limit(BALL + 1).collect()
     if 0 < len(few) <= BALL:  # so few that they go to every task as they are
@@ -285,26 +349,34 @@ def best_two(vectors: DataFrame, references: DataFrame, near: int = 4) -> DataFr
     radius = np.array([sizes[b]["radius"] if b in sizes else -np.inf for b in range(len(pivots))])
     square = np.array([sizes[b]["square"] if b in sizes else 0.0 for b in range(len(pivots))])
     large = {b: r["n"] for b, r in sizes.items() if r["n"] > BALL}
-    at_home = homes.select("ball", F.lit(True).alias("home"), F.lit(None).cast(kind).alias("id"), "tag", "v")
+    dealt = homes.select("ball", F.lit(True).alias("home"), F.lit(None).cast(kind).alias("id"), "tag", "v")
 
     def compare(found: tuple, visitors: tuple, same: int | None) -> Iterator[pa.RecordBatch]:
         yield from _two(found[1], found[2], visitors[0], visitors[2])
 
-    def met(visits: DataFrame) -> DataFrame:
+    def met(at_home: DataFrame, visits: DataFrame, sizes: dict[int, int]) -> DataFrame:
         rows = at_home.unionByName(visits.select("ball", F.lit(False).alias("home"), "id", "tag", "v"))
-        return two_best(_met(_blocks(rows, large, True), f"id {kind}, tag {tag_kind}, sim double", compare, True))
+        return two_best(_met(_blocks(rows, sizes, True), f"id {kind}, tag {tag_kind}, sim double", compare, True))
 
-    first = met(_visiting(own, pivots, radius, square, near)).checkpoint()
+    first = met(dealt, _visiting(own, pivots, radius, square, near), large).checkpoint()
     bound = first.groupBy("id").agg(F.when(F.count("*") > 1, F.min("sim")).alias("least"))
     rest = own.join(bound, "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
-    second = met(_visiting(rest, pivots, radius, square, near, later=True))
+    some = rest.select("v", "least").orderBy(F.xxhash64("v")).limit(TRIED).collect()
+    x, least = np.array([r["v"] for r in some], np.float64).reshape(len(some), -1), np.array([r["least"] for r in some])
+    if len(some) and _gridded(float(_within(x, least, pivots, radius, square).sum(1).mean()), n):
+        return met(dealt.withColumn("ball", F.lit(0).cast("long")), own.withColumn("ball", F.lit(0).cast("long")), {0: n})
+    second = met(dealt, _visiting(rest, pivots, radius, square, near, later=True), large)
     return two_best(first.unionByName(second))
 
 
 def _two(names: np.ndarray, known: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(id, tag, sim) of what may be among the two best tags of each row of ``x``, each tag once."""
+    """(id, tag, sim) of the two best tags of each row of ``x``, ties to the smaller tag."""
     if not len(x):
         return
+    if len(x) > 1 and len(x) * len(known) > MOST:
+        for part in (slice(0, len(x) // 2), slice(len(x) // 2, None)):
+            yield from _two(names, known, ids[part], x[part])
+        return
     tags, place = np.unique(names, return_inverse=True)
     order = np.argsort(place, kind="stable")
     starts = np.flatnonzero(np.r_[True, np.diff(place[order]) > 0])
@@ -316,6 +388,9 @@ def _two(names: np.ndarray, known: np.ndarray, ids: np.ndarray, x: np.ndarray) -
     exact, tag = products(x[i], known[order][j]), place[order][j]
     by = np.lexsort((-exact, tag, i))
     first = by[np.flatnonzero(np.r_[True, (np.diff(i[by]) > 0) | (np.diff(tag[by]) != 0)])]
+    first = first[np.lexsort((tag[first], -exact[first], i[first]))]
+    of = i[first]
+    first = first[np.r_[True, True, of[2:] != of[:-2]][: len(of)]]
     yield pa.RecordBatch.from_arrays([pa.array(ids[i[first]]), pa.array(tags[tag[first]]), pa.array(exact[first])], ["id", "tag", "sim"])
 
 
@@ -338,6 +413,12 @@ def _nearest(refs: DataFrame, pivots: np.ndarray) -> DataFrame:
     return refs.select("id", "tag", "v").mapInArrow(run, f"{fields}, ball long, apart double, square double")
 
 
+def _within(x: np.ndarray, least: np.ndarray, pivots: np.ndarray, radius: np.ndarray, square: np.ndarray) -> np.ndarray:
+    """Whether each ball can hold a product of at least ``least`` with each row of ``x``."""
+    over = np.maximum(_apart(x, pivots) - radius, 0)
+    return (radius >= 0) & (((x * x).sum(1)[:, None] + square - over * over) / 2 >= least[:, None] - CLOSE)
+
+
 def _visiting(rows: DataFrame, pivots: np.ndarray, radius: np.ndarray, square: np.ndarray, near: int, later: bool = False) -> DataFrame:
     """``rows`` for every ball that they visit: the ``near`` nearest ones, or ``later`` the others that can hold a
     product of at least ``least``."""
@@ -354,9 +435,7 @@ def _visiting(rows: DataFrame, pivots: np.ndarray, radius: np.ndarray, square: n
                 place = np.argsort(np.argsort(apart, axis=1, kind="stable"), axis=1)
                 if later:
                     least = np.asarray(part.column(3))
-                    over = np.maximum(apart - radius[full], 0)
-                    reach = ((x * x).sum(1)[:, None] + square[full] - over * over) / 2
-                    visits = (place >= near) & (reach >= least[:, None] - CLOSE)
+                    visits = (place >= near) & _within(x, least, pivots[full], radius[full], square[full])
                 else:
                     visits = place < near
                 i, q = np.nonzero(visits)

@@ -213,3 +213,58 @@ def test_stored_vectors(spark, tmp_path):
     index.vacuum(keep=1)
     check(x[10])
     assert index.query([0.0] * 12, 3).count() == 0
+
+
+# ---------------------------------------------------------------- vectors without structure, equal references
+
+
+def loose(n, seed=0, dim=24):
+    x = np.random.default_rng(seed).normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def moved(rows, large, one_sided):
+    return V._blocks(rows, large, one_sided).count()
+
+
+def test_vectors_without_structure_visit_few_blocks(spark, monkeypatch):
+    """Balls sent nearly every vector to nearly every ball."""
+    monkeypatch.setattr(V, "BALL", 50)
+    x = loose(1500)
+    rows = frame(spark, x)
+    found = [tuple(r) for r in V.similar_pairs(rows, 0.5).collect()]
+    assert len(found) == len(set(found)) and set(found) == brute(x, 0.5)
+    assert moved(*V._levels(V._rows(rows, True), 2 * V._radius(rows, 0.5), False), False) <= 3 * len(x)
+    y = loose(300, 1)
+    assert {tuple(r) for r in V.similar_pairs(frame(spark, y), 0.5, rows).collect()} == brute(y, 0.5, x)
+
+
+@pytest.mark.parametrize("ball", [50, 5000])
+def test_links_join_what_the_pairs_join(spark, monkeypatch, ball):
+    monkeypatch.setattr(V, "BALL", ball)
+    x = np.vstack([loose(700), clustered(500, 30, spread=0.05, dim=24)])
+    x[800:900] = x[3]  # equal vectors
+    rows = frame(spark, x).withColumn("id", F.when(F.col("id") % 50 == 7, F.col("id") - 1).otherwise(F.col("id")))  # some ids have two vectors
+    pairs, links = V.similar_pairs(rows, 0.55), V.similar_links(rows, 0.55)
+    assert {tuple(r) for r in links.collect()} <= {tuple(r) for r in pairs.collect()}
+    assert links.count() < 0.5 * pairs.count()
+    assert {tuple(r) for r in E.components(links).collect()} == {tuple(r) for r in E.components(pairs).collect()}
+
+
+def test_two_best_of_references_without_structure(spark, monkeypatch):
+    monkeypatch.setattr(V, "BALL", 40)
+    x, refs = loose(200, 2), loose(900, 3)
+    tags = [int(k) for k in np.random.default_rng(3).integers(0, 25, len(refs))]
+    references = spark.createDataFrame([(t, r.tolist()) for t, r in zip(tags, refs, strict=True)], "tag long, v array<double>")
+    assert {tuple(r) for r in V.best_two(frame(spark, x), references).collect()} == brute_two(x, refs, tags)
+
+
+def test_equal_references_of_many_persons(spark, monkeypatch):
+    """Each face met every person whose reference is as near as its second best."""
+    monkeypatch.setattr(V, "BALL", 40)
+    x = clustered(20, 4)
+    refs = [(t, x[t % 5].tolist()) for t in range(2000)]
+    references = spark.createDataFrame(refs, "tag long, v array<double>")
+    assert {tuple(r) for r in V.best_two(frame(spark, x), references).collect()} == brute_two(x, x[[t % 5 for t in range(2000)]], range(2000))
+    found = list(V._two(np.arange(2000), np.array([r[1] for r in refs]), np.arange(20), x))
+    assert sum(b.num_rows for b in found) == 2 * len(x)
