@@ -36,6 +36,8 @@ from .planner import Plan, parse
 
 #: Score from which a result is shown.
 LEAST = 0.05
+#: Digits of a score that count for the order.
+DIGITS = 5
 KINDS = ("lexical", "ocr", "dense", "image", "person")
 
 
@@ -225,9 +227,9 @@ def user_category(category: str, columns: list[str]) -> Column:
 
 
 def sorted_by(rows: DataFrame, how: str) -> list[Column]:
-    """Sort modes of a result list; relevance goes by score, then path."""
+    """Sort modes of a result list; relevance goes by the score in ``DIGITS`` digits, as it is shown, then path."""
     modes = {"date_desc": [F.desc("modified_at")], "date_asc": [F.asc("modified_at")], "size_desc": [F.desc("size_bytes")], "size_asc": [F.asc("size_bytes")], "name": [F.lower("filename").asc()], "name_desc": [F.lower("filename").desc()]}
-    return [*modes.get(how.lower(), [F.desc("score")]), F.asc("_order_path")]
+    return [*modes.get(how.lower(), [F.desc(F.round("score", DIGITS))]), F.asc("_order_path")]
 
 
 def scored(lib: Library, plan: Plan, o: Options, text_query: list[float] | None = None, image_query: list[float] | None = None) -> DataFrame:

@@ -204,3 +204,11 @@ def test_keyed_upserts_leave_other_ranges(spark, tmp_path, kind):
         t.upsert(spark.createDataFrame([(None, "x")], f"k {kind}, v string"))
     t.upsert(frame([(k, "", True, 0) for k in now]), deleted=F.col("gone"))
     assert t.read().count() == 0
+
+
+def test_scores_that_show_alike_go_by_path(spark):
+    """The order is that of the scores shown: beyond five digits the path decides."""
+    from lodestrata.plans import search as S
+
+    rows = spark.createDataFrame([(1, 0.0765947, "/b"), (2, 0.0765917, "/a"), (3, 0.07661, "/c")], "file_id long, score double, _order_path string")
+    assert [r.file_id for r in rows.orderBy(*S.sorted_by(rows, "relevance")).collect()] == [3, 2, 1]
