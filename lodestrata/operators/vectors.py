@@ -281,7 +281,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, others: DataFrame | None
 
     def compare(homes: tuple, visitors: tuple, same: int | None) -> Iterator[pa.RecordBatch]:
         dots = visitors[2] @ homes[2].T
-        i, j = np.nonzero(dots >= threshold - CLOSE)
+        i, j = np.divmod(np.flatnonzero(dots >= threshold - CLOSE), dots.shape[1])
         if same is not None:  # homes with homes: each pair once
             keep = i + same < j
             i, j = i[keep], j[keep]

@@ -429,7 +429,7 @@ def r24_propagation(spark, sf):
     reach(node, other) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM reach r JOIN u ON u.a = r.other) SELECT node, min(other) AS component FROM reach GROUP BY 1""")
 def r25_j15_clusters(spark, sf):
     _shared(spark)
-    return E.components(E.similar_pairs(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 0.4))
+    return E.components(E.similar_links(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 0.4))
 
 
 @query()

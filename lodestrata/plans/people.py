@@ -293,7 +293,7 @@ def r25_cluster_persons(spark, sf):
     p = people(spark, sf)
     v = table(spark, sf, "embeddings")
     faces = v.select(F.col("vec_id").alias("det_id"), (F.col("vec_id") % 97).alias("file_id"), F.lit(None).cast("long").alias("person_id"), F.lit(1.0).alias("confidence"), F.lit(1.0).alias("quality"), F.lit(1.0).alias("match_confidence"), F.col("embedding").cast("array<double>").alias("vector"))
-    groups = E.components(E.similar_pairs(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 0.4)).select(F.col("node").alias("det_id"), "component")
+    groups = E.components(E.similar_links(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 0.4)).select(F.col("node").alias("det_id"), "component")
     made = P.cluster_persons(P.People(p.persons, p.aliases, faces, p.references, p.links), groups)
     sizes = made.detections.filter("person_id is not null").groupBy("person_id").agg(F.count("*").alias("n_faces"))
     return made.persons.filter("name like 'Unknown Person %'").join(sizes, "person_id").select("name", "n_faces", "avatar_file_id")
