@@ -121,3 +121,19 @@ def test_recall_of_unequal_norms(spark):
     score[np.arange(len(score)), np.arange(0, n, 100)] = -np.inf
     best = np.argsort(-score, axis=1)[:, :20]
     assert np.mean([len(got[100 * q] & set(best[q].tolist())) / 20 for q in range(len(best))]) >= 0.95
+
+
+def test_recall_of_tight_clusters(spark):
+    """Vectors that share their cells, and differ by less than a signed byte tells."""
+    rng = np.random.default_rng(21)
+    n, centres = 9_000, 4
+    c = rng.normal(size=(centres, 32))
+    x = (c[rng.integers(0, centres, n)] + 0.01 * rng.normal(size=(n, 32))).astype(np.float32)
+    got = {}
+    for r in N.nearest(frame(spark, [(k, x[k].tolist()) for k in range(n)]), lambda key: key % 100 == 0, curves=8, reach=128).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    exact = x.astype(np.float64)
+    score = exact[::100] @ exact.T
+    score[np.arange(len(score)), np.arange(0, n, 100)] = -np.inf
+    best = np.argsort(-score, axis=1)[:, :20]
+    assert np.mean([len(got[100 * q] & set(best[q].tolist())) / 20 for q in range(len(best))]) >= 0.9
