@@ -7,9 +7,9 @@
    step is one distributed aggregate of a few sums; the residuals so far are all the state there
    is, and each document's rate is a fold over them.
 
-Native: DataFrame functions only. Fitted on at most ``TRAIN_DOCS`` labelled documents (those with
-the smallest id hashes) and ``VOCABULARY`` words, so both broadcasts are bounded by parameters;
-token totals, posteriors and the fit itself cover every document.
+Native: DataFrame functions only. Fitted on all labelled documents and all telling words. The words'
+weights are broadcast only where they are at most ``BROADCAST_WORDS`` (counted first) and joined by
+shuffle beyond; token totals, posteriors and the fit itself cover every document.
 
 Defined results: a null or empty text has no tokens, and a posterior and rate like any other; labels with null marks or unknown ids are not learned from; of repeated labels of an id the
 worst counts; rows that repeat a document id are weighed each for itself; without labels all
@@ -28,10 +28,10 @@ from .common import persist_table
 
 DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.85, "low": 0.13, "toxic": 0.02}
-#: Bounds of the classifier: labelled documents that it learns from, words that it keeps (those that part
-#: the domains most, so that they fit a broadcast), and what makes a word telling. All documents are
-#: scored by it with all their tokens.
-TRAIN_DOCS, VOCABULARY, MIN_DOCS, MIN_DEVIATION, MIN_RATIO = 20_000, 20_000, 5, 5.0, 3.0
+#: What makes a word telling. All documents are scored with all their tokens.
+MIN_DOCS, MIN_DEVIATION, MIN_RATIO = 5, 5.0, 3.0
+#: Telling words up to which their weights are broadcast.
+BROADCAST_WORDS = 200_000
 ROUNDS, TOLERANCE = 200, 1e-6
 
 
@@ -41,26 +41,26 @@ def distinct_words(text: Column) -> Column:
     return F.element_at(F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("n"), F.array_distinct(w).alias("words"))), 1)
 
 
-def training_domains(labels: DataFrame, id_col: str = "doc_id", train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """(label_id, domain) of at most ``train_docs`` labelled ids."""
+def training_domains(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(label_id, domain) of all labelled ids."""
     marks = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
     one = marks.groupBy(F.col(id_col).alias("label_id")).agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "high").otherwise("low")
-    return one.orderBy(F.xxhash64("label_id"), "label_id").limit(train_docs).select("label_id", domain.alias("domain"))
+    return one.select("label_id", domain.alias("domain"))
 
 
-def word_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, vocabulary: int = VOCABULARY) -> tuple[DataFrame, list[float]]:
-    """(word, w_<domain>...): what a word's presence adds to the log odds, for the most telling words;
+def word_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[float]]:
+    """(word, w_<domain>...): what a word's presence adds to the log odds, for all telling words;
     and per domain the log likelihood of a text with none of them."""
-    chosen = training_domains(labels, id_col, train_docs)
+    chosen = training_domains(labels, id_col)
     texts = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
-    # of equal texts one is learned from; the light rows are at most train_docs
-    one = texts.join(F.broadcast(chosen), "label_id").select("label_id", "domain", "key")
+    # of equal texts one is learned from
+    one = texts.select("label_id", "key").join(chosen, "label_id").select("label_id", "domain", "key")
     one = persist_table(one.groupBy("key").agg(F.min(F.struct("label_id", "domain")).alias("m")).select("key", "m.label_id", "m.domain"), "training")
     sizes = {r["domain"]: r["count"] for r in one.groupBy("domain").count().collect()}
     total = sum(sizes.values())
     # rows that repeat in the table are one document
-    held = texts.join(F.broadcast(one), ["label_id", "key"]).dropDuplicates(["key"]).select("domain", F.explode(distinct_words(F.col("text"))["words"]).alias("word"))
+    held = texts.join(one, ["label_id", "key"]).dropDuplicates(["key"]).select("domain", F.explode(distinct_words(F.col("text"))["words"]).alias("word"))
     counts = held.groupBy("word").agg(*[F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS])
     share = {d: F.least((F.col(d) + 0.5) / (sizes.get(d, 0) + 1.0), F.lit(0.999)) for d in DOMAINS}
     seen = reduce(lambda a, b: a + b, [F.col(d) for d in DOMAINS])
@@ -69,7 +69,6 @@ def word_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     off = F.greatest(*[F.abs(F.col(d) - seen * rest[d]) / F.sqrt(seen * rest[d] * (1 - rest[d]) + 1.0) for d in DOMAINS])
     ratio = F.greatest(*share.values()) / F.least(*share.values())
     rows = counts.filter(seen >= MIN_DOCS).withColumns({"off": off, "ratio": ratio}).filter((F.col("off") >= MIN_DEVIATION) & (F.col("ratio") >= MIN_RATIO))
-    rows = rows.orderBy(F.desc("off"), "word").limit(vocabulary)
     absent = {f"a_{d}": F.log1p(-share[d]) for d in DOMAINS}
     weights = persist_table(rows.select("word", *[(F.log(share[d]) - absent[f"a_{d}"]).alias(f"w_{d}") for d in DOMAINS], *[v.alias(k) for k, v in absent.items()]), "weights")
     none = weights.agg(*[F.sum(k).alias(k) for k in absent]).first()
@@ -77,12 +76,13 @@ def word_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return weights.drop(*absent), prior
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **fit) -> DataFrame:
+def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """(row, id, n_tokens, p_<domain>...) of every row of ``docs``."""
-    weights, prior = word_weights(docs, labels, id_col, text_col, **fit)
+    weights, prior = word_weights(docs, labels, id_col, text_col)
+    small = weights.count() <= broadcast_words
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), distinct_words(F.col(text_col)).alias("d"))
     spread = rows.select("row", "id", F.col("d.n").alias("n_tokens"), F.explode_outer("d.words").alias("word"))
-    joined = spread.join(F.broadcast(weights), "word", "left")
+    joined = spread.join(F.broadcast(weights) if small else weights, "word", "left")
     sums = joined.groupBy("row").agg(F.first("id").alias("id"), F.first("n_tokens").cast("long").alias("n_tokens"), *[F.coalesce(F.sum(f"w_{d}"), F.lit(0.0)).alias(f"s_{d}") for d in DOMAINS])
     score = [F.lit(p) + F.col(f"s_{d}") for p, d in zip(prior, DOMAINS, strict=True)]
     top = F.greatest(*score)

@@ -19,7 +19,8 @@ with probability p = acos(2 s / (1 + s)) / pi, 0.15 at 0.8. So
    So the components are those of all candidate pairs, and a large group of near copies gives a few
    pairs for each member, not all pairs;
 4. a bucket of more than ``BUCKET_ROWS`` nodes is dealt over salts. In the second step the nodes outside
-   its largest component visit every salt, which makes up for what salts could not see.
+   its largest component visit every salt, which makes up for what salts could not see; a dealt
+   bucket goes there even where all its forests are similar, as its salts have not met.
 
 ``width`` grows with the logarithm of the number of nodes (``LEAST_WIDTH`` bits at least), so buckets
 keep their size; ``tables`` follows from it and grows as the 0.24th power of the number of nodes: 31 up
@@ -330,7 +331,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ties = known.join(repeated, "id").select(F.col("fp").alias("a"), F.col("lo").alias("b")).filter("a <> b").distinct()
     edges = judged(pairs)
     failed = first.join(edges.toDF("x", "y"), ["x", "y"], "left_anti").select("place", "bucket").distinct()
-    failed = persist_table(failed, "failed")
+    # forests of a dealt bucket say nothing of pairs between its salts
+    failed = persist_table(reduce(DataFrame.unionByName, [s.select("place", "bucket") for s in salts], failed).distinct(), "failed")
     found = persist_table(components(edges.union(ties)), "components")
     if not failed.isEmpty():
         more = []

@@ -118,3 +118,18 @@ def test_long_text_and_unfinished_rates(spark):
     except RuntimeError:
         return
     raise AssertionError("an unfinished fit must not pass for a result")
+
+
+def test_all_labels_and_all_telling_words_are_learned(spark):
+    """More labels than the 20,000 and more telling words than the 20,000 that were once kept; equal by either join."""
+    texts = spark.range(20_400).select(F.col("id").alias("doc_id"), F.concat(F.lit("n"), "id", F.lit(" "), F.when(F.col("id") % 2 == 0, "good1").otherwise("junk1")).alias("text"))
+    own = F.transform(F.sequence(F.lit(0), F.lit(20_500)), lambda k: F.concat(F.when(F.col("id") % 2 == 0, "h").otherwise("l"), k.cast("string")))
+    wide = spark.range(30_000, 30_060).select(F.col("id").alias("doc_id"), F.concat(F.array_join(own, " "), F.lit(" n"), "id").alias("text"))
+    docs = texts.union(wide)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    assert M.training_domains(labels).count() == 20_460
+    few = labels.filter("doc_id >= 30000")
+    weights, _ = M.word_weights(wide, few)
+    assert weights.count() == 2 * 20_501
+    rows = [{r.id: round(r.p_high, 9) for r in M.posteriors(wide, few, broadcast_words=n).collect()} for n in (0, 100_000)]
+    assert rows[0] == rows[1] and all((p > 0.5) == (k % 2 == 0) for k, p in rows[0].items())

@@ -45,3 +45,15 @@ def test_rounds_and_drawn_orders_find_the_same_components(spark, monkeypatch):
     monkeypatch.setattr(R, "ROUND", 160)
     assert R.Tries(60, 0.8).tables > R.Tries(60, 0.8).runs
     assert {tuple(r) for r in R.near_duplicates(docs).collect()} == want
+
+
+def test_salts_of_a_bucket_meet_where_all_its_pairs_are_similar(spark, monkeypatch):
+    """Pairs of near copies whose members lie in different salts in every table, and nothing else that is alike."""
+    rng = random.Random(3)
+    rows = []
+    for g in range(6):
+        words = [f"w{rng.randrange(100_000)}" for _ in range(200)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join([*words[:-1], "x"]))]
+    monkeypatch.setattr(R, "BUCKET_ROWS", 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in R.near_duplicates(docs).collect()} == {(k, k - k % 2) for k in range(12)}
