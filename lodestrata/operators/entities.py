@@ -168,22 +168,26 @@ def text_mentions(persons: DataFrame, files: DataFrame, shortest: int = 3, most_
 
 def suppress_overlaps(boxes: DataFrame, iou: float = 0.35, ios: float = 0.50) -> DataFrame:
     """Greedy non-maximum suppression within each image: (image_id, det_id) that stay. Sequential by
-    nature, so an image's boxes (few) go to one Pandas call."""
+    nature, so an image's boxes (few) go to one Pandas call; a step takes the best box that is left and
+    drops all that it overlaps at once, so there are as many steps as boxes that stay. A box without area,
+    or of unknown place, overlaps nothing."""
+    import numpy as np
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for r in pdf.sort_values(["confidence", "det_id"], ascending=[False, True]).itertuples():
-            for k in kept:
-                w = min(r.x + r.w, k.x + k.w) - max(r.x, k.x)
-                h = min(r.y + r.h, k.y + k.h) - max(r.y, k.y)
-                inner = max(0.0, w) * max(0.0, h)
-                if min(r.w * r.h, k.w * k.h) <= 0:  # a box without area overlaps nothing
-                    continue
-                if inner >= iou * (r.w * r.h + k.w * k.h - inner) or inner >= ios * min(r.w * r.h, k.w * k.h):
-                    break
-            else:
-                kept.append(r)
-        return pd.DataFrame({"image_id": [r.image_id for r in kept], "det_id": [r.det_id for r in kept]})
+        pdf = pdf.sort_values(["confidence", "det_id"], ascending=[False, True])
+        x, y, w, h = (pdf[c].to_numpy(np.float64) for c in ("x", "y", "w", "h"))
+        right, below, area = x + w, y + h, w * h
+        left, kept = np.arange(len(pdf)), []
+        while len(left):
+            k, left = left[0], left[1:]
+            kept.append(k)
+            wide = np.minimum(right[left], right[k]) - np.maximum(x[left], x[k])
+            high = np.minimum(below[left], below[k]) - np.maximum(y[left], y[k])
+            inner = np.maximum(0.0, wide) * np.maximum(0.0, high)
+            least = np.minimum(area[left], area[k])
+            over = (inner >= iou * (area[left] + area[k] - inner)) | (inner >= ios * least)
+            left = left[~(over & (least > 0))]
+        return pdf.iloc[kept][["image_id", "det_id"]]
 
     return boxes.groupBy("image_id").applyInPandas(run, "image_id long, det_id long")
