@@ -277,17 +277,13 @@ def test_debounce_ties(spark):
 
 
 def test_suppression_of_many_boxes_takes_a_step_for_each_that_stays(spark):
-    """10,000 boxes of one image that all stay: 50 million pairs one by one take about a minute."""
+    """5,000 boxes of one image that all stay are 12 million pairs one by one."""
     import time
 
-    from pyspark.sql import functions as F
-
-    from lodestrata.operators import entities as E
-
-    at = spark.range(10_000).select(F.lit(1).cast("long").alias("image_id"), F.col("id").alias("det_id"), (F.col("id") * 3.0).alias("x"), F.lit(0.0).alias("y"), F.lit(2.0).alias("w"), F.lit(2.0).alias("h"), F.lit(0.5).alias("confidence"))
-    extra = spark.createDataFrame([(1, -1, 0.0, 0.0, 2.0, 2.0, 0.4), (1, -2, 0.0, 0.0, 0.0, 2.0, 0.4), (1, -3, None, 0.0, 2.0, 2.0, 0.4)], at.schema)
+    at = spark.range(5_000).select(F.lit(1).cast("long").alias("image_id"), F.col("id").alias("det_id"), (F.col("id") * 3.0).alias("x"), F.lit(0.0).alias("y"), F.lit(2.0).alias("w"), F.lit(2.0).alias("h"), F.lit(0.5).alias("confidence"))
+    extra = spark.createDataFrame([(1, -1, 0.0, 0.0, 2.0, 2.0, 0.4), (1, -2, 0.0, 0.0, 0.0, 2.0, 0.4), (1, -3, None, 0.0, 2.0, 2.0, 0.4)], "image_id long, det_id long, x double, y double, w double, h double, confidence double")
     E.suppress_overlaps(extra).count()  # workers are up
     began = time.time()
     kept = {r.det_id for r in E.suppress_overlaps(at.union(extra)).collect()}
-    assert time.time() - began < 20
-    assert kept == {*range(10_000), -2, -3}
+    assert time.time() - began < 5
+    assert kept == {*range(5_000), -2, -3}
