@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 from datetime import date
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +18,12 @@ from . import retrieval as R
 from . import sinks
 
 
+#: Texts that are given to an embedder at once.
+SLICE = 256
+
+
 class TextEmbedder(ABC):
-    """Unit vectors of texts; ``column`` runs ``embed`` over Arrow batches."""
+    """Unit vectors of texts; ``column`` runs ``embed`` over slices of Arrow batches."""
 
     name: str
     version = "1"
@@ -34,12 +37,16 @@ class TextEmbedder(ABC):
         return self.embed([text])[0].tolist()
 
     def column(self, text: Column) -> Column:
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
-                yield pd.Series(list(self.embed([x or "" for x in batch])))
-
-        run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        return F.pandas_udf(run, "array<float>")(text)
+                parts = [self.embed([x or "" for x in batch.slice(at, SLICE).to_pylist()]) for at in range(0, len(batch), SLICE)]
+                # one flat array of numbers, no object for each vector
+                flat = np.concatenate(parts) if parts else np.empty((0, self.dimension), np.float32)
+                ends = np.arange(len(flat) + 1, dtype=np.int32) * self.dimension
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.float32, copy=False).reshape(-1)))
+
+        run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        return F.arrow_udf(run, "array<float>")(text)
 
 
 class HashedWords(TextEmbedder):

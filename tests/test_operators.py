@@ -287,3 +287,21 @@ def test_suppression_of_many_boxes_takes_a_step_for_each_that_stays(spark):
     kept = {r.det_id for r in E.suppress_overlaps(at.union(extra)).collect()}
     assert time.time() - began < 5
     assert kept == {*range(5_000), -2, -3}
+
+
+def test_embedders_get_slices_of_a_batch(spark):
+    import numpy as np
+
+    from lodestrata.operators import extensions as X
+
+    class Counts(X.TextEmbedder):
+        name, dimension = "counts", 2
+
+        def embed(self, texts):
+            return np.array([[len(t), len(texts)] for t in texts], np.float32)
+
+    rows = spark.range(3_000, numPartitions=1).selectExpr("id", "case when id % 7 <> 0 then repeat('a', int(id % 50)) end as text")
+    got = {r.id: list(r.v) for r in rows.select("id", Counts().column(F.col("text")).alias("v")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: float(k % 50 if k % 7 else 0) for k in range(3_000)}
+    assert max(v[1] for v in got.values()) <= 256
+    assert rows.limit(0).select(Counts().column(F.col("text")).alias("v")).count() == 0
