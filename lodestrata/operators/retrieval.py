@@ -47,10 +47,11 @@ def bucket_of(term: str) -> int:
 
 def write_index(docs: DataFrame, id_col: str, text_col: str, folder: str) -> None:
     """Store the postings by bucket of their terms, with document frequency left to the query, and the
-    corpus statistics beside them. Tokens are made once, not for each query."""
+    corpus statistics beside them. Tokens are made once, not for each query. Buckets are of any size, so
+    large ones are dealt over several tasks and files, each sorted by term."""
     rows = postings(docs, id_col, text_col)
     bucket = F.pmod(F.crc32(F.substring("term", 1, 2).cast("binary")), F.lit(TERM_BUCKETS)).cast("int")
-    rows.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    rows.withColumn("bucket", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
     sizes = docs.select(F.size(tokens(F.col(text_col))).alias("dl"))
     sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{folder}/corpus")
 

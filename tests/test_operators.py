@@ -305,3 +305,17 @@ def test_embedders_get_slices_of_a_batch(spark):
     assert {k: v[0] for k, v in got.items()} == {k: float(k % 50 if k % 7 else 0) for k in range(3_000)}
     assert max(v[1] for v in got.values()) <= 256
     assert rows.limit(0).select(Counts().column(F.col("text")).alias("v")).count() == 0
+
+
+def test_a_large_bucket_of_terms_is_dealt_over_tasks(spark, tmp_path):
+    docs = spark.range(4_000, numPartitions=8).selectExpr("id", "concat_ws(' ', transform(sequence(0, 30), k -> concat('aa', hash(id, k) & 1048575)), if(id % 3 = 0, 'aab', 'aac')) as text")
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "200k")
+    try:
+        R.write_index(docs, "id", "text", str(tmp_path))
+    finally:
+        spark.conf.set(name, before)
+    assert [len(list(d.glob("*.parquet"))) > 3 for d in (tmp_path / "postings").glob("bucket=*")] == [True]
+    score = lambda found: {r.id: round(r.score, 9) for r in found.collect()}
+    assert score(R.bm25_indexed(spark, str(tmp_path), ["aab"], ["aa1"], False)) == score(R.bm25(docs, "id", "text", ["aab"], ["aa1"], False))
