@@ -49,6 +49,12 @@ def training_domains(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return one.select("label_id", domain.alias("domain"))
 
 
+def learned_texts(texts: DataFrame, one: DataFrame) -> DataFrame:
+    """``texts`` (label_id, key, text) that ``one`` (label_id, key, domain), a row for each key, names. Texts are shuffled
+    once, at any size of the tables: rows that repeat in the table are one document, and meet where they were joined."""
+    return texts.join(one.hint("merge"), ["label_id", "key"]).dropDuplicates(["label_id", "key"])
+
+
 def word_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[float]]:
     """(word, w_<domain>...): what a word's presence adds to the log odds, for all telling words;
     and per domain the log likelihood of a text with none of them."""
@@ -59,8 +65,7 @@ def word_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     one = persist_table(one.groupBy("key").agg(F.min(F.struct("label_id", "domain")).alias("m")).select("key", "m.label_id", "m.domain"), "training")
     sizes = {r["domain"]: r["count"] for r in one.groupBy("domain").count().collect()}
     total = sum(sizes.values())
-    # rows that repeat in the table are one document
-    held = texts.join(one, ["label_id", "key"]).dropDuplicates(["key"]).select("domain", F.explode(distinct_words(F.col("text"))["words"]).alias("word"))
+    held = learned_texts(texts, one).select("domain", F.explode(distinct_words(F.col("text"))["words"]).alias("word"))
     counts = held.groupBy("word").agg(*[F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS])
     share = {d: F.least((F.col(d) + 0.5) / (sizes.get(d, 0) + 1.0), F.lit(0.999)) for d in DOMAINS}
     seen = reduce(lambda a, b: a + b, [F.col(d) for d in DOMAINS])

@@ -133,3 +133,16 @@ def test_all_labels_and_all_telling_words_are_learned(spark):
     assert weights.count() == 2 * 20_501
     rows = [{r.id: round(r.p_high, 9) for r in M.posteriors(wide, few, broadcast_words=n).collect()} for n in (0, 100_000)]
     assert rows[0] == rows[1] and all((p > 0.5) == (k % 2 == 0) for k, p in rows[0].items())
+
+
+def test_learned_texts_are_shuffled_once_at_any_size(spark):
+    """Once for the join and again to drop repeats before; and not at all while the labels were few, so that the disk grew faster than the input."""
+    docs, labels = tables(spark)
+    texts = docs.select(F.col("doc_id").alias("label_id"), "text", F.xxhash64("text").alias("key"))
+    texts = texts.union(texts.filter("label_id = 3"))
+    one = texts.join(M.training_domains(labels), "label_id").groupBy("key").agg(F.min(F.struct("label_id", "domain")).alias("m")).select("key", "m.label_id", "m.domain")
+    one = M.persist_table(one, "training")
+    held = M.learned_texts(texts, one)
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Broadcast" not in plan
+    assert sorted(r.label_id for r in held.collect()) == sorted(r.label_id for r in one.collect())
