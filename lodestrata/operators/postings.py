@@ -2,9 +2,11 @@
 
 **Segments.** An upsert tokenises its own rows only and writes them as one segment: its documents with their
 terms (``docs``), and the postings in blocks (``blocks``). A segment's documents are dealt into cells of
-about ``CELL`` documents of like length, and a block is a term's postings in one cell, with their number,
-the largest term frequency and the smallest length. Blocks are sorted by term, so a search reads the row
-groups of its terms.
+about ``CELL`` documents of like length, and fewer if they are long, and a block is a term's postings in one cell,
+with their number, the largest term frequency and the smallest length. Blocks of a file's cells are sorted by term,
+so a search reads the row groups and pages of its terms. Documents travel to their cells once and as they are, and a
+cell's blocks are made and stay where it is, so no posting and no block is a row in a shuffle. Texts are shuffled
+only where a batch repeats their ids.
 
 **Changes.** A document that is replaced or deleted is marked dead: its row of the old segment, with its
 terms, goes to the list of the dead. Numbers of documents and of words are kept in the commit, and the
@@ -28,21 +30,122 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..sources.tables import CommitLog, Conflict, _batches, _seen
+from ..sources.views import checkpoints
 from .retrieval import K1, B, top
 
 #: Documents of a cell, cells that are scored first, cells that are named in a plan, segments after a merge.
 CELL, FIRST_CELLS, NAMED_CELLS, SEGMENTS = 1024, 8, 2000, 8
+#: Words of a cell's documents, and ids that are broadcast (counted first; joined by shuffle beyond).
+CELL_WORDS, FEW_IDS = 1 << 20, 500_000
 #: Of a segment's documents, from which share of dead ones on it is merged.
 DEAD = 0.2
 
 
+def _few(ids: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(ids) if n <= FEW_IDS else ids
+
+
+def _last_of(rows: DataFrame) -> DataFrame:
+    """Of the rows (id, _t, _o) that share an id the last. Only rows of repeated ids are shuffled, unless these are many."""
+    last = Window.partitionBy("id").orderBy(F.desc("_o"), F.desc("_t"))
+    kept = lambda some: some.withColumn("_r", F.row_number().over(last)).filter("_r = 1").drop("_r")
+    checkpoints(rows.sparkSession)
+    repeated = rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id").checkpoint()
+    n = repeated.count()
+    if n > FEW_IDS:
+        return kept(rows)
+    if not n:
+        return rows
+    repeated = F.broadcast(repeated)
+    return rows.join(repeated, "id", "left_anti").unionByName(kept(rows.join(repeated, "id", "left_semi")))
+
+
+def _counted(words: DataFrame) -> DataFrame:
+    """(id, dl, terms, tfs) of (id, t): a document's distinct tokens, sorted, and how often it has each."""
+    kind = words.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length = pc.list_value_length(batch.column(1))
+            dl = length.to_numpy(zero_copy_only=False)
+            coded = batch.column(1).flatten().dictionary_encode()
+            names = coded.dictionary
+            rank = np.empty(len(names), np.int64)
+            by = np.asarray(pc.sort_indices(names)).astype(np.int64)
+            rank[by] = np.arange(len(names))
+            # a number for each token and document, in the order of documents and then of tokens
+            key = np.repeat(np.arange(len(dl)), dl) * max(len(names), 1) + rank[np.asarray(coded.indices)]
+            key, tf = np.unique(key, return_counts=True)
+            doc, term = np.divmod(key, max(len(names), 1))
+            ends = pa.array(np.searchsorted(doc, np.arange(len(dl) + 1)).astype(np.int32))
+            terms = pa.ListArray.from_arrays(ends, names.take(pa.array(by[term])).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), length.cast(pa.int32()), terms, pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))], ["id", "dl", "terms", "tfs"])
+
+    return words.mapInArrow(run, f"id {kind}, dl int, terms array<string>, tfs array<int>")
+
+
+def _inverted(docs: DataFrame, cell: Column) -> DataFrame:
+    """Blocks of (id, dl, terms, tfs), sorted by term in each task: a cell's documents come to one task, sorted by id.
+    Terms hold no blanks (``tokens``) and travel as one text, which is smaller than their array."""
+    kind = docs.schema["id"].dataType.simpleString()
+    dealt = docs.filter("dl > 0").select(cell.alias("cell"), "id", "dl", F.array_join("terms", " ").alias("terms"), "tfs").repartition("cell").sortWithinPartitions("cell", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = np.asarray(batch.column(0))
+            cuts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]).tolist()
+            for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                if held and cells[a] != cell:
+                    yield from _cell_blocks(held)
+                    held = []
+                cell = cells[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from _cell_blocks(held)
+
+    blocks = dealt.mapInArrow(run, f"term string, cell int, n int, max_tf int, min_dl int, ids array<{kind}>, tfs array<int>, dls array<int>")
+    return blocks.sortWithinPartitions("term", "cell")
+
+
+def _cell_blocks(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of one cell, in any order of their terms."""
+    cell, ids, dl, terms, tfs = pa.Table.from_batches(held).combine_chunks().to_batches()[0].columns
+    terms = pc.split_pattern(terms, " ")
+    words = terms.flatten().dictionary_encode()
+    codes = np.asarray(words.indices)
+    # stable, so that a term's postings stay in the order of their ids
+    order = np.argsort(codes, kind="stable")
+    of = np.repeat(np.arange(len(ids)), pc.list_value_length(terms).to_numpy(zero_copy_only=False))[order]
+    starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0])
+    tf, length = np.asarray(tfs.flatten())[order], np.asarray(dl)[of]
+    ends = pa.array(np.r_[starts, len(of)].astype(np.int32))
+    columns = {
+        "term": words.dictionary.take(pa.array(codes[order][starts])).cast(pa.string()),
+        "cell": pa.array(np.full(len(starts), cell[0].as_py(), np.int32)),
+        "n": pa.array(np.diff(np.r_[starts, len(of)]).astype(np.int32)),
+        "max_tf": pa.array(np.maximum.reduceat(tf, starts)),
+        "min_dl": pa.array(np.minimum.reduceat(length, starts)),
+        "ids": pa.ListArray.from_arrays(ends, ids.take(pa.array(of))),
+        "tfs": pa.ListArray.from_arrays(ends, pa.array(tf)),
+        "dls": pa.ListArray.from_arrays(ends, pa.array(length)),
+    }
+    yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
 class TextIndex:
     def __init__(self, spark: SparkSession, folder: str, cell: int = CELL, lease: float = 60.0):
         self.spark, self.cell, self.log = spark, cell, CommitLog(spark, folder, lease)
@@ -61,14 +164,11 @@ class TextIndex:
 
     def upsert(self, rows: DataFrame, id_col: str, text_col: str, order: str | None = None, batch: tuple[str, int] | None = None) -> int:
         """Index ``rows``; documents with their ids are replaced. Returns the commit's number."""
-        last = Window.partitionBy("id").orderBy(F.desc("_o"), F.desc("_t"))
+        last = self.log.latest()
+        if last and _seen(last[1], batch):
+            return last[0]
         one = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"), (F.col(order) if order else F.lit(0)).alias("_o")).filter("id is not null")
-        one = one.withColumn("_r", F.row_number().over(last)).filter("_r = 1")
-        t = F.array_sort(tokens(F.col("_t")))
-        made = one.select("id", F.size(t).alias("dl"), t.alias("_t"))
-        # runs of equals in the sorted tokens: a token's count is the distance to the next run
-        starts = F.filter(F.when(F.col("dl") > 0, F.sequence(F.lit(0), F.col("dl") - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1)))
-        forward = made.withColumn("_s", starts).select("id", "dl", F.transform("_s", lambda i: F.get("_t", i)).alias("terms"), F.transform("_s", lambda i, k: F.coalesce(F.get("_s", k + 1), F.col("dl")) - i).alias("tfs"))
+        forward = _counted(_last_of(one).select("id", tokens(F.col("_t")).alias("t")))
         return self._change(forward, None, batch)
 
     def delete(self, ids: DataFrame, batch: tuple[str, int] | None = None) -> int:
@@ -90,17 +190,24 @@ class TextIndex:
                 made.append(new["name"])
                 n, words = n + new["docs"], words + new["words"]
             touched = self._read("docs", [new["name"]]).select("id") if new is not None else ids
-            old = self._alive(segments, dead)
+            old = self._read("docs", [s["name"] for s in segments])
             if old is not None:
-                name = uuid.uuid4().hex
-                old.join(touched, "id", "left_semi").write.parquet(f"{self.folder}/data/{name}/docs")
-                made.append(name)
-                by = {r["seg"]: r for r in self.spark.read.parquet(f"{self.folder}/data/{name}/docs").groupBy("seg").agg(F.count("*").alias("n"), F.sum("dl").alias("words")).collect()}  # a row for each segment
+                # who is dead is found from the ids alone
+                gone = self._dead(dead)
+                hit = old.select("seg", "id", "dl").join(touched, "id", "left_semi")
+                hit = hit if gone is None else hit.join(_few(gone.select("seg", "id"), self._gone(segments)), ["seg", "id"], "left_anti")
+                checkpoints(self.spark)
+                hit = hit.checkpoint()
+                by = {r["seg"]: r for r in hit.groupBy("seg").agg(F.count("*").alias("n"), F.sum("dl").alias("words")).collect()}  # a row for each segment
                 for s in segments:
                     if s["name"] in by:
                         s["dead"] += by[s["name"]]["n"]
                         n, words = n - by[s["name"]]["n"], words - by[s["name"]]["words"]
                 if by:
+                    name = uuid.uuid4().hex
+                    ids_ = _few(hit.select("seg", "id"), sum(r["n"] for r in by.values()))
+                    old.join(ids_, ["seg", "id"], "left_semi").write.parquet(f"{self.folder}/data/{name}/docs")
+                    made.append(name)
                     dead.append(name)
             if new is not None and new["docs"]:
                 segments.append(new)
@@ -113,36 +220,34 @@ class TextIndex:
         raise Conflict(f"{self.folder}: no commit in {tries} tries")
 
     def _dead(self, dead: list[str]) -> DataFrame | None:
-        """(id, cell, dl, terms, tfs, seg) of the dead documents; seg is the segment that they were in."""
+        """(id, dl, terms, tfs, seg) of the dead documents; seg is the segment that they were in."""
         return self.spark.read.parquet(*[f"{self.folder}/data/{n}/docs" for n in dead]) if dead else None
 
     def _alive(self, segments: list[dict], dead: list[str]) -> DataFrame | None:
         docs = self._read("docs", [s["name"] for s in segments])
         gone = self._dead(dead)
-        return docs if docs is None or gone is None else docs.join(gone.select("seg", "id"), ["seg", "id"], "left_anti")
+        return docs if docs is None or gone is None else docs.join(_few(gone.select("seg", "id"), self._gone(segments)), ["seg", "id"], "left_anti")
+
+    @staticmethod
+    def _gone(segments: list[dict]) -> int:
+        return sum(s["dead"] for s in segments)
 
     def _segment(self, forward: DataFrame) -> dict:
         """Write (id, dl, terms, tfs) as a segment: documents first, then the blocks made of them."""
         name = uuid.uuid4().hex
         place = f"{self.folder}/data/{name}"
+        forward.write.parquet(f"{place}/docs")
+        docs = self.spark.read.parquet(f"{place}/docs")
         # cells of documents of like length: classes by powers of two, each dealt by a hash of the id
         kind = F.floor(F.log2(F.col("dl") + 1.0)).cast("int")
-        forward.withColumn("kind", kind).write.parquet(f"{place}/raw")
-        raw = self.spark.read.parquet(f"{place}/raw")
-        sizes = {r["kind"]: r for r in raw.groupBy("kind").agg(F.count("*").alias("n"), F.sum("dl").alias("words")).collect()}  # 32 classes at most
+        sizes = {r["kind"]: r for r in docs.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum("dl").alias("words")).collect()}  # 32 classes at most
         first, cells = 0, F.lit(0)
         for k in sorted(sizes):
-            many = -(-sizes[k]["n"] // self.cell)
-            cells = F.when(F.col("kind") == k, first + F.pmod(F.xxhash64("id"), F.lit(many))).otherwise(cells)
+            many = max(-(-sizes[k]["n"] // self.cell), -(-sizes[k]["words"] // CELL_WORDS))
+            cells = F.when(kind == k, first + F.pmod(F.xxhash64("id"), F.lit(many))).otherwise(cells)
             first += many
-        raw.withColumn("cell", cells.cast("int")).drop("kind").write.parquet(f"{place}/docs")
-        self.log.discard(f"data/{name}/raw")
-        docs = self.spark.read.parquet(f"{place}/docs")
-        each = docs.select("id", "dl", "cell", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("id", "dl", "cell", "p.terms", "p.tfs").withColumnRenamed("terms", "term")
-        rows = each.groupBy("term", "cell").agg(F.array_sort(F.collect_list(F.struct("id", "tfs", "dl"))).alias("p"))  # a cell's documents at most
-        blocks = rows.select("term", "cell", F.size("p").alias("n"), F.array_max("p.tfs").alias("max_tf"), F.array_min("p.dl").alias("min_dl"), F.col("p.id").alias("ids"), F.col("p.tfs").alias("tfs"), F.col("p.dl").alias("dls"))
-        sorted_ = blocks.repartitionByRange("term", "cell").sortWithinPartitions("term", "cell")
-        sorted_.write.option("parquet.block.size", 8 << 20).option("parquet.page.size", 64 << 10).parquet(f"{place}/blocks")
+        blocks = _inverted(docs, cells.cast("int"))
+        blocks.write.option("parquet.block.size", 8 << 20).option("parquet.page.size", 64 << 10).parquet(f"{place}/blocks")
         return {"name": name, "docs": sum(r["n"] for r in sizes.values()), "words": int(sum(r["words"] for r in sizes.values())), "dead": 0, "cells": first}
 
     def merge(self, most: int = SEGMENTS, tries: int = 5) -> int | None:
@@ -212,7 +317,7 @@ class TextIndex:
         def scored(some: DataFrame) -> DataFrame:
             each = some.select("seg", asked_of, F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p")).select("seg", "q", F.col("p.ids").alias("id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))
             if gone is not None:
-                each = each.join(gone.select("seg", "id"), ["seg", "id"], "left_anti")
+                each = each.join(_few(gone.select("seg", "id"), self._gone(state["segments"])), ["seg", "id"], "left_anti")
             if allowed is not None:
                 each = each.join(allowed, "id", "left_semi")
             hits = each.groupBy("id", "dl", "q").agg(F.sum("tf").alias("tf"))

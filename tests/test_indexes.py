@@ -212,3 +212,41 @@ def test_scores_that_show_alike_go_by_path(spark):
 
     rows = spark.createDataFrame([(1, 0.0765947, "/b"), (2, 0.0765917, "/a"), (3, 0.07661, "/c")], "file_id long, score double, _order_path string")
     assert [r.file_id for r in rows.orderBy(*S.sorted_by(rows, "relevance")).collect()] == [3, 2, 1]
+
+
+def shuffled_bytes(spark):
+    """Bytes that the stages so far have written for shuffles."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_changes_shuffle_documents_once_and_no_postings(spark, tmp_path):
+    """Texts, single postings and blocks went through shuffles before, and a deletion shuffled all old documents."""
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(k, " ".join(f"word{rng.randrange(4000)}" for _ in range(150))) for k in range(2000)], "id long, text string")
+    index = T.TextIndex(spark, str(tmp_path / "i"), cell=256)
+    time.sleep(0.5)
+    start = shuffled_bytes(spark)
+    index.upsert(docs, "id", "text")
+    time.sleep(0.5)
+    made = shuffled_bytes(spark)
+    index.delete(docs.filter("id % 5 = 0").select("id"))
+    time.sleep(0.5)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert made - start < 1.2 * size, (made - start, size)
+    assert shuffled_bytes(spark) - made < 0.1 * size
+    same(spark, index, docs.filter("id % 5 <> 0"), [(["word7"], []), ([], ["word39"])])
+
+
+def test_repeated_ids_and_long_documents_of_a_batch(spark, tmp_path, monkeypatch):
+    """Only rows of repeated ids meet (or all, if these are many), and cells are cut by words, too."""
+    rows = [(k, f"alpha beta{k % 3} " * 5) for k in range(40)] + [(k, f"zeta beta{k % 2}") for k in range(0, 40, 4)] + [(41, None), (42, "")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    want = docs.groupBy("id").agg(F.max("text").alias("text"))
+    for few, words in ((500_000, 1 << 20), (2, 16)):
+        monkeypatch.setattr(T, "FEW_IDS", few)
+        monkeypatch.setattr(T, "CELL_WORDS", words)
+        index = T.TextIndex(spark, str(tmp_path / f"i{few}"))
+        index.upsert(docs, "id", "text")
+        same(spark, index, want, [(["alpha"], []), (["zeta"], ["beta"]), ([], ["b"])])
