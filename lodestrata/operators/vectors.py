@@ -42,6 +42,8 @@ CLOSE = 1e-9
 GRID, FEW_VISITS, TRIED = 8, 16, 2048
 #: Rows of a matrix product.
 ROWS = 512
+#: Numbers of the references that go to every task as they are (a block of 64 dimensions, 8 MB).
+FEW_NUMBERS = 1 << 20
 #: Products that are held at once.
 MOST = 1 << 22
 
@@ -327,8 +329,10 @@ def best_two(vectors: DataFrame, references: DataFrame, near: int = 4) -> DataFr
     refs = usable(references, "v").select(F.lit(0).cast("long").alias("id"), "tag", "v").distinct()
     refs = refs.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("tag"))).filter("_r <= 2").drop("_r")
     own = usable(vectors, "v").select("id", F.lit(None).cast(tag_kind).alias("tag"), "v")
-    few = refs.limit(BALL + 1).collect()
-    if 0 < len(few) <= BALL:  # so few that they go to every task as they are
+    long = refs.select(F.size("v")).first()
+    most = max(BALL, min(GRID * BALL, FEW_NUMBERS // long[0])) if long else BALL
+    few = refs.limit(most + 1).collect()
+    if 0 < len(few) <= most:  # so few that they go to every task as they are, and no vector is shuffled
         found = pa.array([r["tag"] for r in few], to_arrow_type(references.schema["tag"].dataType)).to_numpy(zero_copy_only=False), np.array([r["v"] for r in few], np.float64)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

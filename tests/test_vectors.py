@@ -268,3 +268,17 @@ def test_equal_references_of_many_persons(spark, monkeypatch):
     assert {tuple(r) for r in V.best_two(frame(spark, x), references).collect()} == brute_two(x, x[[t % 5 for t in range(2000)]], range(2000))
     found = list(V._two(np.arange(2000), np.array([r[1] for r in refs]), np.arange(20), x))
     assert sum(b.num_rows for b in found) == 2 * len(x)
+
+
+def test_some_thousand_references_go_to_the_tasks_without_a_shuffle_of_vectors(spark, monkeypatch):
+    """More than BALL references sent every vector to balls or blocks before, as they do with no numbers to spare."""
+    rng = np.random.default_rng(3)
+    refs = spark.createDataFrame([(k % 7, rng.normal(size=4).tolist()) for k in range(V.BALL + 100)], "tag long, v array<double>")
+    faces = spark.createDataFrame([(k, rng.normal(size=4).tolist()) for k in range(50)], "id long, v array<double>")
+    moved = lambda rows: "RepartitionByExpression" in rows._jdf.queryExecution().optimizedPlan().toString()
+    found = V.best_two(faces, refs)
+    assert not moved(found)
+    monkeypatch.setattr(V, "FEW_NUMBERS", 0)
+    dealt = V.best_two(faces, refs)
+    assert moved(dealt)
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in dealt.collect()}
