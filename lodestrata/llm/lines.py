@@ -11,12 +11,16 @@ which a scalar subquery hands to every task; its collisions can only change the
 total order as far as the result goes. Words are 64-bit hashes, 56 bits of them under their rarity
 in the prefixes.
 
-Whole sets never travel with the candidates. A 128-bit parity of each set bounds the difference of
-two sets from below and rules out most false candidates inside the join itself; the words of the
-sets that still matter are read from the texts again. Sets are numbered in the order of their first
-lines, so the join pairs a set with earlier ones only. A set needs one earlier match, so every set
-first meets the earliest sets under some words of its prefix, its pilots; the prefix join then runs
-for the sets that found no match there. Large groups of near copies cost a few rows for each member.
+Whole sets never travel with the candidates. A parity of each set (64 bits, 128 for larger sets)
+bounds the difference of two sets from below and rules out most false candidates inside the join
+itself; the words of the sets that still matter are read from the texts again. Sets are numbered in
+the order of their first lines, which tells the later of two. A set needs one earlier match, so every set
+first meets the earliest sets under some words of its prefix, its pilots. For the sets that found no
+match there the prefix join is a semi join: it names the sets that may still be in a pair, and makes
+no pairs. Those few sets get a parity of 512 bits and meet in rounds: in each an open set meets a
+share of the earlier sets, GROWTH times that of the round before, and leaves when a pair proves
+similar. A set with c partners is expected to leave before it has met more than a few, whatever c
+is, so large groups of near copies cost a few rows a round for each member.
 
 A set is named by two 64-bit hashes of its words.
 
@@ -44,7 +48,12 @@ PILOTS = 3
 #: Shares of the prefix words that are joined one after the other.
 PASSES = 2
 #: What the filters of a pair read of a set.
-SHAPE = ["n", "even", "odd"]
+SHAPE = ["n", "whole", "odd"]
+#: Sets of more words have a parity of 128 bits, smaller ones of 64.
+SMALL = 64
+#: Longs of the parity by which the sets that are left by the prefix join meet, and the factor
+#: by which the share of earlier sets grows from one of their rounds to the next.
+WIDE, GROWTH = 8, 16
 #: Similarity as a fraction.
 NUM, DEN = 4, 5
 
@@ -91,8 +100,9 @@ def prefix(n: Column) -> Column:
 
 
 def marked_lines(lines: DataFrame, sketch: Column) -> DataFrame:
-    """(id, key, line_no, k, kk, n, even, odd, prefix): every line with the two hashes that name its
-    set, its size, the two halves of its parity and its rarest words; k is null for a line without words."""
+    """(id, key, line_no, k, kk, n, whole, odd, prefix): every line with the two hashes that name its
+    set, its size, its parity, that of the odd half of its words (0 in small sets) and its rarest
+    words; k is null for a line without words."""
 
     def ranked(pair: Column) -> Column:
         table = pair["sketch"]
@@ -102,13 +112,14 @@ def marked_lines(lines: DataFrame, sketch: Column) -> DataFrame:
     bit = lambda one, h: F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))
     parity = lambda one: F.aggregate("set", F.lit(0).cast("long"), lambda held, h: held.bitwiseXOR(bit(one(h), h)))
     whole, odd = parity(lambda h: F.lit(1).cast("long")), parity(lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(1).cast("long")))
+    odd = F.when(F.size("set") > SMALL, odd).otherwise(F.lit(0).cast("long"))
     # the subquery stands in a projection of its own, as none may stand in a lambda's arguments;
     # the optimiser moves it up to its one use, and the explode keeps it from joining the projection
     # below, so no row carries the sketch
     sets = lines.select("id", "key", "line_no", F.explode(F.array(distinct_words(F.col("line")))).alias("set")).withColumn("sketch", sketch)
-    sets = sets.select("id", "key", "line_no", F.size("set").alias("n"), whole.alias("even"), odd.alias("odd"), F.sort_array(let(F.struct("set", "sketch"), ranked)).alias("tokens"))
-    named = [F.when(F.col("n") > 0, F.xxhash64("tokens")).alias("k"), F.when(F.col("n") > 0, F.xxhash64(F.lit("second"), "tokens", "odd")).alias("kk")]
-    return sets.select("id", "key", "line_no", *named, "n", F.col("even").bitwiseXOR(F.col("odd")).alias("even"), "odd", F.slice("tokens", 1, prefix(F.col("n"))).alias("prefix"))
+    sets = sets.select("id", "key", "line_no", F.size("set").alias("n"), whole.alias("whole"), odd.alias("odd"), F.sort_array(let(F.struct("set", "sketch"), ranked)).alias("tokens"))
+    named = [F.when(F.col("n") > 0, F.xxhash64("tokens")).alias("k"), F.when(F.col("n") > 0, F.xxhash64(F.lit("second"), "tokens", "whole", "odd")).alias("kk")]
+    return sets.select("id", "key", "line_no", *named, "n", "whole", "odd", F.slice("tokens", 1, prefix(F.col("n"))).alias("prefix"))
 
 
 def most_apart(both: Column) -> Column:
@@ -124,7 +135,9 @@ def may_match(a, b) -> Column:
 
 def apart(a, b) -> Column:
     """Lower bound of the symmetric difference."""
-    return F.bit_count(a["even"].bitwiseXOR(b["even"])) + F.bit_count(a["odd"].bitwiseXOR(b["odd"]))
+    whole, odd = a["whole"].bitwiseXOR(b["whole"]), a["odd"].bitwiseXOR(b["odd"])
+    halves = F.bit_count(whole.bitwiseXOR(odd)) + F.bit_count(odd)
+    return F.when((a["n"] > SMALL) & (b["n"] > SMALL), halves).otherwise(F.bit_count(whole))
 
 
 def pilots(sets: DataFrame) -> DataFrame:
@@ -140,22 +153,43 @@ def pilots(sets: DataFrame) -> DataFrame:
     return met.groupBy(F.col("sid").alias("later")).agg(F.min_by("earlier", apart(one, two)).alias("earlier"))
 
 
-def candidates(sets: DataFrame, late: DataFrame, share: int = 0, passes: int = 1) -> DataFrame:
-    """(later, earlier, apart): sets not known to be late with the earlier sets that share a prefix word and
-    pass the length, positional and parity filters; of the words those of one of ``passes`` shares.
+def within_reach(a, b) -> Column:
+    """Positional filter: enough words are left from the prefix word that two posts share on."""
+    return (1 + F.least(a["n"] - 1 - a["pos"], b["n"] - 1 - b["pos"])) * (NUM + DEN) >= (a["n"] + b["n"]) * NUM
 
-    Both sides of the join are one exchange of the prefix words, so the condition on the open side
-    is worded over both."""
+
+def involved(sets: DataFrame, late: DataFrame, share: int = 0, passes: int = 1) -> DataFrame:
+    """(sid): sets that share a prefix word with another and pass the length, positional and parity filters
+    with it, where the later one is not known to be late; of the words those of one of ``passes`` shares.
+
+    Both sides of the join are one exchange of the prefix words, so the condition is worded over both."""
     known = sets.join(late.select(F.col("later").alias("sid"), F.lit(True).alias("late")), "sid", "left").withColumn("open", F.col("late").isNull())
     posts = known.select("sid", *SHAPE, "open", F.posexplode("prefix").alias("pos", "token"))
     posts = posts.filter((F.shiftright("token", 56) > ONCE) & (F.pmod("token", F.lit(passes)) == share))  # a word of the corpus's only occurrence meets nobody
     a, b = posts.alias("a"), posts.alias("b")
     one, two = ({c: F.col(f"{x}.{c}") for c in posts.columns} for x in "ab")
-    n, n2 = one["n"], two["n"]
-    reach = 1 + F.least(n - 1 - one["pos"], n2 - 1 - two["pos"])
-    open_ = F.when(two["open"].isNotNull(), one["open"])
-    met = a.join(b, (one["token"] == two["token"]) & (two["sid"] < one["sid"]) & open_ & may_match(one, two) & (reach * (NUM + DEN) >= (n + n2) * NUM))
-    return met.select(one["sid"].alias("later"), two["sid"].alias("earlier"), apart(one, two).alias("apart")).distinct()
+    open_ = F.when(two["sid"] < one["sid"], one["open"]).otherwise(two["open"])
+    met = a.join(b, (one["token"] == two["token"]) & (one["sid"] != two["sid"]) & open_ & may_match(one, two) & within_reach(one, two), "left_semi")
+    return met.select("sid").distinct()
+
+
+def wide_parity(words: Column) -> list[Column]:
+    """WIDE longs, the parity of a set in 64 WIDE bits."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    part = lambda k: F.filter(words, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(WIDE - 1)) == k)
+    return [F.aggregate(part(k), F.lit(0).cast("long"), lambda held, h: held.bitwiseXOR(bit(h))).alias(f"p{k}") for k in range(WIDE)]
+
+
+def met_in_round(posts: DataFrame, late: DataFrame, low: float, high: float) -> DataFrame:
+    """(later, earlier): open sets with the earlier sets of one share that pass all filters."""
+    wide = [f"p{k}" for k in range(WIDE)]
+    a = posts.join(late.select(F.col("later").alias("sid")), "sid", "left_anti").filter("open").alias("a")
+    b = posts.filter((F.col("part") >= low) & (F.col("part") < high)).alias("b")
+    one, two = ({c: F.col(f"{x}.{c}") for c in posts.columns} for x in "ab")
+    differ = reduce(lambda x, y: x + y, [F.bit_count(one[c].bitwiseXOR(two[c])) for c in wide])
+    near = (F.least(one["n"], two["n"]) * DEN >= F.greatest(one["n"], two["n"]) * NUM) & (differ <= most_apart(one["n"] + two["n"]))
+    met = a.join(b, (one["token"] == two["token"]) & (two["sid"] < one["sid"]) & near & within_reach(one, two))
+    return met.select(one["sid"].alias("later"), two["sid"].alias("earlier")).distinct()
 
 
 def words_of(keys: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -178,31 +212,37 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return fine.select("later").distinct()
 
 
+def shares(n: int) -> list[tuple[float, float]]:
+    """Parts of [0, 1) that grow by GROWTH from about 1 / n on."""
+    ends, end = [], 1.0
+    while True:
+        ends.append(end)
+        if end * n <= GROWTH:
+            return list(zip([0.0, *ends[:0:-1]], ends[::-1], strict=True))
+        end /= GROWTH
+
+
 def late_sets(sets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(later): sets with an earlier similar set. Sets whose pilot proves similar are settled; the
-    others go through the prefix join against all."""
+    others go through the prefix join against all, and what that leaves meets in rounds."""
     spark = sets.sparkSession
-
-    def settled(*rounds: DataFrame) -> DataFrame:
-        """Late sets of pairs that are verified in rounds, later ones only where no earlier one succeeds."""
-        pairs = reduce(DataFrame.union, [r.select("later", "earlier") for r in rounds])
-        keys = pairs.select(F.col("earlier").alias("sid")).union(pairs.select(F.col("later").alias("sid"))).distinct()
-        held = persist_table(words_of(keys, sets, docs, id_col, text_col), "words")
-        out = persist_table(verified(rounds[0], held), "late")
-        for r in rounds[1:]:
-            out = out.union(persist_table(verified(r.join(out, "later", "left_anti"), held), "late"))
-        drop_tables(spark, held)
-        return out
-
     led = persist_table(pilots(sets), "pilots")
-    late = settled(led)
+    keys = led.select(F.col("earlier").alias("sid")).union(led.select(F.col("later").alias("sid"))).distinct()
+    held = persist_table(words_of(keys, sets, docs, id_col, text_col), "words")
+    late = persist_table(verified(led, held), "late")
+    drop_tables(spark, held, led)
     # share by share, so that the prefix words lie on disk in parts
-    parts = [persist_table(candidates(sets, late, k, PASSES).join(led, ["later", "earlier"], "left_anti"), "met") for k in range(PASSES)]
-    met = reduce(DataFrame.union, parts).distinct()
-    likeliest = met.groupBy("later").agg(F.min_by("earlier", "apart").alias("earlier"))
-    likeliest = persist_table(likeliest, "likeliest")
-    late = late.union(settled(likeliest, met.join(likeliest, ["later", "earlier"], "left_anti")))
-    drop_tables(spark, *parts, led, likeliest)
+    parts = [persist_table(involved(sets, late, k, PASSES), "involved") for k in range(PASSES)]
+    left = reduce(DataFrame.union, parts).distinct()
+    held = persist_table(words_of(left, sets, docs, id_col, text_col), "words")
+    opened = late.select(F.col("later").alias("sid"), F.lit(False).alias("open"))
+    prefixes = held.select("sid", F.size("set").alias("n"), *wide_parity(F.col("set"))).join(sets.select("sid", "prefix"), "sid").join(opened, "sid", "left")
+    part = F.pmod(F.xxhash64("sid"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    few = prefixes.select("sid", "n", *[f"p{k}" for k in range(WIDE)], F.coalesce("open", F.lit(True)).alias("open"), part.alias("part"), F.posexplode("prefix").alias("pos", "token"))
+    posts = persist_table(few.filter(F.shiftright("token", 56) > ONCE), "posts")
+    for low, high in shares(held.count()):
+        late = late.union(persist_table(verified(met_in_round(posts, late, low, high), held), "late"))
+    drop_tables(spark, *parts, held, posts)
     return late
 
 

@@ -50,3 +50,61 @@ def test_equals_brute_force(spark):
 
 def test_empty(spark):
     assert L.line_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def near_copies(n):
+    """One line for each document: a stem of 50 words with five of them, in some three, replaced."""
+    own, stem = random.Random(9), [f"stem{k}" for k in range(50)]
+    docs = []
+    for k in range(n):
+        line = list(stem)
+        for at in own.sample(range(50), 5 if k % 4 else 3):
+            line[at] = f"other{own.randrange(30)}"
+        docs.append((k, " ".join(line)))
+    return docs
+
+
+def test_near_copies_that_no_pilot_settles_make_few_pairs(spark, monkeypatch):
+    n, made, judge, keep = 600, [], L.verified, L.persist_table
+
+    def judged(pairs, held):
+        made.append(("pairs", pairs.count()))
+        return judge(pairs, held)
+
+    def kept(df, name):
+        out = keep(df, name)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(L, "verified", judged)
+    monkeypatch.setattr(L, "persist_table", kept)
+    rows = near_copies(n)
+    got = {(r.doc_id, r.n_lines, r.removed_lines) for r in L.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(spark, rows)
+    assert n / 10 < sum(r[2] == "0" for r in got) < n
+    assert max(made, key=lambda m: m[1])[1] < 15 * n, made
+
+
+def test_parity_bounds_the_difference(spark):
+    from pyspark.sql import functions as F
+
+    own = random.Random(3)
+    rows = []
+    for n in (5, 40, 64, 65, 70, 200):
+        line = [f"w{own.randrange(10**6)}" for _ in range(n)]
+        rows += [(" ".join(line + [f"x{own.randrange(10**6)}" for _ in range(m)]),) for m in (0, 1, n // 5, n)]
+    docs = spark.createDataFrame([(k, t) for k, (t,) in enumerate(rows)], "doc_id long, text string")
+    marked = L.marked_lines(L.keyed_lines(docs, "doc_id", "text"), L.rarity_sketch(docs, "text").scalar()).select("id", *L.SHAPE)
+    a, b = marked.alias("a"), marked.alias("b")
+    one, two = ({c: F.col(f"{x}.{c}") for c in marked.columns} for x in "ab")
+    held = [set(t.split()) for (t,) in rows]
+    for r in a.crossJoin(b).select(one["id"].alias("i"), two["id"].alias("j"), L.apart(one, two).alias("d"), L.may_match(one, two).alias("may")).collect():
+        assert r.d <= len(held[r.i] ^ held[r.j])
+        assert r.may or 5 * len(held[r.i] & held[r.j]) < 4 * len(held[r.i] | held[r.j])
+
+
+def test_shares_cover_all_once():
+    for n in (0, 1, 16, 17, 5000, 10**7):
+        parts = L.shares(n)
+        assert parts[0][0] == 0 and parts[-1][1] == 1 and all(x[1] == y[0] for x, y in zip(parts, parts[1:]))
+        assert parts[0][1] * n <= L.GROWTH
